@@ -254,7 +254,8 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept (binary, what is left) and kept_sha256."""
     spark = docs.sparkSession
-    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # As many as partitions, but enough that a small input deals a text over as many as a larger one does.
+    buckets = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
     added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "key", "ns", "blobs")
     names = [c for c in docs.columns if c not in added]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], row_key(F.col("doc_id"), F.col("text")).alias("key"))
