@@ -14,9 +14,10 @@ each other's encoding when alone. There the acceptor's arcs weigh nothing
 between such neighbours and infinity elsewhere, every piece weighs one, and
 one path of finite weight is left: the library's own encoding.
 
-No piece goes on from a character to a blank sign after it, nor over a
-character that has no piece, so the lattice falls apart there; segments are
-solved alone and remembered, up to a bound, for the life of a worker.
+No piece goes on from a character to a blank sign after it, over a character
+that has no piece, or from a letter to most marks, so the lattice falls apart
+there; segments are solved alone and remembered, up to a bound, for the life
+of a worker.
 
 Edge cases: null and empty texts encode to no pieces and decode to ''; every
 other text decodes to itself, but that a blank sign (U+2581) becomes a blank,
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,9 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-MOST_SEGMENTS = 600_000
+MOST_SEGMENTS = 1_200_000
+#: Stands for the piece before a run's first.
+START = 1 << 23
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -99,13 +103,18 @@ class Transducer:
         self.longest = max(map(len, self.id))
         if any(BLANK in p.lstrip(BLANK) for p in self.id):
             raise ValueError("a piece goes on to a blank sign")
-        self.prefixes = {p[:i] for p in self.id for i in range(1, len(p) + 1)}
         self.known = {c for p in self.id for c in p}
         self.value = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(BLANK, " ").encode() if k == NORMAL else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.solved: dict[str, bytes] = {}
         self.broken: set[str] = set()  # segments whose pieces don't spell them; none is known
         self.cut = re.compile(r" *[^ \n]+| +|\n")
+        self.lexicon: dict = {}  # of each character: the piece that ends there or -1, and what may follow
+        for p, i in self.id.items():
+            arcs = self.lexicon
+            for c in p[:-1]:
+                arcs = arcs.setdefault(c, [-1, {}])[1]
+            arcs.setdefault(p[-1], [-1, {}])[0] = i
 
     def merged(self, text: str) -> list[str]:
         """A merge model's own rule: join the neighbours whose piece scores best, the leftmost first."""
@@ -120,51 +129,48 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def accepts(self, left: str, right: str) -> bool:
-        """The acceptor's arc between two pieces."""
-        key = (left, right)
-        if key not in self.follows:
-            if len(self.follows) > MOST_SEGMENTS:
-                self.follows.clear()
-            self.follows[key] = self.merged(left + right) == [left, right]
-        return self.follows[key]
+    def accepts(self, left: int, right: int) -> bool:
+        """The acceptor's arc from one piece to another; a run's first piece comes from START."""
+        if len(self.follows) > MOST_SEGMENTS:
+            self.follows.clear()
+        pair = [self.pieces[right]] if left == START else [self.pieces[left], self.pieces[right]]
+        out = self.follows[left << 24 | right] = self.merged("".join(pair)) == pair
+        return out
 
-    def shortest(self, text: str) -> list[str]:
+    def shortest(self, text: str) -> list[int]:
         """The shortest path through the lattice of a run of known characters."""
-        n = len(text)
-        if text in self.id and (not self.merges or self.merged(text) == [text]):
-            if self.merges:
-                return [text]
+        n, lexicon = len(text), self.lexicon
         if self.merges:
             # The acceptor leaves one finite path to each place, so one predecessor is kept.
-            last: list[str | None] = [None] * (n + 1)
-            last[0] = ""
+            follows, last, back = self.follows, [START] + [-1] * n, [0] * (n + 1)
             for i in range(n):
                 left = last[i]
-                if left is None:
+                if left < 0:
                     continue
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    piece = text[i:j]
-                    if piece not in self.prefixes:
+                arcs, left = lexicon, left << 24
+                for j in range(i, n):
+                    arc = arcs.get(text[j])
+                    if arc is None:
+                        break
+                    piece, arcs = arc
+                    if piece >= 0 and last[j + 1] < 0:
+                        ok = follows.get(left | piece)
+                        if self.accepts(left >> 24, piece) if ok is None else ok:
+                            last[j + 1], back[j + 1] = piece, i
+        else:
+            cost, last, back = [0.0] + [float("inf")] * n, [START] + [-1] * n, [0] * (n + 1)
+            for i in range(n):
+                arcs = lexicon
+                for j in range(i, n):
+                    arc = arcs.get(text[j])
+                    if arc is None:
                         break
-                    if piece in self.id and last[j] is None and (self.accepts(left, piece) if left else self.merged(piece) == [piece]):
-                        last[j] = piece
-            out, at = [], n
-            while at:
-                out.append(last[at])
-                at -= len(last[at])
-            return out[::-1]
-        cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = text[i:j]
-                if piece not in self.prefixes:
-                    break
-                if piece in self.id and cost[i] - self.scores[self.id[piece]] < cost[j]:
-                    cost[j], back[j] = cost[i] - self.scores[self.id[piece]], i
+                    piece, arcs = arc
+                    if piece >= 0 and cost[i] - self.scores[piece] < cost[j + 1]:
+                        cost[j + 1], last[j + 1], back[j + 1] = cost[i] - self.scores[piece], piece, i
         out, at = [], n
         while at:
-            out.append(text[back[at] : at])
+            out.append(last[at])
             at = back[at]
         return out[::-1]
 
@@ -173,20 +179,22 @@ class Transducer:
         found = self.solved.get(text)
         if found is not None:
             return found
-        ids: list[int] = []
-        run = ""
-        for c in text.replace(" ", BLANK) + "\0":
-            if c in self.known and c != "\0":
-                run += c
-                continue
-            if run:
-                ids += [self.id[p] for p in self.shortest(run)]
+        signs = text.replace(" ", BLANK)
+        if self.known.issuperset(signs):
+            ids = self.shortest(signs)
+        else:
+            ids, run = [], ""
+            for c in signs:
+                if c in self.known:
+                    run += c
+                    continue
+                ids += self.shortest(run)
+                ids += [self.bytes[b] for b in c.encode()]
                 run = ""
-            ids += [self.bytes[b] for b in c.encode()]
-        ids.pop()
+            ids += self.shortest(run)
         if b"".join([self.value[i] for i in ids]) != text.encode():
             self.broken.add(text)
-        out = np.array(ids, np.int32).tobytes()
+        out = array("i", ids).tobytes()
         if len(self.solved) >= MOST_SEGMENTS:
             self.solved.clear()
         if len(text) < 64:
