@@ -59,7 +59,7 @@ def english_entry(labels: Column, descriptions: Column, describe: bool = False)
 
 def semicolon_list(c: Column) -> Column:
     """§2: T15."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def filled(template: str, **values: Column) -> Column:

@@ -92,7 +92,7 @@ def level_spread(df: DataFrame, key: str, level: str) -> DataFrame:
 
 def first_seen(a: Column) -> Column:
     """§2: J14. Items of an array whose trimmed lower-case form is new, trimmed, in order."""
-    items = F.filter(F.transform(a, F.trim), lambda x: x != "")
+    items = F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
     keys = F.transform(items, F.lower)
     return F.filter(F.transform(items, lambda x, i: F.when(F.array_position(keys, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
 

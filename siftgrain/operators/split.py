@@ -24,7 +24,7 @@ STOP_WORDS = (
 
 def sentences(text: Column) -> Column:
     """§2: U3. Sentences of a text; a blank text is one scope by itself."""
-    found = F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?]+) ", "$1\n"), "\n"), F.trim), lambda s: s != "")
+    found = F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?]+) ", "$1\n"), "\n"), lambda x: F.trim(x)), lambda s: s != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(text))
 
 
@@ -41,7 +41,7 @@ def units(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     marked = F.transform(tokens, lambda t: F.when(F.array_contains(stop, F.lower(t)) | ~t.rlike(r"[\p{L}\p{N}]"), F.lit("\n")).otherwise(t))
-    runs = F.transform(F.split(F.array_join(marked, " "), "\n"), F.trim)
+    runs = F.transform(F.split(F.array_join(marked, " "), "\n"), lambda x: F.trim(x))
     return F.filter(runs, lambda u: u != "")
 
 
@@ -64,7 +64,7 @@ def unit_rows(scoped: DataFrame) -> DataFrame:
 
 def paragraph(text: Column, least: int = 10, skip_first: bool = False) -> Column:
     """§2: U10. The first paragraph with enough units; with ``skip_first`` the very first comes last."""
-    parts = F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, "\n\n"), lambda x: F.trim(x)), lambda p: p != "")
     rich = lambda a: F.filter(a, lambda p: F.size(units(collapse(p))) >= least)
     found = rich(parts)
     if skip_first:
