@@ -21,9 +21,23 @@ BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Phrases of lines that come from a page's frame, not its text.
 BOILERPLATE = (
-    "all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies|"
-    "enable javascript|subscribe to our|click here|sign up|log ?in to|powered by|lorem ipsum"
+    "all rights reserved",
+    "terms of use",
+    "terms of service",
+    "privacy policy",
+    "cookie policy",
+    "accept cookies",
+    "enable javascript",
+    "subscribe to our",
+    "click here",
+    "sign up",
+    "log in to",
+    "login to",
+    "powered by",
+    "lorem ipsum",
 )
+#: A text without any of these has no line that the mark rules remove.
+SUSPECT = r"[#*$%&|<>»›•!]|\p{Lu}\p{Lu}"
 
 
 def words_of(text: Column) -> Column:
@@ -35,23 +49,36 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.drop(name).select("*", F.explode(F.array(value)).alias(name))
 
 
+def phrase(text: Column) -> Column:
+    """Whether a lower-cased text holds a boilerplate phrase."""
+    out = F.lit(False)
+    for p in BOILERPLATE:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
 def base_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stutter (words equal to the one before) and base_failed.
 
-    Windows are hashed for a cheap test; only a text whose hashes repeat takes
-    the exact path, which sorts the windows' own words, so no collision counts.
+    Windows of eight words are told apart by 64-bit hashes, built by doubling
+    from the words' own; they are compared inside one text only.
     """
+    if width != 8:
+        raise ValueError("windows are of eight words")
     body = F.coalesce(F.col(text), F.lit(""))
     out = held(df, "_w", words_of(body)).withColumn("n_words", F.size("_w").cast("long"))
     out = out.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
-    out = out.withColumn("n_symbols", (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("long"))
+    symbols = F.when(body.rlike(SYMBOLS), F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).otherwise(0)
+    out = out.withColumn("n_symbols", symbols.cast("long"))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = held(out, "_l", lines).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    n = F.size("_w") - (width - 1)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)"))
-    out = held(out, "_h", F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, width))))
-    window = lambda i: F.struct(F.array_join(F.slice("_w", i, width), " ").alias("w"), i.alias("p"))
-    ordered = F.array_sort(F.transform(F.sequence(F.lit(1), F.size("_h")), window))
+    out = held(out, "_h1", F.transform("_w", lambda w: F.xxhash64(w)))
+    out = out.withColumn("n_stutter", F.size(F.filter("_h1", lambda x, i: (i > 0) & (x == F.get("_h1", i - 1)))).cast("long"))
+    for m in (1, 2, 4):
+        after = lambda i, m=m: F.get(F.col(f"_h{m}"), i + m)
+        out = held(out, f"_h{2 * m}", F.transform(f"_h{m}", lambda x, i: F.xxhash64(x, after(i))))
+    out = held(out, "_h", F.slice("_h8", 1, F.greatest(F.size("_w") - (width - 1), F.lit(0))))
+    ordered = F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("w"), (i + 1).alias("p"))))
     out = held(out, "_o", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ordered))
     same = lambda x, j: F.col("_o")[j]["w"] == x["w"]
     last = F.size("_o") - 1
@@ -65,44 +92,50 @@ def base_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame
     )
     out = out.withColumn("n_repeat_words", F.when(F.col("_o").isNull(), F.lit(0)).otherwise(covered).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return out.drop("_w", "_l", "_h", "_o")
+    return out.drop("_w", "_l", "_h", "_o", "_h1", "_h2", "_h4", "_h8")
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, phrases: Column, repeats: Column) -> Column:
     """True for a line that the rules remove; a blank line never fails.
 
-    Symbols: a tenth as many as words. Navigation: separators (|, », ›, •)
-    between a quarter of the words. Punctuation: an exclamation mark on a
+    Symbols: more than a tenth as many as words. Navigation: separators (|, »,
+    ›, •) between a quarter of the words. Punctuation: an exclamation mark on a
     quarter of the words, or mostly capitals over more than eight letters.
-    Repetition: the same word eight times in a row. Boilerplate: a known phrase.
+    Repetition: more than half of the words are the word before again, three at
+    least. Boilerplate: a known phrase.
+    ``phrases`` and ``repeats`` say whether the text can fail the last two.
     """
     n = F.size(words_of(line))
     count = lambda pattern: F.length(line) - F.length(F.regexp_replace(line, pattern, ""))
     capitals, letters = count(r"\p{Lu}"), count(r"\p{L}")
-    return (n > 0) & (
+    marks = (
         (10 * count(SYMBOLS) > n)
         | (4 * count(r"[|»›•]") >= n)
         | (4 * count("!") >= F.greatest(n, F.lit(8)))
-        | ((letters > 8) & (10 * capitals > 6 * letters))
-        | line.rlike(r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){7}(?=$|[\x20\x09-\x0D])")
-        | F.lower(line).rlike(BOILERPLATE)
+        | (line.rlike(r"\p{Lu}\p{Lu}") & (letters > 8) & (10 * capitals > 6 * letters))
     )
+    stutter = lambda ws: F.size(F.filter(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.get(ws, i) == F.get(ws, i - 1)))
+    row = F.get(F.transform(F.array(words_of(line)), lambda ws: F.when(F.size(ws) > 3, (stutter(ws) >= 3) & (2 * stutter(ws) > F.size(ws))).otherwise(False)), 0)
+    return (line.rlike(SUSPECT) & (n > 0) & marks) | (repeats & row) | (phrases & phrase(F.lower(line)))
 
 
 def clean_lines(df: DataFrame, text: str = "text", least_left: float = 0.5) -> DataFrame:
     """Adds base metrics, clean_text (lines that pass), n_lines_removed and kept.
 
     kept: the base rule passes and at least ``least_left`` of the characters
-    outside blanks are left.
+    outside blanks are left. A text in which no line can fail isn't taken apart.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    out = base_metrics(df, text)
-    out = held(out, "_left", F.filter(F.split(body, "\n"), lambda x: ~line_fails(x)))
-    out = held(out, "clean_text", F.array_join("_left", "\n"))
-    out = out.withColumn("n_lines_removed", (F.size(F.split(body, "\n")) - F.size("_left")).cast("long"))
-    left = F.length(F.regexp_replace("clean_text", BLANKS, ""))
+    out = held(base_metrics(df, text), "_phrases", phrase(F.lower(body)))
+    repeats = F.col("n_stutter") >= 3
+    passed = F.filter(F.split(body, "\n"), lambda x: ~line_fails(x, F.col("_phrases"), repeats))
+    out = held(out, "_left", F.when(F.col("_phrases") | repeats | body.rlike(SUSPECT), passed))
+    out = held(out, "clean_text", F.when(F.col("_left").isNull(), body).otherwise(F.array_join("_left", "\n")))
+    gone = F.when(F.col("_left").isNull(), 0).otherwise(F.size(F.split(body, "\n")) - F.size("_left"))
+    out = out.withColumn("n_lines_removed", gone.cast("long"))
+    left = F.when(F.col("n_lines_removed") == 0, F.col("word_chars")).otherwise(F.length(F.regexp_replace("clean_text", BLANKS, "")))
     out = out.withColumn("kept", ~F.col("base_failed") & (left >= least_left * F.col("word_chars")) & (left > 0))
-    return out.drop("_left")
+    return out.drop("_left", "_phrases")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +146,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINE_FAILS = r"""(nw > 0 AND (10 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) > nw
   OR 4 * (length(line) - length(regexp_replace(line, '[|»›•]', '', 'g'))) >= nw
   OR 4 * (length(line) - length(replace(line, '!', ''))) >= greatest(nw, 8)
-  OR (length(line) - length(regexp_replace(line, '\p{L}', '', 'g')) > 8
+  OR (regexp_matches(line, '\p{Lu}\p{Lu}') AND length(line) - length(regexp_replace(line, '\p{L}', '', 'g')) > 8
       AND 10 * (length(line) - length(regexp_replace(line, '\p{Lu}', '', 'g'))) > 6 * (length(line) - length(regexp_replace(line, '\p{L}', '', 'g'))))
-  OR len(list_filter(range(1, nw - 6), lambda i: len(list_distinct(ws[i:i + 7])) = 1)) > 0
-  OR regexp_matches(lower(line), '""" + BOILERPLATE + r"""')))"""
+  OR (len(list_filter(range(1, nw), lambda i: ws[i] = ws[i + 1])) >= 3 AND 2 * len(list_filter(range(1, nw), lambda i: ws[i] = ws[i + 1])) > nw)
+  OR regexp_matches(lower(line), '""" + "|".join(BOILERPLATE) + r"""')))"""
 SQL = (
     r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
