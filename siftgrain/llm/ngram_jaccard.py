@@ -303,7 +303,7 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles and node of every row; node and group of every node that is linked to another)."""
     spark = docs.sparkSession
-    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    buckets = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     signed = cut(docs.select("doc_id", "text").mapInArrow(lambda x: signature_rows(x, buckets, width, percent), _A_DDL))
     rows = signed.filter("bucket is null").select("doc_id", "n_shingles", "node")
     edges = signed.filter("bucket is not null").select("bucket", "n", "m", "blob", "nodes", "bitmaps")
