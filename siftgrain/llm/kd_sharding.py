@@ -59,7 +59,10 @@ def coordinates(docs: DataFrame, steps: int = 64) -> DataFrame:
 
 def looked_up(rows: DataFrame, nodes: dict[int, tuple], schema: str) -> DataFrame:
     """Joins what the driver knows of each node: at most a row for each shard, whatever the input's size."""
-    known = rows.sparkSession.createDataFrame([(k, *v) for k, v in nodes.items()], f"node int, {schema}")
+    names = [x.split() for x in f"node int, {schema}".split(", ")]
+    line = lambda row: ", ".join(f"CAST('{x!r}' AS {kind})" for x, (_, kind) in zip(row, names, strict=True))
+    lines = ", ".join(f"({line((k, *v))})" for k, v in nodes.items()) or "(" + ", ".join(f"CAST(NULL AS {kind})" for _, kind in names) + ")"
+    known = rows.sparkSession.sql(f"SELECT * FROM VALUES {lines} AS known({', '.join(n for n, _ in names)})")
     return rows.join(F.broadcast(known), "node", "left")
 
 
