@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, delta, pack, row_key, table, unpack
+from .common import bucket_runs, delta, pack, row_key, slim, table, unpack
 from .vec import BYTE, GEAR, SPACE, mix, powers, slices, utf8
 
 U = np.uint64
@@ -121,6 +121,7 @@ def digest_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
     yield from flush()
+    slim()
 
 
 def by_key(keys: np.ndarray, *values: np.ndarray) -> pd.DataFrame:
@@ -153,6 +154,7 @@ def repeats(blobs: pd.DataFrame) -> pd.DataFrame:
         later = (k != k[begin]) | (p != p[begin])
         keys.append(k[later])
         places.append(p[later])
+    slim()
     return by_key(np.concatenate(keys), np.concatenate(places)) if keys else by_key(np.zeros(0, np.int64), np.zeros(0, np.int32))
 
 
@@ -208,7 +210,11 @@ def dedup_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 columns = [pa.array(texts, pa.string()) if c == "text" else rest.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x.astype(np.int64)) for x in (np.diff(ends), last - first, removed, spans)]], names=[*names, "n_bytes", "n_chunks", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(cleaned, schema)
+    def slimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cleaned(batches)
+        slim()
+
+    return joined.mapInArrow(slimmed, schema)
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

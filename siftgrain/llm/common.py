@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +67,16 @@ def delta(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def slim() -> None:
+    """Gives a worker's freed memory back, since workers stay for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def bucket_runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, first, last + 1) of each run of a sorted array."""
     if not len(bucket):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, cut, delta, pack, sized_join, table, unpack
+from .common import bucket_runs, cut, delta, pack, sized_join, slim, table, unpack
 from .components import components
 from .vec import Words, mix, slices, utf8
 
@@ -169,6 +169,7 @@ def signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, width: int,
                 yield from flush()
                 seen = np.zeros(0, np.int64)
     yield from flush()
+    slim()
 
 
 class Bitmaps:
@@ -250,6 +251,7 @@ def linked(blobs: pd.DataFrame, percent: int) -> pd.DataFrame:
                 todo = todo[~near]
     pairs = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
     out = pd.DataFrame({"a": pairs.max(axis=0), "b": pairs.min(axis=0)}) if pairs.size else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    slim()
     return out[out["a"] != out["b"]].drop_duplicates()
 
 

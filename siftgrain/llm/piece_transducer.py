@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slim, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-MOST_SEGMENTS = 1_200_000
+MOST_SEGMENTS = 400_000
 #: Stands for the piece before a run's first.
 START = 1 << 23
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -255,6 +255,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text") -> Data
                 part = b.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(ok)], names=[*kept, "ids", "round_trip"])
                 at += len(texts)
+        slim()
 
     return held.mapInArrow(run, schema)
 
