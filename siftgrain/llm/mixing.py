@@ -28,6 +28,8 @@ from .common import cut, table
 WEIGHTS = (5, 2, 1)
 MOST_SOURCES = 100_000
 MOST_EPOCHS = 3
+RUN_SLOTS = 16_384
+TASK_SLOTS = 200_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST_EPOCHS) -> list[float]:
@@ -123,7 +125,11 @@ def mix_plan(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 20)
     first = np.cumsum(counts, axis=0) - counts
     drawn = [(i, r["source_key"], int(first[i, j]), int(counts[i, j])) for i in range(shards) for j, r in enumerate(per) if counts[i, j]]
     drawn = spark.createDataFrame(drawn, "shard int, source_key string, first long, n long")
-    slots = drawn.withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)"))).drop("first", "n").join(sources, "source_key")
+    # Runs of a bounded number of slots are dealt before they are counted out, so that no array or task holds a source's whole share.
+    runs = drawn.withColumn("begin", F.explode(F.expr(f"sequence(first, first + n - 1, {RUN_SLOTS}L)")))
+    runs = runs.repartition(max(1, math.ceil(int(counts.sum()) / TASK_SLOTS)), "source_key", "begin")
+    slots = runs.withColumn("slot", F.explode(F.expr(f"sequence(begin, least(begin + {RUN_SLOTS - 1}L, first + n - 1))"))).drop("first", "n", "begin")
+    slots = slots.join(F.broadcast(sources), "source_key")
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
 
     @F.pandas_udf("long")

@@ -51,6 +51,8 @@ def test_empty_tables(spark, empty):
     assert ngram_jaccard.jaccard_components(empty).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert knn_quality.knn_scores(empty, labels).count() == 0
+    vectors = maxscore.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert maxscore.top_k(vectors, vectors).count() == 0
 
 
 def test_knn_without_labels(spark, docs):
@@ -64,6 +66,17 @@ def test_knn_learns(spark, docs):
     assert len(got) == len(TEXTS) and all(0 <= s <= 1 for s in got.values()) and got[1] == got[2]
 
 
+def test_knn_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = knn_quality.op1_knn_quality(spark, sf).filter("held_out")
+    rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("quality is not null").select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 20 and len(bad) > 20
+    ahead = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    hits = np.mean([(r.score >= 0.7) == (r.quality == 1) for r in rows])
+    assert ahead > 0.85 and hits > 0.75
+
+
 def test_maxscore(spark):
     v = [[float(x) for x in RNG.normal(size=8)] for _ in range(120)]
     v[5] = v[6] = v[7]
@@ -172,6 +185,13 @@ def test_mixing(docs):
     assert again[0] == again[1] and sum(len(words(r[1])) for r in again[0]) == sum(by_source.values())
 
 
+def test_slots_do_not_depend_on_runs(docs, monkeypatch):
+    whole = sorted(map(tuple, mixing.mix_plan(docs, block=2)[1].collect()))
+    monkeypatch.setattr(mixing, "RUN_SLOTS", 4)
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 50)
+    assert len(whole) > 500 and sorted(map(tuple, mixing.mix_plan(docs, block=2)[1].collect())) == whole
+
+
 def test_permutation():
     for n in (1, 2, 7, 100):
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 9))) == list(range(n))
