@@ -2,18 +2,20 @@
 
 The model is an absolute-discounted bigram model that backs off to add-one
 unigrams, all counts taken from every training row. Its states are the root
-and one state for each frequent word; a state has an arc for each frequent
-successor and a failure arc, weighted by the mass that its arcs leave, to the
-root, whose arcs are the unigrams. One left-to-right traversal carries the
+and one state for each word; a state has an arc for each successor seen
+``LEAST`` times and a failure arc, weighted by the mass that its arcs leave, to
+the root, whose arcs are the unigrams. One left-to-right traversal carries the
 state and adds the arcs' log10 probabilities, so that every state's arcs and
 failure arc sum to one over the vocabulary and one unknown word.
 
-Which arcs every worker holds follows from shares, not sizes: a word with at
-least N / ROOT_ARCS of N training tokens, a state with at least N / STATES, a
-bigram seen twice and at least N / STATE_ARCS times. By the pigeonhole
-principle there are at most as many, so the broadcast is bounded at any size.
-All other words, rare ones, are root arcs that stay in the counts' table: a
-text's rare words meet it in a join on the word's hash, summed by text.
+All arcs are kept at any size, in two tables: the counts of words and the
+counts of bigrams. What every worker holds of them is a cache that follows from
+shares: words with at least N / ROOT_ARCS of N training tokens, their failure
+arcs, and bigrams with at least N / STATE_ARCS. By the pigeonhole principle
+there are at most as many, so the broadcast is bounded. The rest meets the
+tables in joins, summed by text: rare words on the word's hash, and the pairs
+whose arc no worker can know of on the state's hash. The pairs of a state with
+at least N / HOT are dealt by both words, so that no bucket holds them all.
 
 Words are known by 64-bit hashes of their lower-cased (A-Z) bytes. The last
 token of a text, its end, is also the state in which each text begins.
@@ -31,15 +33,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, cut, delta, pack, row_key, table, unpack
-from .vec import Words, slices, utf8
+from .common import bucket_runs, cut, delta, pack, row_key, slim, table, unpack
+from .vec import STEP, Words, mix, slices, utf8
 
+U = np.uint64
 ROOT_ARCS = 1 << 20
-STATES = 1 << 16
 STATE_ARCS = 1 << 20
+HOT = 1 << 10
+#: A bigram seen so often is an arc.
+LEAST = 2
+FLUSH = 1 << 20
 DISCOUNT = 0.5
 #: Stands for the end of a text among the words' hashes.
 END = 7
@@ -96,18 +103,51 @@ def unigrams(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One hash of two words in order."""
+    return mix(mix(first.view(U)) * STEP[0] + second.view(U) * STEP[1])
+
+
+def before(hashes: np.ndarray) -> np.ndarray:
+    """The token before each; a text's first comes after the end of the one before."""
+    return np.r_[np.int64(END), hashes[:-1]]
+
+
+def pack_named(*columns: np.ndarray) -> bytes:
+    """int64 columns, each as its distinct values and, byte plane by byte plane, the rows' places among them."""
+    sizes, parts = [len(columns[0])], []
+    for c in columns:
+        names, at = np.unique(c, return_inverse=True)
+        sizes.append(len(names))
+        parts += [names.tobytes(), np.ascontiguousarray(at.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array(sizes, np.int64).tobytes(), *parts]))
+
+
+def unpack_named(blob: bytes, columns: int) -> list[np.ndarray]:
+    raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 8 * (columns + 1)
+    n, *sizes = np.frombuffer(raw, np.int64, columns + 1).tolist()
+    for size in sizes:
+        names = np.frombuffer(raw, np.int64, size, at)
+        planes = np.frombuffer(raw, np.uint8, 4 * n, at + 8 * size).reshape(4, n)
+        out.append(names[np.ascontiguousarray(planes.T).view(np.int32).ravel()])
+        at += 8 * size + 4 * n
+    return out
+
+
 class Automaton:
-    """Arcs of the root and of the frequent words' states, as sorted arrays."""
+    """Arcs of the root and the cached arcs of the frequent words' states, as sorted arrays."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, states: int = STATES):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order].astype(np.int64)
         self.log_all = float(np.log10(total + distinct + 1)) if total else 0.0
         self.total, self.distinct = total, distinct
         self.root = np.log10(self.counts + 1) - self.log_all
-        self.state = self.counts * states >= max(total, 1)
+        self.hot = self.counts * HOT >= max(total, 1)
         self.arcs, self.arc_logs = np.zeros(0, np.int64), np.zeros(0)
         self.fail = np.zeros(len(self.words))
+        #: States all of whose arcs are cached.
+        self.whole = np.ones(len(self.words), bool)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each token among the frequent words, or -1."""
@@ -116,15 +156,13 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at, -1)
 
-    def before(self, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The state that each token is read in: the token before, or the end at a text's start; -1 is the root."""
-        prev = np.r_[-1, numbers[:-1]]
-        end = self.number(np.array([END]))[0]
-        prev[np.cumsum(lengths) - lengths] = end
-        return np.where((prev >= 0) & self.state[prev], prev, -1) if len(self.words) else np.full(len(numbers), -1)
-
-    def pairs(self, numbers: np.ndarray, prev: np.ndarray) -> np.ndarray:
-        return prev[(prev >= 0) & (numbers >= 0)] * np.int64(len(self.words)) + numbers[(prev >= 0) & (numbers >= 0)]
+    def dealt(self, first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of each pair: by its state, and by its word too where the state is hot."""
+        out = first.view(U) >> U(33)
+        if len(self.words):
+            state = self.number(first)
+            out = out + np.where((state >= 0) & self.hot[state], second.view(U) >> U(33), U(0))
+        return (out % U(buckets)).astype(np.int64)
 
     def with_arcs(self, pairs: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT) -> None:
         order = np.argsort(pairs)
@@ -136,44 +174,100 @@ class Automaton:
         below = np.bincount(src, 10 ** self.root[dst], len(self.words)) if len(src) else np.zeros(len(self.words))
         self.fail = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - below, 1e-12))
 
-    def traverse(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 weight of each token's arcs from left to right; number of each token). A rare word's own root arc is left to the join."""
+    def with_states(self, words: np.ndarray, fail: np.ndarray, whole: np.ndarray) -> None:
+        """Failure arcs of states, over all arcs they have in the table."""
+        at = self.number(words)
+        self.fail[at], self.whole[at] = fail, whole
+
+    def traverse(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(what each token's cached arc or failure arc adds to its root arc, from left to right; number of each token; whether the table may hold an arc for it)."""
         numbers = self.number(hashes)
-        prev = self.before(numbers, lengths)
-        weight = np.where(numbers >= 0, self.root[numbers] if len(self.words) else 0.0, 0.0)
+        prev = self.number(before(hashes))
+        add, open_ = np.zeros(len(hashes)), np.ones(len(hashes), bool)
         stays = prev >= 0
-        weight[stays] += self.fail[prev[stays]]
+        add[stays] = self.fail[prev[stays]]
+        open_[stays] = ~self.whole[prev[stays]]
         if len(self.arcs):
             code = np.where(stays & (numbers >= 0), prev * np.int64(len(self.words)) + numbers, -1)
             at = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
             hit = self.arcs[at] == code
-            weight[hit] = self.arc_logs[at[hit]]
-        return weight, numbers
+            add[hit] = self.arc_logs[at[hit]] - self.root[numbers[hit]]
+            open_[hit] = False
+        return add, numbers, open_
 
 
-def build(training: DataFrame, counts: DataFrame) -> Automaton:
-    """The part of the automaton that every worker holds."""
-    spark = training.sparkSession
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(sums["n"]), int(sums["v"])
-    often = counts.filter(F.col("n") * ROOT_ARCS >= total).toPandas()
-    out = Automaton(often["word"].to_numpy(np.int64), often["n"].to_numpy(np.int64), total, distinct)
-    shared = spark.sparkContext.broadcast(out)
+def bigrams(training: DataFrame, model: Automaton, buckets: int) -> DataFrame:
+    """bucket, first and second (hashes) and n (count) of every pair of neighbouring tokens seen ``LEAST`` times."""
+    shared = training.sparkSession.sparkContext.broadcast(model)
+    finer = 4 * buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, model = Tally(), shared.value
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in tally.take()], names=["pair", "n"])
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            second, first = np.concatenate(held), np.concatenate([before(x) for x in held])
+            held.clear()
+            at, n = np.unique(pair_hash(first, second), return_index=True, return_counts=True)[1:]
+            first, second, n = first[at], second[at], n.astype(np.int64)
+            bucket = shared.value.dealt(first, second, finer)
+            order = np.lexsort((second, first, bucket))
+            first, second, n, bucket = (x[order] for x in (first, second, n, bucket))
+            runs = bucket_runs(bucket)
+            blobs = [pack_named(first[i:j], second[i:j], n[i:j]) for _, i, j in runs]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in runs], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
         for b in batches:
-            for _, _, hashes, _, lengths in token_runs(b.column("text")):
-                numbers = model.number(hashes)
-                if tally.add(model.pairs(numbers, model.before(numbers, lengths))) and len(tally.parts) > 1:
-                    yield give()
-        yield give()
+            for _, _, hashes, _, _ in token_runs(b.column("text")):
+                held.append(hashes)
+                size += len(hashes)
+                if size >= 2 * FLUSH:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+        slim()
+
+    def total(blobs: pd.DataFrame) -> pd.DataFrame:
+        first, second, n = (np.concatenate(x) for x in zip(*[unpack_named(x, 3) for x in blobs["blob"]], strict=True))
+        at, back = np.unique(pair_hash(first, second), return_index=True, return_inverse=True)[1:]
+        n = np.bincount(back, n, len(at)).astype(np.int64)
+        at, n = at[n >= LEAST], n[n >= LEAST]
+        out = pd.DataFrame({"bucket": np.full(len(at), blobs["bucket"].iat[0] % buckets, np.int32), "first": first[at], "second": second[at], "n": n})
+        slim()
+        return out
 
-    pairs = training.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    arcs = pairs.filter((F.col("n") >= 2) & (F.col("n") * STATE_ARCS >= total)).toPandas()
-    out.with_arcs(arcs["pair"].to_numpy(np.int64), arcs["n"].to_numpy(np.int64))
-    return out
+    found = training.select("text").mapInArrow(count, "bucket int, blob binary")
+    return found.groupBy("bucket").applyInPandas(total, "bucket int, first long, second long, n long")
+
+
+def build(training: DataFrame, counts: DataFrame, buckets: int) -> tuple[Automaton, DataFrame]:
+    """The part of the automaton that every worker holds; and all arcs and the other states' failure arcs: bucket, first, second, value, arc."""
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total, distinct = int(sums["n"]), int(sums["v"])
+    often = counts.filter(F.col("n") * ROOT_ARCS >= total).toPandas()
+    out = Automaton(often["word"].to_numpy(np.int64), often["n"].to_numpy(np.int64), total, distinct)
+    # A word of an arc is seen as often as the arc at least.
+    named = counts.filter(F.col("n") >= LEAST)
+    arcs = bigrams(training, out, buckets)
+    for x in ("first", "second"):
+        arcs = arcs.join(named.select(F.col("word").alias(x), F.col("n").alias(f"n_{x}")), x)
+    arcs = cut(arcs.select("bucket", "first", "second", "n", "n_first", "n_second"))
+    p, below = (F.col("n") - DISCOUNT) / F.col("n_first"), (F.col("n_second") + 1) / F.lit(float(total + distinct + 1))
+    left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+    cached = F.col("n") * STATE_ARCS >= total
+    states = arcs.groupBy("first").agg(F.first("n_first").alias("n_first"), F.log10(left(p) / left(below)).alias("fail"), F.min(cached).alias("whole"))
+    states = cut(states)
+    held = arcs.filter(cached).select("first", "second", "n").toPandas()
+    code = out.number(held["first"].to_numpy(np.int64)) * np.int64(len(out.words)) + out.number(held["second"].to_numpy(np.int64))
+    out.with_arcs(code, held["n"].to_numpy(np.int64))
+    frequent = F.col("n_first") * ROOT_ARCS >= total
+    held = states.filter(frequent).toPandas()
+    out.fail[:] = 0
+    out.with_states(held["first"].to_numpy(np.int64), held["fail"].to_numpy(float), held["whole"].to_numpy(bool))
+    bucket = F.pmod(F.shiftrightunsigned("first", 33), F.lit(buckets)).cast("int")
+    rare = states.filter(~frequent).select(bucket.alias("bucket"), "first", F.lit(0).cast("long").alias("second"), F.col("fail").alias("value"), F.lit(False).alias("arc"))
+    return out, arcs.select("bucket", "first", "second", F.log10(p / below).alias("value"), F.lit(True).alias("arc")).unionAll(rare)
 
 
 _WALKED = "doc_id long, key long, n long, known long, base double, score double, bucket int, words int, blob binary"
@@ -183,16 +277,36 @@ _WALKED_ARROW = pa.schema(
 
 
 def walk_rows(model: Automaton, batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each text with what the held arcs give, and a blob for each bucket of a slice's rare words: word, text's key, times."""
+    """A row for each text with what the held arcs give, a blob for each bucket of a slice's rare words: word, text's key, times, and blobs (words null) of open pairs: state, word, text's key."""
+    pairs, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not pairs:
+            return
+        first, second, key = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        pairs.clear()
+        bucket = model.dealt(first, second, buckets)
+        order = np.lexsort((key, second, first, bucket))
+        first, second, key, bucket = (x[order] for x in (first, second, key, bucket))
+        runs = bucket_runs(bucket)
+        blobs = [pack_named(first[i:j], second[i:j], key[i:j]) for _, i, j in runs]
+        none = [pa.nulls(len(runs), t) for t in _WALKED_ARROW.types[:6]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in runs], pa.int32()), pa.nulls(len(runs), pa.int32()), pa.array(blobs, pa.binary())], schema=_WALKED_ARROW)
+
     for b in batches:
         ids, keys = b.column("doc_id"), b.column("key").to_numpy()
         for at, n, hashes, row, lengths in token_runs(b.column("text")):
-            weight, numbers = model.traverse(hashes, lengths)
+            add, numbers, open_ = model.traverse(hashes)
             held = numbers >= 0
             base = np.where(held, model.root[numbers] if len(model.words) else 0.0, 0.0)
-            known, base, weight = (np.bincount(row, w, n) for w in (held.astype(float), base, weight))
+            known, base, weight = (np.bincount(row, w, n) for w in (held.astype(float), base, base + add))
             own = [ids.slice(at, n), pa.array(keys[at : at + n]), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(weight)]
             yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary())]], schema=_WALKED_ARROW)
+            pairs.append((before(hashes)[open_], hashes[open_], keys[at : at + n][row[open_]]))
+            size += int(open_.sum())
+            if size >= FLUSH:
+                yield from flush()
+                size = 0
             h, r = hashes[~held], row[~held]
             bucket = (h.view(np.uint64) >> np.uint64(33)) % np.uint64(buckets)
             order = np.lexsort((h, r, bucket))
@@ -204,6 +318,41 @@ def walk_rows(model: Automaton, batches: Iterator[pa.RecordBatch], buckets: int)
             blobs = [pack(h[i:j], delta(key[i:j]), times[i:j]) for _, i, j in runs]
             none = [pa.nulls(len(runs), t) for t in _WALKED_ARROW.types[:6]]
             yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in runs], pa.int32()), pa.array([j - i for _, i, j in runs], pa.int32()), pa.array(blobs, pa.binary())], schema=_WALKED_ARROW)
+    yield from flush()
+    slim()
+
+
+def open_arcs(model: Automaton, blobs: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: by text, what the arcs of its open pairs add, or the failure arcs of states that no worker holds."""
+    arc = table_["arc"].to_numpy(bool)
+    first, second, value = table_["first"].to_numpy(np.int64), table_["second"].to_numpy(np.int64), table_["value"].to_numpy(float)
+    pair, states = pair_hash(first[arc], second[arc]), first[~arc]
+    by_pair, by_state = np.argsort(pair), np.argsort(states)
+    pair, logs, states, fails = pair[by_pair], value[arc][by_pair], states[by_state], value[~arc][by_state]
+
+    def look(names: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(names):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+        hit = names[at] == wanted
+        return hit, np.where(hit, values[at], 0.0)
+
+    sums = []
+    for blob in blobs["blob"]:
+        first, second, key = unpack_named(blob, 3)
+        hit, add = look(pair, logs, pair_hash(first, second))
+        state = model.number(first)
+        held = state >= 0
+        # A held state's failure arc has been added in the traversal.
+        fail = np.where(held, model.fail[state], 0.0) if len(model.words) else np.zeros(len(first))
+        add = np.where(hit, add - fail, np.where(held, 0.0, look(states, fails, first)[1]))
+        keys, back = np.unique(key, return_inverse=True)
+        sums.append((keys, np.bincount(back, add, len(keys))))
+    keys, add = (np.concatenate(x) for x in zip(*sums, strict=True)) if sums else (np.zeros(0, np.int64), np.zeros(0))
+    keys, back = np.unique(keys, return_inverse=True)
+    out = pd.DataFrame({"key": keys, "arcs": np.bincount(back, add, len(keys)) if len(keys) else np.zeros(0)})
+    slim()
+    return out
 
 
 def rare_arcs(blobs: pd.DataFrame, counts: pd.DataFrame, log_all: float) -> pd.DataFrame:
@@ -226,33 +375,36 @@ def rare_arcs(blobs: pd.DataFrame, counts: pd.DataFrame, log_all: float) -> pd.D
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``; both have doc_id and text.
 
-    Rare words meet the counts bucket by bucket. Buckets are a quarter as many
+    Rare words meet the counts, and open pairs the arcs, bucket by bucket. Buckets are a quarter as many
     as shuffle partitions, so that a text's words of a bucket are summed before
     its parts are gathered.
     """
     spark = docs.sparkSession
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     counts = cut(unigrams(training))
-    model = build(training, counts)
+    model, arcs = build(training, counts, buckets)
     shared = spark.sparkContext.broadcast(model)
     keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
     walked = cut(keyed.mapInArrow(lambda batches: walk_rows(shared.value, batches, buckets), _WALKED))
-    blobs = walked.filter("bucket is not null").select("bucket", "words", "blob")
+    blobs = walked.filter("words is not null").select("bucket", "words", "blob")
+    pairs = walked.filter("bucket is not null and words is null").select("bucket", "blob")
     dealt = counts.filter(F.col("n") * ROOT_ARCS < model.total).select(F.pmod(F.shiftrightunsigned("word", 33), F.lit(buckets)).cast("int").alias("bucket"), "word", "n")
     log_all = model.log_all
     found = blobs.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(lambda a, b: rare_arcs(a, b, log_all), "key long, more_known long, more double")
-    met = found.groupBy("key").agg(F.sum("more_known").alias("more_known"), F.sum("more").alias("more"))
+    added = pairs.groupBy("bucket").cogroup(arcs.groupBy("bucket")).applyInPandas(lambda a, b: open_arcs(shared.value, a, b), "key long, arcs double")
+    found = found.withColumn("arcs", F.lit(0.0)).unionAll(added.select("key", F.lit(0).cast("long"), F.lit(0.0), "arcs"))
+    met = found.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("more_known", "more", "arcs")])
     texts = walked.filter("bucket is null")
     copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
     out = texts.join(met.join(copies, "key"), "key", "left")
-    more = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))
+    more, arcs_ = (F.coalesce(F.col(x) / F.col("copies"), F.lit(0.0)) for x in ("more", "arcs"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce(F.col("more_known") / F.col("copies"), F.lit(0)).cast("long")).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("score") + more + arcs_).alias("score"),
     )
 
 

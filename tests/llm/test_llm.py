@@ -129,6 +129,27 @@ def test_backoff_lm(docs):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
 
 
+@pytest.mark.parametrize("share", [1 << 20, 64, 1])
+def test_backoff_lm_keeps_every_bigram(docs, monkeypatch, share):
+    monkeypatch.setattr(backoff_lm, "ROOT_ARCS", share)
+    monkeypatch.setattr(backoff_lm, "STATE_ARCS", share)
+    got = {r.doc_id: r for r in backoff_lm.score(docs, docs.filter("doc_id <> 3")).collect()}
+    tokens = {i: [None, *words(t), None] for i, t in enumerate(TEXTS)}
+    pairs = Counter(p for i, t in tokens.items() if i != 3 for p in zip(t, t[1:], strict=False))
+    c, arcs = Counter(), {}
+    for (_, w), n in pairs.items():
+        c[w] += n
+    n, v = sum(c.values()), len(c)
+    for (a, w), k in pairs.items():
+        if k >= 2:
+            arcs.setdefault(a, {})[w] = (k - 0.5) / c[a]
+    root = lambda w: (c[w] + 1) / (n + v + 1)
+    fail = {a: (1 - sum(x.values())) / (1 - sum(map(root, x))) for a, x in arcs.items()}
+    for i, t in tokens.items():
+        wanted = sum(np.log10(arcs[a][w] if w in arcs.get(a, {}) else fail.get(a, 1) * root(w)) for a, w in zip(t, t[1:], strict=False))
+        assert got[i].score == pytest.approx(wanted)
+
+
 def test_backoff_lm_sums_to_one():
     rng = np.random.default_rng(1)
     counts, pairs = np.zeros(6, np.int64), Counter()
