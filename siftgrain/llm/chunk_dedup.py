@@ -8,8 +8,8 @@ deduplicated by digest over all texts: the first by (doc_id, offset) stays. A
 run of repeated chunks is removed if it spans at least ``LEAST`` bytes, so
 that common phrases stay.
 
-A chunk that repeats in a batch is settled there, and only its first meets
-other batches: a digest that a third of all texts hold reaches its bucket once
+A chunk that repeats in a batch is settled there, and only its first (with the
+same place of equal rows) meets other batches: a digest that a third of all texts hold reaches its bucket once
 a batch.
 
 Edge cases: null and empty texts have no chunks and stay empty; texts without
@@ -89,6 +89,13 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begins, ends, row, mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(U))
 
 
+def later(names: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by name, are not at the first's row and place: equal rows (id and text) hold the first place of a name together."""
+    begin = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
+    begin = np.repeat(begin, np.diff(np.r_[begin, len(names)]))
+    return (keys != keys[begin]) | (places != places[begin])
+
+
 def digest_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Blobs of (digest, doc_id, key, place) for each bucket; a chunk that repeats in a flush goes on as settled, dealt by its row."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -99,7 +106,7 @@ def digest_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         digest, ids, keys, place = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((place, keys, ids, digest))
         digest, ids, keys, place = digest[order], ids[order], keys[order], place[order]
-        settled = np.r_[False, digest[1:] == digest[:-1]]
+        settled = later(digest, keys, place)
         bucket = np.where(settled, keys.view(U) >> U(20), digest >> U(20)) % U(buckets)
         order = np.lexsort((place, keys, ids, settled, bucket))
         digest, ids, keys, place, settled, bucket = (x[order] for x in (digest, ids, keys, place, settled, bucket))
@@ -147,13 +154,9 @@ def repeats(blobs: pd.DataFrame) -> pd.DataFrame:
         d, i, k, p = (np.concatenate(x) for x in zip(*open_, strict=True))
         order = np.lexsort((p, k, i, d))
         d, i, k, p = d[order], i[order], k[order], p[order]
-        same = d[1:] == d[:-1]
-        # Equal rows (id and text) hold the first place of a digest together.
-        begin = np.flatnonzero(np.r_[True, ~same])
-        begin = np.repeat(begin, np.diff(np.r_[begin, len(d)]))
-        later = (k != k[begin]) | (p != p[begin])
-        keys.append(k[later])
-        places.append(p[later])
+        again = later(d, k, p)
+        keys.append(k[again])
+        places.append(p[again])
     slim()
     return by_key(np.concatenate(keys), np.concatenate(places)) if keys else by_key(np.zeros(0, np.int64), np.zeros(0, np.int32))
 

@@ -19,7 +19,7 @@ of the same reach would sample a seventh of all places, these a thirty-fifth.
    and each that has a name given before is a repeat.
 3. Repeats come back to their texts as spans.
 
-A context that repeats in a batch is settled there but for its first, so that
+A context that repeats in a batch is settled there but for its first (and the same start of equal rows), so that
 a passage which a third of all texts hold reaches its block once a batch.
 
 Edge cases: null texts are empty; texts shorter than the length lose nothing;
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_dedup import NULL_ID, by_key, without
+from .chunk_dedup import NULL_ID, by_key, later, without
 from .common import bucket_runs, delta, pack, row_key, table, unpack
 from .vec import grams, mix, slices, utf8
 
@@ -154,7 +154,7 @@ def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, s
         at = np.cumsum(many) - many
         order = np.lexsort((start, keys, ids, name))
         rank, name, ids, keys, start, runs, at, many = (x[order] for x in (rank, name, ids, keys, start, runs, at, many))
-        again = np.r_[False, name[1:] == name[:-1]]
+        again = later(name, keys, start)
         rows = []
         bucket = (keys.view(U) >> U(20)) % U(buckets)
         late = np.flatnonzero(again)

@@ -187,6 +187,15 @@ def test_chunk_dedup(docs):
     assert got[12].text == "" and got[0].text == TEXTS[0] and got[1].n_bytes == got[2].n_bytes == 0 and got[5].node == 1
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_keep_their_first(spark, parts):
+    text, other = prose(80), prose(80)
+    rows = [(1, text), (1, text), (1, text), (None, other), (None, other), (2, text)]
+    both = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    for got in (suffix_dedup.dedup_substrings(both).collect(), chunk_dedup.dedup_chunks(both).collect()):
+        assert len(got) == 6 and all((r.n_removed == r.n_bytes) if r.doc_id == 2 else (r.n_removed == 0) for r in got)
+
+
 def test_chunks_resist_shifts():
     a, b = PASSAGE.encode(), b"some words more " + PASSAGE.encode()
     ends = lambda x: set(chunk_dedup.chunk_ends(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0].tolist())
