@@ -3,7 +3,9 @@
 A gear hash over the last 32 bytes rolls along each text. A chunk ends after a
 blank whose hash is the least among the blanks within ``REACH`` bytes, so cuts
 follow the content alone: an insertion moves no cut further than that away,
-and no chunk but a text's last is shorter than ``REACH``. Chunks are
+and no chunk but a text's last is shorter than ``REACH``. Where no blank is
+within ``REACH`` bytes (Chinese, base64), every character's end stands for one.
+Chunks are
 deduplicated by digest over all texts: the first by (doc_id, offset) stays. A
 run of repeated chunks is removed if it spans at least ``LEAST`` bytes, so
 that common phrases stay.
@@ -12,8 +14,8 @@ A chunk that repeats in a batch is settled there, and only its first (with the
 same place of equal rows) meets other batches: a digest that a third of all texts hold reaches its bucket once
 a batch.
 
-Edge cases: null and empty texts have no chunks and stay empty; texts without
-blanks are cut every ``MOST`` bytes at a character's end; repeated rows with
+Edge cases: null and empty texts have no chunks and stay empty; a run of one
+character has no least hash and is cut every ``MOST`` bytes; repeated rows with
 equal id and text are one row to the digest and are treated alike; null ids
 come first; extra columns pass through ``dedup_chunks``.
 """
@@ -47,11 +49,33 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def unspaced(data: np.ndarray, offsets: np.ndarray, blanks: np.ndarray) -> np.ndarray:
+    """Last bytes of the characters that have no blank of their text within ``REACH`` bytes."""
+    # Between two blanks of a text; before its first and after its last.
+    wide = np.flatnonzero(np.diff(blanks) > 2 * REACH + 1)
+    wide = wide[np.searchsorted(offsets, blanks[wide], "right") == np.searchsorted(offsets, blanks[wide + 1], "right")]
+    first, last = np.searchsorted(blanks, offsets[:-1]), np.searchsorted(blanks, offsets[1:])
+    some = last > first
+    heads, tails = offsets[1:].copy(), offsets[1:].copy()
+    heads[some], tails[some] = blanks[first[some]] - REACH, blanks[last[some] - 1] + REACH + 1
+    begins, ends = np.r_[blanks[wide] + REACH + 1, offsets[:-1], tails], np.r_[blanks[wide + 1] - REACH, heads, offsets[1:]]
+    # The gear hash needs its window.
+    begins[len(wide) : len(wide) + len(heads)] += 31
+    some = ends > begins
+    begins, many = begins[some], (ends - begins)[some]
+    spots = np.repeat(begins - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    spots = spots[spots + 1 < len(data)]
+    return spots[data[spots + 1] & 0xC0 != 0x80]
+
+
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(end, row) of every chunk of a run of texts, in order."""
     n = len(data)
     row_of = lambda x: np.searchsorted(offsets, x, "right") - 1
     spots = np.flatnonzero(SPACE[data])
+    more = unspaced(data, offsets, spots)
+    if len(more):
+        spots = np.sort(np.concatenate([spots, more]))
     row = row_of(spots)
     go = (spots - offsets[row] >= 31) & (spots + 1 < offsets[row + 1])
     spots, row = spots[go], row[go]

@@ -202,6 +202,18 @@ def test_chunks_resist_shifts():
     assert len({e + 16 for e in ends(a)} & ends(b)) >= len(ends(a)) - 2
 
 
+def test_unspaced_chunks_resist_shifts(spark):
+    passage, other = ("".join(chr(x) for x in RNG.integers(0x4E00, 0x9FA5, n)) for n in (2000, 200))
+    texts = [other[:40] + passage, other[45:90] + passage + other[90:], "a" * 5000, None, "b" * 5000]
+    got = {r.doc_id: r for r in chunk_dedup.dedup_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and got[1].n_removed > 0.95 * 6000 and got[1].text.startswith(other[45:90]) and got[1].text.endswith(other[90:])
+    assert got[2].n_chunks >= 5 and got[2].n_bytes == 5000
+    # A text's chunks don't depend on its neighbours.
+    raw = [(t or "").encode() for t in [*texts, *TEXTS]]
+    cut = lambda x: chunk_dedup.chunk_ends(np.frombuffer(b"".join(x), np.uint8), np.cumsum([0, *map(len, x)]))[0].tolist()
+    assert cut(raw) == [sum(map(len, raw[:i])) + e for i, t in enumerate(raw) for e in cut([t])]
+
+
 def test_mixing(docs):
     rows, slots, members = mixing.mix_plan(docs, block=8)
     taken = {r.row: r.taken for r in mixing.taken_blocks(slots, members).groupBy("row").agg(F.sum("n_words").alias("taken")).collect()}
