@@ -263,8 +263,8 @@ def unpivot_likert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def split_no_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: G9, J13: orders that share a customer's part never part. Rows only: components are iterative."""
-    edges = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("answer"))
+    """§2: G9, J13: orders that share a supplier's part on any of their lines never part. Rows only: components are iterative."""
+    edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("answer"))
     return ds.leakage_free_split(edges)
 
 

@@ -93,6 +93,14 @@ def test_likert_and_rows(spark):
     assert ds.disjoint(edges.join(split_, "id"))
 
 
+def test_split_takes_every_line(spark, tmp_path):
+    from siftgrain.plans import catalogue
+
+    lines = [(1, 1, 10, 5), (1, 2, 11, 5), (2, 1, 12, 5), (2, 2, 11, 5), (3, 2, 13, 5), (4, 1, 11, 6)]
+    spark.createDataFrame(lines, "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r.id: r.component for r in catalogue.split_no_leakage(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_ranking(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i // 4), int(i), float(rng.integers(1, 5)), float(rng.integers(0, 9))) for i in range(80)]
