@@ -68,7 +68,7 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
 
 
 def streams(docs: DataFrame, cell_rows: int = 20_000) -> DataFrame:
-    """Adds size, source_key and from_word: each row's place in its source's stream.
+    """Adds size, source_key, from_word: each row's place in its source's stream, and number, by which equal rows differ.
 
     Offsets inside cells of a bounded number of rows are added to the cells'
     own offsets, so that no task holds a whole source.
@@ -81,9 +81,10 @@ def streams(docs: DataFrame, cell_rows: int = 20_000) -> DataFrame:
     before = Window.partitionBy("source_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = narrow.groupBy("source_key", "cell").agg(F.sum("size").alias("words"))
     sums = sums.select("source_key", "cell", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_key", "cell").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = narrow.withColumn("inside", F.sum("size").over(inside)).join(sums, ["source_key", "cell"])
-    return placed.select("doc_id", "row", "source_key", "size", (F.col("base") + F.col("inside") - F.col("size")).alias("from_word"))
+    ordered = Window.partitionBy("source_key", "cell").orderBy("doc_id", "row")
+    inside = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    placed = narrow.select("*", F.sum("size").over(inside).alias("inside"), F.row_number().over(ordered).alias("number")).join(sums, ["source_key", "cell"])
+    return placed.select("doc_id", "row", "number", "source_key", "size", (F.col("base") + F.col("inside") - F.col("size")).alias("from_word"))
 
 
 def draw(wanted: list[int], shards: int, seed: int) -> np.ndarray:
@@ -108,7 +109,7 @@ def mix_plan(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 20)
     """(documents with their source's size and target, slots, block members).
 
     slots: shard, source_key, slot (of its source), epoch, block_index.
-    members: source_key, block_index, row, from_word, n_words (of the row in the block).
+    members: source_key, block_index, row, number, from_word, n_words (of the row in the block).
     """
     spark = docs.sparkSession
     placed = cut(streams(docs))
@@ -140,15 +141,15 @@ def mix_plan(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 20)
     slots = slots.select("shard", "source_key", "slot", "epoch", "block_index")
     documents = placed.join(F.broadcast(sources.select("source_key", "source_size", "target")), "source_key")
     index = F.explode(F.expr(f"sequence(from_word div {block}, (from_word + size - 1) div {block})"))
-    members = placed.filter("size > 0").select("source_key", "row", "size", "from_word", index.alias("block_index"))
+    members = placed.filter("size > 0").select("source_key", "row", "number", "size", "from_word", index.alias("block_index"))
     begin = F.greatest(F.col("from_word"), F.col("block_index") * block)
     end = F.least(F.col("from_word") + F.col("size"), (F.col("block_index") + 1) * block)
-    members = members.select("source_key", "block_index", "row", (begin - F.col("from_word")).alias("from_word"), (end - begin).alias("n_words"))
+    members = members.select("source_key", "block_index", "row", "number", (begin - F.col("from_word")).alias("from_word"), (end - begin).alias("n_words"))
     return documents, slots, members
 
 
 def taken_blocks(slots: DataFrame, members: DataFrame) -> DataFrame:
-    """Row, shard, slot, epoch, from_word and n_words of every piece that the mix takes."""
+    """Row, number, shard, slot, epoch, from_word and n_words of every piece that the mix takes."""
     return slots.join(members, ["source_key", "block_index"])
 
 
@@ -161,8 +162,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """
     columns = docs.columns
     _, slots, members = mix_plan(docs, **how)
-    pieces = taken_blocks(slots, members).select("row", "epoch", "from_word", "n_words")
-    runs = pieces.groupBy("row", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("pieces"))
+    pieces = taken_blocks(slots, members).select("source_key", "row", "number", "epoch", "from_word", "n_words")
+    runs = pieces.groupBy("source_key", "row", "number", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("pieces"))
     start = F.struct(F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)").alias("done"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
 
     def step(acc, x):
@@ -189,6 +190,6 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, slots, members = mix_plan(table(spark, sf_dir, "documents"))
-    taken = taken_blocks(slots, members).groupBy("row").agg(F.sum("n_words").alias("taken"))
-    out = documents.join(taken, "row", "left")
+    taken = taken_blocks(slots, members).groupBy("source_key", "row", "number").agg(F.sum("n_words").alias("taken"))
+    out = documents.join(taken, ["source_key", "row", "number"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))

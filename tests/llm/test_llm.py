@@ -227,6 +227,17 @@ def test_mixing(docs):
     assert again[0] == again[1] and sum(len(words(r[1])) for r in again[0]) == sum(by_source.values())
 
 
+def test_mixing_repeated_rows(spark, tmp_path):
+    twice, none = prose(300), prose(150)
+    rows = [(1, twice, "a"), (1, twice, "a"), (None, none, "b"), (None, none, "b"), (None, none, "b"), (4, prose(900), "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op8_source_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == 6 and all(r.taken <= 3 * r["size"] for r in got)
+    for size in {r.source_size for r in got}:
+        part = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 3 * 64
+
+
 def test_slots_do_not_depend_on_runs(docs, monkeypatch):
     whole = sorted(map(tuple, mixing.mix_plan(docs, block=2)[1].collect()))
     monkeypatch.setattr(mixing, "RUN_SLOTS", 4)
