@@ -225,6 +225,15 @@ def transducer(name: str, model: bytes) -> Transducer:
     return _transducers[name]
 
 
+def packed_ids(machine: Transducer, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+    """(ids of all texts, where each text's end, whether they decode to it)."""
+    packed = [machine.encode(t) for t in texts]
+    flat = np.frombuffer(b"".join(packed), np.int32)
+    ends = np.r_[0, np.cumsum([len(x) // 4 for x in packed])].astype(np.int32)
+    ok = [machine.decode(flat[a:z].tolist()) == (t or "").replace(BLANK, " ") for t, a, z in zip(texts, ends[:-1], ends[1:], strict=True)]
+    return flat, ends, ok
+
+
 def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text") -> DataFrame:
     """Adds ids (array of int) and round_trip (the ids decode to the text).
 
@@ -246,12 +255,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text") -> Data
                 while at + len(texts) < b.num_rows and size < 1 << 20:
                     texts.append(column[at + len(texts)].as_py())
                     size += len(texts[-1] or "")
-                packed = [machine.encode(t) for t in texts]
-                flat = np.frombuffer(b"".join(packed), np.int32)
-                ends = np.r_[0, np.cumsum([len(x) // 4 for x in packed])].astype(np.int32)
+                flat, ends, ok = packed_ids(machine, texts)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                spelt = lambda i, t: machine.decode(flat[ends[i] : ends[i + 1]].tolist()) == (t or "").replace(BLANK, " ")  # noqa: B023, E731
-                ok = [not machine.broken or spelt(i, t) for i, t in enumerate(texts)]  # each segment was spelt when it was solved
                 part = b.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(ok)], names=[*kept, "ids", "round_trip"])
                 at += len(texts)

@@ -262,6 +262,14 @@ def test_piece_transducer(spark, docs):
     assert all(r.decoded == (r.text or "") and r.round_trip for r in back.collect())
 
 
+def test_round_trip_decodes():
+    m = piece_transducer.Transducer(open(piece_transducer.MODEL, "rb").read())
+    texts = ["some words", None, "", TEXTS[0]]
+    assert piece_transducer.packed_ids(m, texts)[2] == [True] * 4
+    m.decode = lambda ids: "other words"
+    assert piece_transducer.packed_ids(m, texts)[2] == [False] * 4
+
+
 def test_ngram_jaccard(docs):
     sets = {}
     for i, t in enumerate(TEXTS):
