@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, cut, delta, pack, row_key, slim, table, unpack
+from .common import bucket_runs, buckets_for, delta, row_key, slim, stored, table
 from .vec import STEP, Words, mix, slices, utf8
 
 U = np.uint64
@@ -113,23 +113,35 @@ def before(hashes: np.ndarray) -> np.ndarray:
     return np.r_[np.int64(END), hashes[:-1]]
 
 
-def pack_named(*columns: np.ndarray) -> bytes:
-    """int64 columns, each as its distinct values and, byte plane by byte plane, the rows' places among them."""
-    sizes, parts = [len(columns[0])], []
+def planes(a: np.ndarray) -> bytes:
+    """An array's bytes, plane by plane, so that high bytes that are all alike pack away."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, n: int, kind: type, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T).view(kind).ravel()
+
+
+def pack_named(lead: np.ndarray | None, *columns: np.ndarray) -> bytes:
+    """int64 columns, each as its distinct values and the rows' places among them; ``lead`` is sorted and goes as differences."""
+    sizes, parts = [len(columns[0]) if columns else len(lead)], [] if lead is None else [planes(delta(lead))]
     for c in columns:
         names, at = np.unique(c, return_inverse=True)
         sizes.append(len(names))
-        parts += [names.tobytes(), np.ascontiguousarray(at.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()]
+        parts += [names.tobytes(), planes(at.astype(np.int32))]
     return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array(sizes, np.int64).tobytes(), *parts]))
 
 
-def unpack_named(blob: bytes, columns: int) -> list[np.ndarray]:
+def unpack_named(blob: bytes, columns: int, lead: bool = False) -> list[np.ndarray]:
     raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 8 * (columns + 1)
     n, *sizes = np.frombuffer(raw, np.int64, columns + 1).tolist()
+    if lead:
+        out.append(np.cumsum(from_planes(raw, n, np.int64, at)))
+        at += 8 * n
     for size in sizes:
         names = np.frombuffer(raw, np.int64, size, at)
-        planes = np.frombuffer(raw, np.uint8, 4 * n, at + 8 * size).reshape(4, n)
-        out.append(names[np.ascontiguousarray(planes.T).view(np.int32).ravel()])
+        out.append(names[from_planes(raw, n, np.int32, at + 8 * size)])
         at += 8 * size + 4 * n
     return out
 
@@ -144,6 +156,10 @@ class Automaton:
         self.total, self.distinct = total, distinct
         self.root = np.log10(self.counts + 1) - self.log_all
         self.hot = self.counts * HOT >= max(total, 1)
+        #: Places by falling count, and each place's rank: codes of pairs of frequent words are small for common pairs.
+        self.by_rank = np.argsort(-self.counts, kind="stable")
+        self.rank = np.empty(len(self.words), np.int64)
+        self.rank[self.by_rank] = np.arange(len(self.words))
         self.arcs, self.arc_logs = np.zeros(0, np.int64), np.zeros(0)
         self.fail = np.zeros(len(self.words))
         #: States all of whose arcs are cached.
@@ -156,6 +172,20 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at, -1)
 
+    def codes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """One number for each pair of places, or -1 where a word is not frequent."""
+        both = (first >= 0) & (second >= 0)
+        out = np.full(len(first), -1)
+        out[both] = self.rank[first[both]] * np.int64(len(self.words)) + self.rank[second[both]]
+        return out
+
+    def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.by_rank[codes // len(self.words)], self.by_rank[codes % len(self.words)]
+
+    def before(self, numbers: np.ndarray) -> np.ndarray:
+        """The place of the token before each; a text's first comes after an end."""
+        return np.r_[self.number(np.array([END])), numbers[:-1]]
+
     def dealt(self, first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
         """The bucket of each pair: by its state, and by its word too where the state is hot."""
         out = first.view(U) >> U(33)
@@ -182,7 +212,7 @@ class Automaton:
     def traverse(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(what each token's cached arc or failure arc adds to its root arc, from left to right; number of each token; whether the table may hold an arc for it)."""
         numbers = self.number(hashes)
-        prev = self.number(before(hashes))
+        prev = self.before(numbers)
         add, open_ = np.zeros(len(hashes)), np.ones(len(hashes), bool)
         stays = prev >= 0
         add[stays] = self.fail[prev[stays]]
@@ -197,26 +227,40 @@ class Automaton:
 
 
 def bigrams(training: DataFrame, model: Automaton, buckets: int) -> DataFrame:
-    """bucket, first and second (hashes) and n (count) of every pair of neighbouring tokens seen ``LEAST`` times."""
+    """bucket, first, second (hashes), n, n_first and n_second (-1: unknown) of every pair of neighbouring tokens seen ``LEAST`` times.
+
+    Pairs of frequent words travel as codes, others as hashes. A state's pairs share a
+    bucket, so their sum is the state's count, but for hot ones, whose counts every worker holds.
+    """
     shared = training.sparkSession.sparkContext.broadcast(model)
     finer = 4 * buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        model, held, size = shared.value, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             second, first = np.concatenate(held), np.concatenate([before(x) for x in held])
             held.clear()
+            to = model.number(second)
+            at = model.number(first)
+            code = model.codes(at, to)
+            rows, named = [], code < 0
+            codes, n = np.unique(code[~named], return_counts=True)
+            places = model.places(codes) if len(codes) else (codes, codes)
+            bucket = model.dealt(model.words[places[0]], model.words[places[1]], finer)
+            order = np.argsort(bucket, kind="stable")
+            codes, n, bucket = codes[order], n[order], bucket[order]
+            rows += [(b, True, pack_named(codes[i:j], n[i:j])) for b, i, j in bucket_runs(bucket)]
+            first, second = first[named], second[named]
             at, n = np.unique(pair_hash(first, second), return_index=True, return_counts=True)[1:]
-            first, second, n = first[at], second[at], n.astype(np.int64)
-            bucket = shared.value.dealt(first, second, finer)
+            first, second = first[at], second[at]
+            bucket = model.dealt(first, second, finer)
             order = np.lexsort((second, first, bucket))
             first, second, n, bucket = (x[order] for x in (first, second, n, bucket))
-            runs = bucket_runs(bucket)
-            blobs = [pack_named(first[i:j], second[i:j], n[i:j]) for _, i, j in runs]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in runs], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            rows += [(b, False, pack_named(None, first[i:j], second[i:j], n[i:j])) for b, i, j in bucket_runs(bucket)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["bucket", "coded", "blob"])
 
         for b in batches:
             for _, _, hashes, _, _ in token_runs(b.column("text")):
@@ -229,35 +273,53 @@ def bigrams(training: DataFrame, model: Automaton, buckets: int) -> DataFrame:
         slim()
 
     def total(blobs: pd.DataFrame) -> pd.DataFrame:
-        first, second, n = (np.concatenate(x) for x in zip(*[unpack_named(x, 3) for x in blobs["blob"]], strict=True))
-        at, back = np.unique(pair_hash(first, second), return_index=True, return_inverse=True)[1:]
-        n = np.bincount(back, n, len(at)).astype(np.int64)
-        at, n = at[n >= LEAST], n[n >= LEAST]
-        out = pd.DataFrame({"bucket": np.full(len(at), blobs["bucket"].iat[0] % buckets, np.int32), "first": first[at], "second": second[at], "n": n})
+        model, out = shared.value, []
+        coded = [unpack_named(x, 1, True) for x in blobs.loc[blobs["coded"], "blob"]]
+        if coded:
+            codes, back = np.unique(np.concatenate([x[0] for x in coded]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([x[1] for x in coded]), len(codes)).astype(np.int64)
+            codes, n = codes[n >= LEAST], n[n >= LEAST]
+            first, second = model.places(codes)
+            out.append((model.words[first], model.words[second], n, model.counts[first], model.counts[second]))
+        named = [unpack_named(x, 3) for x in blobs.loc[~blobs["coded"], "blob"]]
+        if named:
+            first, second, n = (np.concatenate(x) for x in zip(*named, strict=True))
+            at, back = np.unique(pair_hash(first, second), return_index=True, return_inverse=True)[1:]
+            n, first, second = np.bincount(back, n, len(at)).astype(np.int64), first[at], second[at]
+            state = np.unique(first, return_inverse=True)[1]
+            n_first = np.bincount(state, n).astype(np.int64)[state]
+            if len(model.words):
+                place = model.number(first)
+                n_first = np.where(place >= 0, model.counts[place], n_first)
+            use = n >= LEAST
+            first, second, n, n_first = first[use], second[use], n[use], n_first[use]
+            place = model.number(second)
+            out.append((first, second, n, n_first, np.where(place >= 0, model.counts[place], -1) if len(model.words) else np.full(len(n), -1)))
+        first, second, n, n_first, n_second = (np.concatenate(x) for x in zip(*out, strict=True))
+        out = pd.DataFrame({"bucket": np.full(len(n), blobs["bucket"].iat[0] % buckets, np.int32), "first": first, "second": second, "n": n, "n_first": n_first, "n_second": n_second})
         slim()
         return out
 
-    found = training.select("text").mapInArrow(count, "bucket int, blob binary")
-    return found.groupBy("bucket").applyInPandas(total, "bucket int, first long, second long, n long")
+    found = training.select("text").mapInArrow(count, "bucket int, coded boolean, blob binary")
+    return found.groupBy("bucket").applyInPandas(total, "bucket int, first long, second long, n long, n_first long, n_second long")
 
 
 def build(training: DataFrame, counts: DataFrame, buckets: int) -> tuple[Automaton, DataFrame]:
-    """The part of the automaton that every worker holds; and all arcs and the other states' failure arcs: bucket, first, second, value, arc."""
+    """The part of the automaton that every worker holds; and what buckets hold: bucket, kind (arc, failure arc, rare word), first, second, value."""
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
     often = counts.filter(F.col("n") * ROOT_ARCS >= total).toPandas()
     out = Automaton(often["word"].to_numpy(np.int64), often["n"].to_numpy(np.int64), total, distinct)
+    found = bigrams(training, out, buckets)
     # A word of an arc is seen as often as the arc at least.
-    named = counts.filter(F.col("n") >= LEAST)
-    arcs = bigrams(training, out, buckets)
-    for x in ("first", "second"):
-        arcs = arcs.join(named.select(F.col("word").alias(x), F.col("n").alias(f"n_{x}")), x)
-    arcs = cut(arcs.select("bucket", "first", "second", "n", "n_first", "n_second"))
+    named = counts.filter((F.col("n") >= LEAST) & (F.col("n") * ROOT_ARCS < total)).select(F.col("word").alias("second"), F.col("n").alias("n_named"))
+    open_ = found.filter("n_second < 0").join(named, "second")
+    arcs = stored(found.filter("n_second >= 0").unionByName(open_.select("bucket", "first", "second", "n", "n_first", F.col("n_named").alias("n_second"))))
     p, below = (F.col("n") - DISCOUNT) / F.col("n_first"), (F.col("n_second") + 1) / F.lit(float(total + distinct + 1))
     left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
     cached = F.col("n") * STATE_ARCS >= total
     states = arcs.groupBy("first").agg(F.first("n_first").alias("n_first"), F.log10(left(p) / left(below)).alias("fail"), F.min(cached).alias("whole"))
-    states = cut(states)
+    states = stored(states)
     held = arcs.filter(cached).select("first", "second", "n").toPandas()
     code = out.number(held["first"].to_numpy(np.int64)) * np.int64(len(out.words)) + out.number(held["second"].to_numpy(np.int64))
     out.with_arcs(code, held["n"].to_numpy(np.int64))
@@ -265,146 +327,159 @@ def build(training: DataFrame, counts: DataFrame, buckets: int) -> tuple[Automat
     held = states.filter(frequent).toPandas()
     out.fail[:] = 0
     out.with_states(held["first"].to_numpy(np.int64), held["fail"].to_numpy(float), held["whole"].to_numpy(bool))
-    bucket = F.pmod(F.shiftrightunsigned("first", 33), F.lit(buckets)).cast("int")
-    rare = states.filter(~frequent).select(bucket.alias("bucket"), "first", F.lit(0).cast("long").alias("second"), F.col("fail").alias("value"), F.lit(False).alias("arc"))
-    return out, arcs.select("bucket", "first", "second", F.log10(p / below).alias("value"), F.lit(True).alias("arc")).unionAll(rare)
+    bucket = lambda c: F.pmod(F.shiftrightunsigned(c, 33), F.lit(buckets)).cast("int").alias("bucket")
+    none, kind = F.lit(0).cast("long").alias("second"), lambda k: F.lit(k).cast("byte").alias("kind")
+    table_ = arcs.select("bucket", kind(ARC), "first", "second", F.log10(p / below).alias("value"))
+    table_ = table_.unionAll(states.filter(~frequent).select(bucket("first"), kind(FAIL), "first", none, F.col("fail").alias("value")))
+    rare = counts.filter(F.col("n") * ROOT_ARCS < total)
+    return out, table_.unionAll(rare.select(bucket("word"), kind(WORD), F.col("word").alias("first"), none, F.col("n").cast("double").alias("value")))
+
 
+#: Kinds of rows of the buckets' table.
+ARC, FAIL, WORD = 0, 1, 2
+#: Kinds of blobs: open pairs of frequent words, other open pairs, rare words, texts.
+CODED, NAMED, RARE, TEXT = 0, 1, 2, 3
+_WALKED = "doc_id long, key long, n long, known long, base double, score double"
 
-_WALKED = "doc_id long, key long, n long, known long, base double, score double, bucket int, words int, blob binary"
-_WALKED_ARROW = pa.schema(
-    [(x, pa.int64()) for x in ("doc_id", "key", "n", "known")] + [("base", pa.float64()), ("score", pa.float64()), ("bucket", pa.int32()), ("words", pa.int32()), ("blob", pa.binary())]
-)
+
+def walk_texts(model: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text with what the held arcs give."""
+    for b in batches:
+        ids, keys = b.column("doc_id"), b.column("key")
+        for at, n, hashes, row, lengths in token_runs(b.column("text")):
+            add, numbers, _ = model.traverse(hashes)
+            held = numbers >= 0
+            base = np.where(held, model.root[numbers] if len(model.words) else 0.0, 0.0)
+            known, base, weight = (np.bincount(row, w, n) for w in (held.astype(float), base, base + add))
+            own = [ids.slice(at, n), keys.slice(at, n), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "key", "n", "known", "base", "score"])
+    slim()
 
 
-def walk_rows(model: Automaton, batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each text with what the held arcs give, a blob for each bucket of a slice's rare words: word, text's key, times, and blobs (words null) of open pairs: state, word, text's key."""
-    pairs, size = [], 0
+def walk_blobs(model: Automaton, batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blobs for each bucket of what no worker can settle alone: open pairs and rare words with their texts' keys; and each text's key once."""
+    pairs, rare, texts, size = [], [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if not pairs:
+        if not texts:
             return
-        first, second, key = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        pairs.clear()
+        rows = []
+        deal = lambda x: ((x.view(U) >> U(33)) % U(buckets)).astype(np.int64)
+        first, second, code, key = (np.concatenate(x) for x in zip(*pairs, strict=True))
         bucket = model.dealt(first, second, buckets)
-        order = np.lexsort((key, second, first, bucket))
-        first, second, key, bucket = (x[order] for x in (first, second, key, bucket))
-        runs = bucket_runs(bucket)
-        blobs = [pack_named(first[i:j], second[i:j], key[i:j]) for _, i, j in runs]
-        none = [pa.nulls(len(runs), t) for t in _WALKED_ARROW.types[:6]]
-        yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in runs], pa.int32()), pa.nulls(len(runs), pa.int32()), pa.array(blobs, pa.binary())], schema=_WALKED_ARROW)
+        some = np.flatnonzero(code >= 0)
+        some = some[np.lexsort((code[some], bucket[some]))]
+        rows += [(b, CODED, pack_named(code[x], key[x])) for b, x in ((b, some[i:j]) for b, i, j in bucket_runs(bucket[some]))]
+        some = np.flatnonzero(code < 0)
+        some = some[np.lexsort((second[some], first[some], bucket[some]))]
+        rows += [(b, NAMED, pack_named(None, first[x], second[x], key[x])) for b, x in ((b, some[i:j]) for b, i, j in bucket_runs(bucket[some]))]
+        word, key = (np.concatenate(x) for x in zip(*rare, strict=True))
+        bucket = deal(word)
+        order = np.lexsort((word, bucket))
+        rows += [(b, RARE, pack_named(word[x], key[x])) for b, x in ((b, order[i:j]) for b, i, j in bucket_runs(bucket[order]))]
+        key = np.concatenate(texts)
+        bucket = deal(key)
+        order = np.lexsort((key, bucket))
+        rows += [(b, TEXT, pack_named(key[x])) for b, x in ((b, order[i:j]) for b, i, j in bucket_runs(bucket[order]))]
+        for held in (pairs, rare, texts):
+            held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int8(), pa.binary()))], names=["bucket", "kind", "blob"])
 
     for b in batches:
-        ids, keys = b.column("doc_id"), b.column("key").to_numpy()
-        for at, n, hashes, row, lengths in token_runs(b.column("text")):
-            add, numbers, open_ = model.traverse(hashes)
-            held = numbers >= 0
-            base = np.where(held, model.root[numbers] if len(model.words) else 0.0, 0.0)
-            known, base, weight = (np.bincount(row, w, n) for w in (held.astype(float), base, base + add))
-            own = [ids.slice(at, n), pa.array(keys[at : at + n]), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(weight)]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary())]], schema=_WALKED_ARROW)
-            pairs.append((before(hashes)[open_], hashes[open_], keys[at : at + n][row[open_]]))
-            size += int(open_.sum())
+        keys = b.column("key").to_numpy()
+        for at, n, hashes, row, _ in token_runs(b.column("text")):
+            _, numbers, open_ = model.traverse(hashes)
+            own = keys[at : at + n]
+            pairs.append((before(hashes)[open_], hashes[open_], model.codes(model.before(numbers)[open_], numbers[open_]), own[row[open_]]))
+            rare.append((hashes[numbers < 0], own[row[numbers < 0]]))
+            texts.append(own)
+            size += len(pairs[-1][0]) + len(rare[-1][0])
             if size >= FLUSH:
                 yield from flush()
                 size = 0
-            h, r = hashes[~held], row[~held]
-            bucket = (h.view(np.uint64) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.lexsort((h, r, bucket))
-            h, r, bucket = h[order], r[order], bucket[order]
-            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(r) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[first, len(r)]).astype(np.int32)
-            h, key, bucket = h[first], keys[at : at + n][r[first]], bucket[first].astype(np.int32)
-            runs = bucket_runs(bucket)
-            blobs = [pack(h[i:j], delta(key[i:j]), times[i:j]) for _, i, j in runs]
-            none = [pa.nulls(len(runs), t) for t in _WALKED_ARROW.types[:6]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in runs], pa.int32()), pa.array([j - i for _, i, j in runs], pa.int32()), pa.array(blobs, pa.binary())], schema=_WALKED_ARROW)
     yield from flush()
     slim()
 
 
-def open_arcs(model: Automaton, blobs: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: by text, what the arcs of its open pairs add, or the failure arcs of states that no worker holds."""
-    arc = table_["arc"].to_numpy(bool)
-    first, second, value = table_["first"].to_numpy(np.int64), table_["second"].to_numpy(np.int64), table_["value"].to_numpy(float)
-    pair, states = pair_hash(first[arc], second[arc]), first[~arc]
-    by_pair, by_state = np.argsort(pair), np.argsort(states)
-    pair, logs, states, fails = pair[by_pair], value[arc][by_pair], states[by_state], value[~arc][by_state]
-
-    def look(names: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(names):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-        at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-        hit = names[at] == wanted
-        return hit, np.where(hit, values[at], 0.0)
-
+def look(names: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each name is there, its value or 0); ``names`` are sorted."""
+    if not len(names):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    hit = names[at] == wanted
+    return hit, np.where(hit, values[at], 0.0)
+
+
+def settled(model: Automaton, blobs: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket, by text: how often it is there (copies), its rare tokens with an arc at the root, their root arcs, and what arcs and failure arcs add."""
+    kind, first, value = table_["kind"].to_numpy(), table_["first"].to_numpy(np.int64), table_["value"].to_numpy(float)
+    names = pair_hash(first, table_["second"].to_numpy(np.int64)).view(np.int64)
+    held = []
+    for k in (ARC, FAIL, WORD):
+        name, weight = (names if k == ARC else first)[kind == k], value[kind == k]
+        order = np.argsort(name)
+        held.append((name[order], weight[order]))
+    arcs, fails, words = held
     sums = []
-    for blob in blobs["blob"]:
-        first, second, key = unpack_named(blob, 3)
-        hit, add = look(pair, logs, pair_hash(first, second))
-        state = model.number(first)
-        held = state >= 0
-        # A held state's failure arc has been added in the traversal.
-        fail = np.where(held, model.fail[state], 0.0) if len(model.words) else np.zeros(len(first))
-        add = np.where(hit, add - fail, np.where(held, 0.0, look(states, fails, first)[1]))
-        keys, back = np.unique(key, return_inverse=True)
-        sums.append((keys, np.bincount(back, add, len(keys))))
-    keys, add = (np.concatenate(x) for x in zip(*sums, strict=True)) if sums else (np.zeros(0, np.int64), np.zeros(0))
+    for k, blob in zip(blobs["kind"], blobs["blob"], strict=True):
+        if k == TEXT:
+            key = unpack_named(blob, 0, True)[0]
+            part = np.stack([np.ones(len(key)), *[np.zeros(len(key))] * 3])
+        elif k == RARE:
+            word, key = unpack_named(blob, 1, True)
+            _, seen = look(*words, word)
+            part = np.stack([np.zeros(len(key)), seen > 0, np.log10(seen + 1) - model.log_all, np.zeros(len(key))])
+        else:
+            if k == CODED:
+                code, key = unpack_named(blob, 1, True)
+                state, word = model.places(code)
+                hit, add = look(*arcs, pair_hash(model.words[state], model.words[word]).view(np.int64))
+            else:
+                first, second, key = unpack_named(blob, 3)
+                hit, add = look(*arcs, pair_hash(first, second).view(np.int64))
+                state = model.number(first)
+            frequent = state >= 0
+            # A frequent state's failure arc has been added in the traversal.
+            fail = np.where(frequent, model.fail[state], 0.0) if len(model.words) else np.zeros(len(key))
+            miss = np.where(frequent, 0.0, look(*fails, first)[1]) if k == NAMED else 0.0
+            part = np.stack([*[np.zeros(len(key))] * 3, np.where(hit, add - fail, miss)])
+        found, back = np.unique(key, return_inverse=True)
+        sums.append((found, np.stack([np.bincount(back, x, len(found)) for x in part])))
+    if not sums:
+        sums.append((np.zeros(0, np.int64), np.zeros((4, 0))))
+    keys, parts = np.concatenate([x[0] for x in sums]), np.concatenate([x[1] for x in sums], axis=1)
     keys, back = np.unique(keys, return_inverse=True)
-    out = pd.DataFrame({"key": keys, "arcs": np.bincount(back, add, len(keys)) if len(keys) else np.zeros(0)})
+    copies, known, more, arcs = (np.bincount(back, x, len(keys)) if len(keys) else np.zeros(0) for x in parts)
     slim()
-    return out
-
-
-def rare_arcs(blobs: pd.DataFrame, counts: pd.DataFrame, log_all: float) -> pd.DataFrame:
-    """Of one bucket: by text, how many rare tokens the root has arcs for and the sum of all their log10 weights."""
-    parts = [unpack(blob, n, "int64", "int64", "int32") for blob, n in zip(blobs["blob"], blobs["words"], strict=True)]
-    if not parts:
-        return pd.DataFrame({"key": np.zeros(0, np.int64), "more_known": np.zeros(0, np.int64), "more": np.zeros(0)})
-    word, key, times = (np.concatenate(x) for x in zip(*[(w, np.cumsum(k), t) for w, k, t in parts], strict=True))
-    counts = counts.sort_values("word")
-    known, n = counts["word"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-    seen = np.zeros(len(word), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-        seen = np.where(known[at] == word, n[at], 0)
-    keys, back = np.unique(key, return_inverse=True)
-    more = np.bincount(back, times * (np.log10(seen + 1) - log_all), len(keys))
-    return pd.DataFrame({"key": keys, "more_known": np.bincount(back, times * (seen > 0), len(keys)).astype(np.int64), "more": more})
+    return pd.DataFrame({"key": keys, "copies": copies.astype(np.int64), "more_known": known.astype(np.int64), "more": more, "arcs": arcs})
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``; both have doc_id and text.
 
-    Rare words meet the counts, and open pairs the arcs, bucket by bucket. Buckets are a quarter as many
-    as shuffle partitions, so that a text's words of a bucket are summed before
-    its parts are gathered.
+    Rare words and open pairs meet the counts' and the arcs' tables bucket by
+    bucket, and are summed there by text; equal rows share a key, so their sums
+    are divided by how many they are.
     """
     spark = docs.sparkSession
-    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    counts = cut(unigrams(training))
-    model, arcs = build(training, counts, buckets)
+    buckets = buckets_for(docs, 12)
+    counts = stored(unigrams(training))
+    model, table_ = build(training, counts, buckets)
     shared = spark.sparkContext.broadcast(model)
     keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    walked = cut(keyed.mapInArrow(lambda batches: walk_rows(shared.value, batches, buckets), _WALKED))
-    blobs = walked.filter("words is not null").select("bucket", "words", "blob")
-    pairs = walked.filter("bucket is not null and words is null").select("bucket", "blob")
-    dealt = counts.filter(F.col("n") * ROOT_ARCS < model.total).select(F.pmod(F.shiftrightunsigned("word", 33), F.lit(buckets)).cast("int").alias("bucket"), "word", "n")
-    log_all = model.log_all
-    found = blobs.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(lambda a, b: rare_arcs(a, b, log_all), "key long, more_known long, more double")
-    added = pairs.groupBy("bucket").cogroup(arcs.groupBy("bucket")).applyInPandas(lambda a, b: open_arcs(shared.value, a, b), "key long, arcs double")
-    found = found.withColumn("arcs", F.lit(0.0)).unionAll(added.select("key", F.lit(0).cast("long"), F.lit(0.0), "arcs"))
-    met = found.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("more_known", "more", "arcs")])
-    texts = walked.filter("bucket is null")
-    copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
-    out = texts.join(met.join(copies, "key"), "key", "left")
-    more, arcs_ = (F.coalesce(F.col(x) / F.col("copies"), F.lit(0.0)) for x in ("more", "arcs"))
+    blobs = keyed.select("text", "key").mapInArrow(lambda x: walk_blobs(shared.value, x, buckets), "bucket int, kind byte, blob binary")
+    reply = "key long, copies long, more_known long, more double, arcs double"
+    found = blobs.groupBy("bucket").cogroup(table_.groupBy("bucket")).applyInPandas(lambda a, b: settled(shared.value, a, b), reply)
+    met = found.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("copies", "more_known", "more", "arcs")])
+    out = keyed.mapInArrow(lambda x: walk_texts(shared.value, x), _WALKED).join(met, "key")
+    more, arcs = F.col("more") / F.col("copies"), F.col("arcs") / F.col("copies")
     return out.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce(F.col("more_known") / F.col("copies"), F.lit(0)).cast("long")).alias("n_known"),
+        (F.col("known") + F.expr("more_known div copies")).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more + arcs_).alias("score"),
+        (F.col("score") + more + arcs).alias("score"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names; sets one of its own only where none is set."""
+    """Uses the folder the cluster names; sets one of its own only where none is set and the driver is the only machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftgrain-ckpt-"))
 
 
@@ -31,6 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed table in the same folder: for wide or many rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Input that one bucket's task is meant for.
+BUCKET_BYTES = 256 << 20
+
+
+def buckets_for(docs: DataFrame, least: int) -> int:
+    """A number of buckets that grows with the size of ``docs`` (as its plan states it), so that a bucket's does not."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # a plan that doesn't know its size
+        return max(least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    return max(least, -(-size // BUCKET_BYTES))
+
+
 #: A side of a join is broadcast up to so many rows (of a few numbers each, 8 MB or so), else shuffled.
 BROADCAST_ROWS = 500_000
 
