@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, buckets_for, delta, row_key, slim, stored, table
+from .common import bucket_runs, buckets_for, delta, pack, row_key, slim, stored, table, unpack
 from .vec import STEP, Words, mix, slices, utf8
 
 U = np.uint64
@@ -47,6 +47,7 @@ HOT = 1 << 10
 #: A bigram seen so often is an arc.
 LEAST = 2
 FLUSH = 1 << 20
+COPIES = 1 << 16
 DISCOUNT = 0.5
 #: Stands for the end of a text among the words' hashes.
 END = 7
@@ -146,6 +147,12 @@ def unpack_named(blob: bytes, columns: int, lead: bool = False) -> list[np.ndarr
     return out
 
 
+def in_buckets(bucket: np.ndarray, *columns: np.ndarray) -> tuple:
+    """The columns in the order of their buckets, otherwise as they came, and the buckets' runs."""
+    order = np.argsort(bucket, kind="stable")
+    return *[c[order] for c in columns], bucket_runs(bucket[order])
+
+
 class Automaton:
     """Arcs of the root and the cached arcs of the frequent words' states, as sorted arrays."""
 
@@ -241,25 +248,22 @@ def bigrams(training: DataFrame, model: Automaton, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            second, first = np.concatenate(held), np.concatenate([before(x) for x in held])
+            second = np.concatenate(held)
             held.clear()
-            to = model.number(second)
-            at = model.number(first)
-            code = model.codes(at, to)
+            # The last token of a run is an end, after which the next run's first comes as well.
+            to, first = model.number(second), before(second)
+            code = model.codes(model.before(to), to)
             rows, named = [], code < 0
             codes, n = np.unique(code[~named], return_counts=True)
-            places = model.places(codes) if len(codes) else (codes, codes)
-            bucket = model.dealt(model.words[places[0]], model.words[places[1]], finer)
-            order = np.argsort(bucket, kind="stable")
-            codes, n, bucket = codes[order], n[order], bucket[order]
-            rows += [(b, True, pack_named(codes[i:j], n[i:j])) for b, i, j in bucket_runs(bucket)]
+            if len(codes):
+                at = model.places(codes)
+                codes, n, runs = in_buckets(model.dealt(model.words[at[0]], model.words[at[1]], finer), codes, n)
+                rows += [(b, True, pack_named(codes[i:j], n[i:j])) for b, i, j in runs]
             first, second = first[named], second[named]
             at, n = np.unique(pair_hash(first, second), return_index=True, return_counts=True)[1:]
             first, second = first[at], second[at]
-            bucket = model.dealt(first, second, finer)
-            order = np.lexsort((second, first, bucket))
-            first, second, n, bucket = (x[order] for x in (first, second, n, bucket))
-            rows += [(b, False, pack_named(None, first[i:j], second[i:j], n[i:j])) for b, i, j in bucket_runs(bucket)]
+            first, second, n, runs = in_buckets(model.dealt(first, second, finer), first, second, n)
+            rows += [(b, False, pack_named(None, first[i:j], second[i:j], n[i:j])) for b, i, j in runs]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["bucket", "coded", "blob"])
 
         for b in batches:
@@ -337,70 +341,87 @@ def build(training: DataFrame, counts: DataFrame, buckets: int) -> tuple[Automat
 
 #: Kinds of rows of the buckets' table.
 ARC, FAIL, WORD = 0, 1, 2
-#: Kinds of blobs: open pairs of frequent words, other open pairs, rare words, texts.
-CODED, NAMED, RARE, TEXT = 0, 1, 2, 3
-_WALKED = "doc_id long, key long, n long, known long, base double, score double"
-
+_TEXT = ("int64", "int64", "int64", "int64", "float64", "float64", "bool")
 
-def walk_texts(model: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text with what the held arcs give."""
-    for b in batches:
-        ids, keys = b.column("doc_id"), b.column("key")
-        for at, n, hashes, row, lengths in token_runs(b.column("text")):
-            add, numbers, _ = model.traverse(hashes)
-            held = numbers >= 0
-            base = np.where(held, model.root[numbers] if len(model.words) else 0.0, 0.0)
-            known, base, weight = (np.bincount(row, w, n) for w in (held.astype(float), base, base + add))
-            own = [ids.slice(at, n), keys.slice(at, n), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(weight)]
-            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "key", "n", "known", "base", "score"])
-    slim()
 
+def walk(model: Automaton, batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blobs for the buckets: of each flush its texts with what the held arcs give (texts > 0), and for each bucket what no worker can settle alone.
 
-def walk_blobs(model: Automaton, batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blobs for each bucket of what no worker can settle alone: open pairs and rare words with their texts' keys; and each text's key once."""
-    pairs, rare, texts, size = [], [], [], 0
+    The latter: the keys of the texts concerned, then open pairs of frequent words (codes), open pairs with a frequent state
+    (hashes), other open pairs (state, hash) and rare words, all with their text's number.
+    """
+    texts, open_, size, many = [], [], 0, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not texts:
             return
-        rows = []
-        deal = lambda x: ((x.view(U) >> U(33)) % U(buckets)).astype(np.int64)
-        first, second, code, key = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        ids, keys, n, known, base, weight, valid = (np.concatenate(x) for x in zip(*texts, strict=True))
+        rows = [(int(keys[:1].view(U)[0] >> U(33)) % buckets, len(keys), pack(ids, keys, n, known, base, weight, valid))]
+        first, second, code, half, text, word, whose = (np.concatenate(x) for x in zip(*open_, strict=True))
+        texts.clear()
+        open_.clear()
         bucket = model.dealt(first, second, buckets)
-        some = np.flatnonzero(code >= 0)
-        some = some[np.lexsort((code[some], bucket[some]))]
-        rows += [(b, CODED, pack_named(code[x], key[x])) for b, x in ((b, some[i:j]) for b, i, j in bucket_runs(bucket[some]))]
-        some = np.flatnonzero(code < 0)
-        some = some[np.lexsort((second[some], first[some], bucket[some]))]
-        rows += [(b, NAMED, pack_named(None, first[x], second[x], key[x])) for b, x in ((b, some[i:j]) for b, i, j in bucket_runs(bucket[some]))]
-        word, key = (np.concatenate(x) for x in zip(*rare, strict=True))
-        bucket = deal(word)
-        order = np.lexsort((word, bucket))
-        rows += [(b, RARE, pack_named(word[x], key[x])) for b, x in ((b, order[i:j]) for b, i, j in bucket_runs(bucket[order]))]
-        key = np.concatenate(texts)
-        bucket = deal(key)
-        order = np.lexsort((key, bucket))
-        rows += [(b, TEXT, pack_named(key[x])) for b, x in ((b, order[i:j]) for b, i, j in bucket_runs(bucket[order]))]
-        for held in (pairs, rare, texts):
-            held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int8(), pa.binary()))], names=["bucket", "kind", "blob"])
+        name = np.where(code >= 0, code, pair_hash(first, second).view(np.int64))
+        parts: list[dict[int, tuple]] = []
+        for k in range(3):
+            some = np.flatnonzero((code >= 0) if k == 0 else (code < 0) & (half == (k == 1)))
+            some = some[np.argsort(name[some])]
+            a, t, f, runs = in_buckets(bucket[some], name[some], text[some], first[some])
+            parts.append({b: (a[i:j], t[i:j], f[i:j]) for b, i, j in runs})
+        order = np.argsort(word)
+        a, t, runs = in_buckets(((word[order].view(U) >> U(33)) % U(buckets)).astype(np.int64), word[order], whose[order])
+        parts.append({b: (a[i:j], t[i:j]) for b, i, j in runs})
+        for b in sorted(set().union(*parts)):
+            held = [p.get(b) for p in parts]
+            use = np.zeros(len(keys), bool)
+            for x in held:
+                if x is not None:
+                    use[x[1]] = True
+            place = np.cumsum(use) - 1
+            raw = [np.array([use.sum(), *[0 if x is None else len(x[0]) for x in held]], np.int64).tobytes(), keys[use].tobytes()]
+            for k, x in enumerate(held):
+                if x is not None:
+                    raw += [planes(delta(x[0])), planes(place[x[1]].astype(np.int32))] + ([x[2].tobytes()] if k == 2 else [])
+            rows.append((b, 0, zstandard.ZstdCompressor(level=1).compress(b"".join(raw))))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "texts", "blob"])
 
     for b in batches:
-        keys = b.column("key").to_numpy()
-        for at, n, hashes, row, _ in token_runs(b.column("text")):
-            _, numbers, open_ = model.traverse(hashes)
-            own = keys[at : at + n]
-            pairs.append((before(hashes)[open_], hashes[open_], model.codes(model.before(numbers)[open_], numbers[open_]), own[row[open_]]))
-            rare.append((hashes[numbers < 0], own[row[numbers < 0]]))
-            texts.append(own)
-            size += len(pairs[-1][0]) + len(rare[-1][0])
-            if size >= FLUSH:
+        ids = b.column("doc_id").cast(pa.int64())
+        valid, ids, keys = np.asarray(ids.is_valid()), ids.fill_null(0).to_numpy(), b.column("key").to_numpy()
+        for at, n, hashes, row, lengths in token_runs(b.column("text")):
+            add, numbers, more = model.traverse(hashes)
+            held = numbers >= 0
+            base = np.where(held, model.root[numbers] if len(model.words) else 0.0, 0.0)
+            known, base, weight = (np.bincount(row, w, n) for w in (held.astype(float), base, base + add))
+            own = slice(at, at + n)
+            texts.append((ids[own], keys[own], lengths.astype(np.int64), known.astype(np.int64), base, weight, valid[own]))
+            state = model.before(numbers)[more]
+            open_.append((before(hashes)[more], hashes[more], model.codes(state, numbers[more]), state >= 0, row[more] + many, hashes[~held], row[~held] + many))
+            many += n
+            size += len(open_[-1][0]) + len(open_[-1][5])
+            if size >= FLUSH or many >= FLUSH:
                 yield from flush()
-                size = 0
+                size = many = 0
     yield from flush()
     slim()
 
 
+def unwalked(blob: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """(keys of texts, and of each kind: names, texts' numbers and, of pairs with a rare state, the states)."""
+    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 40, []
+    texts, *sizes = np.frombuffer(raw, np.int64, 5).tolist()
+    keys = np.frombuffer(raw, np.int64, texts, at)
+    at += 8 * texts
+    for k, n in enumerate(sizes):
+        x = [np.cumsum(from_planes(raw, n, np.int64, at)), from_planes(raw, n, np.int32, at + 8 * n)]
+        at += 12 * n
+        if k == 2:
+            x.append(np.frombuffer(raw, np.int64, n, at))
+            at += 8 * n
+        out.append(tuple(x))
+    return keys, out
+
+
 def look(names: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether each name is there, its value or 0); ``names`` are sorted."""
     if not len(names):
@@ -410,76 +431,75 @@ def look(names: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return hit, np.where(hit, values[at], 0.0)
 
 
+_REPLY = "key long, doc_id long, copies long, n long, known long, base double, score double"
+
+
 def settled(model: Automaton, blobs: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, by text: how often it is there (copies), its rare tokens with an arc at the root, their root arcs, and what arcs and failure arcs add."""
+    """Of one bucket, by text: what its rare tokens and open pairs add; and the texts' own rows that came along (copies = 1)."""
     kind, first, value = table_["kind"].to_numpy(), table_["first"].to_numpy(np.int64), table_["value"].to_numpy(float)
-    names = pair_hash(first, table_["second"].to_numpy(np.int64)).view(np.int64)
+    arc = kind == ARC
+    names = np.where(arc, pair_hash(first, table_["second"].to_numpy(np.int64)).view(np.int64), first)
+    if len(model.words):
+        # A frequent state's failure arc has been added in the traversal; its arcs take its place.
+        state = model.number(first[arc])
+        value[arc] -= np.where(state >= 0, model.fail[state], 0.0)
     held = []
     for k in (ARC, FAIL, WORD):
-        name, weight = (names if k == ARC else first)[kind == k], value[kind == k]
+        name, weight = names[kind == k], value[kind == k]
         order = np.argsort(name)
         held.append((name[order], weight[order]))
     arcs, fails, words = held
-    sums = []
-    for k, blob in zip(blobs["kind"], blobs["blob"], strict=True):
-        if k == TEXT:
-            key = unpack_named(blob, 0, True)[0]
-            part = np.stack([np.ones(len(key)), *[np.zeros(len(key))] * 3])
-        elif k == RARE:
-            word, key = unpack_named(blob, 1, True)
-            _, seen = look(*words, word)
-            part = np.stack([np.zeros(len(key)), seen > 0, np.log10(seen + 1) - model.log_all, np.zeros(len(key))])
-        else:
-            if k == CODED:
-                code, key = unpack_named(blob, 1, True)
-                state, word = model.places(code)
-                hit, add = look(*arcs, pair_hash(model.words[state], model.words[word]).view(np.int64))
-            else:
-                first, second, key = unpack_named(blob, 3)
-                hit, add = look(*arcs, pair_hash(first, second).view(np.int64))
-                state = model.number(first)
-            frequent = state >= 0
-            # A frequent state's failure arc has been added in the traversal.
-            fail = np.where(frequent, model.fail[state], 0.0) if len(model.words) else np.zeros(len(key))
-            miss = np.where(frequent, 0.0, look(*fails, first)[1]) if k == NAMED else 0.0
-            part = np.stack([*[np.zeros(len(key))] * 3, np.where(hit, add - fail, miss)])
-        found, back = np.unique(key, return_inverse=True)
-        sums.append((found, np.stack([np.bincount(back, x, len(found)) for x in part])))
-    if not sums:
-        sums.append((np.zeros(0, np.int64), np.zeros((4, 0))))
-    keys, parts = np.concatenate([x[0] for x in sums]), np.concatenate([x[1] for x in sums], axis=1)
-    keys, back = np.unique(keys, return_inverse=True)
-    copies, known, more, arcs = (np.bincount(back, x, len(keys)) if len(keys) else np.zeros(0) for x in parts)
+    out = []
+    for texts, blob in zip(blobs["texts"], blobs["blob"], strict=True):
+        if texts:
+            ids, keys, n, known, base, score_, valid = unpack(blob, texts, *_TEXT)
+            out.append((keys, ids, valid, np.ones(texts, np.int64), n, known, base, score_))
+            continue
+        keys, (coded, half, named, rare) = unwalked(blob)
+        add = np.zeros(len(keys))
+        if len(coded[0]):
+            a, b = model.places(coded[0])
+            add += np.bincount(coded[1], look(*arcs, pair_hash(model.words[a], model.words[b]).view(np.int64))[1], len(keys))
+        add += np.bincount(half[1], look(*arcs, half[0])[1], len(keys))
+        hit, value = look(*arcs, named[0])
+        add += np.bincount(named[1], np.where(hit, value, look(*fails, named[2])[1]), len(keys))
+        seen = look(*words, rare[0])[1]
+        more = np.bincount(rare[1], np.log10(seen + 1) - model.log_all, len(keys))
+        none = np.zeros(len(keys), np.int64)
+        out.append((keys, none, none.astype(bool), none, none, np.bincount(rare[1], seen > 0, len(keys)).astype(np.int64), more, more + add))
+    keys, ids, valid, copies, n, known, base, score_ = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6 + (np.zeros(0),) * 2
+    reply = pd.DataFrame({"key": keys, "doc_id": pd.array(ids, "Int64"), "copies": copies, "n": n, "known": known, "base": base, "score": score_})
+    reply.loc[~valid.astype(bool), "doc_id"] = pd.NA
     slim()
-    return pd.DataFrame({"key": keys, "copies": copies.astype(np.int64), "more_known": known.astype(np.int64), "more": more, "arcs": arcs})
+    return reply
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``; both have doc_id and text.
 
     Rare words and open pairs meet the counts' and the arcs' tables bucket by
-    bucket, and are summed there by text; equal rows share a key, so their sums
-    are divided by how many they are.
+    bucket, and are summed by text. Equal rows share a key: they are summed as
+    one, divided by how many they are and given out as often.
     """
     spark = docs.sparkSession
-    buckets = buckets_for(docs, 12)
+    buckets = buckets_for(docs, 32)
     counts = stored(unigrams(training))
     model, table_ = build(training, counts, buckets)
     shared = spark.sparkContext.broadcast(model)
-    keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    blobs = keyed.select("text", "key").mapInArrow(lambda x: walk_blobs(shared.value, x, buckets), "bucket int, kind byte, blob binary")
-    reply = "key long, copies long, more_known long, more double, arcs double"
-    found = blobs.groupBy("bucket").cogroup(table_.groupBy("bucket")).applyInPandas(lambda a, b: settled(shared.value, a, b), reply)
-    met = found.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("copies", "more_known", "more", "arcs")])
-    out = keyed.mapInArrow(lambda x: walk_texts(shared.value, x), _WALKED).join(met, "key")
-    more, arcs = F.col("more") / F.col("copies"), F.col("arcs") / F.col("copies")
-    return out.select(
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    blobs = keyed.mapInArrow(lambda x: walk(shared.value, x, buckets), "bucket int, texts int, blob binary")
+    found = blobs.groupBy("bucket").cogroup(table_.groupBy("bucket")).applyInPandas(lambda a, b: settled(shared.value, a, b), _REPLY)
+    met = found.groupBy("key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("copies", "n", "known", "base", "score")])
+    # Equal rows are counted out in runs, so that no array holds a large group.
+    met = met.withColumn("from", F.explode(F.expr(f"sequence(1L, copies, {COPIES}L)")))
+    met = met.withColumn("copy", F.explode(F.expr(f"sequence(from, least(copies, from + {COPIES - 1}L))")))
+    return met.select(
         "doc_id",
-        F.col("n").alias("n_tokens"),
-        (F.col("known") + F.expr("more_known div copies")).alias("n_known"),
+        F.expr("n div copies").alias("n_tokens"),
+        F.expr("known div copies").alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more + arcs).alias("score"),
+        (F.col("base") / F.col("copies")).alias("base_score"),
+        (F.col("score") / F.col("copies")).alias("score"),
     )
 
 
