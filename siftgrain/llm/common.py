@@ -69,6 +69,14 @@ def row_key(doc_id, text):
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Equal-length arrays as one compressed blob; long runs and sorted ids shrink well."""
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))

@@ -1,15 +1,20 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A text is a set of word shingles. A token's place in the one order of all
-tokens is its byte length, longest first, then its hash: long shingles hold
-rare words, so that the order is known without counting. A token shorter than
-``SHORT`` bytes is of the frequent class.
+A text is a set of word shingles. A first pass counts in how many sets of a
+flush each token is; tokens that flushes find in at least one of ``SHARE`` of
+their sets, and all of them together in one of ``SHARE`` of all sets, are of the
+frequent class. They are at most ``SHARE`` times the mean set's size (and
+``HEAVY``: a token beyond that counts as rare, which is right as well). In the
+one order of all tokens rare ones come before frequent ones, then long shingles
+before short ones, then hashes decide.
 
 A set's prefix is extended until its rare tokens, plus its frequent tokens
 less one, outnumber the tokens that a partner may lack; rare tokens of the
 prefix are indexed singly, frequent ones by pairs. If two sets are similar,
 the prefix that ends first shares a rare token or a pair of frequent ones with
-the other's.
+the other's. Pairs grow with the square of the prefix, so sets of more than
+``PAIRED`` tokens index frequent tokens singly, and sets that could be similar
+to one on the other side of that size index both ways.
 
 Equal sets are one node from the start. Nodes that share a signature are
 compared by parity bitmaps, whose Hamming distance never exceeds the sets'
@@ -20,8 +25,9 @@ length filters, and no check within what is linked already.
 
 Edge cases: null and empty texts, and those without words, have no shingles
 and stay alone; fewer words than a shingle's width make one shingle; repeated
-rows have equal sets and share a component; equal ids with different texts
-share the id; a component without an id has none; extra columns are ignored.
+rows have equal sets and share a component; rows are told apart by id and text,
+so rows that share an id, or have none, are nodes by their own texts; a
+component without an id has none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, cut, delta, pack, sized_join, slim, table, unpack
+from .common import bucket_runs, buckets_for, cut, delta, fresh_name, pack, row_key, sized_join, slim, table, unpack
 from .components import components
 from .vec import Words, mix, slices, utf8
 
 U = np.uint64
 WIDTH, PERCENT = 4, 85
-SHORT = 12
+SHARE = 4096
+HEAVY = 1 << 18
+PAIRED = 320
 FLUSH = 1_000_000
 PAIR = U(0x9FB21C651E98DF25)
 
@@ -85,22 +93,64 @@ def nodes_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[ends - sizes]) * PAIR + sizes.astype(U)).view(np.int64)
 
 
-def signatures(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, rows) of all sets: single rare tokens, pairs of frequent tokens."""
+def held_by_many(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(token, sets) of every token that one of ``SHARE`` of a flush's sets has, two at least; and a flush's sets, under no token."""
+    held, sets, size, seen = [], 0, 0, np.zeros(0, np.int64)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, np.int64))
+        use = (n >= 2) & (n * SHARE >= sets)
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(tokens[use].view(np.int64)), pa.nulls(1, pa.int64())]), pa.array(np.r_[n[use], sets].astype(np.int64))], names=["token", "n"])
+
+    for b in batches:
+        data, offsets = utf8(b.column("text"))
+        for _, part, ends in slices(data, offsets):
+            tokens, sizes = shingle_sets(part, ends, width)
+            nodes = nodes_of(tokens, sizes)
+            fresh = ~pd.Series(nodes).duplicated().to_numpy() & ~np.isin(nodes, seen) & (sizes > 0)
+            seen = np.union1d(seen, nodes)
+            held.append(tokens[np.repeat(fresh, sizes)])
+            sets, size = sets + int(fresh.sum()), size + len(held[-1])
+            if size >= 2 * FLUSH:
+                yield from flush()
+                sets, size, seen = 0, 0, np.zeros(0, np.int64)
+    yield from flush()
+    slim()
+
+
+def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
+    """The sorted tokens of the frequent class; counts are over distinct sets of a flush."""
+    found = cut(docs.select("text").mapInArrow(lambda x: held_by_many(x, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    sets = found.filter("token is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = found.filter("token is not null").filter(F.col("n") * SHARE >= sets).orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toPandas()
+    return np.sort(often["token"].to_numpy(np.int64).view(U))
+
+
+def signatures(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(signatures, rows, how many are of pairs) of all sets: single rare tokens, pairs of frequent tokens, single frequent tokens of long sets."""
     starts = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(len(sizes)), sizes)
+    often = np.zeros(len(tokens), bool)
+    if heavy is not None and len(heavy) and len(tokens):
+        often = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
+        order = np.argsort(2 * row + often, kind="stable")
+        tokens, often = tokens[order], often[order]
     place = np.arange(len(tokens)) - starts[row]
-    rare = (U(255) - (tokens >> U(56))) >= U(SHORT)
-    n_rare = np.bincount(row, rare, len(sizes)).astype(np.int64)
+    n_rare = np.bincount(row, ~often, len(sizes)).astype(np.int64)
     lack = sizes - needed(sizes, percent) + 1
-    single = rare & (place < lack[row])
-    out, rows = [mix(tokens[single])], [row[single]]
-    for r in np.flatnonzero((n_rare < lack) & (sizes > 1)):
+    long = sizes >= needed(np.array([PAIRED + 1]), percent)[0]
+    single = (~often | long[row]) & (place < lack[row])
+    out, rows, pairs = [mix(tokens[single])], [row[single]], 0
+    for r in np.flatnonzero((n_rare < lack) & (sizes > 1) & (sizes <= PAIRED)):
         some = mix(tokens[starts[r] + n_rare[r] : starts[r] + lack[r] + 1])
         i, j = np.triu_indices(len(some), 1)
-        out.append(mix(some[i] * PAIR + some[j]))
+        # A pair has one order in every set.
+        a, b = np.minimum(some[i], some[j]), np.maximum(some[i], some[j])
+        out.append(mix(a * PAIR + b))
         rows.append(np.full(len(i), r))
-    return np.concatenate(out), np.concatenate(rows)
+        pairs += len(i)
+    return np.concatenate(out), np.concatenate(rows), pairs
 
 
 LEAST_BITS, MOST_BITS = 64, 8192
@@ -122,11 +172,11 @@ def bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return [packed[(e - n) // 8 : e // 8] for e, n in zip(ends, bits, strict=True)]
 
 
-_A = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("blob", pa.binary()), ("nodes", pa.binary()), ("bitmaps", pa.binary())])
-_A_DDL = "doc_id long, n_shingles long, node long, bucket int, n int, m int, blob binary, nodes binary, bitmaps binary"
+_A = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("blob", pa.binary()), ("nodes", pa.binary()), ("bitmaps", pa.binary())])
+_A_DDL = "doc_id long, key long, n_shingles long, node long, bucket int, n int, m int, blob binary, nodes binary, bitmaps binary"
 
 
-def signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, width: int, percent: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each text (its set's size and node) and, for each bucket, blobs of signatures with their nodes, sizes and bitmaps; equal sets of a flush sign once."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]] = []
     seen = np.zeros(0, np.int64)
@@ -147,7 +197,7 @@ def signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, width: int,
             out.append((len(some), pack(sigs[i:j], delta(local)), pack(nodes[some], sizes[some]), b"".join([bits[k].tobytes() for k in some])))
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(len(runs), pa.int64())] * 3, pa.array([x[0] for x in runs], pa.int32()), pa.array([j - i for _, i, j in runs], pa.int32()), *[pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]],
+            [*[pa.nulls(len(runs), pa.int64())] * 4, pa.array([x[0] for x in runs], pa.int32()), pa.array([j - i for _, i, j in runs], pa.int32()), *[pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]],
             schema=_A,
         )
         held.clear()
@@ -159,12 +209,12 @@ def signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, width: int,
             tokens, sizes = shingle_sets(part, ends, width)
             nodes = nodes_of(tokens, sizes)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(at, n), pa.array(sizes.astype(np.int64)), pa.array(nodes, mask=sizes == 0), *[pa.nulls(n, t) for t in _A.types[3:]]], schema=_A
+                [b.column("doc_id").slice(at, n), b.column("key").slice(at, n), pa.array(sizes.astype(np.int64)), pa.array(nodes, mask=sizes == 0), *[pa.nulls(n, t) for t in _A.types[4:]]], schema=_A
             )
             fresh = ~pd.Series(nodes).duplicated().to_numpy() & ~np.isin(nodes, seen) & (sizes > 0)
             seen = np.union1d(seen, nodes)
             tokens, sizes = tokens[np.repeat(fresh, sizes)], sizes[fresh]
-            held.append((*signatures(tokens, sizes, percent), nodes[fresh], sizes.astype(np.int64), bitmaps(tokens, sizes)))
+            held.append((*signatures(tokens, sizes, percent, heavy)[:2], nodes[fresh], sizes.astype(np.int64), bitmaps(tokens, sizes)))
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
                 seen = np.zeros(0, np.int64)
@@ -303,25 +353,30 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 
 def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles and node of every row; node and group of every node that is linked to another)."""
+    """(doc_id, key, n_shingles and node of every row; node and group of every node that is linked to another). A row's key is a hash of id and text."""
     spark = docs.sparkSession
-    buckets = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    signed = cut(docs.select("doc_id", "text").mapInArrow(lambda x: signature_rows(x, buckets, width, percent), _A_DDL))
-    rows = signed.filter("bucket is null").select("doc_id", "n_shingles", "node")
+    buckets = buckets_for(docs, 24)
+    heavy = spark.sparkContext.broadcast(frequent_tokens(docs, width))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    signed = cut(keyed.mapInArrow(lambda x: signature_rows(x, buckets, width, percent, heavy.value), _A_DDL))
+    rows = signed.filter("bucket is null").select("doc_id", "key", "n_shingles", "node")
     edges = signed.filter("bucket is not null").select("bucket", "n", "m", "blob", "nodes", "bitmaps")
     edges = edges.groupBy("bucket").applyInPandas(lambda x: linked(x, percent), "a long, b long")
     blocks = cut(components(edges))
-    chosen = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"))
-    chosen = chosen.join(blocks, "node").select("doc_id", F.col("component").alias("block")).distinct()
+    chosen = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"))
+    chosen = chosen.join(blocks, "node").select("key", "node", F.col("component").alias("block"))
 
     def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column("text"))
+            wanted = b.column("node").to_numpy()
             for at, part, ends in slices(data, offsets):
                 tokens, sizes = shingle_sets(part, ends, width)
-                stops = np.cumsum(sizes)
-                blobs = [tokens[e - s : e].tobytes() for e, s in zip(stops, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("block").slice(at, len(sizes)), pa.array(nodes_of(tokens, sizes)), pa.array(blobs, pa.binary())], names=["block", "node", "tokens"])
+                stops, nodes = np.cumsum(sizes), nodes_of(tokens, sizes)
+                # Texts whose keys collide are told apart by their sets.
+                use = np.flatnonzero(nodes == wanted[at : at + len(sizes)])
+                blobs = [tokens[stops[i] - sizes[i] : stops[i]].tobytes() for i in use]
+                yield pa.RecordBatch.from_arrays([b.column("block").slice(at, len(sizes)).take(pa.array(use)), pa.array(nodes[use]), pa.array(blobs, pa.binary())], names=["block", "node", "tokens"])
 
     def joined(block: pd.DataFrame) -> pd.DataFrame:
         block = block.drop_duplicates("node").sort_values("node")
@@ -329,37 +384,41 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         node = block["node"].to_numpy()
         return pd.DataFrame({"node": node, "group": node[group]})
 
-    wanted = sized_join(docs.select("doc_id", "text"), chosen, "doc_id").select("block", "text")
+    wanted = sized_join(keyed.select("key", "text"), chosen, "key").select("block", "node", "text")
     sets = wanted.mapInArrow(shipped, "block long, node long, tokens binary")
     return rows, sets.groupBy("block").applyInPandas(joined, "node long, group long")
 
 
+def first_of(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """node and first of its component: no_id, doc_id and key of the component's first row, by id (rows without one last), then key."""
+    own = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("own"))
+    named = own.join(groups, "node", "left").select("node", "own", F.coalesce("group", "node").alias("group"))
+    return named.join(named.groupBy("group").agg(F.min("own").alias("first")), "group").select("node", "first")
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     rows, groups = similar_sets(docs, width, percent)
-    least = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(groups, "node", "left").select("node", "least", F.coalesce("group", "node").alias("group"))
-    best = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    found = named.join(best, "group").select("node", "component_id")
-    # A row without shingles has no node; its hash keeps such rows apart in the join.
-    keyed = rows.withColumn("_node", F.coalesce("node", F.xxhash64("doc_id", F.lit("alone"))))
-    out = keyed.join(found.withColumnRenamed("node", "_node"), "_node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    met = rows.filter("node is not null").join(first_of(rows, groups), "node").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    return met.unionByName(rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but one of each component: the row with the smallest id stays (all columns pass through).
+    """The rows of ``docs`` but one of each component: its first row stays (all columns pass through).
 
-    Rows without shingles are no one's duplicates and stay; so do rows without an id.
+    First: the smallest id, rows without an id last, then a hash of id and text.
+    Of rows that repeat with one id and text any one stays for all. Rows
+    without shingles are no one's duplicates and stay.
     """
-    found = cut(jaccard_components(docs, width, percent))
-    losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = sized_join(docs, losers, "doc_id", "left_anti")
-    again = found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return left
-    # Ids that several rows share: one row of each of their texts' sets is kept.
-    return left.dropDuplicates(["doc_id", "text"])
+    rows, groups = similar_sets(docs, width, percent)
+    per = rows.filter("node is not null").groupBy("key", "node").agg(F.count("*").alias("n"))
+    marked = per.join(first_of(rows, groups), "node").select("key", "n", (F.col("key") == F.col("first.key")).alias("stays"))
+    marked = cut(marked.filter("n > 1 or not stays"))
+    key = fresh_name(docs, "key")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    out = sized_join(keyed, marked.select(F.col("key").alias(key)), key, "left_anti")
+    again = sized_join(keyed, marked.filter("stays").select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key])
+    return out.unionByName(again).drop(key)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
