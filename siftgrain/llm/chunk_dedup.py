@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, delta, pack, row_key, slim, table, unpack
+from .common import bucket_runs, buckets_for, delta, pack, row_key, shielded, slim, table, unpack
 from .vec import BYTE, GEAR, SPACE, mix, powers, slices, utf8
 
 U = np.uint64
@@ -203,9 +203,9 @@ def without(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> bytes:
 
 def dedup_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` with text deduplicated, and n_bytes, n_chunks, n_removed, n_spans (columns of these names are replaced)."""
-    spark = docs.sparkSession
-    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    added = ("n_bytes", "n_chunks", "n_removed", "n_spans", "_key", "_n", "_blob")
+    buckets = buckets_for(docs, 16)
+    docs, restored = shielded(docs, ("_key", "_n", "_blob"))
+    added = ("n_bytes", "n_chunks", "n_removed", "n_spans")
     names = [c for c in docs.columns if c not in added]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], row_key(F.col("doc_id"), F.col("text")).alias("_key"))
     found = keyed.select("doc_id", "text", F.col("_key").alias("key")).mapInArrow(lambda x: digest_rows(x, buckets), "bucket int, settled boolean, n int, blob binary")
@@ -241,7 +241,7 @@ def dedup_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
         yield from cleaned(batches)
         slim()
 
-    return joined.mapInArrow(slimmed, schema)
+    return restored(joined.mapInArrow(slimmed, schema))
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,19 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns called like ``names`` renamed, and what gives them their names back."""
+    wanted = {n.lower() for n in names}
+    back = {fresh_name(df, f"_{c}"): c for c in df.columns if c.lower() in wanted}
+    for new, old in back.items():
+        df = df.withColumnRenamed(old, new)
+
+    def restored(out: DataFrame) -> DataFrame:
+        return out.withColumnsRenamed(back) if back else out
+
+    return df, restored
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Equal-length arrays as one compressed blob; long runs and sorted ids shrink well."""
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, table, unpack
+from .common import cut, pack, row_key, table, unpack
 from .vec import Words, slices, utf8
 
 SAMPLE = 4096
@@ -84,10 +84,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``sample`` labelled rows, the first by a hash of their id."""
+    """Features and labels of at most ``sample`` different labelled texts of ``docs``, the first by a hash of their id."""
     ids = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text")
+    ids = ids.join(docs.select("doc_id"), "doc_id", "left_semi")
+    ids = cut(ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample))
+    keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    # Rows that repeat, and texts that share an id, are counted before any text is gathered.
+    chosen = keyed.join(F.broadcast(ids), "doc_id").select("doc_id", "key", "quality").distinct()
+    chosen = cut(chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "key").limit(sample))
+    rows = keyed.join(F.broadcast(chosen.drop("doc_id")), "key").dropDuplicates(["key"]).select("doc_id", "quality", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

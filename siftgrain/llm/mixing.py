@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, shielded, table
 
 WEIGHTS = (5, 2, 1)
 MOST_SOURCES = 100_000
@@ -160,6 +160,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     whole text, which is kept as it is; n_chars, where there is such a column,
     is counted anew; epoch is not among the columns.
     """
+    docs, restored = shielded(docs, ("_row", "run", "_words"))
     columns = docs.columns
     _, slots, members = mix_plan(docs, **how)
     pieces = taken_blocks(slots, members).select("source_key", "row", "number", "epoch", "from_word", "n_words")
@@ -185,7 +186,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     out = joined.withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    return restored(out.select(*[F.col(f"`{c}`") for c in columns]))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shielded, table
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -40,6 +40,10 @@ BOILERPLATE = (
 SUSPECT = r"[#*$%&|<>»›•!]|\p{Lu}\p{Lu}"
 
 
+#: Columns that stand for a while; those of the input that are called so keep their values.
+INTERNAL = ("_w", "_l", "_h", "_o", "_h1", "_h2", "_h4", "_h8", "_left", "_phrases")
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
@@ -65,6 +69,7 @@ def base_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame
     """
     if width != 8:
         raise ValueError("windows are of eight words")
+    df, restored = shielded(df, INTERNAL)
     body = F.coalesce(F.col(text), F.lit(""))
     out = held(df, "_w", words_of(body)).withColumn("n_words", F.size("_w").cast("long"))
     out = out.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
@@ -92,7 +97,7 @@ def base_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame
     )
     out = out.withColumn("n_repeat_words", F.when(F.col("_o").isNull(), F.lit(0)).otherwise(covered).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return out.drop("_w", "_l", "_h", "_o", "_h1", "_h2", "_h4", "_h8")
+    return restored(out.drop("_w", "_l", "_h", "_o", "_h1", "_h2", "_h4", "_h8"))
 
 
 def line_fails(line: Column, phrases: Column, repeats: Column) -> Column:
@@ -125,6 +130,7 @@ def clean_lines(df: DataFrame, text: str = "text", least_left: float = 0.5) -> D
     kept: the base rule passes and at least ``least_left`` of the characters
     outside blanks are left. A text in which no line can fail isn't taken apart.
     """
+    df, restored = shielded(df, INTERNAL)
     body = F.coalesce(F.col(text), F.lit(""))
     out = held(base_metrics(df, text), "_phrases", phrase(F.lower(body)))
     repeats = F.col("n_stutter") >= 3
@@ -135,7 +141,7 @@ def clean_lines(df: DataFrame, text: str = "text", least_left: float = 0.5) -> D
     out = out.withColumn("n_lines_removed", gone.cast("long"))
     left = F.when(F.col("n_lines_removed") == 0, F.col("word_chars")).otherwise(F.length(F.regexp_replace("clean_text", BLANKS, "")))
     out = out.withColumn("kept", ~F.col("base_failed") & (left >= least_left * F.col("word_chars")) & (left > 0))
-    return out.drop("_left", "_phrases")
+    return restored(out.drop("_left", "_phrases"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ of the same reach would sample a seventh of all places, these a thirty-fifth.
    since no string around such a sample repeats.
 2. Samples that are left bring the bytes of the strings that chose them (about
    35 starts, 135 bytes) to the block of their rank. One block of suffixes is
-   sorted at a time: its strings, in the order of (doc_id, start), are named,
-   and each that has a name given before is a repeat.
+   taken at a time: its strings, in the order of (doc_id, start), are named by
+   hashes, each is compared byte by byte with the first of its name, and those
+   that have one before them are repeats. (Strings are named, not sorted.)
 3. Repeats come back to their texts as spans.
 
 A context that repeats in a batch is settled there but for its first (and the same start of equal rows), so that
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_dedup import NULL_ID, by_key, later, without
-from .common import bucket_runs, delta, pack, row_key, table, unpack
+from .common import bucket_runs, buckets_for, delta, pack, row_key, shielded, table, unpack
 from .vec import grams, mix, slices, utf8
 
 U = np.uint64
@@ -148,12 +149,13 @@ def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, s
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        rank, name, ids, keys, start, runs = (np.concatenate([x[i] for x in held]) for i in range(6))
+        rank, digest, ids, keys, start, runs = (np.concatenate([x[i] for x in held]) for i in range(6))
         raw = b"".join([x[6] for x in held])
         many = runs + (length - 1)
         at = np.cumsum(many) - many
-        order = np.lexsort((start, keys, ids, name))
-        rank, name, ids, keys, start, runs, at, many = (x[order] for x in (rank, name, ids, keys, start, runs, at, many))
+        order = np.lexsort((start, keys, ids, digest[:, 0], digest[:, 1]))
+        rank, digest, ids, keys, start, runs, at, many = (x[order] for x in (rank, digest, ids, keys, start, runs, at, many))
+        name = np.cumsum(np.r_[False, (digest[1:] != digest[:-1]).any(axis=1)])
         again = later(name, keys, start)
         rows = []
         bucket = (keys.view(U) >> U(20)) % U(buckets)
@@ -190,8 +192,8 @@ def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, s
             place, start, runs, rank, row = place[use], start[use], runs[use], rank[use], row[use]
             raw = part.tobytes()
             body = [raw[s : s + n + length - 1] for s, n in zip(start.tolist(), runs.tolist(), strict=True)]
-            name = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=8).digest() for x in body]), U) if body else np.zeros(0, U)
-            held.append((rank, name, ids[at + row], keys[at + row], start - ends[row], runs, b"".join(body)))
+            digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in body]), U).reshape(-1, 2)
+            held.append((rank, digest, ids[at + row], keys[at + row], start - ends[row], runs, b"".join(body)))
             size += len(held[-1][6]) + 48 * len(place)
             if size >= FLUSH_BYTES:
                 yield from flush()
@@ -199,6 +201,30 @@ def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, s
     yield from flush()
 
 
+def first_equals(name: np.ndarray) -> np.ndarray:
+    """Of each string the first with its name."""
+    codes = pd.factorize(name)[0]
+    return np.flatnonzero(~pd.Series(name).duplicated().to_numpy())[codes]
+
+
+def equal_strings(data: np.ndarray, spot: np.ndarray, origin: np.ndarray, length: int, most: int = 1 << 22) -> bool:
+    """Whether all strings at ``spot`` equal their origins byte by byte; neighbours are compared in one go."""
+    hit = np.flatnonzero(origin != np.arange(len(origin)))
+    a, b = spot[hit], spot[origin[hit]]
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)]) if len(hit) else hit
+    a, b, many = a[new], b[new], np.diff(np.r_[new, len(hit)]) + (length - 1)
+    at = 0
+    upto = np.cumsum(many)
+    while at < len(new):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        n = many[at:end]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(a[at:end], n) + inside] != data[np.repeat(b[at:end], n) + inside]).any():
+            return False
+        at = end
+    return True
+
+
 def repeated_spans(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
     """Step 2, one block: by row, the spans covered by strings that also start earlier."""
     keys, begins, ends, parts, raw = [], [], [], [], []
@@ -223,14 +249,16 @@ def repeated_spans(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
         inside = np.arange(len(who)) - np.repeat(np.cumsum(runs) - runs, runs)
         name = np.concatenate([mix(grams(data[i : i + (4 << 20) + length - 1], length)) for i in range(0, len(data) - length + 1, 4 << 20)])
         name = name[at[who] + inside]
+        spot = at[who] + inside
+        origin = first_equals(name)
+        if not equal_strings(data, spot, origin, length):
+            # A hash names two strings: their bytes do.
+            name = np.unique(np.array([data[i : i + length].tobytes().hex() for i in spot.tolist()]), return_inverse=True)[1]
+            origin = first_equals(name)
         # Rows that are repeated whole are one document: a string's equals with the same key and start don't count.
-        seen = pd.Series(name)
-        again = seen.duplicated().to_numpy()
-        if len(runs) > 1 and ((key[1:] == key[:-1]) & (start[1:] == start[:-1])).any():
-            codes, first = np.unique(name, return_inverse=True, return_index=True)[1:]
-            origin = codes[first]
-            again &= (key[who] != key[who[origin]]) | (start[who] + inside != start[who[origin]] + inside[origin])
-        hit = np.flatnonzero(again)
+        hit = np.flatnonzero(origin != np.arange(len(origin)))
+        first = origin[hit]
+        hit = hit[(key[who[hit]] != key[who[first]]) | (start[who[hit]] + inside[hit] != start[who[first]] + inside[first])]
         if len(hit):
             k, s = key[who[hit]], start[who[hit]] + inside[hit]
             new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1)])
@@ -253,10 +281,9 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept (binary, what is left) and kept_sha256."""
-    spark = docs.sparkSession
-    # As many as partitions, but enough that a small input deals a text over as many as a larger one does.
-    buckets = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "key", "ns", "blobs")
+    buckets = buckets_for(docs, 48)
+    docs, restored = shielded(docs, ("key", "ns", "blobs"))
+    added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     names = [c for c in docs.columns if c not in added]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], row_key(F.col("doc_id"), F.col("text")).alias("key"))
     gather = lambda df: df.groupBy("key").agg(F.collect_list("n").alias("ns"), F.collect_list("blob").alias("blobs"))
@@ -286,9 +313,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE
                     kept.append(without(part[ends[i] : ends[i + 1]], a, z))
                 rest = b.slice(at, n)
                 sha = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
-                yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], pa.array(np.diff(ends)), pa.array(removed), pa.array(spans_), pa.array(kept, pa.binary()), sha], names=[*names, *added[:5]])
+                yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], pa.array(np.diff(ends)), pa.array(removed), pa.array(spans_), pa.array(kept, pa.binary()), sha], names=[*names, *added])
 
-    return joined.mapInArrow(cleaned, schema)
+    return restored(joined.mapInArrow(cleaned, schema))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
