@@ -1,13 +1,18 @@
 """Exact top-k search by inner product over signed postings, with MaxScore.
 
-A vector's terms are its components; a query's term has a score bound, the
-most that any vector of a shard can add through it. The query's terms are
-split at a running threshold: the non-essential ones are those whose bounds,
-summed from the smallest, with what every term adds at least to nothing, stay
-below the threshold. Postings of essential terms (vectors whose component has
-the query's sign) are traversed; other terms are probed, largest bound first,
-only for vectors that can still compete. Shards give their best k, which are
-merged.
+A vector's terms are its components, counted from its shard's centre; a query's
+term has a score bound, the most that any vector of a shard can add through it.
+The query's terms are split at a running threshold: the non-essential ones are
+those whose bounds, summed from the smallest, stay below what the threshold
+leaves above the centre's own score. Postings of essential terms (vectors whose
+component lies on the query's side of the centre) are traversed; other terms are
+probed, largest bound first, only for vectors that can still compete. Shards
+give their best k, which are merged.
+
+The threshold of a query starts as its k-th best score against ``SEEDS`` rows
+that are chosen by a hash and broadcast, and rises with the shards of a
+fragment, which are visited by falling bound, those below it not at all. A
+fragment's shards are leaves of a k-d tree, so that their bounds are close.
 
 The grid: candidates are dealt over fragments and queries over blocks, each
 of a bounded number of rows; each fragment meets each block once.
@@ -22,6 +27,8 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,83 +40,133 @@ from .common import table
 FRAGMENT_ROWS = 65_536
 BLOCK_ROWS = 4_096
 SHARD_ROWS = 4_096
-LEAST_FRAGMENTS = 48
+LEAST_FRAGMENTS = 12
+SEEDS = 2_048
+#: Below any score.
+NONE = -(2**63)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of rows; in floating point where all sums fit its whole numbers."""
+    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**52:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    return a @ b.T
 
 
 class Shard:
-    """Candidates with their postings: for each component, the rows whose value is above zero and those below."""
+    """Candidates as residuals from their centre, with postings: for each component, the rows above the centre and those below."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], vectors[order]
-        self.columns = np.ascontiguousarray(self.rows.T)
+        self.ids, vectors = ids[order], vectors[order]
+        self.centre = np.median(vectors, axis=0).astype(np.int64)
+        self.columns = np.ascontiguousarray((vectors - self.centre).T)
         self.high, self.low = self.columns.max(axis=1), self.columns.min(axis=1)
-        self.above: dict[int, np.ndarray] = {}
-        self.below: dict[int, np.ndarray] = {}
+        self.held: dict[tuple[int, bool], np.ndarray] = {}
 
-    def postings(self, d: int, positive: bool) -> np.ndarray:
-        held = self.above if positive else self.below
-        if d not in held:
-            held[d] = self.columns[d] > 0 if positive else self.columns[d] < 0
-        return held[d]
+    def postings(self, d: int, above: bool) -> np.ndarray:
+        if (d, above) not in self.held:
+            self.held[d, above] = np.flatnonzero(self.columns[d] > 0 if above else self.columns[d] < 0)
+        return self.held[d, above]
 
-    def best(self, query_id: int, query: np.ndarray, k: int, threshold: int | None) -> list[tuple[int, int]]:
-        """(score, vec_id) of the shard's best k that reach ``threshold``, ties by vec_id."""
+    def best(self, query_id: int, query: np.ndarray, base: int, k: int, threshold: int, seen: Counter) -> list[tuple[int, int]]:
+        """(score, vec_id) of the shard's best k that reach ``threshold``, ties by vec_id; ``base`` is the centre's score."""
         bound = np.maximum(np.maximum(query * self.high, query * self.low), 0)
         order = np.argsort(-bound, kind="stable")
         rest = np.r_[np.cumsum(bound[order][::-1])[::-1], 0]
-        if threshold is None:
-            alive = np.arange(len(self.ids))
+        wanted = threshold - base if threshold > NONE else NONE
+        essential = int(np.searchsorted(-rest, -wanted, "right")) if wanted > 0 else len(order)
+        seen["terms"] += len(order)
+        seen["non-essential terms"] += len(order) - essential
+        if wanted > 0:
+            found = np.zeros(len(self.ids), bool)
+            for d in order[:essential]:
+                if query[d]:
+                    found[self.postings(d, query[d] > 0)] = True
+            alive = np.flatnonzero(found)
         else:
-            if rest[0] < threshold:
-                return []
-            essential = int(np.searchsorted(-rest, -threshold, "right"))
-            if threshold <= 0:
-                alive = np.arange(len(self.ids))
-            else:
-                found = np.zeros(len(self.ids), bool)
-                for d in order[:essential]:
-                    if query[d]:
-                        found |= self.postings(d, query[d] > 0)
-                alive = np.flatnonzero(found)
+            alive = np.arange(len(self.ids))
         score = np.zeros(len(alive), np.int64)
         for at in range(0, len(order), 8):
             terms = order[at : at + 8]
             score += query[terms] @ (self.columns[terms] if len(alive) == len(self.ids) else self.columns[np.ix_(terms, alive)])
-            if threshold is not None:
-                go = score + rest[min(at + 8, len(order))] >= threshold
-                if not go.all():
-                    alive, score = alive[go], score[go]
+            go = score + rest[min(at + 8, len(order))] >= wanted
+            if not go.all():
+                alive, score = alive[go], score[go]
             if not len(alive):
                 return []
+        seen["rows summed up"] += len(alive)
         own = self.ids[alive] != query_id
-        alive, score = alive[own], score[own]
+        alive, score = alive[own], score[own] + base
         top = np.lexsort((self.ids[alive], -score))[:k]
         return list(zip(score[top].tolist(), self.ids[alive[top]].tolist(), strict=True))
 
 
+def leaves(vectors: np.ndarray, most: int = SHARD_ROWS) -> list[np.ndarray]:
+    """Rows of the leaves of a k-d tree: cut in two at the middle of the component with the widest spread until few are left."""
+    out, todo = [], [np.arange(len(vectors))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        x = vectors[rows]
+        order = np.argsort(x[:, int(np.argmax(x.std(axis=0)))], kind="stable")
+        todo += [rows[order[len(rows) // 2 :]], rows[order[: len(rows) // 2]]]
+    return out
+
+
+def kth_best(query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> int:
+    """The k-th best score of a query among some candidates: a lower bound for all; ``NONE`` if there are fewer."""
+    score = products(vectors, query[None, :])[:, 0][ids != query_id] if len(ids) else np.zeros(0, np.int64)
+    return int(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else NONE
+
+
 def padded(rows: pd.Series, width: int) -> np.ndarray:
     if all(len(x) == width for x in rows):
         return np.stack(rows.to_numpy()).astype(np.int64)
     return np.stack([np.r_[x, np.zeros(width - len(x), np.int64)] for x in rows]).astype(np.int64)
 
 
-def search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best k of the fragment for each query of the block."""
-    out = []
+def search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, seen: Counter | None = None) -> pd.DataFrame:
+    """Best k of the fragment for each query of the block; ``seen`` counts what was looked at."""
+    out, seen = [], Counter() if seen is None else seen
     if len(candidates) and len(queries):
         width = max(candidates["terms"].map(len).max(), queries["terms"].map(len).max())
-        vectors, ids = padded(candidates["terms"], width), candidates["vec_id"].to_numpy()
-        shards = [Shard(ids[i : i + SHARD_ROWS], vectors[i : i + SHARD_ROWS]) for i in range(0, len(ids), SHARD_ROWS)]
-        for query_id, row, query in zip(queries["vec_id"], queries["row"], padded(queries["terms"], width), strict=True):
+        vectors, ids, asked = padded(candidates["terms"], width), candidates["vec_id"].to_numpy(), padded(queries["terms"], width)
+        shards = [Shard(ids[x], vectors[x]) for x in leaves(vectors)]
+        base = products(asked, np.stack([s.centre for s in shards]))
+        bounds = base + products(np.maximum(asked, 0), np.stack([s.high for s in shards])) + products(np.minimum(asked, 0), np.stack([s.low for s in shards]))
+        for i, (query_id, row, least) in enumerate(zip(queries["vec_id"], queries["row"], queries["least"], strict=True)):
             best: list[tuple[int, int]] = []
-            for s in shards:
-                found = s.best(query_id, query, k, best[-1][0] if len(best) == k else None)
+            seen["rows"] += len(ids)
+            for j in np.argsort(-bounds[i], kind="stable"):
+                threshold = max(int(least), best[-1][0] if len(best) == k else NONE)
+                if bounds[i, j] < threshold:
+                    break
+                seen["shards"] += 1
+                found = shards[j].best(query_id, asked[i], int(base[i, j]), k, threshold, seen)
                 best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
             out += [(query_id, row, vec_id, score) for score, vec_id in best]
     return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"]).astype("int64")
 
 
+def with_thresholds(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Adds least: what a query's k-th best score reaches at any rate, by ``SEEDS`` rows."""
+    some = vectors.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SEEDS).toPandas()
+    width = int(some["terms"].map(len).max()) if len(some) else 0
+    seeds = queries.sparkSession.sparkContext.broadcast((some["vec_id"].to_numpy(np.int64), padded(some["terms"], width) if len(some) else np.zeros((0, 0), np.int64)))
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, rows = seeds.value
+        for b in batches:
+            fit = lambda t: np.r_[t, np.zeros(max(0, rows.shape[1] - len(t)), np.int64)][: rows.shape[1]].astype(np.int64)
+            # What a longer query has beyond the seeds' width meets padding, which adds nothing.
+            yield b.assign(least=np.array([kth_best(i, fit(t), ids, rows, k) for i, t in zip(b["vec_id"], b["terms"], strict=True)], np.int64))
+
+    return queries.mapInPandas(least, "vec_id long, terms array<long>, row long, least long")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score; both inputs: vec_id long, terms array<long>."""
     n, q = vectors.count(), queries.count()
@@ -118,7 +175,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select("vec_id", "terms", deal(fragments, 1).alias("fragment")).select("*", every(blocks).alias("block"))
-    right = queries.select("vec_id", "terms", F.xxhash64("vec_id", "terms").alias("row"), deal(blocks, 2).alias("block")).dropDuplicates(["row"]).select("*", every(fragments).alias("fragment"))
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "terms", F.xxhash64("vec_id", "terms").alias("row")).dropDuplicates(["row"])
+    right = with_thresholds(asked, vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "terms"), k).withColumn("block", deal(blocks, 2)).select("*", every(fragments).alias("fragment"))
     keys = ["fragment", "block"]
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: search(a, b, k), "query_id long, row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))

@@ -92,6 +92,20 @@ def test_maxscore(spark):
             assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
 
 
+def test_maxscore_skips(spark):
+    """At sf0.1: non-essential terms, rows and shards are passed over, and the result is brute force's."""
+    rows = maxscore.quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).toPandas()
+    vectors, seen = np.stack(rows["terms"].to_numpy()), Counter()
+    queries = rows[rows["vec_id"] % 100 == 0].assign(row=0)
+    queries["least"] = [maxscore.kth_best(int(i), np.array(t), rows["vec_id"].to_numpy()[:500], vectors[:500], 10) for i, t in zip(queries["vec_id"], queries["terms"], strict=True)]
+    got = maxscore.search(rows, queries, 10, seen)
+    for i, part in got.groupby("query_id"):
+        scores = vectors @ vectors[rows["vec_id"] == i][0]
+        best = sorted((-int(s), int(j)) for s, j in zip(scores, rows["vec_id"], strict=True) if j != i)[:10]
+        assert sorted(zip(-part["score"], part["vec_id"], strict=True)) == best
+    assert seen["terms"] > 0 and seen["non-essential terms"] > 0.2 * seen["terms"] and seen["rows summed up"] < 0.7 * seen["rows"]
+
+
 def test_quality_rules(docs):
     for r in quality_rules.clean_lines(docs).collect():
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", r.text or "") if x]
@@ -284,6 +298,179 @@ def test_ngram_jaccard(docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(docs).collect()} == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
+def linked_rows(texts, width, percent):
+    """Brute force: of each row the set of rows that links reach; and the sets."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))} if w else set())
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    return label, sets
+
+
+def changed(text, n, seed):
+    """The text with its last n words replaced."""
+    w = text.split(" ")
+    return " ".join(w[: len(w) - n] + [f"z{seed}x{i}" for i in range(n)])
+
+
+LONG = prose(300)
+SHARED = [
+    (1, LONG), (None, changed(LONG, 20, 1)), (2, " ".join(["q1 q2"] * 9 + changed(LONG, 20, 1).split(" ")[18:])), (3, prose(50)), (5, changed(LONG, 10, 2)), (5, prose(70)), (5, None),
+    (9, LONG), (9, LONG), (None, ""), (None, None), (None, "one two"), (7, "one two"), (8, "ONE  two"), (None, prose(90)), (4, " \n"),
+]
+
+
+@pytest.mark.parametrize("share", [4096, 2])
+def test_ngram_jaccard_shared_and_null_ids(spark, monkeypatch, share):
+    monkeypatch.setattr(ngram_jaccard, "SHARE", share)
+    label, sets = linked_rows([t for _, t in SHARED], 4, 85)
+    ids = [i for i, _ in SHARED]
+    least = [min((ids[j] for j in range(len(ids)) if label[j] == x and ids[j] is not None), default=None) for x in label]
+    wanted = sorted(((i, len(s), c) for i, s, c in zip(ids, sets, least, strict=True)), key=str)
+    df = spark.createDataFrame(SHARED, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("node", F.lit(0))
+    assert sorted(map(tuple, ngram_jaccard.jaccard_components(df).collect()), key=str) == wanted
+
+
+def test_one_of_each(spark):
+    label, sets = linked_rows([t for _, t in SHARED], 5, 80)
+    df = spark.createDataFrame([(i, t, n, "k") for n, (i, t) in enumerate(SHARED)], "doc_id long, text string, n int, key string")
+    got = ngram_jaccard.one_of_each(df, 5, 80).collect()
+    assert all(r.key == "k" and (r.doc_id, r.text) == SHARED[r.n] for r in got)
+    kept = {r.n for r in got}
+    assert len(kept) == len(got) and {n for n, s in enumerate(sets) if not s} <= kept
+    for x in {x for n, x in enumerate(label) if sets[n]}:
+        group = [n for n, y in enumerate(label) if y == x]
+        first = min(group, key=lambda n: (SHARED[n][0] is None, SHARED[n][0] or 0))
+        assert len(kept & set(group)) == 1 and SHARED[min(kept & set(group))][0] == SHARED[first][0]
+
+
+def test_pairs_of_frequent_tokens_are_indexed(docs):
+    rng = np.random.default_rng(2)
+    often = np.arange(1, 40, dtype=np.uint64)
+    sets = [np.unique(rng.choice(often, 30)) for _ in range(60)] + [np.unique(np.r_[rng.choice(often, 30), rng.integers(100, 9000, 300, dtype=np.uint64)]) for _ in range(20)]
+    sizes = np.array([len(x) for x in sets])
+    sigs, rows, pairs = ngram_jaccard.signatures(np.concatenate(sets), sizes, 85, often)
+    assert pairs > 0
+    held = [set(sigs[rows == r].tolist()) for r in range(len(sets))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                assert held[i] & held[j]
+
+
+def test_pair_signatures_occur(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    heavy = ngram_jaccard.frequent_tokens(table, 4)
+    arrow = table.select("text").toArrow().column("text")
+    from siftgrain.llm.vec import slices, utf8
+
+    assert len(heavy) > 1000 and sum(ngram_jaccard.signatures(*ngram_jaccard.shingle_sets(part, ends), heavy=heavy)[2] for _, part, ends in slices(*utf8(arrow))) > 10_000
+
+
+def test_kd_sharding_repeated_rows(spark):
+    rows = [(1, "abc " * 10, "en", "s", 1)] * 2000 + [(None, "x" * (i % 97), None, f"s{i % 5}", 1) for i in range(2000)]
+    got = kd_sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tie int")).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r["size"]
+    assert len(got) == 4000 and len(sums) == 40 and max(sums.values()) < 1.1 * min(sums.values())
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in sums)
+
+
+def test_kd_sharding_medians(spark):
+    """Against brute force: every cut lies at the weighted median of its node along its widest dimension."""
+    rows = [(i, "a" * int(x), f"l{i % 3}", f"s{i % 11}") for i, x in enumerate(RNG.integers(0, 400, 1500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    at = {r.doc_id: (r["size"], r.k_size, r.k_lang, r.k_source) for r in kd_sharding.coordinates(df).collect()}
+    got = {r.doc_id: r.shard for r in kd_sharding.kd_shards(df, 8).collect()}
+    whole = [max(x[i] for x in at.values()) - min(x[i] for x in at.values()) for i in (1, 2, 3)]
+
+    def cut(ids, shards):
+        if len(shards) == 1:
+            assert {got[i] for i in ids} == set(shards)
+            return
+        dim = max((1, 2, 3), key=lambda d: ((max(at[i][d] for i in ids) - min(at[i][d] for i in ids)) / whole[d - 1], -d))
+        ids = sorted(ids, key=lambda i: at[i][dim])
+        total, below, n = sum(at[i][0] for i in ids), 0, 0
+        while below + at[ids[n]][0] / 2 < total / 2:
+            below += at[ids[n]][0]
+            n += 1
+        low = {i for i in ids if got[i] in shards[: len(shards) // 2]}
+        assert len(low ^ set(ids[:n])) <= 1
+        cut(low, shards[: len(shards) // 2])
+        cut(set(ids) - low, shards[len(shards) // 2 :])
+
+    cut(set(at), list(range(8)))
+
+
+def test_backoff_lm_repeated_rows(spark):
+    rows = [(1, TEXTS[0])] * 3 + [(1, TEXTS[4]), (None, TEXTS[5]), (None, TEXTS[5]), (None, None), (2, ""), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = backoff_lm.score(df, df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    tokens = [[*words(t), None] for _, t in rows]
+    c = Counter(w for t in tokens for w in t)
+    n, v = sum(c.values()), len(c)
+    base = sorted(round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t), 6) for t in tokens)
+    assert sorted(round(r.base_score, 6) for r in got) == base and sorted(r.n_tokens for r in got) == sorted(map(len, tokens)) == sorted(r.n_known for r in got)
+
+
+def test_suffix_dedup_when_hashes_collide(monkeypatch):
+    import pandas as pd
+
+    from siftgrain.llm.common import delta, pack
+
+    assert suffix_dedup.first_equals(np.array([3, 3, 5, 3], np.uint64)).tolist() == [0, 0, 2, 0]
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    assert suffix_dedup.equal_strings(data, np.array([0, 6]), np.array([0, 0]), 3) and not suffix_dedup.equal_strings(data, np.array([0, 3]), np.array([0, 0]), 3)
+    monkeypatch.setattr(suffix_dedup, "grams", lambda d, w: np.zeros(max(0, len(d) - w + 1), np.uint64))
+    text = (prose(40) + " " + TEXTS[0]).encode()
+    raw = np.frombuffer(text[:150] + text[:150] + text[100:250], np.uint8)
+    keys, starts, runs = np.array([1, 2, 3], np.int64), np.zeros(3, np.int32), np.full(3, 51, np.int32)
+    blobs = pd.DataFrame({"bucket": [0], "settled": [False], "n": [3], "blob": [pack(delta(keys), delta(keys), starts, runs)], "bytes": [pack(raw)]})
+    assert suffix_dedup.repeated_spans(blobs, 100)["key"].tolist() == [2]
+
+
+def test_columns_called_like_internal_ones(spark):
+    rows = [(i, t, f"v{i}") for i, t in enumerate(TEXTS)]
+    for names, run in (
+        (("_w", "_l", "_h1", "_left", "_phrases"), quality_rules.clean_lines),
+        (("key", "ns", "blobs", "Key_"), suffix_dedup.dedup_substrings),
+        (("_key", "_n", "_blob"), chunk_dedup.dedup_chunks),
+        (("run", "_row", "_words"), lambda d: mixing.mix(d, block=8)),
+        (("key", "_key", "node"), ngram_jaccard.one_of_each),
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string, x string")
+        df = df.select("doc_id", "text", F.lit("s").alias("source"), *[F.col("x").alias(n) for n in names])
+        got = run(df).select("doc_id", *names).collect()
+        assert got and all(r[n] == f"v{r.doc_id}" for r in got for n in names)
+
+
+def test_knn_sample_is_bounded(spark):
+    df = spark.createDataFrame([(1, "same words here")] * 50 + [(1, f"word{i} again") for i in range(40)] + [(2, "x y"), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (99, 1), (None, 1)], "doc_id long, quality int")
+    x, y = knn_quality.sampled(df, labels, 10)
+    assert len(x) == len(y) == 10
+    x, y = knn_quality.sampled(df, labels, 1000)
+    assert len(x) == 42 and sorted(y)[:1] == [0]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "x"), (1, "x"), (None, None), (None, ""), (2, "a b " * 50)]])
+def test_pipeline_on_little(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    full = [(i, t, None, None, None) for i, t in rows]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
