@@ -20,9 +20,11 @@ def granularity(spark: SparkSession, texts: str | list[str], reference: DataFram
     if split:
         rows = score_texts(docs, predictor, reference, **how)
     else:
-        rows = score_unsplit(docs, predictor)
+        rows = score_unsplit(docs, predictor, reference=reference)
     if buckets:
         rows = rows.withColumn("score", bucket(rows["percentile"]))
+    elif reference is not None:
+        rows = rows.withColumn("score", rows["percentile"])
     got = {r["doc_id"]: r["score"] for r in rows.collect()}
     out = [got.get(i) for i in range(len(many))]
     return out[0] if isinstance(texts, str) else out

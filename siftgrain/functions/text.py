@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns of the cleaner.
-LATEX = r"(?is)<\s*l\s*a\s*t\s*e\s*x\s*i\s*t\b.*?>.*?<\s*/\s*l\s*a\s*t\s*e\s*x\s*i\s*t\s*>"
+LATEX = r"(?is)<\s*l\s*a\s*t\s*e\s*x\s*i\s*t(?:\s+[^>]*)?>.*?<\s*/\s*l\s*a\s*t\s*e\s*x\s*i\s*t\s*>"
 ARXIV = r"(?i)arXiv:\d+\.\d+v\d+"
 FIGURE = r"(?id)(Figure|Fig\.)\s*\d+[:].*"
 BRACKETS = r"\([^)]*\)|\[[^\]]*\]"
-PDF_NOISE = r"(?U)\b(?:\w\s+){2,}\w\b"
+PDF_NOISE = r"(?U)(?:\b[A-Za-z0-9]\b\s+){2,}\b[A-Za-z0-9]\b"
 SENTENCE_GAP = r"([.!?])([A-Za-z])"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -77,20 +77,23 @@ def lemma(c: Column) -> Column:
 
 # Abbreviations in names of configurations, applied in this order.
 SHORT_NAMES = (
+    ("scope_", ""),
+    ("document", "doc"),
+    ("sentence", "sent"),
+    ("spooling_", ""),
+    ("pooling", "pool"),
+    ("doc_mean_", "doc_"),
     ("lower_quantile_mean", "lqm"),
-    ("weighted_mean", "wm"),
-    ("scope_sentence", "sent"),
-    ("scope_document", "doc"),
-    ("_spooling_", "-"),
-    ("_pooling_", "-pool-"),
+    ("stailq", "stq"),
+    ("tailq_", ""),
 )
 
 
 def short_name(c: Column) -> Column:
-    """§2: T12. Abbreviates a configuration's name; a tail share moves behind the pool it belongs to."""
+    """§2: T12. Abbreviates a configuration's name; a scope's tail share moves behind the scope's pool."""
     for long, short in SHORT_NAMES:
         c = F.replace(c, F.lit(long), F.lit(short))
-    share = F.regexp_extract(c, r"_stailq_([0-9.]+)", 1)
-    c = F.when(share != "", F.regexp_replace(F.regexp_replace(c, r"_stailq_[0-9.]+", ""), r"^([a-z]+-lqm)", F.concat(F.lit("$1-"), share))).otherwise(c)
-    share = F.regexp_extract(c, r"_tailq_([0-9.]+)", 1)
-    return F.when(share != "", F.regexp_replace(F.regexp_replace(c, r"_tailq_[0-9.]+", ""), r"(pool-lqm)", F.concat(F.lit("$1-"), share))).otherwise(c)
+    c = F.replace(c, F.lit("_"), F.lit("-"))
+    share = F.regexp_extract(c, "stq-([^-]*)", 1)
+    moved = F.replace(F.replace(c, F.lit("sent-lqm-"), F.concat(F.lit("sent-lqm-"), share, F.lit("-"))), F.concat(F.lit("-stq-"), share), F.lit(""))
+    return F.when(F.contains(c, F.lit("stq-")), moved).otherwise(c)

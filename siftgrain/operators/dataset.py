@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.session import checkpointed
+
 
 def answers(*columns: str) -> Column:
     """§2: G1. Wide answer columns as one array, null as ''."""
@@ -112,16 +114,6 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder the cluster names; sets a folder only where none is set."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftgrain-"))
-    return df.checkpoint()
-
-
 def leakage_free_split(edges: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """§2: G9, J13. id, component and split; rows that share an answer never part. One large component makes the shares uneven."""
     place = F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(10_000)) / 10_000.0

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.operators.ordered import running
+from siftgrain.session import checkpointed
 
-def distribution(reference: DataFrame, score: str = "score") -> DataFrame:
-    """A row for each distinct score with the counts at it and below it, and the total.
 
-    Scores are counted first, so the ordered window sees distinct scores only.
-    """
-    counts = reference.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).cast("double").alias("ref_score")).agg(F.count("*").alias("n_at"))
-    below = Window.orderBy("ref_score").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("ref_score", "n_at", F.coalesce(F.sum("n_at").over(below), F.lit(0)).alias("n_below"), F.sum("n_at").over(Window.partitionBy()).alias("n_all"))
+def distribution(reference: DataFrame, score: str = "score") -> DataFrame:
+    """A row for each distinct score with the count at it."""
+    return reference.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).cast("double").alias("ref_score")).agg(F.count("*").alias("n_at"))
 
 
 def rank_formula(below: Column, upto: Column, n: Column) -> Column:
@@ -23,13 +21,13 @@ def rank_formula(below: Column, upto: Column, n: Column) -> Column:
 def percentile_rank(df: DataFrame, reference: DataFrame, score: str = "score", out: str = "percentile") -> DataFrame:
     """§2: B1. Adds the percentile of a score by rank; scores that the reference lacks fall between its scores.
 
-    Distinct scores of both sides are merged in one ordered pass, then joined back.
+    Distinct scores of both sides are merged, summed up by ranges of scores and joined back.
     """
     ref = distribution(reference)
     asked = df.select(F.col(score).cast("double").alias("x")).distinct().filter("x is not null and not isnan(x)")
     both = asked.join(ref, asked["x"] == ref["ref_score"], "full").select(F.coalesce("x", "ref_score").alias("x"), F.coalesce("n_at", F.lit(0)).alias("n_at"))
-    below = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    placed = both.select("x", "n_at", F.coalesce(F.sum("n_at").over(below), F.lit(0)).alias("b"), F.sum("n_at").over(Window.partitionBy()).alias("n"))
+    both = checkpointed(both)
+    placed = running(both, "x", "n_at", "b").crossJoin(F.broadcast(both.agg(F.sum("n_at").alias("n"))))
     placed = placed.select(F.col("x").alias("_x"), rank_formula(F.col("b"), F.col("b") + F.col("n_at"), F.col("n")).alias(out))
     return df.join(placed, F.col(score).cast("double") == F.col("_x"), "left").drop("_x")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftgrain.session import stored
+
 from .percentile import bucket, percentile_rank
 from .split import split_scopes, unit_rows
 
@@ -54,6 +56,12 @@ def score_units(units: DataFrame, predictor) -> DataFrame:
     return units.join(predictor(distinct), "unit", "left")
 
 
+def split_rows(docs: DataFrame, key: str = "doc_id", scope: str = "sentence") -> DataFrame:
+    """A row for each unit, with a number of its text (``text_row``), written once: the distinct units and the scores read it."""
+    rows = docs.select(key, "text", F.monotonically_increasing_id().alias("text_row"))
+    return stored(unit_rows(split_scopes(rows, scope)).drop("text"))
+
+
 def score_texts(
     docs: DataFrame,
     predictor,
@@ -68,14 +76,32 @@ def score_texts(
     before_pooling: bool = True,
     details: bool = False,
 ) -> DataFrame:
-    """§2: A6-A10. key, score, percentile and bucket of every text.
+    """§2: A6-A10. key, score, percentile and bucket of every text; rows are texts of their own, whether or not they share a key.
 
     predictor: a function that adds ``score`` to a table of ``unit``. With a
     reference (score), percentiles are taken of units before pooling or of the
     texts' scores after it; without one, percentile and bucket are null.
     """
     validate(pool, scope_pool, tail, scope_tail)
-    rows = score_units(unit_rows(split_scopes(docs.select(key, "text"), scope)), predictor)
+    return score_rows(split_rows(docs, key, scope), predictor, reference, key=key, pool=pool, scope_pool=scope_pool, tail=tail, scope_tail=scope_tail, before_pooling=before_pooling, details=details)
+
+
+def score_rows(
+    units: DataFrame,
+    predictor,
+    reference: DataFrame | None = None,
+    *,
+    key: str = "doc_id",
+    pool: str = "mean",
+    scope_pool: str = "lower_quantile_mean",
+    tail: float = 0.5,
+    scope_tail: float = 0.8,
+    before_pooling: bool = True,
+    details: bool = False,
+) -> DataFrame:
+    """``score_texts`` from a table of ``split_rows``."""
+    validate(pool, scope_pool, tail, scope_tail)
+    rows = score_units(units, predictor)
     rows = rows.withColumn("score", F.coalesce("score", F.lit(NO_FACT)))
     early = reference is not None and before_pooling
     if early:
@@ -84,19 +110,20 @@ def score_texts(
     if details:
         pairs = F.filter(F.collect_list(F.struct("unit", "score")), lambda x: x["unit"].isNotNull())
         extra = [F.first("scope_text").alias("scope_text"), F.map_from_entries(F.array_sort(F.array_distinct(pairs))).alias("unit_scores")]
-    by_scope = rows.groupBy(key, "scope_index").agg(pooled(pool, "score", tail).alias("scope_score"), F.count("*").alias("weight"), *extra)
+    by_scope = rows.groupBy("text_row", key, "scope_index").agg(pooled(pool, "score", tail).alias("scope_score"), F.count("*").alias("weight"), *extra)
     if details:
         extra = [F.collect_list(F.struct("scope_index", "scope_text", "scope_score", "unit_scores")).alias("scopes")]
-    out = by_scope.groupBy(key).agg(pooled(scope_pool, "scope_score", scope_tail, "weight").alias("score"), *extra)
+    out = by_scope.groupBy("text_row", key).agg(pooled(scope_pool, "scope_score", scope_tail, "weight").alias("score"), *extra).drop("text_row")
     if reference is None:
         return out.withColumn("percentile", F.lit(None).cast("double")).withColumn("bucket", F.lit(None).cast("string"))
     out = out.withColumn("percentile", F.col("score")) if early else percentile_rank(out, reference)
     return out.withColumn("bucket", bucket(F.col("percentile")))
 
 
-def score_unsplit(docs: DataFrame, predictor, key: str = "doc_id") -> DataFrame:
-    """§2: A10. Texts scored as they are, as one unit."""
-    return score_units(docs.select(key, F.col("text").alias("unit")), predictor).select(key, "score")
+def score_unsplit(docs: DataFrame, predictor, key: str = "doc_id", reference: DataFrame | None = None) -> DataFrame:
+    """§2: A10. Texts scored as they are, as one unit: key and score; with a reference also percentile and bucket."""
+    out = score_units(docs.select(key, F.col("text").alias("unit")), predictor).select(key, "score")
+    return out if reference is None else percentile_rank(out, reference).withColumn("bucket", bucket(F.col("percentile")))
 
 
 def sweep_names() -> list[tuple[str, str, float, str, float]]:
@@ -113,9 +140,39 @@ def sweep(scored: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     configs = sweep_names()
     inner = list(dict.fromkeys((p, q) for _, p, q, _, _ in configs))
-    scopes = scored.groupBy(key, "scope_index").agg(F.count("*").alias("w"), *[pooled(p, "score", q).alias(f"i{n}") for n, (p, q) in enumerate(inner)])
-    whole = scored.groupBy(key).agg(*[pooled(p, "score", q).alias(f"d{n}") for n, (p, q) in enumerate(inner)])
-    aggs = [pooled(o, f"i{inner.index((p, q))}", oq, "w").alias(f"c{n}") for n, (s, p, q, o, oq) in enumerate(configs) if s == "sentence"]
-    wide = scopes.groupBy(key).agg(*aggs).join(whole, key)
-    values = [F.struct(F.lit(n).alias("config"), F.col(f"c{n}" if s == "sentence" else f"d{inner.index((p, q))}").alias("value")) for n, (s, p, q, _, _) in enumerate(configs)]
-    return wide.select(key, F.explode(F.array(*values)).alias("z")).select(key, "z.config", "z.value")
+    # Each group's scores are gathered and sorted once; every pool reads the sorted array.
+    ordered = scored.groupBy(key, "scope_index").agg(F.sort_array(F.collect_list("score")).alias("s"))
+    scopes = ordered.select(key, F.struct(F.size("s").cast("double").alias("w"), "s", *[sorted_pool(F.col("s"), p, q).alias(f"i{n}") for n, (p, q) in enumerate(inner)]).alias("z"))
+    whole = _barrier(scopes.groupBy(key).agg(F.collect_list("z").alias("z")), "d", F.sort_array(F.flatten(F.transform("z", lambda x: x["s"]))))
+    for n in range(len(inner)):
+        whole = _barrier(whole, f"i{n}", F.sort_array(F.transform("z", _field(f"i{n}"))))
+
+    def value(scope: str, p: str, q: float, o: str, oq: float) -> Column:
+        n = inner.index((p, q))
+        if scope == "document":
+            return sorted_pool(F.col("d"), p, q)
+        if o == "weighted_mean":
+            total = lambda f: F.aggregate("z", F.lit(0.0), lambda a, x: a + f(x))
+            return total(lambda x: x[f"i{n}"] * x["w"]) / total(lambda x: x["w"])
+        return sorted_pool(F.col(f"i{n}"), o, oq)
+
+    values = [F.struct(F.lit(n).alias("config"), value(*c).alias("value")) for n, c in enumerate(configs)]
+    return whole.select(key, F.explode(F.array(*values)).alias("v")).select(key, "v.config", "v.value")
+
+
+def _field(name: str):
+    return lambda x: x[name]
+
+
+def _barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column behind a generator of one row, so that what reads it doesn't work it out again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def sorted_pool(scores: Column, pool: str, tail: float) -> Column:
+    """§2: A1-A4 over a sorted array that isn't empty."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    if pool == "lower_quantile_mean":
+        k = F.greatest(F.lit(1), F.ceil(F.size(scores) * F.lit(float(tail)))).cast("int")
+        return total(F.slice(scores, 1, k)) / k
+    return {"sum": lambda: total(scores), "min": lambda: scores[0], "max": lambda: F.element_at(scores, -1), "mean": lambda: total(scores) / F.size(scores)}[pool]()

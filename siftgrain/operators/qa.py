@@ -61,10 +61,10 @@ def unanswered(asked: DataFrame, answered: DataFrame, key: str = "id") -> DataFr
     return asked.join(answered.select(key), key, "left_anti")
 
 
-def joined_gap(output: DataFrame, gold: DataFrame, key: str = "id") -> DataFrame:
-    """§2: J1, J2, W7. Scores of answers and gold side by side; gap = answer - gold."""
+def joined_gap(grades: DataFrame, output: DataFrame, gold: DataFrame, key: str = "id") -> DataFrame:
+    """§2: J1, J2, W7. Every graded row with the scores of its answer and of the gold answer, null where there is none; gap = answer - gold."""
     a, b = output.select(key, F.col("score").alias("score_output")), gold.select(key, F.col("score").alias("score_gold"))
-    return a.join(b, key).dropna(subset=["score_output", "score_gold"]).withColumn("gap", F.col("score_output") - F.col("score_gold"))
+    return grades.join(a, key, "left").join(b, key, "left").withColumn("gap", F.col("score_output") - F.col("score_gold"))
 
 
 def common_ids(df: DataFrame, key: str, member: str, wanted: int) -> DataFrame:

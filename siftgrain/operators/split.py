@@ -7,12 +7,15 @@ or has no letter or digit, and a unit is a longest run of other tokens. Any
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgrain.functions.text import clean, collapse
 
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+#: Ends a unit: whatever is neither letter, digit nor blank.
+MARK = r"[^\p{L}\p{N}\s]"
 # Stop words of the rule splitter (English, French, German, Spanish).
 STOP_WORDS = (
     "a an and are as at be but by for from had has have he her his i in is it its not of on or our she that the their them they this to was we were which will with you your "
@@ -35,19 +38,27 @@ def scopes(text: Column, scope: str = "sentence") -> Column:
     return sentences(text) if scope == "sentence" else F.array(text)
 
 
+def stop_pattern(stop_words: list[str]) -> str:
+    """Stop words as whole tokens, by first letter, so that a token is compared with few of them."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(set(stop_words)):
+        by_letter.setdefault(w[0], []).append(re.escape(w[1:]))
+    words = "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in by_letter.items())
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
+
+
 def units(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """§2: U5-U7. Units in the text's order, repeats kept; 'Name et al' stays one token."""
     text = F.regexp_replace(text, r"(\p{Lu}\p{L}*) et al\b", "$1etal")
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    marked = F.transform(tokens, lambda t: F.when(F.array_contains(stop, F.lower(t)) | ~t.rlike(r"[\p{L}\p{N}]"), F.lit("\n")).otherwise(t))
-    runs = F.transform(F.split(F.array_join(marked, " "), "\n"), lambda x: F.trim(x))
-    return F.filter(runs, lambda u: u != "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), MARK, "\n")
+    if stop_words:
+        text = F.regexp_replace(text, stop_pattern(stop_words), "\n")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda u: u != "")
 
 
-def object_units(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+def without_repeats(found: Column) -> Column:
     """§2: U8. Units without repeats, first ones kept."""
-    return F.array_distinct(units(text, stop_words))
+    return F.array_distinct(found)
 
 
 def split_scopes(docs: DataFrame, scope: str = "sentence", text: str = "text", **flags: bool) -> DataFrame:

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.operators.ordered import numbered, running
+from siftgrain.session import checkpointed
+
 
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -42,6 +45,8 @@ def t_two_sided(t: float, df: int) -> float:
 def average_ranks(df: DataFrame, value: str, groups: list[str] = []) -> DataFrame:  # noqa: B006
     """Distinct values with their count (_n) and average rank (_rank): ties share, and the window sees distinct values."""
     counts = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    if not groups:
+        return running(checkpointed(counts), value, "_n", "_below").withColumn("_rank", F.col("_below") + (F.col("_n") + 1) / 2.0).drop("_below")
     w = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_rank", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0)
 
@@ -53,8 +58,7 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     the rows is ordered in one place, and no pairs are formed.
     """
     sides = df.filter(f"{flag} is not null and {value} is not null").groupBy(value).agg(F.sum(F.col(flag).cast("int")).alias("n1"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sides.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    ranked = running(checkpointed(sides), value, "n", "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
     s = ranked.agg(F.sum("n1").cast("double").alias("n1"), F.sum("n").cast("double").alias("N"), F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     s = s.withColumn("n0", F.col("N") - F.col("n1")).withColumn("u1", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     var = F.col("n1") * F.col("n0") / 12 * ((F.col("N") + 1) - F.col("ties") / (F.col("N") * (F.col("N") - 1)))
@@ -74,8 +78,7 @@ def wilcoxon(df: DataFrame, difference: Column) -> DataFrame:
     """§2: H3, M10. n, w_plus, w_minus and z of signed ranks; zeros are dropped and ties share ranks."""
     d = df.select(difference.cast("double").alias("d")).filter("d is not null and not isnan(d) and d <> 0").withColumn("a", F.abs("d"))
     counts = d.groupBy("a").agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("int")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    ranked = running(checkpointed(counts), "a", "n", "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
     s = ranked.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("pos"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
     return s.select(F.col("n").cast("long").alias("n"), "w_plus", "w_minus", ((F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var)).alias("z"))
@@ -149,8 +152,8 @@ def logistic(df: DataFrame, features: list[str], target: str):
 
 def stratified_folds(df: DataFrame, target: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """§2: H11. Adds a fold: equal shares of each class, by a hash's order."""
-    order = Window.partitionBy(target).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order), F.lit(folds)))
+    order = [F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
+    return numbered(df, order, (target,), "fold").withColumn("fold", F.pmod("fold", F.lit(folds)).cast("int"))
 
 
 def spline_basis(x: np.ndarray, low: float, high: float, n: int = 20) -> np.ndarray:

@@ -7,9 +7,11 @@ broadcast of that size; searches against an index go block by block.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +29,28 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """§2: V2."""
-    n = norm(a) + EPSILON
-    return F.transform(a, lambda x: x.cast("double") / n)
+    # The norm goes in as an array, so that it is worked out once and not by component.
+    return F.zip_with(a, F.array_repeat(norm(a) + EPSILON, F.size(a)), lambda x, n: x.cast("double") / n)
 
 
 def token_hash_encoder(units: DataFrame, dims: int = 64, text: str = "unit") -> DataFrame:
     """§2: V1. A deterministic stand-in for a neural encoder: signed hashes of the words and their trigrams, added up."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))))
     hashes = F.transform(F.concat(words, grams), lambda t: F.xxhash64(t))
-    zero = F.array_repeat(F.lit(0.0), dims)
-    place = lambda h: F.pmod(h, F.lit(dims)).cast("int")
-    add = lambda v, h: F.transform(v, lambda x, i: x + F.when(i == place(h), F.when(h > 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-    return units.withColumn("embedding", F.aggregate(hashes, zero, add))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields if f.name != "embedding"]
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("_hashes")
+            n, flat = b.num_rows, column.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
+            sums = np.bincount(row * dims + flat % dims, np.where(flat > 0, 1.0, -1.0), n * dims)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(sums))
+            names = [c for c in b.schema.names if c != "_hashes"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], vectors], names=[*names, "embedding"])
+
+    return units.drop("embedding").withColumn("_hashes", hashes).mapInArrow(encoded, ", ".join([*fields, "embedding array<double>"]))
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int, block: int = 4096) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.functions import text as tx
@@ -12,8 +12,9 @@ from siftgrain.operators import dataset as ds
 from siftgrain.operators import percentile as pc
 from siftgrain.operators import pooling as pl
 from siftgrain.operators import predictors as pr
-from siftgrain.operators import qa, ranking, split, stats
+from siftgrain.operators import ordered, qa, ranking, split, stats
 from siftgrain.operators import vectors as vc
+from siftgrain.session import spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +35,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id and text of all documents, over all cores."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -45,10 +51,11 @@ _SCOPES = rf"""c AS (SELECT doc_id, {_CLEAN} AS body FROM documents),
 s0 AS (SELECT doc_id, body, list_filter(list_transform(string_split(regexp_replace(body, '([.!?]+) ', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM c),
 s1 AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [body] END AS l FROM s0),
 s AS (SELECT doc_id, unnest(l) AS scope_text, generate_subscripts(l, 1) - 1 AS scope_index FROM s1)"""
-_UNITS = _SCOPES + rf""",
+_MARKED = rf""",
 t AS (SELECT *, regexp_extract_all(regexp_replace(scope_text, '(\p{{Lu}}\p{{L}}*) et al\b', '\1etal', 'g'), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s]') AS tok FROM s),
 m AS (SELECT *, list_transform(tok, lambda x: CASE WHEN list_contains({_STOP}, lower(x)) OR NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN chr(10) ELSE x END) AS mk FROM t),
-ul AS (SELECT doc_id, scope_index, scope_text, list_filter(list_transform(string_split(array_to_string(mk, ' '), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS units FROM m),
+ul AS (SELECT doc_id, scope_index, scope_text, list_filter(list_transform(string_split(array_to_string(mk, ' '), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS units FROM m)"""
+_UNITS = _SCOPES + _MARKED + """,
 u0 AS (SELECT doc_id, scope_index, unnest(CASE WHEN len(units) > 0 THEN units ELSE [NULL] END) AS unit FROM ul),
 u AS (SELECT doc_id, scope_index, unit, coalesce(length(unit)::DOUBLE, 5.0::DOUBLE) AS score FROM u0)"""
 _RANKED = _UNITS + """,
@@ -62,7 +69,7 @@ _LQM = "(SELECT doc_id, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def scoped(spark: SparkSession, sf: str) -> DataFrame:
-    return split.split_scopes(table(spark, sf, "documents").select("doc_id", "text"))
+    return split.split_scopes(texts(spark, sf))
 
 
 def unit_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,20 +77,20 @@ def unit_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unit_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pl.score_units(unit_table(spark, sf), pr.length)
+    rows = pl.score_units(stored(unit_table(spark, sf)), pr.length)
     return rows.select("doc_id", "scope_index", "unit", F.coalesce("score", F.lit(pl.NO_FACT)).alias("score"))
 
 
-def noun_reference(spark: SparkSession, sf: str) -> DataFrame:
+def noun_reference(units: DataFrame) -> DataFrame:
     """§2: B4. Scores of all distinct units."""
-    return pr.length(unit_table(spark, sf).filter("unit is not null").select("unit").distinct()).select("score")
+    return pr.length(units.filter("unit is not null").select("unit").distinct()).select("score")
 
 
 @query(f"SELECT doc_id, md5({_CLEAN}) AS cleaned, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '([.!?])([A-Za-z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))) AS no_brackets FROM documents")
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     """§2: T4, T6-T8, T17."""
     body = F.coalesce("text", F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.clean(body)).alias("cleaned"), F.md5(tx.clean(body, brackets=True)).alias("no_brackets"))
+    return texts(spark, sf).select("doc_id", F.md5(tx.clean(body)).alias("cleaned"), F.md5(tx.clean(body, brackets=True)).alias("no_brackets"))
 
 
 @query(r"""SELECT doc_id, length(text)::BIGINT AS chars, (CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END)::BIGINT AS words, lower(trim(source)) AS label FROM documents""")
@@ -102,7 +109,7 @@ def sentence_scopes(spark: SparkSession, sf: str) -> DataFrame:
 def unit_extract(spark: SparkSession, sf: str) -> DataFrame:
     """§2: U5-U9."""
     rows = scoped(spark, sf)
-    return rows.select("doc_id", "scope_index", F.size("units").alias("n_units"), F.md5(F.array_join("units", "|")).alias("units_hash"), F.size(F.array_distinct("units")).alias("n_objects"))
+    return rows.select("doc_id", "scope_index", F.size("units").alias("n_units"), F.md5(F.array_join("units", "|")).alias("units_hash"), F.size(split.without_repeats(F.col("units"))).alias("n_objects"))
 
 
 @query(f"WITH {_UNITS} SELECT unit, any_value(score) AS score, count(*) AS uses FROM u WHERE unit IS NOT NULL GROUP BY unit")
@@ -175,8 +182,8 @@ _pool(
 SELECT doc_id, round(v, 6) AS score, CASE WHEN v < 33.33 THEN 'low' WHEN v < 66.66 THEN 'medium' ELSE 'high' END AS bucket FROM d""")
 def doc_score_default(spark: SparkSession, sf: str) -> DataFrame:
     """§2: A6-A8, B1, B3, P8. The default pipeline: sentences, mean of percentiles, lower-quantile mean of sentences."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    out = pl.score_texts(docs, pr.named("length"), noun_reference(spark, sf))
+    units = pl.split_rows(texts(spark, sf))
+    out = pl.score_rows(units, pr.named("length"), noun_reference(units))
     return out.select("doc_id", r6(F.col("score"), "score"), "bucket")
 
 
@@ -192,7 +199,7 @@ def doc_score_weighted(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, count(*) AS n_scopes, sum(coalesce(len(map_keys(mp)), 0))::BIGINT AS n_scored, round(sum(v), 6) AS total FROM d GROUP BY 1""")
 def doc_details(spark: SparkSession, sf: str) -> DataFrame:
     """§2: A9: scores by unit and scope, counted here."""
-    out = pl.score_texts(table(spark, sf, "documents").select("doc_id", "text"), pr.length, details=True, scope_pool="sum")
+    out = pl.score_texts(texts(spark, sf), pr.length, details=True, scope_pool="sum")
     n = F.aggregate("scopes", F.lit(0).cast("long"), lambda a, s: a + F.size(s["unit_scores"]))
     return out.select("doc_id", F.size("scopes").cast("long").alias("n_scopes"), n.alias("n_scored"), r6(F.col("score"), "total"))
 
@@ -227,13 +234,15 @@ def pooling_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graded_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide answers for the dataset operators: the texts of a conversation's first six turns, '' where there is none."""
-    turns = table(spark, sf, "conversations").filter("turn < 6").groupBy("conv_id").pivot("turn", list(range(6))).agg(F.max("text"))
-    return turns.select(F.col("conv_id").alias("id"), ds.answers(*[str(i) for i in range(6)]).alias("answers"))
+    """Wide answers for the dataset operators: the texts of all turns of a conversation, '' where there is none; as wide as the longest."""
+    turns = table(spark, sf, "conversations").filter("turn >= 0").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    width = turns.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0] + 1
+    held = turns.groupBy(F.col("conv_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("int"), "text"))).alias("m"))
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(int(width) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("answers"))
 
 
-_WIDE = """w AS (SELECT conv_id AS id, list_transform(range(0, 6), lambda i: coalesce(mp[i], '')) AS a FROM (SELECT conv_id, map_from_entries(list((turn::BIGINT, tx))) AS mp FROM (SELECT conv_id, turn, max(text) AS tx FROM conversations WHERE turn < 6 GROUP BY ALL) GROUP BY 1)),
-g AS (SELECT id, a, list_filter(a, lambda x: x <> '') AS v, list_max(list_transform(range(1, 7), lambda i: CASE WHEN a[i] <> '' THEN i ELSE 0 END)) AS last FROM w)"""
+_WIDE = """n AS (SELECT max(turn)::BIGINT + 1 AS width FROM conversations), w AS (SELECT conv_id AS id, list_transform(range(0, width), lambda i: coalesce(mp[i], '')) AS a FROM n, (SELECT conv_id, map_from_entries(list((turn::BIGINT, tx))) AS mp FROM (SELECT conv_id, turn, max(text) AS tx FROM conversations WHERE turn >= 0 GROUP BY ALL) GROUP BY 1)),
+g AS (SELECT id, a, list_filter(a, lambda x: x <> '') AS v, list_max(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] <> '' THEN i ELSE 0 END)) AS last FROM w)"""
 
 
 @query(f"WITH {_WIDE} SELECT id, len(v) <> len(list_distinct(v)) AS dup, len(v) < last AS gap, last::INTEGER AS last_level FROM g")
@@ -243,7 +252,7 @@ def dup_gap_rows(spark: SparkSession, sf: str) -> DataFrame:
     return graded_answers(spark, sf).select("id", ds.has_duplicates(a).alias("dup"), ds.has_gap(a).alias("gap"), ds.last_level(a).cast("int").alias("last_level"))
 
 
-@query(f"WITH {_WIDE} SELECT i::INTEGER AS level, count(*) AS n FROM (SELECT unnest(list_filter(range(1, 7), lambda i: a[i] <> '')) AS i FROM g) GROUP BY 1")
+@query(f"WITH {_WIDE} SELECT i::INTEGER AS level, count(*) AS n FROM (SELECT unnest(list_filter(range(1, len(a) + 1), lambda i: a[i] <> '')) AS i FROM g) GROUP BY 1")
 def answers_per_level(spark: SparkSession, sf: str) -> DataFrame:
     """§2: G2."""
     return ds.per_level(graded_answers(spark, sf))
@@ -268,10 +277,14 @@ def split_no_leakage(spark: SparkSession, sf: str) -> DataFrame:
     return ds.leakage_free_split(edges)
 
 
-@query("SELECT coalesce(lang, 'TOTAL') AS lang, " + ", ".join(f"count(*) FILTER (source = 'src{i}') AS src{i}" for i in range(4)) + " FROM documents GROUP BY GROUPING SETS ((lang), ())")
+@query("""WITH d AS (SELECT lang, coalesce(source, '') AS source FROM documents), l AS (SELECT DISTINCT lang FROM d UNION ALL SELECT 'TOTAL'), s AS (SELECT DISTINCT source FROM d)
+SELECT l.lang, s.source, (SELECT count(*) FROM d WHERE d.source = s.source AND (l.lang = 'TOTAL' OR d.lang IS NOT DISTINCT FROM l.lang)) AS n FROM l, s""")
 def pivot_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: G18."""
-    return ds.pivot_counts(table(spark, sf, "documents"), "lang", "source", [f"src{i}" for i in range(4)])
+    """§2: G18. All sources, long again for the comparison."""
+    docs = table(spark, sf, "documents").select("lang", F.coalesce("source", F.lit("")).alias("source"))
+    sources = sorted(r["source"] for r in docs.select("source").distinct().collect())
+    wide = ds.pivot_counts(docs, "lang", "source", sources)
+    return wide.select("lang", F.explode(F.array(*[F.struct(F.lit(x).alias("source"), F.col(f"`{x}`").alias("n")) for x in sources])).alias("z")).select("lang", "z.source", "z.n")
 
 
 @query("SELECT l_partkey::VARCHAR AS answer, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS levels FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) > 1")
@@ -320,12 +333,10 @@ def pair_accuracy_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT l_linenumber AS y, l_extendedprice AS p, count(*) AS n FROM lineitem GROUP BY ALL),
-z AS (SELECT y, n, p, [coalesce(sum(n) FILTER (y = k) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) FOR k IN [0]] AS d FROM c WHERE false),
 l AS (SELECT l_linenumber AS y, count(*) AS n FROM lineitem GROUP BY 1), pr AS (SELECT a.y AS lo, b.y AS hi, a.n * b.n AS al FROM l a JOIN l b ON a.y < b.y),
 e AS (SELECT lo, hi, p, n, 0 AS m FROM pr JOIN c ON lo = y UNION ALL SELECT lo, hi, p, 0, n FROM pr JOIN c ON hi = y), f AS (SELECT lo, hi, p, sum(n) AS n, sum(m) AS m FROM e GROUP BY ALL),
 v AS (SELECT m * coalesce(sum(n) OVER (PARTITION BY lo, hi ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS won FROM f)
-SELECT round((SELECT sum(won) FROM v) / (SELECT sum(al) FROM pr)::DOUBLE, 6) AS accuracy, (SELECT sum(al) FROM pr)::BIGINT AS n_pairs""".replace("""z AS (SELECT y, n, p, [coalesce(sum(n) FILTER (y = k) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) FOR k IN [0]] AS d FROM c WHERE false),
-""", ""))
+SELECT round((SELECT sum(won) FROM v) / (SELECT sum(al) FROM pr)::DOUBLE, 6) AS accuracy, (SELECT sum(al) FROM pr)::BIGINT AS n_pairs""")
 def pair_accuracy_global(spark: SparkSession, sf: str) -> DataFrame:
     """§2: M3, by counting; a test holds it against the self-join."""
     out = ranking.global_accuracy(table(spark, sf, "lineitem"), "l_linenumber", "l_extendedprice")
@@ -413,10 +424,10 @@ def radial_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return vc.radial_anchors(ball(spark, sf), 99).select("vec_id", "bin")
 
 
-@query("WITH m AS (SELECT source AS label, min(doc_id) AS vec_id FROM documents WHERE source IS NOT NULL GROUP BY 1) SELECT vec_id, label, 64 AS width FROM m")
+@query(f"WITH {_UNITS} SELECT min(doc_id) AS vec_id, unit AS label, 64 AS width FROM u WHERE unit IS NOT NULL GROUP BY unit")
 def index_build(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: V1, V13."""
-    out = vc.build_index(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("label")))
+    """§2: V1, V13: an index of all distinct units."""
+    out = vc.build_index(unit_table(spark, sf).select(F.col("doc_id").alias("vec_id"), F.col("unit").alias("label")))
     return out.select("vec_id", "label", F.size("unit_vector").alias("width"))
 
 
@@ -424,8 +435,7 @@ def index_build(spark: SparkSession, sf: str) -> DataFrame:
 def random_neighbour_search(spark: SparkSession, sf: str) -> DataFrame:
     """§2: V4. Rows only: its hash is Spark's."""
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    n = F.row_number().over(Window.orderBy("vec_id")) - 1
-    positions = v.select("vec_id").withColumn("position", n.cast("long"))
+    positions = ordered.numbered(v.select("vec_id"), [F.md5(F.col("vec_id").cast("string")), F.col("vec_id")]).select("vec_id", (F.col("number") - 1).cast("long").alias("position"))
     out = vc.random_neighbours(v, v.join(positions, "vec_id"), 5)
     return out.select("query_id", "j", "vec_id", r6(F.col("similarity"), "similarity"))
 
@@ -450,19 +460,29 @@ def grade_summary(spark: SparkSession, sf: str) -> DataFrame:
     return qa.grade_summary(rows, "lang")
 
 
-@query("SELECT 'task-' || conv_id::VARCHAR AS custom_id, md5('Grade: ' || text) AS prompt FROM conversations WHERE role = 'user' AND turn = 0")
+@query("SELECT 'task-' || conv_id::VARCHAR || '.' || turn::VARCHAR AS custom_id, md5('Grade: ' || text) AS prompt FROM conversations WHERE role = 'user'")
 def judge_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: Q6, Q8, T16."""
-    rows = table(spark, sf, "conversations").filter("role = 'user' and turn = 0").withColumnRenamed("conv_id", "id")
+    """§2: Q6, Q8, T16. A request for every user turn."""
+    rows = table(spark, sf, "conversations").filter("role = 'user'").withColumn("id", F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     out = qa.requests(rows, tx.filled("Grade: {text}", text=F.col("text")), "judge")
     return out.select("custom_id", F.md5(F.get_json_object("request", "$.body.input[0].content")).alias("prompt"))
 
 
-@query("SELECT conv_id AS id, length(a.text) - length(q.text) AS gap FROM conversations a JOIN conversations q USING (conv_id) WHERE a.turn = 1 AND q.turn = 0")
+_ASKED = "FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'"
+
+
+def asked_and_answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(id and score of every user turn, of the assistant's turns by the turn that they answer); scores are lengths."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("score"))
+    own = lambda turn: F.concat_ws(".", F.col("conv_id").cast("string"), turn.cast("string")).alias("id")
+    return rows.filter("role = 'user'").select(own(F.col("turn")), "score"), rows.filter("role = 'assistant'").select(own(F.col("turn") - 1), "score")
+
+
+@query(f"SELECT q.conv_id::VARCHAR || '.' || q.turn::VARCHAR AS id, length(a.text) - length(q.text) AS gap {_ASKED}")
 def qa_join_gap(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: J1, J2, W7, N1."""
-    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", F.length("text").cast("long").alias("score"))
-    return qa.joined_gap(rows.filter("turn = 1"), rows.filter("turn = 0")).select("id", "gap")
+    """§2: J1, J2, W7: every question; those without an answer have no gap."""
+    questions, answers = asked_and_answered(spark, sf)
+    return qa.joined_gap(questions.select("id"), answers, questions).select("id", "gap")
 
 
 @query("SELECT CASE quality WHEN 1 THEN 'correct' ELSE 'incorrect' END AS label, round(avg(n_chars), 6) AS n_chars, round(avg(length(source)), 6) AS source_length FROM documents JOIN labels USING (doc_id) GROUP BY 1")
@@ -535,12 +555,13 @@ def mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("n1", "n0", F.round("u1", 4).alias("u1"), *[r6(F.col(c), c) for c in ("z", "cliffs_delta", "auc")])
 
 
-_TURNS = "p AS (SELECT conv_id, length(a.text)::DOUBLE AS a, length(b.text)::DOUBLE AS b FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND b.turn = 1)"
+_TURNS = f"p AS (SELECT length(q.text)::DOUBLE AS a, length(a.text)::DOUBLE AS b {_ASKED} AND a.text IS NOT NULL)"
 
 
 def paired_turns(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("x"))
-    return c.filter("turn = 0").select("conv_id", F.col("x").alias("a")).join(c.filter("turn = 1").select("conv_id", F.col("x").alias("b")), "conv_id")
+    """Lengths of every question and its answer."""
+    questions, answers = asked_and_answered(spark, sf)
+    return questions.select("id", F.col("score").cast("double").alias("a")).join(answers.select("id", F.col("score").cast("double").alias("b")), "id")
 
 
 @query(f"""WITH {_TURNS}, d AS (SELECT a - b AS d FROM p WHERE a <> b), v AS (SELECT abs(d) AS x, count(*) AS n, count(*) FILTER (d > 0) AS pos FROM d GROUP BY 1),
@@ -593,7 +614,7 @@ f AS (SELECT word, log10(sum(t) / (SELECT sum(t) FROM p)::DOUBLE) + 9 AS z FROM
 SELECT doc_id, sum(t)::BIGINT AS n_words, round(count(*) / sum(t)::DOUBLE, 6) AS ttr, round(sum(z * t) / sum(t), 5) AS mean_zipf FROM p JOIN f USING (word) GROUP BY 1""")
 def lexical_stats(spark: SparkSession, sf: str) -> DataFrame:
     """§2: Q11."""
-    return qa.lexical(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "n_words", r6(F.col("ttr"), "ttr"), F.round("mean_zipf", 5).alias("mean_zipf"))
+    return qa.lexical(texts(spark, sf), "doc_id", "text").select("doc_id", "n_words", r6(F.col("ttr"), "ttr"), F.round("mean_zipf", 5).alias("mean_zipf"))
 
 
 @query("SELECT source, ntile(4) OVER (ORDER BY source)::INTEGER AS block FROM (SELECT DISTINCT source FROM documents)")

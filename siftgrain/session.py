@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive plans, UTC, and the last value of a repeated map key (units that occur twice).
 SETTINGS = {
@@ -19,3 +22,33 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the folder the cluster names; sets one of its own only where none is set and the driver is the only machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftgrain-ckpt-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed``, as a compressed table in the same folder: for many rows that are read more than once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table that comes in fewer parts than there are cores (one row group, gzipped lines) over all of them; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,8 +5,7 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,9 +43,14 @@ def read(spark: SparkSession, path: str, kind: str | None = None, schema: str |
 
 
 def numbered(df: DataFrame, name: str = "id") -> DataFrame:
-    """§2: S6. Adds a row's place in the order of its files, gapless from 0."""
-    schema = f"{name} long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
+    """§2: S6. Adds a row's place in the order of its files' parts, gapless from 0; ``df`` is a scan, whose parts don't change."""
+    rows = df.withColumn("_at", F.monotonically_increasing_id())
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each part of the input.
+    parts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    met = rows.withColumn("_part", part).join(F.broadcast(parts), "_part")
+    return met.select((F.col("_base") + inside).alias(name), *df.columns)
 
 
 def paired_lines(spark: SparkSession, texts: str, values: str) -> DataFrame:
@@ -83,17 +87,10 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 
 
 def verified(path: str, sha256: str | None) -> str:
-    """§2: S14. A local model file whose digest is checked; a wrong file is removed."""
+    """§2: S14. A local model file whose digest is checked; a wrong file raises and stays."""
     if sha256:
-        digest = hashlib.sha256(Path(path).read_bytes()).hexdigest()
+        with open(path, "rb") as f:
+            digest = hashlib.file_digest(f, "sha256").hexdigest()
         if digest != sha256:
-            Path(path).unlink()
             raise ValueError(f"{path}: sha256 is {digest}")
     return path
-
-
-def table_or_none(spark: SparkSession, name: str) -> DataFrame | None:
-    try:
-        return spark.table(name)
-    except AnalysisException:
-        return None
