@@ -15,19 +15,21 @@ def _offset(placed: DataFrame, groups: list[str], value: Column) -> DataFrame:
     return sums.select(*groups, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
 
 
-def running(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """Adds the sum of ``value`` over the rows before, in the order of the numbers ``order``, which differ.
+def running(df: DataFrame, order: str, value: str, out: str, groups: list[str] | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before (of the group), in the order of the numbers ``order``, which differ.
 
-    Cuts between parts are approximate quantiles, at most one for each shuffle
-    partition. ``df`` is read three times: materialise it if it is dear.
+    Cuts between parts are approximate quantiles over all groups, at most one
+    for each shuffle partition. ``df`` is read three times: materialise it if
+    it is dear.
     """
+    groups = groups or []
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / n for i in range(1, n)] or [1.0]
     cuts = sorted(set(df.agg(F.percentile_approx(order, shares).alias("q")).first()["q"] or []))
     part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
     placed = df.withColumn("_part", part)
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(*_BEFORE)), F.lit(0))
-    met = placed.withColumn("_inside", inside).join(F.broadcast(_offset(placed, [], F.col(value))), "_part")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(*_BEFORE)), F.lit(0))
+    met = _null_safe(placed.withColumn("_inside", inside), _offset(placed, groups, F.col(value)), [*groups, "_part"])
     return met.withColumn(out, F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside")
 
 
@@ -35,8 +37,7 @@ def numbered(df: DataFrame, order: list[Column], groups: tuple[str, ...] = (), o
     """Adds a row's place from 1 in its group, in the order of ``order``, whose first column is a hash in hexadecimal digits: its first ones deal the rows."""
     placed = df.withColumn("_part", F.substring(order[0], 1, digits))
     inside = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))
-    base = _offset(placed, list(groups), F.lit(1))
-    met = placed.withColumn("_inside", inside).join(F.broadcast(base), [*groups, "_part"]) if not groups else _null_safe(placed.withColumn("_inside", inside), base, [*groups, "_part"])
+    met = _null_safe(placed.withColumn("_inside", inside), _offset(placed, list(groups), F.lit(1)), [*groups, "_part"])
     return met.withColumn(out, F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside")
 
 
@@ -46,4 +47,5 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     met = on[0]
     for c in on[1:]:
         met = met & c
-    return left.join(named, met).drop(*[f"_r{i}" for i in range(len(keys))])
+    # A row for each part of each group.
+    return left.join(F.broadcast(named) if len(keys) == 1 else named, met).drop(*[f"_r{i}" for i in range(len(keys))])

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftgrain.session import checkpointed
+
 Predictor = Callable[[DataFrame], DataFrame]
 
 
@@ -28,10 +31,12 @@ def hypernym_depths(edges: DataFrame, most: int = 30) -> DataFrame:
     level = edges.filter("parent is null").select("node", F.lit(1).cast("long").alias("paths"), F.lit(0).cast("long").alias("total"))
     out = level
     for _ in range(most):
-        level = edges.alias("e").join(level.alias("l"), F.col("e.parent") == F.col("l.node")).groupBy(F.col("e.node").alias("node")).agg(F.sum("l.paths").alias("paths"), F.sum(F.col("l.total") + F.col("l.paths")).alias("total"))
+        level = checkpointed( edges.alias("e").join(level.alias("l"), F.col("e.parent") == F.col("l.node")).groupBy(F.col("e.node").alias("node")).agg(F.sum("l.paths").alias("paths"), F.sum(F.col("l.total") + F.col("l.paths")).alias("total")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        raise RuntimeError(f"more than {most} levels, or a cycle")
     return out.groupBy("node").agg((F.sum("total") / F.sum("paths")).alias("depth"))
 
 
@@ -74,6 +79,14 @@ def pairwise_rows(rows: DataFrame, group: str = "id", features: str = "features"
     return met.select(F.col(f"a.{group}").alias(group), diff.alias(features), (F.col(f"a.{target}") > F.col(f"b.{target}")).cast("int").alias("y"))
 
 
+def fit_pairwise(rows: DataFrame, group: str = "id", features: str = "features", target: str = "y") -> Predictor:
+    """§2: L3. A linear ranker: logistic regression without intercept on ``pairwise_rows``; gives a function that adds ``score``."""
+    data = pairwise_rows(rows, group, features, target).select(array_to_vector(features).alias("_x"), F.col("y").cast("double").alias("_y"))
+    weights = [float(w) for w in LogisticRegression(featuresCol="_x", labelCol="_y", fitIntercept=False, regParam=1e-3).fit(data).coefficients]
+    held = F.array(*[F.lit(w) for w in weights])
+    return lambda df: df.withColumn("score", F.aggregate(F.zip_with(F.col(features), held, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x))
+
+
 REGISTRY: dict[str, object] = {"length": length, "lexicon": lexicon_depth, "reply": likert_reply, "hyperbolic": gbt, "similarity": gbt}
 
 

@@ -147,6 +147,23 @@ def lexical(df: DataFrame, key: str, text: str, rare: float = 3.0) -> DataFrame:
     )
 
 
+def gold_granularity(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str = "id", answers: str = "answers", question: str = "question") -> DataFrame:
+    """§2: N1, W8, W10. key, answer_granularity (mean over its answers, blank ones left out) and question_granularity.
+
+    score: takes doc_id and text, gives doc_id and score, a row for each row.
+    """
+    long = df.select(key, F.explode(F.concat(F.transform(answers, lambda a: F.struct(F.lit("a").alias("part"), a.alias("text"))), F.array(F.struct(F.lit("q").alias("part"), F.col(question).alias("text"))))).alias("z"))
+    long = long.filter("trim(coalesce(z.text, '')) <> ''").select(F.concat_ws("\0", F.col(key).cast("string"), "z.part").alias("doc_id"), "z.text")
+    done = score(long).groupBy("doc_id").agg(F.avg("score").alias("score"))
+    done = done.select(F.substring_index("doc_id", "\0", 1).alias(key), F.substring_index("doc_id", "\0", -1).alias("part"), "score")
+    return done.groupBy(key).pivot("part", ["a", "q"]).agg(F.first("score")).withColumnRenamed("a", "answer_granularity").withColumnRenamed("q", "question_granularity")
+
+
+def overview_line(df: DataFrame, dataset: str) -> DataFrame:
+    """§2: N2. The line of a report: dataset and mean granularities to four decimals."""
+    return df.agg(F.format_string(f"{dataset}: Answer %.4f - Question %.4f", F.avg("answer_granularity"), F.avg("question_granularity")).alias("line"))
+
+
 def sections_scored(df: DataFrame, key: str, sections: list[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """§2: N4, N5. The same scoring over several text columns: long, scored once, wide again."""
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).alias("text")) for s in sections])).alias("z")).select(F.concat_ws("\0", F.col(key).cast("string"), "z.section").alias("doc_id"), "z.text")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.operators import stats
+from siftgrain.session import checkpointed
+
 
 def finite(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
@@ -35,14 +38,15 @@ def intra_summary(df: DataFrame, group: str, order: str, gold: str, pred: str) -
     return acc.agg(F.coalesce(F.avg("accuracy"), F.lit(-1.0)).alias("mean_accuracy"), (F.sum((F.col("accuracy") == 1).cast("int")) / F.nullif(F.count("accuracy"), F.lit(0))).alias("all_right"))
 
 
-def global_accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:
+def global_accuracy(df: DataFrame, gold: str, pred: str, weight: str | None = None) -> DataFrame:
     """§2: M3, N7. Accuracy over all pairs of different gold, by counting.
 
     Rows are reduced to (level, prediction) counts and numbered by a range of
     predictions; for each pair of levels a running count gives how many of the
     lower level lie below. Cost grows with levels x distinct predictions.
+    ``weight``: a column that says how many rows a row stands for.
     """
-    counts = finite(df, gold, pred).groupBy(F.col(gold).alias("y"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+    counts = finite(df, gold, pred).groupBy(F.col(gold).alias("y"), F.col(pred).alias("p")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     levels = counts.groupBy("y").agg(F.sum("n").alias("n_level"))
     a, b = levels.alias("a"), levels.alias("b")
     both = a.join(b, F.col("a.y") < F.col("b.y")).select(F.col("a.y").alias("lo"), F.col("b.y").alias("hi"), (F.col("a.n_level") * F.col("b.n_level")).alias("all"))
@@ -65,6 +69,33 @@ def kendall_tau_b(df: DataFrame, group: str, order: str, gold: str, pred: str) -
     return sums.select(group, F.when(below > 0, F.col("s") / below).alias("tau"))
 
 
+def kendall_tau_global(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """§2: M4. tau-b over all rows, by counting as ``global_accuracy`` does: tau and n_pairs (of different gold); null where one side is constant."""
+    counts = checkpointed(finite(df, gold, pred).groupBy(F.col(gold).alias("y"), F.col(pred).alias("p")).agg(F.count("*").alias("n")))
+    two = lambda c: c * (c - 1) / 2
+    n = F.col("n").cast("double")
+    tied = lambda key, name: counts.groupBy(key).agg(F.sum(n).alias("s")).agg(F.sum(two(F.col("s"))).alias(name))
+    sums = counts.agg(two(F.sum(n)).alias("n0"), F.sum(two(n)).alias("n12"))
+    met = sums.crossJoin(tied("y", "n1")).crossJoin(tied("p", "n2")).crossJoin(global_accuracy(counts, "y", "p", "n"))
+    # Pairs of different gold are right, wrong or tied in their predictions.
+    won = F.col("accuracy") * F.col("n_pairs")
+    lost = F.col("n_pairs") - won - (F.col("n2") - F.col("n12"))
+    below = F.sqrt((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")))
+    return met.select(F.when(below > 0, (won - lost) / below).alias("tau"), "n_pairs")
+
+
+def level_pairs(df: DataFrame, group: str, order: str, gold: str, pred: str) -> DataFrame:
+    """§2: M10. Of each pair of levels i < j, over the pairs inside groups: n, mean predictions, direction, Wilcoxon's z and p that i's are less, and whether p < 0.01."""
+    met = pairs(df, group, order, gold, pred)
+    up = F.col("gold_i") < F.col("gold_j")
+    pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
+    rows = met.select(F.least("gold_i", "gold_j").alias("i"), F.greatest("gold_i", "gold_j").alias("j"), pick("pred_i", "pred_j").alias("a"), pick("pred_j", "pred_i").alias("b"))
+    means = rows.groupBy("i", "j").agg(F.count("*").alias("n"), F.avg("a").alias("mean_i"), F.avg("b").alias("mean_j"))
+    tested = stats.wilcoxon(rows, F.col("a") - F.col("b"), ["i", "j"]).select("i", "j", "z")
+    out = means.join(tested, ["i", "j"], "left").withColumn("p", stats.normal_below(F.col("z")))
+    return out.withColumn("direction", F.when(F.col("mean_i") < F.col("mean_j"), "i<j").otherwise("i>j")).withColumn("significant", F.coalesce(F.col("p") < 0.01, F.lit(False)))
+
+
 def level_means(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """§2: M8, M9. Mean prediction and coverage (share of predictions that are numbers) of each level."""
     real = F.col(pred).isNotNull() & ~F.isnan(F.col(pred).cast("double"))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from siftgrain.operators.ordered import numbered, running
 from siftgrain.session import checkpointed
@@ -74,14 +75,26 @@ def mann_whitney_p(z: float, n1: int, n0: int, sigma: float | None = None) -> fl
     return min(1.0, 2 * normal_sf(z))
 
 
-def wilcoxon(df: DataFrame, difference: Column) -> DataFrame:
-    """§2: H3, M10. n, w_plus, w_minus and z of signed ranks; zeros are dropped and ties share ranks."""
-    d = df.select(difference.cast("double").alias("d")).filter("d is not null and not isnan(d) and d <> 0").withColumn("a", F.abs("d"))
-    counts = d.groupBy("a").agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("int")).alias("pos"))
-    ranked = running(checkpointed(counts), "a", "n", "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
-    s = ranked.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("pos"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
+def wilcoxon(df: DataFrame, difference: Column, groups: list[str] = []) -> DataFrame:  # noqa: B006
+    """§2: H3, M10. n, w_plus, w_minus and z of signed ranks (of each group); zeros are dropped and ties share ranks."""
+    d = df.select(*groups, difference.cast("double").alias("d")).filter("d is not null and not isnan(d) and d <> 0").withColumn("a", F.abs("d"))
+    counts = d.groupBy(*groups, "a").agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("int")).alias("pos"))
+    ranked = running(checkpointed(counts), "a", "n", "below", groups).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
+    s = ranked.groupBy(*groups).agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("pos"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    return s.select(F.col("n").cast("long").alias("n"), "w_plus", "w_minus", ((F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var)).alias("z"))
+    return s.select(*groups, F.col("n").cast("long").alias("n"), "w_plus", "w_minus", ((F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var)).alias("z"))
+
+
+@F.pandas_udf(DoubleType())
+def normal_below(z: pd.Series) -> pd.Series:
+    """The normal law's share below z, for the few rows of a report."""
+    return z.map(lambda x: 1 - normal_sf(x) if pd.notna(x) else None).astype(float)
+
+
+@F.pandas_udf(DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of Student's t, for the few rows of a report."""
+    return pd.Series([t_two_sided(x, int(n)) if pd.notna(x) else None for x, n in zip(t, df, strict=True)], dtype=float)
 
 
 def wilcoxon_p(z: float, alternative: str = "two-sided") -> float:
@@ -89,13 +102,13 @@ def wilcoxon_p(z: float, alternative: str = "two-sided") -> float:
 
 
 def paired(df: DataFrame, a: str, b: str) -> DataFrame:
-    """§2: H4, H5, H13. n, means, population deviations, share of a > b, t and Cohen's dz (population deviation)."""
+    """§2: H4, H5, H13. n, means, population deviations, share of a > b, t with its two-sided p, and Cohen's dz (population deviation)."""
     d = F.col(a) - F.col(b)
     s = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(
         F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.stddev_pop(a).alias("sd_a"), F.stddev_pop(b).alias("sd_b"),
         F.avg((F.col(a) > F.col(b)).cast("int")).alias("share"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"), F.stddev_pop(d).alias("sp"),
     )
-    return s.select("n", "mean_a", "mean_b", "sd_a", "sd_b", "share", (F.col("m") / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("m") / F.col("sp")).alias("cohen_dz"))
+    return s.select("n", "mean_a", "mean_b", "sd_a", "sd_b", "share", (F.col("m") / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("m") / F.col("sp")).alias("cohen_dz")).withColumn("p", t_p("t", F.col("n") - 1))
 
 
 def bonferroni(df: DataFrame, p: str = "p") -> DataFrame:
@@ -156,6 +169,21 @@ def stratified_folds(df: DataFrame, target: str, key: str, folds: int = 5, seed:
     return numbered(df, order, (target,), "fold").withColumn("fold", F.pmod("fold", F.lit(folds)).cast("int"))
 
 
+def cross_validated_auc(df: DataFrame, features: list[str], target: str, key: str, folds: int = 5, seed: int = 42) -> tuple[float, float]:
+    """§2: H11. Mean and population deviation over folds of the AUC of a logistic regression fitted on the other folds."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = checkpointed(stratified_folds(df.select(key, *features, F.col(target).cast("int").alias("_y")).dropna(), "_y", key, folds, seed))
+    aucs = []
+    for i in range(folds):
+        model = logistic(rows.filter(F.col("fold") != i), features, "_y")[2]
+        held = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.filter(F.col("fold") == i))
+        scored = model.transform(held).select("_y", vector_to_array("probability")[1].alias("p"))
+        aucs.append(mann_whitney(scored, "_y", "p").first()["auc"])
+    return float(np.mean(aucs)), float(np.std(aucs))
+
+
 def spline_basis(x: np.ndarray, low: float, high: float, n: int = 20) -> np.ndarray:
     """Cubic B-splines over [low, high]."""
     step = (high - low) / (n - 3)

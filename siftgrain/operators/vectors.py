@@ -110,9 +110,11 @@ def poincare(a: Column, b: Column, c: float = 1.0) -> Column:
     return 1 / F.lit(math.sqrt(c)) * F.acosh(F.greatest(F.lit(1.0), 1 + 2 * c * (aa + bb - 2 * ab) / ((1 - c * aa) * (1 - c * bb))))
 
 
-def features(vectors: DataFrame, anchors: DataFrame, kind: str = "hyperbolic", c: float = 1.0) -> DataFrame:
-    """§2: V8-V11, G13. Adds ``features``: hyperbolic (1 + 2k), no_origin (2k) or similarity (k) numbers."""
+def features(vectors: DataFrame, anchors: DataFrame, kind: str = "hyperbolic", c: float = 1.0, k: int | None = None) -> DataFrame:
+    """§2: V8-V11, G13. Adds ``features``: hyperbolic (1 + 2k), no_origin (2k) or similarity (k) numbers, of all anchors or the k nearest."""
     met = anchor_similarities(vectors, anchors)
+    if k is not None:
+        met = met.withColumn("similarities", F.slice("similarities", 1, k)).withColumn("neighbours", F.slice("neighbours", 1, k))
     distances = F.transform("neighbours", lambda n: poincare(n, F.col("embedding"), c))
     parts = {"hyperbolic": [F.array(dist0(F.col("embedding"), c)), F.col("similarities"), distances], "no_origin": [F.col("similarities"), distances], "similarity": [F.col("similarities")]}
     if kind not in parts:

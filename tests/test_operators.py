@@ -27,6 +27,10 @@ def one(spark, column):
         ("see arXiv:1234.5678v2 now", {"arxiv": True}, "see now"),
         ("A\nFig. 3: plot of x\nB", {"figures": True}, "A B"),
         ("go a b c on", {"pdf_noise": True}, "go on"),
+        ("go é a ü on a_b c d", {"pdf_noise": True}, "go é a ü on a_b c d"),
+        ("go 1 b  3 on", {"pdf_noise": True}, "go on"),
+        ('x <LaTeXit sha1="q">a\nb</ l a t e x i t > y', {"latex": True}, "x y"),
+        ("x <latexit.a>a</latexit> y", {"latex": True}, "x <latexit. a>a</latexit> y"),
     ],
 )
 def test_clean(spark, text, flags, wanted):
@@ -41,6 +45,8 @@ def test_sections_lists_and_names(spark):
     assert one(spark, ds.first_seen(F.array(F.lit(" A"), F.lit("a"), F.lit("B ")))) == ["A", "B"]
     name = "scope_sentence_spooling_lower_quantile_mean_pooling_mean_stailq_0.8"
     assert one(spark, tx.short_name(F.lit(name))) == "sent-lqm-0.8-pool-mean"
+    assert one(spark, tx.short_name(F.lit("scope_sentence_spooling_weighted_mean_pooling_sum"))) == "sent-weighted-mean-pool-sum"
+    assert one(spark, tx.short_name(F.lit("scope_document_spooling_mean_pooling_lower_quantile_mean_tailq_0.5"))) == "doc-pool-lqm-0.5"
 
 
 def test_units(spark):
@@ -112,6 +118,73 @@ def test_ranking(spark):
     assert ranking.evaluation(df, "g", "o", "y", "p").count() == 1
 
 
+def test_tau_and_level_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i // 5), int(i), float(i % 5), float(rng.integers(0, 6) + i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, o int, y double, p double")
+    y, p = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    i, j = np.triu_indices(len(rows), 1)
+    s = np.sign(y[i] - y[j]) * np.sign(p[i] - p[j])
+    wanted = s.sum() / np.sqrt((y[i] != y[j]).sum() * float((p[i] != p[j]).sum()))
+    assert ranking.kendall_tau_global(df, "y", "p").first().tau == pytest.approx(wanted)
+    got = ranking.level_pairs(df, "g", "o", "y", "p").collect()
+    assert len(got) == 10 and all(r.n == 40 and 0 <= r.p <= 1 and r.significant == (r.p < 0.01) for r in got)
+    assert next(r for r in got if (r.i, r.j) == (0.0, 4.0)).significant
+
+
+def test_running_sums_and_numbers(spark):
+    from siftgrain.operators.ordered import numbered, running
+
+    rows = [(g, float(x), x % 7 + 1) for g in (None, "a") for x in np.random.default_rng(1).permutation(300).tolist()]
+    df = spark.createDataFrame(rows, "g string, x double, n long")
+    for r in running(df, "x", "n", "below", ["g"]).collect():
+        assert r.below == sum(n for g, x, n in rows if g == r.g and x < r.x)
+    for r in running(df.filter("g = 'a'"), "x", "n", "below").collect():
+        assert r.below == sum(n for g, x, n in rows if g == "a" and x < r.x)
+    got = numbered(df, [F.md5(F.col("x").cast("string")), F.col("x")], ("g",)).collect()
+    assert len(got) == 600 and all(sorted(r.number for r in got if r.g == g) == list(range(1, 301)) for g in (None, "a"))
+    assert running(df.limit(0), "x", "n", "below").count() == 0
+
+
+def test_calls_without_splitting(spark):
+    from siftgrain.api import granularity
+
+    ref = spark.createDataFrame([(float(x),) for x in range(1, 11)], "score double")
+    assert granularity(spark, ["ab", "ab", "abcdefghij"], ref, split=False) == [20.0, 20.0, 100.0]
+    assert granularity(spark, "abcde", ref, split=False, buckets=True) == "medium"
+    assert granularity(spark, "abcde", split=False) == 5.0
+    same = spark.createDataFrame([(1, "Red car."), (1, "Red car."), (None, "Dog."), (None, "Blue house here.")], "doc_id long, text string")
+    assert sorted(r.score for r in pl.score_texts(same, pr.length).collect()) == [3.0, 7.0, 7.0, 15.0]
+
+
+def test_gaps_keep_every_question(spark):
+    s = "id int, score double"
+    got = qa.joined_gap(spark.createDataFrame([(1,), (2,), (3,)], "id int"), spark.createDataFrame([(1, 5.0), (2, 4.0)], s), spark.createDataFrame([(1, 3.0), (3, 1.0)], s))
+    assert {r.id: r.gap for r in got.collect()} == {1: 2.0, 2: None, 3: None}
+
+
+def test_hierarchy_and_ranker(spark):
+    edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("c", "a")], "node string, parent string")
+    assert {r.node: r.depth for r in pr.hypernym_depths(edges).collect()} == {"a": 0.0, "b": 1.0, "c": 1.5}
+    with pytest.raises(RuntimeError):
+        pr.hypernym_depths(edges.unionByName(spark.createDataFrame([("b", "c")], edges.schema)), most=5)
+    rows = spark.createDataFrame([(i, [float(i * k % 7), float(k)], k) for i in range(12) for k in range(4)], "id int, features array<double>, y int")
+    scored = pr.fit_pairwise(rows)(rows)
+    assert ranking.group_accuracy(scored.withColumn("o", F.col("y")), "id", "o", "y", "score").agg(F.avg("accuracy")).first()[0] == 1.0
+
+
+def test_numbers_follow_the_file(spark, tmp_path):
+    from siftgrain.sources import files
+
+    (tmp_path / "n.txt").write_text("\n".join(f"line {i}" for i in range(5000)))
+    got = files.numbered(spark.read.option("maxPartitionBytes", "4k").text(str(tmp_path / "n.txt"))).collect()
+    assert all(r["value"] == f"line {r['id']}" for r in got) and len(got) == 5000
+    (tmp_path / "model").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        files.verified(str(tmp_path / "model"), "0" * 64)
+    assert (tmp_path / "model").exists()
+
+
 def test_statistics(spark):
     assert stats.t_two_sided(2.0, 10) == pytest.approx(0.07338803)
     a, b = np.arange(20.0), np.arange(20.0) - 0.5
