@@ -19,9 +19,12 @@ to one on the other side of that size index both ways.
 Equal sets are one node from the start. Nodes that share a signature are
 compared by parity bitmaps, whose Hamming distance never exceeds the sets'
 difference, so that texts that merely share a passage part here; those left
-are linked as stars, the links' components are blocks, and each block's sets,
-shipped once, are joined exactly: rarest tokens of the block first, prefix and
-length filters, and no check within what is linked already.
+are linked as stars, the links' components are blocks, and each block's sets
+are joined exactly: rarest tokens of the block first, prefix and length
+filters, and no check within what is linked already. A block of more than
+``BLOCK_SETS`` sets is dealt into chunks, every two of which meet in a task of
+their own, so that no task holds a large group of near copies; the components
+of what the tasks link are the block's.
 
 Edge cases: null and empty texts, and those without words, have no shingles
 and stay alone; fewer words than a shingle's width make one shingle; repeated
@@ -50,6 +53,7 @@ SHARE = 4096
 HEAVY = 1 << 18
 PAIRED = 320
 FLUSH = 1_000_000
+BLOCK_SETS = 512
 PAIR = U(0x9FB21C651E98DF25)
 
 
@@ -364,7 +368,8 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     edges = edges.groupBy("bucket").applyInPandas(lambda x: linked(x, percent), "a long, b long")
     blocks = cut(components(edges))
     chosen = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"))
-    chosen = chosen.join(blocks, "node").select("key", "node", F.col("component").alias("block"))
+    chosen = cut(chosen.join(blocks, "node").select("key", "node", F.col("component").alias("block")))
+    large = chosen.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("chunks")).filter("chunks > 1")
 
     def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,14 +384,25 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
                 yield pa.RecordBatch.from_arrays([b.column("block").slice(at, len(sizes)).take(pa.array(use)), pa.array(nodes[use]), pa.array(blobs, pa.binary())], names=["block", "node", "tokens"])
 
     def joined(block: pd.DataFrame) -> pd.DataFrame:
+        split = bool(block["i"].iat[0] != block["j"].iat[0])
         block = block.drop_duplicates("node").sort_values("node")
         group = join_block([np.frombuffer(x, U) for x in block["tokens"]], percent)
         node = block["node"].to_numpy()
-        return pd.DataFrame({"node": node, "group": node[group]})
+        return pd.DataFrame({"node": node, "group": node[group], "split": split})
 
     wanted = sized_join(keyed.select("key", "text"), chosen, "key").select("block", "node", "text")
     sets = wanted.mapInArrow(shipped, "block long, node long, tokens binary")
-    return rows, sets.groupBy("block").applyInPandas(joined, "node long, group long")
+    sets = sized_join(sets, large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    # A chunk meets every other one; the only chunk of a small block meets itself.
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: k != F.col("chunk")))
+    sets = sets.withColumn("chunk", chunk).withColumn("other", F.explode(others)).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "tokens")
+    found = cut(sets.groupBy("block", "i", "j").applyInPandas(joined, "node long, group long, split boolean"))
+    links = found.filter("split").select(F.col("node").alias("a"), F.col("group").alias("b"))
+    whole = found.filter("not split").select("node", "group")
+    if links.isEmpty():
+        return rows, whole
+    return rows, whole.unionByName(components(links).select("node", F.col("component").alias("group")))
 
 
 def first_of(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -326,9 +326,10 @@ SHARED = [
 ]
 
 
-@pytest.mark.parametrize("share", [4096, 2])
-def test_ngram_jaccard_shared_and_null_ids(spark, monkeypatch, share):
+@pytest.mark.parametrize(("share", "most"), [(4096, 512), (2, 512), (4096, 2)])
+def test_ngram_jaccard_shared_and_null_ids(spark, monkeypatch, share, most):
     monkeypatch.setattr(ngram_jaccard, "SHARE", share)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", most)
     label, sets = linked_rows([t for _, t in SHARED], 4, 85)
     ids = [i for i, _ in SHARED]
     least = [min((ids[j] for j in range(len(ids)) if label[j] == x and ids[j] is not None), default=None) for x in label]
@@ -337,6 +338,27 @@ def test_ngram_jaccard_shared_and_null_ids(spark, monkeypatch, share):
     assert sorted(map(tuple, ngram_jaccard.jaccard_components(df).collect()), key=str) == wanted
 
 
+def test_large_blocks_are_dealt(spark, monkeypatch):
+    """A group of near copies and two chains, in chunks of five, against brute force."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 5)
+    base = prose(120)
+    texts = [changed(base, i % 9, i) for i in range(40)]
+    for k in range(2):
+        chain = prose(100).split(" ")
+        for i in range(12):
+            chain[i * 6 : i * 6 + 6] = [f"c{k}x{i}x{j}" for j in range(6)]
+            texts.append(" ".join(chain))
+    label, _ = linked_rows(texts, 4, 85)
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
+def test_line_rules(spark):
+    lines = ["to " * 8 + "and so on with many other words that follow here to the end of it", "B U Y N O W T O D A Y", "The U.S. and A. B. Smith met there on Monday.", "no no no no", "Tous droits réservés 2020", "Il a dit bonjour à tous."]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    assert quality_rules.clean_lines(df).first().clean_text.split("\n") == [lines[2], lines[5]]
+
+
 def test_one_of_each(spark):
     label, sets = linked_rows([t for _, t in SHARED], 5, 80)
     df = spark.createDataFrame([(i, t, n, "k") for n, (i, t) in enumerate(SHARED)], "doc_id long, text string, n int, key string")
