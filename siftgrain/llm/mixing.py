@@ -67,7 +67,7 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
-def streams(docs: DataFrame, cell_rows: int = 20_000) -> DataFrame:
+def streams(docs: DataFrame, cell_rows: int = 2_000) -> DataFrame:
     """Adds size, source_key, from_word: each row's place in its source's stream, and number, by which equal rows differ.
 
     Offsets inside cells of a bounded number of rows are added to the cells'
