@@ -19,7 +19,7 @@ from .common import shielded, table
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Phrases of lines that come from a page's frame, not its text.
+#: Phrases of lines that come from a page's frame, not its text (English, German, French, Spanish).
 BOILERPLATE = (
     "all rights reserved",
     "terms of use",
@@ -35,9 +35,20 @@ BOILERPLATE = (
     "login to",
     "powered by",
     "lorem ipsum",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "cookies akzeptieren",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "accepter les cookies",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aceptar cookies",
 )
 #: A text without any of these has no line that the mark rules remove.
-SUSPECT = r"[#*$%&|<>»›•!]|\p{Lu}\p{Lu}"
+SUSPECT = r"[#*$%&|<>»›•!]|\p{Lu}\P{L}*\p{Lu}"
+#: Two capitals in a row among the letters: a line that has mostly capitals has them.
+CAPITALS = r"\p{Lu}\P{L}*\p{Lu}"
 
 
 #: Columns that stand for a while; those of the input that are called so keep their values.
@@ -106,8 +117,8 @@ def line_fails(line: Column, phrases: Column, repeats: Column) -> Column:
     Symbols: more than a tenth as many as words. Navigation: separators (|, »,
     ›, •) between a quarter of the words. Punctuation: an exclamation mark on a
     quarter of the words, or mostly capitals over more than eight letters.
-    Repetition: more than half of the words are the word before again, three at
-    least. Boilerplate: a known phrase.
+    Repetition: one word eight times in a row, or more than half of the words
+    are the word before again, three at least. Boilerplate: a known phrase.
     ``phrases`` and ``repeats`` say whether the text can fail the last two.
     """
     n = F.size(words_of(line))
@@ -117,10 +128,12 @@ def line_fails(line: Column, phrases: Column, repeats: Column) -> Column:
         (10 * count(SYMBOLS) > n)
         | (4 * count(r"[|»›•]") >= n)
         | (4 * count("!") >= F.greatest(n, F.lit(8)))
-        | (line.rlike(r"\p{Lu}\p{Lu}") & (letters > 8) & (10 * capitals > 6 * letters))
+        | (line.rlike(CAPITALS) & (letters > 8) & (10 * capitals > 6 * letters))
     )
     stutter = lambda ws: F.size(F.filter(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.get(ws, i) == F.get(ws, i - 1)))
-    row = F.get(F.transform(F.array(words_of(line)), lambda ws: F.when(F.size(ws) > 3, (stutter(ws) >= 3) & (2 * stutter(ws) > F.size(ws))).otherwise(False)), 0)
+    eight = lambda ws: F.exists(F.sequence(F.lit(1), F.size(ws) - 7), lambda i: F.size(F.array_distinct(F.slice(ws, i, 8))) == 1)
+    often = lambda ws: (stutter(ws) >= 3) & (2 * stutter(ws) > F.size(ws)) | F.when(F.size(ws) >= 8, eight(ws)).otherwise(False)
+    row = F.get(F.transform(F.array(words_of(line)), lambda ws: F.when(F.size(ws) > 3, often(ws)).otherwise(False)), 0)
     return (line.rlike(SUSPECT) & (n > 0) & marks) | (repeats & row) | (phrases & phrase(F.lower(line)))
 
 
@@ -152,9 +165,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINE_FAILS = r"""(nw > 0 AND (10 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) > nw
   OR 4 * (length(line) - length(regexp_replace(line, '[|»›•]', '', 'g'))) >= nw
   OR 4 * (length(line) - length(replace(line, '!', ''))) >= greatest(nw, 8)
-  OR (regexp_matches(line, '\p{Lu}\p{Lu}') AND length(line) - length(regexp_replace(line, '\p{L}', '', 'g')) > 8
+  OR (length(line) - length(regexp_replace(line, '\p{L}', '', 'g')) > 8
       AND 10 * (length(line) - length(regexp_replace(line, '\p{Lu}', '', 'g'))) > 6 * (length(line) - length(regexp_replace(line, '\p{L}', '', 'g'))))
   OR (len(list_filter(range(1, nw), lambda i: ws[i] = ws[i + 1])) >= 3 AND 2 * len(list_filter(range(1, nw), lambda i: ws[i] = ws[i + 1])) > nw)
+  OR len(list_filter(range(1, nw - 6), lambda i: len(list_distinct(ws[i:i+7])) = 1)) > 0
   OR regexp_matches(lower(line), '""" + "|".join(BOILERPLATE) + r"""')))"""
 SQL = (
     r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
