@@ -21,7 +21,9 @@ of a worker.
 
 Edge cases: null and empty texts encode to no pieces and decode to ''; every
 other text decodes to itself, but that a blank sign (U+2581) becomes a blank,
-as in the model's own normaliser; repeated rows encode alike; extra columns
+as in the model's own normaliser, and that a model without byte pieces gives
+its unknown piece for a character it lacks, which decodes to nothing and leaves
+round_trip false; repeated rows encode alike; extra columns
 pass through ``encode``, but that ``ids`` is replaced.
 """
 
@@ -44,6 +46,8 @@ BLANK = "▁"
 MOST_SEGMENTS = 400_000
 #: Stands for the piece before a run's first.
 START = 1 << 23
+#: Stands for a character that no piece of a unigram model is.
+STRANGE = START + 1
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -100,7 +104,9 @@ class Transducer:
                 self.dummy = bool(spec.get(3, 1))
         self.id = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
-        self.longest = max(map(len, self.id))
+        self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
+        #: Weight of a character that is no piece in a unigram model: ten beyond the heaviest piece.
+        self.strange = 10 - min((self.scores[i] for i in self.id.values()), default=0.0)
         if any(BLANK in p.lstrip(BLANK) for p in self.id):
             raise ValueError("a piece goes on to a blank sign")
         self.known = {c for p in self.id for c in p}
@@ -166,21 +172,28 @@ class Transducer:
                     if arc is None:
                         break
                     piece, arcs = arc
-                    if piece >= 0 and cost[i] - self.scores[piece] < cost[j + 1]:
-                        cost[j + 1], last[j + 1], back[j + 1] = cost[i] - self.scores[piece], piece, i
+                    if piece >= 0 and (c := cost[i] - self.scores[piece]) < cost[j + 1]:
+                        cost[j + 1], last[j + 1], back[j + 1] = c, piece, i
+                if text[i] not in self.id and (c := cost[i] + self.strange) < cost[i + 1]:
+                    # No piece is this character alone: an arc for an unknown one.
+                    cost[i + 1], last[i + 1], back[i + 1] = c, STRANGE, i
         out, at = [], n
         while at:
-            out.append(last[at])
+            out += self.fallback(text[back[at]])[::-1] if last[at] == STRANGE else [last[at]]
             at = back[at]
         return out[::-1]
 
+    def fallback(self, character: str) -> list[int]:
+        """The byte pieces of a character that no piece has, or the unknown piece of a model without byte pieces."""
+        return [self.bytes.get(b, self.unknown) for b in character.encode()] if self.bytes else [self.unknown]
+
     def segment(self, text: str) -> bytes:
         """The ids of a segment as packed integers."""
         found = self.solved.get(text)
         if found is not None:
             return found
         signs = text.replace(" ", BLANK)
-        if self.known.issuperset(signs):
+        if not self.merges or self.known.issuperset(signs):
             ids = self.shortest(signs)
         else:
             ids, run = [], ""
@@ -189,7 +202,7 @@ class Transducer:
                     run += c
                     continue
                 ids += self.shortest(run)
-                ids += [self.bytes[b] for b in c.encode()]
+                ids += self.fallback(c)
                 run = ""
             ids += self.shortest(run)
         if b"".join([self.value[i] for i in ids]) != text.encode():
@@ -234,12 +247,18 @@ def packed_ids(machine: Transducer, texts: list[str | None]) -> tuple[np.ndarray
     return flat, ends, ok
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text") -> DataFrame:
+def model_of(spark: SparkSession) -> str:
+    """The model file that the session names, or the public one of this machine."""
+    return spark.conf.get("spark.siftgrain.pieces", MODEL)
+
+
+def encode(docs: DataFrame, model_path: str | None = None, text: str = "text") -> DataFrame:
     """Adds ids (array of int) and round_trip (the ids decode to the text).
 
     The model file is read on the driver and broadcast; it is a vocabulary's
     size, not the corpus's.
     """
+    model_path = model_path or model_of(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = [c for c in docs.columns if c not in ("ids", "round_trip")]
@@ -265,8 +284,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text") -> Data
     return held.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, model_path: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, model_path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text that a column of ids stands for; null ids decode to ''."""
+    model_path = model_path or model_of(encoded.sparkSession)
     with open(model_path, "rb") as f:
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
 
