@@ -536,6 +536,94 @@ def test_pipeline_on_little(spark, tmp_path, rows):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def plain_chunks(raw):
+    """Chunks of a text by the rule as it is stated, byte by byte."""
+    blank = [chunk_dedup.SPACE[b] for b in raw]
+    reach, near = chunk_dedup.REACH, lambda i: any(blank[max(0, i - chunk_dedup.REACH) : i + chunk_dedup.REACH + 1])
+    spots = {}
+    for i in range(31, len(raw) - 1):
+        if blank[i] or (raw[i + 1] & 0xC0 != 0x80 and not near(i)):
+            h = sum(int(chunk_dedup.GEAR[raw[i - k]]) << k for k in range(32)) & 0xFFFFFFFF
+            spots[i] = int(chunk_dedup.mix(np.array([h], np.uint64))[0]) >> 8
+    ends = [i + 1 for i, v in spots.items() if all((spots[j], j) > (v, i) for j in range(i - reach, i + reach + 1) if j in spots and j != i)]
+    ends, out, at = [*ends, *([len(raw)] if raw else [])], [], 0
+    for e in ends:
+        while e - at > chunk_dedup.MOST:
+            cut = at + chunk_dedup.MOST
+            while raw[cut] & 0xC0 == 0x80:
+                cut -= 1
+            out.append(raw[at:cut])
+            at = cut
+        out.append(raw[at:e])
+        at = e
+    return out
+
+
+def test_chunk_dedup_by_the_rule(spark):
+    unspaced = "".join(chr(x) for x in RNG.integers(0x4E00, 0x9FA5, 500))
+    texts = [*TEXTS, unspaced + " end", prose(4) + unspaced, f"{prose(20)} {PASSAGE}"]
+    seen, wanted = set(), {}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        parts = plain_chunks(raw)
+        again = [x in seen or x in parts[:n] for n, x in enumerate(parts)]
+        seen |= set(parts)
+        kept, run = [], []
+        for x, a in [*zip(parts, again, strict=True), (b"", False)]:
+            if a:
+                run.append(x)
+                continue
+            kept += [x] if sum(map(len, run)) >= chunk_dedup.LEAST else [*run, x]
+            run = []
+        wanted[i] = (len(parts), b"".join(kept).decode())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_chunks, r.text) for r in chunk_dedup.dedup_chunks(df).collect()} == wanted
+
+
+def test_votes_by_the_rule():
+    rng = np.random.default_rng(8)
+    x = np.abs(rng.normal(size=(60, knn_quality.WIDTH)) * (rng.random((60, knn_quality.WIDTH)) < 0.02)).astype(np.float32)
+    y = (rng.random(60) < 0.5).astype(np.float32)
+    v = knn_quality.Voter(x, y, rank=8)
+    got = v.score(x[:20], 5)
+    for i in range(20):
+        latent = (x[i] * v.idf) @ v.project
+        cosines = [float(latent @ v.vectors[:, j] / np.linalg.norm(latent)) for j in range(60)]
+        near = sorted(range(60), key=lambda j: -cosines[j])[:5]
+        weights = [np.exp(20 * (cosines[j] - 1)) for j in near]
+        assert got[i] == pytest.approx(sum(w * y[j] for w, j in zip(weights, near, strict=True)) / sum(weights), abs=1e-4)
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    """Each stage on what the one before kept, against a plainer version."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    first = prose(70)
+    more = [(100, first, "en", "s1", 1), (101, first + " end", "en", "s2", 1), (101, prose(40), None, None, None), (None, first, None, "s1", 1), (None, prose(30), None, "s9", 1)]
+    table = docs.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n_chars", F.col("n_chars").cast("int")))
+    stage = dict(corpus_pipeline.STAGES)
+    rows = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    kept = stage["quality"](spark, table, "").cache()
+    wanted = [(r.doc_id, r.clean_text) for r in quality_rules.clean_lines(table).collect() if r.kept]
+    assert sorted(rows(kept), key=str) == sorted(wanted, key=str) and wanted
+    left = stage["near_duplicates"](spark, kept, "").cache()
+    before = rows(kept)
+    label, sets = linked_rows([t for _, t in before], 5, 80)
+    first_of = {min((n for n in range(len(before)) if label[n] == x), key=lambda n: (before[n][0] is None, before[n][0] or 0)) for x in label}
+    assert sorted(rows(left), key=str) == sorted((before[n] for n in first_of), key=str)
+    single = stage["repeated_passages"](spark, left, "").cache()
+    assert single.count() == left.count() and all(r.n_chars == len(r.text) for r in single.collect())
+    mix = stage["mixed"](spark, single, "").cache()
+    whole = Counter(w for _, t in rows(single) for w in words(t))
+    taken = Counter(w for _, t in rows(mix) for w in words(t))
+    assert taken and all(n <= 3 * whole[w] for w, n in taken.items())
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_transducer.MODEL)
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.ids) for r in stage["pieces"](spark, mix, "").collect())
+    assert found == sorted((i if i is not None else -1, lib.encode(t)) for i, t in rows(mix))
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
