@@ -359,7 +359,7 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n_shingles and node of every row; node and group of every node that is linked to another). A row's key is a hash of id and text."""
     spark = docs.sparkSession
-    buckets = buckets_for(docs, 24)
+    buckets = buckets_for(docs, 36)
     heavy = spark.sparkContext.broadcast(frequent_tokens(docs, width))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
     signed = cut(keyed.mapInArrow(lambda x: signature_rows(x, buckets, width, percent, heavy.value), _A_DDL))
