@@ -35,7 +35,7 @@ from .vec import BYTE, GEAR, SPACE, mix, powers, slices, utf8
 
 U = np.uint64
 REACH, MOST, LEAST = 24, 1024, 96
-FLUSH = 400_000
+FLUSH = 1_000_000
 NULL_ID = -(2**63)
 
 

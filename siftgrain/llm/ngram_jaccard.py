@@ -52,7 +52,7 @@ WIDTH, PERCENT = 4, 85
 SHARE = 4096
 HEAVY = 1 << 18
 PAIRED = 320
-FLUSH = 400_000
+FLUSH = 1_000_000
 BLOCK_SETS = 4_096
 PAIR = U(0x9FB21C651E98DF25)
 
