@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, buckets_for, delta, pack, row_key, shielded, slim, table, unpack
+from .common import bucket_runs, buckets_for, delta, map_texts, pack, row_key, shielded, slim, table, unpack
 from .vec import BYTE, GEAR, SPACE, mix, powers, slices, utf8
 
 U = np.uint64
@@ -208,7 +208,7 @@ def dedup_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     added = ("n_bytes", "n_chunks", "n_removed", "n_spans")
     names = [c for c in docs.columns if c not in added]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], row_key(F.col("doc_id"), F.col("text")).alias("_key"))
-    found = keyed.select("doc_id", "text", F.col("_key").alias("key")).mapInArrow(lambda x: digest_rows(x, buckets), "bucket int, settled boolean, n int, blob binary")
+    found = map_texts(keyed.select("doc_id", "text", F.col("_key").alias("key")), lambda x: digest_rows(x, buckets), "bucket int, settled boolean, n int, blob binary")
     found = found.groupBy("bucket").applyInPandas(repeats, "key long, n int, blob binary")
     found = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list("n").alias("_n"), F.collect_list("blob").alias("_blob"))
     joined = keyed.join(found, "_key", "left").drop("_key")
@@ -241,7 +241,7 @@ def dedup_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
         yield from cleaned(batches)
         slim()
 
-    return restored(joined.mapInArrow(slimmed, schema))
+    return restored(map_texts(joined, slimmed, schema))
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

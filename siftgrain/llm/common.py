@@ -48,6 +48,19 @@ def sized_join(large: DataFrame, small: DataFrame, on: str, how: str = "inner")
     return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
+#: Texts of one Arrow batch, and the bytes beyond which it ends: what a worker and its JVM hold of the input at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over smaller batches than the default ones, which hold 10,000 whole texts; sizes that the session names stay."""
+    conf = df.sparkSession.conf
+    for name, (default, ours) in BATCH.items():
+        if conf.get(name, default) == default:
+            conf.set(name, ours)
+    return df.mapInArrow(run, schema)
+
+
 def row_key(doc_id, text):
     """A key for a row that null or repeated ids cannot confuse: equal only for equal (id, text)."""
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, buckets_for, cut, delta, fresh_name, pack, row_key, sized_join, slim, table, unpack
+from .common import bucket_runs, buckets_for, cut, delta, fresh_name, map_texts, pack, row_key, sized_join, slim, table, unpack
 from .components import components
 from .vec import Words, mix, slices, utf8
 
@@ -125,7 +125,7 @@ def held_by_many(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
     """The sorted tokens of the frequent class; counts are over distinct sets of a flush."""
-    found = cut(docs.select("text").mapInArrow(lambda x: held_by_many(x, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    found = cut(map_texts(docs.select("text"), lambda x: held_by_many(x, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     sets = found.filter("token is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = found.filter("token is not null").filter(F.col("n") * SHARE >= sets).orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toPandas()
     return np.sort(often["token"].to_numpy(np.int64).view(U))
@@ -362,7 +362,7 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     buckets = buckets_for(docs, 24)
     heavy = spark.sparkContext.broadcast(frequent_tokens(docs, width))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    signed = cut(keyed.mapInArrow(lambda x: signature_rows(x, buckets, width, percent, heavy.value), _A_DDL))
+    signed = cut(map_texts(keyed, lambda x: signature_rows(x, buckets, width, percent, heavy.value), _A_DDL))
     rows = signed.filter("bucket is null").select("doc_id", "key", "n_shingles", "node")
     edges = signed.filter("bucket is not null").select("bucket", "n", "m", "blob", "nodes", "bitmaps")
     edges = edges.groupBy("bucket").applyInPandas(lambda x: linked(x, percent), "a long, b long")
@@ -391,7 +391,7 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         return pd.DataFrame({"node": node, "group": node[group], "split": split})
 
     wanted = sized_join(keyed.select("key", "text"), chosen, "key").select("block", "node", "text")
-    sets = wanted.mapInArrow(shipped, "block long, node long, tokens binary")
+    sets = map_texts(wanted, shipped, "block long, node long, tokens binary")
     sets = sized_join(sets, large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     # A chunk meets every other one; the only chunk of a small block meets itself.
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")

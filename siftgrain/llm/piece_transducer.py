@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slim, table
+from .common import map_texts, slim, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text: str = "text") -
                 at += len(texts)
         slim()
 
-    return held.mapInArrow(run, schema)
+    return map_texts(held, run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
