@@ -6,10 +6,11 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftgrain.llm import backoff_lm, chunk_dedup, kd_sharding, knn_quality, maxscore, mixing, ngram_jaccard, piece_transducer, quality_rules, suffix_dedup
+from siftgrain.llm import backoff_lm, chunk_dedup, common, kd_sharding, knn_quality, maxscore, mixing, ngram_jaccard, piece_transducer, quality_rules, suffix_dedup
 
 RNG = np.random.default_rng(7)
 WORDS = ["".join(RNG.choice(list("abcdeéß"), RNG.integers(2, 8))) for _ in range(400)]
@@ -631,3 +632,20 @@ def test_pipeline(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(r.round_trip for r in out) and not {7, 9, 10} & {r.doc_id for r in out}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_map_texts_bounds_batches_but_keeps_sizes_that_the_session_names(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        for named, most in (("10000", 1000), ("300", 300)):
+            spark.conf.set(name, named)
+            found = [r["n"] for r in common.map_texts(spark.range(0, 2500, 1, 1), sizes, "n long").collect()]
+            assert sum(found) == 2500 and max(found) == most
+    finally:
+        spark.conf.set(name, before)
