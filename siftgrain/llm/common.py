@@ -42,10 +42,10 @@ def buckets_for(docs: DataFrame, least: int) -> int:
 BROADCAST_ROWS = 500_000
 
 
-def sized_join(large: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def sized_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Joins with a narrow side whose size is counted first: broadcast below the bound, shuffled above it."""
     small = cut(small)
-    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    return large.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
 #: Texts of one Arrow batch, and the bytes beyond which it ends: what a worker and its JVM hold of the input at a time.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from . import decontaminate, maxscore
 from . import quality_rules as rules
-from . import maxscore
 from .backoff_lm import op5_backoff_lm
 from .chunk_dedup import op7_chunk_dedup
+from .decontaminate import op11_winnowing
 from .kd_sharding import op4_kd_sharding
 from .knn_quality import op1_knn_quality
 from .maxscore import op2_maxscore_topk
@@ -28,7 +29,8 @@ QUERIES = {
         op8_source_mixing,
         op9_piece_transducer,
         op10_ngram_jaccard,
+        op11_winnowing,
     )
 }
 
-ORACLE_SQL = {"op2_maxscore_topk": maxscore.SQL, "op3_quality_rules": rules.SQL}
+ORACLE_SQL = {"op2_maxscore_topk": maxscore.SQL, "op3_quality_rules": rules.SQL, "op11_winnowing": decontaminate.SQL}
