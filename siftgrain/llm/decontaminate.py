@@ -30,13 +30,13 @@ from siftgrain.session import spread
 
 from .common import cut, shielded, sized_join, table
 
-#: What parts words, of a text without A-Z; and a word of one that may have them.
+#: What parts the words of a text without A-Z, and of one that may have them.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BREAKS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A side of a join with a window's words, or a digest, in each row is broadcast up to so many rows (10 MB or so).
 BROADCAST_TEXTS = 100_000
 KEYS = ["_a", "_b"]
-INTERNAL = ("_a", "_b", "_w", "_g", "_m", "_f")
+INTERNAL = ("_a", "_b", "_w", "_h", "_g", "_m", "_f")
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -59,8 +59,11 @@ def fingerprints(df: DataFrame, keep: list[str], length: int, gram: int) -> Data
     gram = min(gram, length)
     width = length - gram + 1
     n = F.size("_w")
-    out = held(df.filter(n >= length), "_g", F.transform(F.sequence(F.lit(1), n - (gram - 1)), lambda i: F.xxhash64(F.slice("_w", i, gram))))
-    out = held(out, "_m", F.transform(F.sequence(F.lit(1), F.size("_g") - (width - 1)), lambda i: F.array_min(F.slice("_g", i, width))))
+    near = lambda name, i, m: [F.get(name, i + j) for j in range(1, m)]
+    out = held(df.filter(n >= length), "_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    out = held(out, "_g", F.slice(F.transform("_h", lambda x, i: F.xxhash64(x, *near("_h", i, gram))), 1, F.size("_h") - (gram - 1)))
+    least = F.transform("_g", lambda x, i: F.least(x, *near("_g", i, width))) if width > 1 else F.col("_g")
+    out = held(out, "_m", F.slice(least, 1, F.size("_g") - (width - 1)))
     begins = F.filter(F.sequence(F.lit(0), F.size("_m") - 1), lambda i: (i == 0) | (F.get("_m", i) != F.get("_m", i - 1)))
     out = held(out, "_f", begins)
     runs = F.transform("_f", lambda i, j: F.struct(F.get("_m", i).alias("hash"), i.alias("first"), F.coalesce(F.get("_f", j + 1), F.size("_m")).alias("after")))
@@ -135,7 +138,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, gram: int
 
 
 def n_words(text: str) -> Column:
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BREAKS_ANY_CASE), "")).cast("long")
 
 
 def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
