@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, maxscore
+from . import annulus, decontaminate, maxscore
 from . import quality_rules as rules
+from .annulus import op13_annulus_clusters
 from .backoff_lm import op5_backoff_lm
 from .chunk_dedup import op7_chunk_dedup
 from .decontaminate import op11_winnowing
@@ -30,7 +31,13 @@ QUERIES = {
         op9_piece_transducer,
         op10_ngram_jaccard,
         op11_winnowing,
+        op13_annulus_clusters,
     )
 }
 
-ORACLE_SQL = {"op2_maxscore_topk": maxscore.SQL, "op3_quality_rules": rules.SQL, "op11_winnowing": decontaminate.SQL}
+ORACLE_SQL = {
+    "op2_maxscore_topk": maxscore.SQL,
+    "op3_quality_rules": rules.SQL,
+    "op11_winnowing": decontaminate.SQL,
+    "op13_annulus_clusters": annulus.SQL,
+}
