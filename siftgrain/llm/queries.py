@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import annulus, decontaminate, maxscore
+from . import annulus, collocations, decontaminate, maxscore
 from . import quality_rules as rules
 from .annulus import op13_annulus_clusters
 from .backoff_lm import op5_backoff_lm
 from .chunk_dedup import op7_chunk_dedup
+from .collocations import op12_collocations
 from .decontaminate import op11_winnowing
 from .kd_sharding import op4_kd_sharding
 from .knn_quality import op1_knn_quality
@@ -31,6 +32,7 @@ QUERIES = {
         op9_piece_transducer,
         op10_ngram_jaccard,
         op11_winnowing,
+        op12_collocations,
         op13_annulus_clusters,
     )
 }
@@ -39,5 +41,6 @@ ORACLE_SQL = {
     "op2_maxscore_topk": maxscore.SQL,
     "op3_quality_rules": rules.SQL,
     "op11_winnowing": decontaminate.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_annulus_clusters": annulus.SQL,
 }
