@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.operators import graph
+from siftgrain.operators.ordered import numbered, running
 from siftgrain.session import checkpointed
 
 
@@ -99,30 +101,53 @@ def first_seen(a: Column) -> Column:
     return F.filter(F.transform(items, lambda x, i: F.when(F.array_position(keys, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """Connected components by least labels (§2: G9); edges: id, answer. id and component."""
-    state = edges.select("id").distinct().withColumn("component", F.col("id"))
-    for _ in range(most):
-        by_answer = edges.join(state, "id").groupBy("answer").agg(F.min("component").alias("least"))
-        new = edges.join(by_answer, "answer").groupBy("id").agg(F.min("least").alias("component"))
-        # A label's own label is nearer the least one: pointers jump.
-        new = new.alias("n").join(new.alias("j"), F.col("n.component") == F.col("j.id")).select(F.col("n.id").alias("id"), F.least("n.component", "j.component").alias("component"))
-        new = checkpointed(new)
-        if new.join(state, ["id", "component"], "left_anti").isEmpty():
-            return new
-        state = new
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """§2: G9. id and component (its least id) of ids that answers link; edges: id, answer. Each id is linked to the least one of its answer."""
+    edges = edges.select("id", "answer")
+    least = edges.filter("answer is not null").groupBy("answer").agg(F.min("id").alias("b"))
+    found = graph.components(edges.join(least, "answer").select(F.col("id").alias("a"), "b"))
+    ids = edges.select("id").filter("id is not null").distinct()
+    return ids.join(found, ids["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def packed(sizes: DataFrame, shares: dict[str, float], key: str = "component", size: str = "n", seed: int = 42) -> DataFrame:
+    """§2: G9. Adds split: sizes laid end to end, largest first and equal ones in the order of a hash, go where their middle falls.
+
+    A split's end is missed by less than half of the size that lies across it;
+    one that is larger than all shares after it leaves these empty. Places are
+    sums by size, and by parts of equal sizes, so that no task orders all.
+    """
+    by_size = checkpointed(sizes.groupBy(size).agg(F.sum(size).alias("_rows")).withColumn("_order", -F.col(size)))
+    before = running(by_size, "_order", "_rows", "_before").select(F.col(size).alias("_size"), "_before")
+    order = [F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key).cast("string")]
+    placed = numbered(sizes, order, (size,), "_place").join(before, F.col(size) == F.col("_size"))
+    middle = F.col("_before") + (F.col("_place") - 1) * F.col(size) + F.col(size) / 2
+    total, end, split = sizes.agg(F.sum(size).alias("_all")), 0.0, None
+    for name, share in list(shares.items())[:-1]:
+        end += share
+        here = middle < F.lit(round(end, 12)) * F.col("_all")
+        split = F.when(here, name) if split is None else split.when(here, name)
+    last = list(shares)[-1]
+    out = placed.crossJoin(F.broadcast(total)).withColumn("split", split.otherwise(last) if split is not None else F.lit(last))
+    return out.select(*sizes.columns, "split")
 
 
 def leakage_free_split(edges: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """§2: G9, J13. id, component and split; rows that share an answer never part. One large component makes the shares uneven."""
-    place = F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(10_000)) / 10_000.0
-    return components(edges).withColumn("split", F.when(place < train, "train").when(place < train + val, "val").otherwise("test"))
+    """§2: G9, J13. id, component and split; ids that share an answer never part, and splits hold the shares of ids up to a component."""
+    found = checkpointed(components(edges))
+    sizes = checkpointed(found.groupBy("component").agg(F.count("*").alias("n")))
+    return found.join(packed(sizes, {"train": train, "val": val, "test": 1 - train - val}, seed=seed).select("component", "split"), "component").select("id", "component", "split")
+
+
+def shared_answers(rows: DataFrame) -> DataFrame:
+    """§2: J13. One row: answers, and shared, those in more than one split; rows: split, answer."""
+    each = rows.filter("answer is not null").groupBy("answer").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+    return each.agg(F.count("*").alias("answers"), F.count_if(F.col("a") != F.col("b")).alias("shared"))
 
 
 def disjoint(rows: DataFrame) -> bool:
     """§2: J13. Whether no answer is in two splits; rows: split, answer."""
-    return rows.groupBy("answer").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
+    return shared_answers(rows).first()["shared"] == 0
 
 
 def level_means(df: DataFrame, level: str, *scores: str) -> DataFrame:

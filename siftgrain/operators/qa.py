@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.operators import resampling
+
 Responder = Callable[[DataFrame], DataFrame]
 """§2: Q9, N6, N9. A plug that adds ``reply`` to a table of prompts; none ships, since it needs a service."""
 
@@ -130,10 +132,14 @@ def column_blocks(df: DataFrame, order: str, blocks: int) -> DataFrame:
     return df.withColumn("block", F.ntile(blocks).over(Window.orderBy(order)))
 
 
-def described(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """§2: W19."""
+def described(df: DataFrame, value: str, group: str, key: str | None = None, resamples: int = 1000) -> DataFrame:
+    """§2: W19. Statistics of each group; with a key, also the deviation of its mean over resamples of rows by key."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    out = df.groupBy(group).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    if key is None:
+        return out
+    deviation = resampling.mean_deviation(df, key, value, group, resamples).withColumnRenamed(group, "_group")
+    return out.join(deviation, F.col(group).cast("string").eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def lexical(df: DataFrame, key: str, text: str, rare: float = 3.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgrain.operators import stats
+from siftgrain.operators.ordered import running
 from siftgrain.session import checkpointed
 
 
@@ -53,8 +54,8 @@ def global_accuracy(df: DataFrame, gold: str, pred: str, weight: str | None = No
     low = both.join(counts, F.col("lo") == F.col("y")).select("lo", "hi", "p", F.col("n").alias("n_lo"), F.lit(0).cast("long").alias("n_hi"))
     high = both.join(counts, F.col("hi") == F.col("y")).select("lo", "hi", "p", F.lit(0).cast("long").alias("n_lo"), F.col("n").alias("n_hi"))
     merged = low.unionByName(high).groupBy("lo", "hi", "p").agg(F.sum("n_lo").alias("n_lo"), F.sum("n_hi").alias("n_hi"))
-    below = F.coalesce(F.sum("n_lo").over(Window.partitionBy("lo", "hi").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = merged.withColumn("won", F.col("n_hi") * below).agg(F.sum("won").alias("won"))
+    placed = running(checkpointed(merged.withColumn("p", F.col("p").cast("double"))), "p", "n_lo", "below", ["lo", "hi"])
+    won = placed.agg(F.sum(F.col("n_hi") * F.col("below")).alias("won"))
     return won.crossJoin(both.agg(F.sum("all").alias("all"))).select((F.col("won") / F.nullif("all", F.lit(0))).alias("accuracy"), F.col("all").alias("n_pairs"))
 
 
@@ -85,14 +86,14 @@ def kendall_tau_global(df: DataFrame, gold: str, pred: str) -> DataFrame:
 
 
 def level_pairs(df: DataFrame, group: str, order: str, gold: str, pred: str) -> DataFrame:
-    """§2: M10. Of each pair of levels i < j, over the pairs inside groups: n, mean predictions, direction, Wilcoxon's z and p that i's are less, and whether p < 0.01."""
+    """§2: M10. Of each pair of levels i < j, over the pairs inside groups: n, mean predictions, direction, Wilcoxon's z and p that i's are less (exact for few pairs), and whether p < 0.01."""
     met = pairs(df, group, order, gold, pred)
     up = F.col("gold_i") < F.col("gold_j")
     pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
     rows = met.select(F.least("gold_i", "gold_j").alias("i"), F.greatest("gold_i", "gold_j").alias("j"), pick("pred_i", "pred_j").alias("a"), pick("pred_j", "pred_i").alias("b"))
     means = rows.groupBy("i", "j").agg(F.count("*").alias("n"), F.avg("a").alias("mean_i"), F.avg("b").alias("mean_j"))
-    tested = stats.wilcoxon(rows, F.col("a") - F.col("b"), ["i", "j"]).select("i", "j", "z")
-    out = means.join(tested, ["i", "j"], "left").withColumn("p", stats.normal_below(F.col("z")))
+    tested = stats.wilcoxon(rows, F.col("a") - F.col("b"), ["i", "j"], "less").select("i", "j", "z", "p")
+    out = means.join(tested, ["i", "j"], "left")
     return out.withColumn("direction", F.when(F.col("mean_i") < F.col("mean_j"), "i<j").otherwise("i>j")).withColumn("significant", F.coalesce(F.col("p") < 0.01, F.lit(False)))
 
 

@@ -1,4 +1,4 @@
-"""Tests and resampling (§2: H1-H15). Sums and ranks come from Spark; distributions are evaluated on what is left, a few numbers."""
+"""Tests and models (§2: H3-H14). Sums and ranks come from Spark; distributions are evaluated on what is left, a few numbers."""
 
 from __future__ import annotations
 
@@ -11,14 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from siftgrain.operators import nulls
 from siftgrain.operators.ordered import numbered, running
 from siftgrain.session import checkpointed
 
 
-def normal_sf(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -43,17 +40,8 @@ def t_two_sided(t: float, df: int) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-def average_ranks(df: DataFrame, value: str, groups: list[str] = []) -> DataFrame:  # noqa: B006
-    """Distinct values with their count (_n) and average rank (_rank): ties share, and the window sees distinct values."""
-    counts = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    if not groups:
-        return running(checkpointed(counts), value, "_n", "_below").withColumn("_rank", F.col("_below") + (F.col("_n") + 1) / 2.0).drop("_below")
-    w = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_rank", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0)
-
-
 def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
-    """§2: H6, H8, H10. n1, n0, u1, z (tie-corrected), cliffs_delta and auc of ``value`` for flag = 1 against 0.
+    """§2: H6, H8, H10. n1, n0, u1, z (tie-corrected), cliffs_delta, auc and p (two-sided, exact for small sides) of ``value`` for flag = 1 against 0.
 
     Ranks are taken over (value, counts by side), so nothing of the size of
     the rows is ordered in one place, and no pairs are formed.
@@ -62,33 +50,25 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     ranked = running(checkpointed(sides), value, "n", "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
     s = ranked.agg(F.sum("n1").cast("double").alias("n1"), F.sum("n").cast("double").alias("N"), F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     s = s.withColumn("n0", F.col("N") - F.col("n1")).withColumn("u1", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
-    var = F.col("n1") * F.col("n0") / 12 * ((F.col("N") + 1) - F.col("ties") / (F.col("N") * (F.col("N") - 1)))
+    # Null where a side is empty, or all values are one.
+    pairs = F.nullif(F.col("n1") * F.col("n0"), F.lit(0.0))
+    var = F.nullif(pairs / 12 * ((F.col("N") + 1) - F.col("ties") / (F.col("N") * (F.col("N") - 1))), F.lit(0.0))
     return s.select(
-        F.col("n1").cast("long").alias("n1"), F.col("n0").cast("long").alias("n0"), "u1", ((F.col("u1") - F.col("n1") * F.col("n0") / 2) / F.sqrt(var)).alias("z"),
-        (2 * F.col("u1") / (F.col("n1") * F.col("n0")) - 1).alias("cliffs_delta"), (F.col("u1") / (F.col("n1") * F.col("n0"))).alias("auc"),
-    )
-
-
-def mann_whitney_p(z: float, n1: int, n0: int, sigma: float | None = None) -> float:
-    """Two-sided p by the normal law; with sigma, a continuity correction of one half."""
-    z = abs(z) if sigma is None else max(abs(z) - 0.5 / sigma, 0.0)
-    return min(1.0, 2 * normal_sf(z))
-
-
-def wilcoxon(df: DataFrame, difference: Column, groups: list[str] = []) -> DataFrame:  # noqa: B006
-    """§2: H3, M10. n, w_plus, w_minus and z of signed ranks (of each group); zeros are dropped and ties share ranks."""
-    d = df.select(*groups, difference.cast("double").alias("d")).filter("d is not null and not isnan(d) and d <> 0").withColumn("a", F.abs("d"))
-    counts = d.groupBy(*groups, "a").agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("int")).alias("pos"))
-    ranked = running(checkpointed(counts), "a", "n", "below", groups).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
-    s = ranked.groupBy(*groups).agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("pos"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
+        F.col("n1").cast("long").alias("n1"), F.col("n0").cast("long").alias("n0"), "u1", ((F.col("u1") - pairs / 2) / F.sqrt(var)).alias("z"),
+        (2 * F.col("u1") / pairs - 1).alias("cliffs_delta"), (F.col("u1") / pairs).alias("auc"), "ties",
+    ).withColumn("p", nulls.rank_sum_p()).drop("ties")
+
+
+def wilcoxon(df: DataFrame, difference: Column, groups: list[str] = [], alternative: str = "two-sided") -> DataFrame:  # noqa: B006
+    """§2: H3, M10. n, w_plus, w_minus, z and p of signed ranks (of each group); zeros are dropped, ties share ranks, and p is exact for few pairs."""
+    d = df.select(*groups, difference.cast("double").alias("d")).filter("d is not null and not isnan(d)").withColumn("a", F.abs("d"))
+    counts = checkpointed(d.groupBy(*groups, "a").agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("int")).alias("pos")))
+    ranked = running(counts.filter("a > 0"), "a", "n", "below", groups).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0).select(*groups, "n", "pos", "rank", F.lit(0).cast("long").alias("zero"))
+    none = counts.filter("a = 0").select(*groups, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("rank"), F.col("n").alias("zero"))
+    s = ranked.unionByName(none).groupBy(*groups).agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("pos"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"), F.sum("zero").alias("zeros")).filter("n > 0")
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    return s.select(*groups, F.col("n").cast("long").alias("n"), "w_plus", "w_minus", ((F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var)).alias("z"))
-
-
-@F.pandas_udf(DoubleType())
-def normal_below(z: pd.Series) -> pd.Series:
-    """The normal law's share below z, for the few rows of a report."""
-    return z.map(lambda x: 1 - normal_sf(x) if pd.notna(x) else None).astype(float)
+    out = s.select(*groups, F.col("n").cast("long").alias("n"), "w_plus", "w_minus", ((F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var)).alias("z"), "ties", "zeros")
+    return out.withColumn("p", nulls.signed_rank_p(alternative)).drop("ties", "zeros")
 
 
 @F.pandas_udf(DoubleType())
@@ -97,10 +77,6 @@ def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(x, int(n)) if pd.notna(x) else None for x, n in zip(t, df, strict=True)], dtype=float)
 
 
-def wilcoxon_p(z: float, alternative: str = "two-sided") -> float:
-    return {"less": 1 - normal_sf(z), "greater": normal_sf(z), "two-sided": min(1.0, 2 * normal_sf(abs(z)))}[alternative]
-
-
 def paired(df: DataFrame, a: str, b: str) -> DataFrame:
     """§2: H4, H5, H13. n, means, population deviations, share of a > b, t with its two-sided p, and Cohen's dz (population deviation)."""
     d = F.col(a) - F.col(b)
@@ -116,43 +92,6 @@ def bonferroni(df: DataFrame, p: str = "p") -> DataFrame:
     return df.withColumn("p_adjusted", F.least(F.col(p) * F.count("*").over(Window.partitionBy()), F.lit(1.0)))
 
 
-def bootstrap_mean_difference(a: np.ndarray, b: np.ndarray, n_boot: int = 20_000, seed: int = 0, alternative: str = "greater", confidence: float = 0.95) -> dict:
-    """§2: H1. Pairs with a missing side are dropped; interval by quantiles, p by the share of resamples on the wrong side."""
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    d = (a - b)[np.isfinite(a) & np.isfinite(b)]
-    rng = np.random.default_rng(seed)
-    means = np.array([d[rng.integers(0, len(d), len(d))].mean() for _ in range(n_boot)])
-    side = {"greater": (means <= 0).mean(), "less": (means >= 0).mean()}
-    p = side.get(alternative, min(1.0, 2 * min(side.values())))
-    low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
-    return {"difference": float(d.mean()), "low": float(low), "high": float(high), "p": float(p), "n": len(d)}
-
-
-def pair_accuracy(pred: np.ndarray, gold: np.ndarray) -> float:
-    i, j = np.triu_indices(len(pred), 1)
-    use = gold[i] != gold[j]
-    return float(((pred[i] - pred[j]) * (gold[i] - gold[j]) > 0)[use].mean()) if use.any() else math.nan
-
-
-def bootstrap_accuracy_difference(df: DataFrame, gold: str, a: str, b: str, n_boot: int = 2_000, seed: int = 0, most_rows: int = 20_000) -> DataFrame:
-    """§2: H2, L5. Differences in pairwise accuracy over resamples, dealt over tasks; the rows, at most ``most_rows``, are broadcast."""
-    rows = df.select(gold, a, b).dropna().limit(most_rows + 1).toPandas().to_numpy(float)
-    if len(rows) > most_rows:
-        raise ValueError("too many rows to resample their pairs")
-    shared = df.sparkSession.sparkContext.broadcast(rows[np.lexsort(rows.T)])
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = shared.value
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                s = x[np.random.default_rng([seed, int(i)]).integers(0, len(x), len(x))]
-                out.append(pair_accuracy(s[:, 1], s[:, 0]) - pair_accuracy(s[:, 2], s[:, 0]))
-            yield pd.DataFrame({"resample": batch["id"], "difference": out})
-
-    return df.sparkSession.range(n_boot).mapInPandas(resample, "resample long, difference double")
-
-
 def logistic(df: DataFrame, features: list[str], target: str):
     """§2: H9. Unregularised logistic regression: (coefficients, odds ratios, model)."""
     from pyspark.ml.classification import LogisticRegression
@@ -231,9 +170,3 @@ def gam(df: DataFrame, features: list[str], target: str, n_splines: int = 20, pe
         effect = spline_basis(x, *s, n_splines) @ w[1 + i * n_splines : 1 + (i + 1) * n_splines]
         out["curves"][c] = {"x": x, "y": effect, "peak": float(x[effect.argmax()])}
     return out
-
-
-def bootstrap_std(values: np.ndarray, n_boot: int = 1000, seed: int = 0) -> float:
-    """§2: H15."""
-    rng = np.random.default_rng(seed)
-    return float(np.std([values[rng.integers(0, len(values), len(values))].mean() for _ in range(n_boot)]))

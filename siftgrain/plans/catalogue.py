@@ -44,6 +44,19 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def normal_sf_sql(x: str) -> str:
+    """The normal law's share above x: a series of odd powers over odd factorials."""
+    series = f"list_sum(list_transform(range(200), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) - (k + 1) * ln(2.0) - lgamma(k + 1.5) + ln(pi()) / 2)))"
+    return f"(CASE WHEN {x} > 8 THEN 0.0 WHEN {x} < -8 THEN 1.0 ELSE 0.5 - sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {series} END)"
+
+
+def t_two_sided_sql(t: str, df: str, steps: int = 2000) -> str:
+    """Student's two-sided p: Simpson's rule from zero to t."""
+    f = lambda x: f"exp(lgamma(({df} + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()) * (1 + ({x}) * ({x}) / ({df})) ** (-(({df}) + 1) / 2)"
+    h = f"(abs({t}) / {steps}.0)"
+    return f"greatest(0.0, 1 - 2 * {h} / 3 * list_sum(list_transform(range({steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f(f'i * {h}')})))"
+
+
 # Pieces of SQL that several twins share.
 _CLEAN = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])([A-Za-z])', '\1 \2', 'g'), '\s+', ' ', 'g'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(split.STOP_WORDS))) + "]"
@@ -272,7 +285,7 @@ def unpivot_likert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def split_no_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: G9, J13: orders that share a supplier's part on any of their lines never part. Rows only: components are iterative."""
+    """§2: G9: orders that share a supplier's part on any of their lines never part. Rows only: components are iterative."""
     edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("answer"))
     return ds.leakage_free_split(edges)
 
@@ -547,12 +560,13 @@ k AS (SELECT n, coalesce(n1, 0) AS n1, coalesce(sum(n) OVER (ORDER BY n_chars RO
 s AS (SELECT sum(n1)::DOUBLE AS n1, sum(n)::DOUBLE AS nn, sum(rk * n1) AS r1, sum(n::DOUBLE ** 3 - n) AS t FROM k), u AS (SELECT n1, nn - n1 AS n0, nn, t, r1 - n1 * (n1 + 1) / 2 AS u1 FROM s)"""
 
 
-@query(_MWU + " SELECT n1::BIGINT AS n1, n0::BIGINT AS n0, round(u1, 4) AS u1, round((u1 - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (nn + 1 - t / (nn * (nn - 1)))), 6) AS z, round(2 * u1 / (n1 * n0) - 1, 6) AS cliffs_delta, round(u1 / (n1 * n0), 6) AS auc FROM u")
+@query(_MWU + " SELECT n1::BIGINT AS n1, n0::BIGINT AS n0, round(u1, 4) AS u1, round((u1 - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (nn + 1 - t / (nn * (nn - 1)))), 6) AS z, round(2 * u1 / (n1 * n0) - 1, 6) AS cliffs_delta, round(u1 / (n1 * n0), 6) AS auc,"
+       f" round(least(1.0, 2 * {normal_sf_sql('greatest(abs(u1 - n1 * n0 / 2) - 0.5, 0) / sqrt(n1 * n0 / 12 * (nn + 1 - t / (nn * (nn - 1))))')}), 6) AS p FROM u")
 def mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
     """§2: H6, H8, H10."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("quality", "n_chars")
     out = stats.mann_whitney(rows, "quality", "n_chars")
-    return out.select("n1", "n0", F.round("u1", 4).alias("u1"), *[r6(F.col(c), c) for c in ("z", "cliffs_delta", "auc")])
+    return out.select("n1", "n0", F.round("u1", 4).alias("u1"), *[r6(F.col(c), c) for c in ("z", "cliffs_delta", "auc", "p")])
 
 
 _TURNS = f"p AS (SELECT length(q.text)::DOUBLE AS a, length(a.text)::DOUBLE AS b {_ASKED} AND a.text IS NOT NULL)"
@@ -566,18 +580,20 @@ def paired_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_TURNS}, d AS (SELECT a - b AS d FROM p WHERE a <> b), v AS (SELECT abs(d) AS x, count(*) AS n, count(*) FILTER (d > 0) AS pos FROM d GROUP BY 1),
 k AS (SELECT *, coalesce(sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2.0::DOUBLE AS rk FROM v),
-s AS (SELECT sum(n)::DOUBLE AS n, sum(rk * pos) AS wp, sum(rk * (n - pos)) AS wm, sum(n::DOUBLE ** 3 - n) AS t FROM k)
-SELECT n::BIGINT AS n, round(wp, 4) AS w_plus, round(wm, 4) AS w_minus, round((wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) AS z FROM s""")
+s AS (SELECT sum(n)::DOUBLE AS n, sum(rk * pos) AS wp, sum(rk * (n - pos)) AS wm, sum(n::DOUBLE ** 3 - n) AS t FROM k),
+z AS (SELECT *, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48) AS z FROM s)
+SELECT n::BIGINT AS n, round(wp, 4) AS w_plus, round(wm, 4) AS w_minus, round(z, 6) AS z, round(2 * {normal_sf_sql("abs(z)")}, 6) AS p FROM z""")
 def wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: H3, M10."""
+    """§2: H3."""
     out = stats.wilcoxon(paired_turns(spark, sf), F.col("a") - F.col("b"))
-    return out.select("n", F.round("w_plus", 4).alias("w_plus"), F.round("w_minus", 4).alias("w_minus"), r6(F.col("z"), "z"))
+    return out.select("n", F.round("w_plus", 4).alias("w_plus"), F.round("w_minus", 4).alias("w_minus"), r6(F.col("z"), "z"), r6(F.col("p"), "p"))
 
 
-@query(f"WITH {_TURNS} SELECT count(*) AS n, round(avg((a > b)::INT), 6) AS share, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t, round(avg(a - b) / stddev_pop(a - b), 6) AS cohen_dz FROM p")
+@query(f"""WITH {_TURNS}, s AS (SELECT count(*) AS n, avg((a > b)::INT) AS share, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t, avg(a - b) / stddev_pop(a - b) AS dz FROM p)
+SELECT n, round(share, 6) AS share, round(t, 6) AS t, round(dz, 6) AS cohen_dz, round({t_two_sided_sql("t", "(n - 1)::DOUBLE")}, 6) AS p FROM s""")
 def paired_tests(spark: SparkSession, sf: str) -> DataFrame:
     """§2: H4, H5, H13."""
-    return stats.paired(paired_turns(spark, sf), "a", "b").select("n", *[r6(F.col(c), c) for c in ("share", "t", "cohen_dz")])
+    return stats.paired(paired_turns(spark, sf), "a", "b").select("n", *[r6(F.col(c), c) for c in ("share", "t", "cohen_dz", "p")])
 
 
 @query("""WITH m AS (SELECT source AS key, avg(n_chars) AS mean_chars, count(*)::DOUBLE AS n FROM documents GROUP BY 1), l AS (SELECT key, 'mean_chars' AS metric, mean_chars AS value FROM m UNION ALL SELECT key, 'n', n FROM m)
@@ -644,10 +660,3 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     data = vc.features(rows.select("vec_id", "embedding", F.col("label").alias("y")), anchors, "similarity")
     model = pr.fit_gbt(data, iterations=5)
     return pr.gbt(model)(data).select("vec_id", "y", r6(F.col("score"), "score"))
-
-
-@query(None)
-def bootstrap_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: H2, L5. Rows only: resamples of pairwise accuracy of two predictors of a source's rank."""
-    m = table(spark, sf, "documents").groupBy("source").agg(F.avg("n_chars").alias("gold"), F.avg(F.length("text") % 97).alias("a"), F.count("*").cast("double").alias("b"))
-    return stats.bootstrap_accuracy_difference(m, "gold", "a", "b", 500)

@@ -14,7 +14,7 @@ from siftgrain.operators import predictors as pr
 from siftgrain.operators import qa, ranking, split, stats
 from siftgrain.operators import vectors as vc
 from siftgrain.operators.cache import ScoreCache, fingerprint
-from siftgrain.plans.catalogue import _BALL, _CLEAN, _LQM, _MARKED, _PAIRS, _RANKED, _UNITS, ORACLE_SQL, QUERIES, ball, noun_reference, query, r6, table, texts, unit_table
+from siftgrain.plans.catalogue import _BALL, _CLEAN, _LQM, _MARKED, _PAIRS, _RANKED, _UNITS, ORACLE_SQL, QUERIES, ball, normal_sf_sql, noun_reference, query, r6, table, texts, unit_table
 from siftgrain.session import ensure_checkpoint_dir
 from siftgrain.sources import files
 
@@ -165,11 +165,11 @@ d AS (SELECT i, j, a - b AS d FROM p WHERE a <> b), v AS (SELECT i, j, abs(d) AS
 k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY i, j ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2.0::DOUBLE AS rk FROM v),
 s AS (SELECT i, j, sum(n)::DOUBLE AS n, sum(rk * pos) AS wp, sum(n::DOUBLE ** 3 - n) AS t FROM k GROUP BY ALL), z AS (SELECT i, j, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48) AS z FROM s),
 m AS (SELECT i, j, count(*) AS n, avg(a) AS mi, avg(b) AS mj FROM p GROUP BY ALL)
-SELECT i, j, n, round(mi, 4) AS mean_i, round(mj, 4) AS mean_j, CASE WHEN mi < mj THEN 'i<j' ELSE 'i>j' END AS direction, round(z, 6) AS z, z < -2.3263478740408408 AS significant FROM m JOIN z USING (i, j)""")
+SELECT i, j, n, round(mi, 4) AS mean_i, round(mj, 4) AS mean_j, CASE WHEN mi < mj THEN 'i<j' ELSE 'i>j' END AS direction, round(z, 6) AS z, round(1 - """ + normal_sf_sql("z") + """, 6) AS p, z < -2.3263478740408408 AS significant FROM m JOIN z USING (i, j)""")
 def level_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """§2: M10."""
     out = ranking.level_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_linenumber", "l_extendedprice")
-    return out.select("i", "j", "n", F.round("mean_i", 4).alias("mean_i"), F.round("mean_j", 4).alias("mean_j"), "direction", r6(F.col("z"), "z"), "significant")
+    return out.select("i", "j", "n", F.round("mean_i", 4).alias("mean_i"), F.round("mean_j", 4).alias("mean_j"), "direction", r6(F.col("z"), "z"), r6(F.col("p"), "p"), "significant")
 
 
 @query(f"""WITH a AS (SELECT l_orderkey, avg(ok::INT) AS acc FROM ({_PAIRS}) GROUP BY 1)
