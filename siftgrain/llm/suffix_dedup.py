@@ -25,9 +25,9 @@ a passage which a third of all texts hold reaches its block once a batch.
 
 Edge cases: null texts are empty; texts shorter than the length lose nothing;
 rows repeated with equal id and text are the same document, and what one loses
-the other loses; equal ids with different texts are ordered by a hash of the
-text where id and start tie; null ids come first; extra columns pass through
-``dedup_substrings``.
+the other loses; the strings of different texts under one id are ordered by
+start, and by a hash of the text where starts tie; null ids come first; extra
+columns pass through ``dedup_substrings``.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, s
         raw = b"".join([x[6] for x in held])
         many = runs + (length - 1)
         at = np.cumsum(many) - many
-        order = np.lexsort((start, keys, ids, digest[:, 0], digest[:, 1]))
+        order = np.lexsort((keys, start, ids, digest[:, 0], digest[:, 1]))
         rank, digest, ids, keys, start, runs, at, many = (x[order] for x in (rank, digest, ids, keys, start, runs, at, many))
         name = np.cumsum(np.r_[False, (digest[1:] != digest[:-1]).any(axis=1)])
         again = later(name, keys, start)
@@ -166,7 +166,7 @@ def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, s
             rows.append((b, True, len(x), pack(keys[x], start[x].astype(np.int32), (start[x] + many[x]).astype(np.int32)), None))
         bucket = (rank >> U(20)) % U(buckets)
         early = np.flatnonzero(~again)
-        early = early[np.lexsort((start[early], keys[early], ids[early], bucket[early]))]
+        early = early[np.lexsort((keys[early], start[early], ids[early], bucket[early]))]
         for b, i, j in bucket_runs(bucket[early]):
             x = early[i:j]
             body = pack(np.frombuffer(b"".join([raw[a : a + n] for a, n in zip(at[x].tolist(), many[x].tolist(), strict=True)]), np.uint8))
@@ -244,9 +244,14 @@ def repeated_spans(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
         many = runs + (length - 1)
         at = np.cumsum(many) - many
         order = np.lexsort((key, start, ids))
-        key, start, runs, at = key[order], start[order], runs[order], at[order]
+        ids, key, start, runs, at = ids[order], key[order], start[order], runs[order], at[order]
         who = np.repeat(np.arange(len(runs)), runs)
         inside = np.arange(len(who)) - np.repeat(np.cumsum(runs) - runs, runs)
+        shared = ((ids[1:] == ids[:-1]) & (key[1:] != key[:-1])).any()
+        if shared:
+            # Texts under one id: contexts overlap, so that their strings are put in order one by one.
+            order = np.lexsort((key[who], start[who] + inside, ids[who]))
+            who, inside = who[order], inside[order]
         name = np.concatenate([mix(grams(data[i : i + (4 << 20) + length - 1], length)) for i in range(0, len(data) - length + 1, 4 << 20)])
         name = name[at[who] + inside]
         spot = at[who] + inside
@@ -261,6 +266,9 @@ def repeated_spans(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
         hit = hit[(key[who[hit]] != key[who[first]]) | (start[who[hit]] + inside[hit] != start[who[first]] + inside[first])]
         if len(hit):
             k, s = key[who[hit]], start[who[hit]] + inside[hit]
+            if shared:
+                order = np.lexsort((s, k))
+                k, s = k[order], s[order]
             new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1)])
             stop = np.r_[new[1:], len(hit)] - 1
             keys.append(k[new])

@@ -649,3 +649,22 @@ def test_map_texts_bounds_batches_but_keeps_sizes_that_the_session_names(spark):
             assert sum(found) == 2500 and max(found) == most
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("flush, parts", [(24 << 20, 1), (24 << 20, 4), (900, 1), (900, 4)])
+def test_suffix_dedup_of_shared_ids(spark, monkeypatch, flush, parts):
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", flush)
+    p, q = prose(100), prose(60)
+    rows = [(5, f"{prose(60)} {p}"), (5, f"{prose(3)} {p}"), (5, f"{prose(20)} {p} {prose(10)} {q}"), (7, p), (None, f"{prose(9)} {q}"), (None, f"{q} {prose(2)}"), (3, f"{prose(4)} {p[40:400]}"), (7, f"x{p}"), (5, f"{q}{q}")]
+    strings = sorted(((-1 if i is None else i), at, common_key, n, t[at : at + 100]) for n, (i, t) in enumerate((i, t.encode()) for i, t in rows) for at in range(len(t) - 99) for common_key in [0])
+    first = {}
+    for i, at, _, _, x in strings:
+        first.setdefault(x, (i, at))
+    got = {(r.doc_id, r.text): r.n_removed for r in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for at in range(len(b) - 99):
+            if first[b[at : at + 100]] != ((-1 if i is None else i), at):
+                gone[at : at + 100] = b"\1" * 100
+        assert got[i, t] == sum(gone), (i, t[:20])
