@@ -9,8 +9,8 @@ join on the index.
 
 Edge cases: a null text has no words and is never taken; a null source is a
 source of its own, last in order; a corpus without words takes nothing; rows
-repeated with the same id and text are rows of their own in the stream; extra
-columns pass through ``mix`` untouched. Sources are metadata: their totals are
+repeated with the same id and text are rows of their own in the stream, and keep
+what else they hold; extra columns pass through ``mix`` untouched. Sources are metadata: their totals are
 read on the driver, at most ``MOST_SOURCES`` of them.
 """
 
@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shielded, table
@@ -67,14 +67,23 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
-def streams(docs: DataFrame, cell_rows: int = 2_000) -> DataFrame:
+def whole_row(docs: DataFrame) -> Column:
+    """A hash of all columns, null or not: rows of one hash may stand for each other."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*[x for f in docs.schema.fields for x in (plain(f), F.col(f"`{f.name}`").isNull())])
+
+
+def streams(docs: DataFrame, cell_rows: int = 2_000, row: Column | None = None) -> DataFrame:
     """Adds size, source_key, from_word: each row's place in its source's stream, and number, by which equal rows differ.
 
+    ``row`` tells rows apart, by doc_id and text unless it is given.
+
     Offsets inside cells of a bounded number of rows are added to the cells'
     own offsets, so that no task holds a whole source.
     """
     size = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    narrow = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("source_key"), size.alias("size"))
+    row = F.xxhash64("doc_id", "text") if row is None else row
+    narrow = docs.select("doc_id", row.alias("row"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("source_key"), size.alias("size"))
     narrow = cut(narrow)
     cells = max(1, math.ceil(narrow.count() / cell_rows))
     narrow = narrow.withColumn("cell", F.pmod(F.xxhash64("row", F.lit(8)), F.lit(cells)))
@@ -105,14 +114,14 @@ def draw(wanted: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_plan(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, block: int = 64, shards: int = 64, seed: int = 20, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their source's size and target, slots, block members).
 
     slots: shard, source_key, slot (of its source), epoch, block_index.
     members: source_key, block_index, row, number, from_word, n_words (of the row in the block).
     """
     spark = docs.sparkSession
-    placed = cut(streams(docs))
+    placed = cut(streams(docs, row=row))
     per = sorted(placed.groupBy("source_key").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect(), key=lambda r: r["source_key"])
     if len(per) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -162,7 +171,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """
     docs, restored = shielded(docs, ("_row", "run", "_words"))
     columns = docs.columns
-    _, slots, members = mix_plan(docs, **how)
+    _, slots, members = mix_plan(docs, row=whole_row(docs), **how)
     pieces = taken_blocks(slots, members).select("source_key", "row", "number", "epoch", "from_word", "n_words")
     runs = pieces.groupBy("source_key", "row", "number", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("pieces"))
     start = F.struct(F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)").alias("done"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
@@ -178,7 +187,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     done = F.aggregate("pieces", start, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
     runs = runs.select("row", F.explode(done).alias("run"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("doc_id", "text").alias("_row")).dropDuplicates(["_row"])
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], whole_row(docs).alias("_row")).dropDuplicates(["_row"])
     joined = keyed.join(runs.withColumnRenamed("row", "_row"), "_row")
     joined = joined.select("*", F.explode(F.array(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))).alias("_words"))
     whole = (F.col("run.a") == 0) & (F.col("run.b") == F.size("_words"))

@@ -668,3 +668,17 @@ def test_suffix_dedup_of_shared_ids(spark, monkeypatch, flush, parts):
             if first[b[at : at + 100]] != ((-1 if i is None else i), at):
                 gone[at : at + 100] = b"\1" * 100
         assert got[i, t] == sum(gone), (i, t[:20])
+
+
+def test_mixing_keeps_what_equal_texts_hold(spark):
+    t, u = prose(640), prose(640)
+    schema = "doc_id long, text string, lang string, source string, extra map<string,int>"
+    docs = spark.createDataFrame([(1, t, None, "a", {"x": 1}), (1, t, "a", None, {"x": 2}), (1, t, "a", "b", None), (2, u, None, "c", None)], schema)
+    got = mixing.mix(docs, block=8).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.lang, r.source, (r.extra or {}).get("x")] += len(r.text.split())
+    rows, slots, members = mixing.mix_plan(docs, block=8, row=mixing.whole_row(docs))
+    wanted = {r.source_key: r.n for r in mixing.taken_blocks(slots, members).groupBy("source_key").agg(F.sum("n_words").alias("n")).collect()}
+    assert taken == {(None, "a", 1): wanted["sa"], ("a", "b", None): wanted["sb"], (None, "c", None): wanted["sc"], ("a", None, 2): wanted["t"]}
+    assert len(set(wanted.values())) > 1
