@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +53,30 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spa
 
 
 def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over smaller batches than the default ones, which hold 10,000 whole texts; sizes that the session names stay."""
+    """``mapInArrow`` over smaller batches than the default ones, which hold 10,000 whole texts, in lean workers; sizes that the session names stay."""
     conf = df.sparkSession.conf
     for name, (default, ours) in BATCH.items():
         if conf.get(name, default) == default:
             conf.set(name, ours)
-    return df.mapInArrow(run, schema)
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from run(batches)
+
+    return df.mapInArrow(lean_run, schema)
+
+
+#: glibc's name of the size from which memory is mapped, and that size: what is mapped goes back when it is freed.
+M_MMAP_THRESHOLD, MAPPED = -3, 1 << 18
+
+
+def lean() -> None:
+    """Has a worker's arrays given back to the system when they are freed, not kept for later stages; elsewhere than on glibc nothing changes."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(M_MMAP_THRESHOLD, MAPPED)
+    except (OSError, AttributeError):
+        pass
 
 
 def row_key(doc_id, text):
