@@ -87,6 +87,15 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
     return both.groupBy(row).pivot(column, values).count().na.fill(0)
 
 
+def counts_with_total(df: DataFrame, row: str, column: str) -> DataFrame:
+    """§2: G18. The same in long form, for any number of columns: row, column and n for each combination of keys that occur, and for TOTAL."""
+    seen = df.groupBy(row, column).agg(F.count("*").alias("n"))
+    total = seen.groupBy(column).agg(F.sum("n").alias("n")).select(F.lit("TOTAL").alias(row), column, "n")
+    # As many rows as the result has.
+    every = seen.select(row).distinct().crossJoin(seen.select(column).distinct()).select(row, column, F.lit(0).cast("long").alias("n"))
+    return seen.unionByName(total).unionByName(every).groupBy(row, column).agg(F.sum("n").alias("n"))
+
+
 def level_spread(df: DataFrame, key: str, level: str) -> DataFrame:
     """§2: G19, G20. Count, mean and population variance of levels for each key, and its share of all rows."""
     total = df.select(F.count("*").alias("_all"))
@@ -148,8 +157,3 @@ def shared_answers(rows: DataFrame) -> DataFrame:
 def disjoint(rows: DataFrame) -> bool:
     """§2: J13. Whether no answer is in two splits; rows: split, answer."""
     return shared_answers(rows).first()["shared"] == 0
-
-
-def level_means(df: DataFrame, level: str, *scores: str) -> DataFrame:
-    """§2: G21."""
-    return df.groupBy(level).agg(*[F.avg(s).alias(f"mean_{s}") for s in scores])

@@ -60,17 +60,6 @@ def gbt(model, features: str = "features") -> Predictor:
     return lambda rows: model.transform(rows.withColumn("_x", array_to_vector(features))).drop("_x")
 
 
-def search(train: DataFrame, valid: DataFrame, accuracy: Callable[[DataFrame], float], grid: list[dict]):
-    """§2: L2, N7. The grid's model with the best accuracy on ``valid``: (accuracy, settings, model)."""
-    best = None
-    for settings in grid:
-        model = fit_gbt(train, **settings)
-        got = accuracy(gbt(model)(valid))
-        if best is None or got > best[0]:
-            best = (got, settings, model)
-    return best
-
-
 def pairwise_rows(rows: DataFrame, group: str = "id", features: str = "features", target: str = "y") -> DataFrame:
     """§2: L3. Feature differences of pairs inside a group and which is greater: input of a pairwise logistic ranker."""
     a, b = rows.alias("a"), rows.alias("b")

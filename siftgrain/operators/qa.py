@@ -122,11 +122,26 @@ def rank_correlation(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
 
 
 def best_second(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """§2: W11, W5, W13. metric, key, value and its place for the two best of each metric."""
+    """§2: W11, W12. metric, key, value and its place for the two best of each metric."""
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("z")).select(key, "z.metric", "z.value")
     return long.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), key))).filter("place <= 2")
 
 
+def distinct_ordered(df: DataFrame, *columns: str) -> DataFrame:
+    """§2: W5. Distinct values of the columns, in their order."""
+    return df.select(*columns).distinct().orderBy(*columns)
+
+
+def in_order(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """§2: W13. A report's rows by a list of keys, with their place; keys that the table lacks raise, rows that the list lacks are left out."""
+    wanted = df.sparkSession.createDataFrame(list(enumerate(order, 1)), f"place int, `{key}` string")
+    found = df.withColumn(key, F.col(key).cast("string")).join(F.broadcast(wanted), key)
+    missing = wanted.join(found.select(key).distinct(), key, "left_anti").limit(5).collect()
+    if missing:
+        raise KeyError([r[key] for r in missing])
+    return found.orderBy("place")
+
+
 def column_blocks(df: DataFrame, order: str, blocks: int) -> DataFrame:
     """§2: W16. Deals a table of results into blocks of near-equal length."""
     return df.withColumn("block", F.ntile(blocks).over(Window.orderBy(order)))
@@ -166,12 +181,36 @@ def gold_granularity(df: DataFrame, score: Callable[[DataFrame], DataFrame], key
 
 
 def overview_line(df: DataFrame, dataset: str) -> DataFrame:
-    """§2: N2. The line of a report: dataset and mean granularities to four decimals."""
-    return df.agg(F.format_string(f"{dataset}: Answer %.4f - Question %.4f", F.avg("answer_granularity"), F.avg("question_granularity")).alias("line"))
+    """§2: N2. The line of a report: dataset and mean granularities to four decimals, N/A where there is none."""
+    return df.agg(means_line(F.lit(dataset), "answer_granularity", "question_granularity").alias("line"))
+
+
+def means_line(dataset: Column, answer: str, question: str) -> Column:
+    """An aggregate: the line of one dataset."""
+    shown = lambda c: F.coalesce(F.format_string("%.4f", F.avg(c)), F.lit("N/A"))
+    return F.concat(F.first(dataset), F.lit(": Answer "), F.when(F.count(answer) > 0, shown(answer)).otherwise("N/A"), F.lit(" - Question "), F.when(F.count(question) > 0, shown(question)).otherwise("N/A"))
+
+
+def overview_lines(df: DataFrame, dataset: str) -> DataFrame:
+    """§2: N2, N3. A line for each dataset (and model) in one pass, in place of a loop; dataset, line."""
+    return df.groupBy(dataset).agg(means_line(F.col(dataset), "answer_granularity", "question_granularity").alias("line"))
+
+
+def rated(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, text: str, rating: str, invert: bool = False) -> DataFrame:
+    """§2: N5. key, score and rating of rated sentences; ``invert`` turns a rating's sign, for scales that run the other way."""
+    done = score(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select(F.col("doc_id").alias(key), "score")
+    value = F.col(rating).cast("double")
+    return df.select(key, (-value if invert else value).alias("rating")).join(done, key).select(key, "score", "rating")
+
+
+def column_pairs(df: DataFrame, name: str) -> DataFrame:
+    """§2: J15. a and b: each pair of distinct names, a before b."""
+    names = df.select(name).filter(F.col(name).isNotNull()).distinct()
+    return names.select(F.col(name).alias("a")).join(names.select(F.col(name).alias("b")), F.col("a") < F.col("b"))
 
 
 def sections_scored(df: DataFrame, key: str, sections: list[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """§2: N4, N5. The same scoring over several text columns: long, scored once, wide again."""
+    """§2: N4. The same scoring over several text columns: long, scored once, wide again."""
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).alias("text")) for s in sections])).alias("z")).select(F.concat_ws("\0", F.col(key).cast("string"), "z.section").alias("doc_id"), "z.text")
     done = score(long).select(F.substring_index("doc_id", "\0", 1).alias(key), F.substring_index("doc_id", "\0", -1).alias("section"), "score")
     return done.groupBy(key).pivot("section", sections).agg(F.first("score"))

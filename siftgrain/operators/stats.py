@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,52 +120,3 @@ def cross_validated_auc(df: DataFrame, features: list[str], target: str, key: st
         scored = model.transform(held).select("_y", vector_to_array("probability")[1].alias("p"))
         aucs.append(mann_whitney(scored, "_y", "p").first()["auc"])
     return float(np.mean(aucs)), float(np.std(aucs))
-
-
-def spline_basis(x: np.ndarray, low: float, high: float, n: int = 20) -> np.ndarray:
-    """Cubic B-splines over [low, high]."""
-    step = (high - low) / (n - 3)
-    knots = low + step * np.arange(-3, n + 1)
-    x = np.clip(x, low, high - 1e-9 * max(1, abs(high)))[:, None]
-    b = ((x >= knots[:-1]) & (x < knots[1:])).astype(float)
-    for d in range(1, 4):
-        b = (x - knots[: -d - 1]) / (d * step) * b[:, :-1] + (knots[d + 1 :] - x) / (d * step) * b[:, 1:]
-    return b
-
-
-def gam(df: DataFrame, features: list[str], target: str, n_splines: int = 20, penalty: float = 0.6, grid: int = 200) -> dict:
-    """§2: H12, H14. Additive penalised splines: Gram sums on the executors, one small system on the driver.
-
-    Explained deviance, and for each feature its effect over a grid between
-    the 1st and 99th percentile and where it peaks.
-    """
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in [*features, target]]).dropna()
-    ends = data.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))], *[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"p_{c}") for c in features]).first()
-    spans = [(ends[f"lo_{c}"], ends[f"hi_{c}"] + 1e-9) for c in features]
-
-    def basis(x: pd.DataFrame) -> np.ndarray:
-        return np.concatenate([np.ones((len(x), 1)), *[spline_basis(x[c].to_numpy(), *s, n_splines) for c, s in zip(features, spans, strict=True)]], axis=1)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            b, y = basis(x), x[target].to_numpy()
-            yield pd.DataFrame({"g": [(b.T @ b).ravel().tolist()], "v": [(b.T @ y).tolist()], "y": [[float(len(y)), float(y.sum()), float(y @ y)]]})
-
-    got = data.mapInPandas(sums, "g array<double>, v array<double>, y array<double>")
-    size = 1 + n_splines * len(features)
-    g, v, y = np.zeros(size * size), np.zeros(size), np.zeros(3)
-    for r in got.toLocalIterator():
-        g, v, y = g + np.array(r["g"]), v + np.array(r["v"]), y + np.array(r["y"])
-    g, bend = g.reshape(size, size), np.diff(np.eye(n_splines), 2, axis=0)
-    p = np.eye(size) * 1e-8
-    for i in range(len(features)):
-        at = 1 + i * n_splines
-        p[at : at + n_splines, at : at + n_splines] += penalty * bend.T @ bend
-    w = np.linalg.solve(g + p, v)
-    left = y[2] - 2 * w @ v + w @ g @ w
-    out = {"explained_deviance": 1 - left / (y[2] - y[1] ** 2 / y[0]), "curves": {}}
-    for i, (c, s) in enumerate(zip(features, spans, strict=True)):
-        x = np.linspace(*ends[f"p_{c}"], grid)
-        effect = spline_basis(x, *s, n_splines) @ w[1 + i * n_splines : 1 + (i + 1) * n_splines]
-        out["curves"][c] = {"x": x, "y": effect, "peak": float(x[effect.argmax()])}
-    return out

@@ -1,7 +1,7 @@
 """Vector operators (§2: V1-V16, J10): similarities, neighbours, anchors and hyperbolic features, as array expressions.
 
-Anchors are a table of a stated size (k rows), so crossing with them is a
-broadcast of that size; searches against an index go block by block.
+Anchors are a table of a stated size (k rows, 10,000 at most), which workers
+hold as a matrix; searches against an index go block by block.
 """
 
 from __future__ import annotations
@@ -80,23 +80,41 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, block: int = 4096) -> Da
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def drawn(query_id: Column, k: int, n: int, seed: int) -> Column:
+    """Draws with replacement: an array of (j, position in 0..n-1), by a digest of query, draw and seed."""
+    digits = lambda j: F.substring(F.md5(F.concat_ws("|", query_id.cast("string"), j.cast("string"), F.lit(str(seed)))), 1, 15)
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.struct(j.alias("j"), (F.conv(digits(j), 16, 10).cast("long") % F.lit(max(1, n))).alias("position")))
+
+
 def random_neighbours(queries: DataFrame, index: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """§2: V4. k index rows for each query, with replacement, by a hash of (query, j, seed); index: position (0..n-1), vec_id, embedding."""
-    n = index.count()
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-    asked = asked.withColumn("position", F.pmod(F.xxhash64("query_id", "j", F.lit(seed)), F.lit(n)))
+    """§2: V4. query_id, j, vec_id and similarity of k index rows for each query, with replacement; index: position (0..n-1), vec_id, embedding."""
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.inline(drawn(F.col("vec_id"), k, index.count(), seed)))
     return asked.join(index, "position").select("query_id", "j", "vec_id", dot(normalised(F.col("q")), normalised(F.col("embedding"))).alias("similarity"))
 
 
-def anchor_similarities(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
-    """§2: V5, V10, J10. Adds the cosine to every anchor, descending, and the anchors in that order (``neighbours``)."""
-    if anchors.limit(MOST_ANCHORS + 1).count() > MOST_ANCHORS:
+def drawn_anchors(index: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """§2: V15. j, vec_id and embedding of k rows drawn with replacement for one dummy query; index: position, vec_id, embedding."""
+    dummy = index.sparkSession.range(1).select(F.inline(drawn(F.lit(-1), k, index.count(), seed)))
+    return index.join(F.broadcast(dummy), "position").select("j", "vec_id", "embedding")
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + EPSILON)
+
+
+def anchor_matrix(anchors: DataFrame) -> np.ndarray:
+    """Anchors as rows, in falling order of their components, which decides between equal similarities; at most ``MOST_ANCHORS``."""
+    rows = anchors.select(F.col("embedding").cast("array<double>").alias("e")).limit(MOST_ANCHORS + 1).collect()
+    if len(rows) > MOST_ANCHORS:
         raise ValueError(f"more than {MOST_ANCHORS} anchors")
-    all_ = anchors.select(normalised(F.col("embedding")).alias("u"), F.col("embedding").alias("raw")).agg(F.collect_list(F.struct("u", "raw")).alias("_anchors"))
-    met = vectors.crossJoin(F.broadcast(all_)).select("*", F.explode(F.array(normalised(F.col("embedding")))).alias("_unit"))
-    pairs = F.transform("_anchors", lambda a: F.struct(dot(a["u"], F.col("_unit")).alias("s"), a["raw"].alias("raw")))
-    met = met.select("*", F.explode(F.array(F.sort_array(pairs, asc=False))).alias("_pairs"))
-    return met.withColumn("similarities", F.transform("_pairs", lambda p: p["s"])).withColumn("neighbours", F.transform("_pairs", lambda p: p["raw"])).drop("_anchors", "_unit", "_pairs")
+    return np.array(sorted((list(r.e) for r in rows), reverse=True), np.float64)
+
+
+def nearest_anchors(x: np.ndarray, anchors: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """§2: V5, V10, J10. Cosines to the (k nearest) anchors, falling, and the anchors' places."""
+    sims = unit_rows(x) @ unit_rows(anchors).T
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(sims, order, axis=1), order
 
 
 def dist0(a: Column, c: float = 1.0) -> Column:
@@ -111,15 +129,33 @@ def poincare(a: Column, b: Column, c: float = 1.0) -> Column:
 
 
 def features(vectors: DataFrame, anchors: DataFrame, kind: str = "hyperbolic", c: float = 1.0, k: int | None = None) -> DataFrame:
-    """§2: V8-V11, G13. Adds ``features``: hyperbolic (1 + 2k), no_origin (2k) or similarity (k) numbers, of all anchors or the k nearest."""
-    met = anchor_similarities(vectors, anchors)
-    if k is not None:
-        met = met.withColumn("similarities", F.slice("similarities", 1, k)).withColumn("neighbours", F.slice("neighbours", 1, k))
-    distances = F.transform("neighbours", lambda n: poincare(n, F.col("embedding"), c))
-    parts = {"hyperbolic": [F.array(dist0(F.col("embedding"), c)), F.col("similarities"), distances], "no_origin": [F.col("similarities"), distances], "similarity": [F.col("similarities")]}
-    if kind not in parts:
+    """§2: V8-V11, G13. Adds ``features``: hyperbolic (1 + 2k), no_origin (2k) or similarity (k) numbers, of all anchors or the k nearest.
+
+    Products of matrices in Arrow batches; the anchors go to the workers once.
+    """
+    if kind not in ("hyperbolic", "no_origin", "similarity"):
         raise ValueError(f"unknown features: {kind}")
-    return met.withColumn("features", F.concat(*parts[kind])).drop("similarities", "neighbours")
+    sent = vectors.sparkSession.sparkContext.broadcast(anchor_matrix(anchors))
+
+    @F.arrow_udf("array<double>")
+    def made(embedding: pa.Array) -> pa.Array:
+        a, out = sent.value, []
+        for i in range(0, len(embedding), 1024):
+            some = embedding[i : i + 1024]
+            x = np.stack(some.drop_null().to_numpy(zero_copy_only=False)).astype(np.float64) if some.null_count < len(some) else np.zeros((0, a.shape[-1]))
+            sims, order = nearest_anchors(x, a, k) if len(a) else (np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int64))
+            cols = [sims]
+            if kind != "similarity":
+                xx, aa = (x * x).sum(axis=1)[:, None], (a * a).sum(axis=1)[order]
+                gap = xx + aa - 2 * np.take_along_axis(x @ a.T, order, axis=1)
+                cols.append(np.arccosh(np.maximum(1.0, 1 + 2 * c * gap / ((1 - c * xx) * (1 - c * aa)))) / math.sqrt(c))
+                if kind == "hyperbolic":
+                    cols.insert(0, 2 / math.sqrt(c) * np.arctanh(math.sqrt(c) * np.sqrt(xx)))
+            rows = iter(np.concatenate(cols, axis=1).tolist())
+            out += [next(rows) if there else None for there in some.is_valid().to_pylist()]
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return vectors.withColumn("features", made(F.col("embedding").cast("array<double>")))
 
 
 def hash_order(key: str, seed: int) -> list[Column]:
@@ -127,7 +163,7 @@ def hash_order(key: str, seed: int) -> list[Column]:
 
 
 def random_anchors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """§2: V14, V15. k rows without replacement, the first in a hash's order."""
+    """§2: V14. k rows without replacement, the first in a hash's order."""
     return vectors.orderBy(*hash_order("vec_id", seed)).limit(k)
 
 

@@ -14,7 +14,7 @@ from siftgrain.operators import pooling as pl
 from siftgrain.operators import predictors as pr
 from siftgrain.operators import ordered, qa, ranking, split, stats
 from siftgrain.operators import vectors as vc
-from siftgrain.session import spread, stored
+from siftgrain.session import checkpointed, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,7 +127,7 @@ def unit_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_UNITS} SELECT unit, any_value(score) AS score, count(*) AS uses FROM u WHERE unit IS NOT NULL GROUP BY unit")
 def unit_distinct_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: P0, P5, J5, W17."""
+    """§2: P0, P5."""
     return pr.length(unit_table(spark, sf).filter("unit is not null").groupBy("unit").agg(F.count("*").alias("uses"))).select("unit", "score", "uses")
 
 
@@ -178,7 +178,7 @@ def _pool(name: str, expr, sql: str) -> None:
         items = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("score"), F.col("l_quantity").alias("w"))
         return items.groupBy("l_orderkey").agg(r6(expr(), "value"))
 
-    run.__doc__ = "§2: A1-A5, W14."
+    run.__doc__ = "§2: A1-A5, one pool of them."
     run.__name__ = f"pool_{name}"
     query(sql)(run)
 
@@ -260,7 +260,7 @@ g AS (SELECT id, a, list_filter(a, lambda x: x <> '') AS v, list_max(list_transf
 
 @query(f"WITH {_WIDE} SELECT id, len(v) <> len(list_distinct(v)) AS dup, len(v) < last AS gap, last::INTEGER AS last_level FROM g")
 def dup_gap_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: G1, G3-G7."""
+    """§2: G3-G7."""
     a = F.col("answers")
     return graded_answers(spark, sf).select("id", ds.has_duplicates(a).alias("dup"), ds.has_gap(a).alias("gap"), ds.last_level(a).cast("int").alias("last_level"))
 
@@ -293,11 +293,8 @@ def split_no_leakage(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH d AS (SELECT lang, coalesce(source, '') AS source FROM documents), l AS (SELECT DISTINCT lang FROM d UNION ALL SELECT 'TOTAL'), s AS (SELECT DISTINCT source FROM d)
 SELECT l.lang, s.source, (SELECT count(*) FROM d WHERE d.source = s.source AND (l.lang = 'TOTAL' OR d.lang IS NOT DISTINCT FROM l.lang)) AS n FROM l, s""")
 def pivot_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: G18. All sources, long again for the comparison."""
-    docs = table(spark, sf, "documents").select("lang", F.coalesce("source", F.lit("")).alias("source"))
-    sources = sorted(r["source"] for r in docs.select("source").distinct().collect())
-    wide = ds.pivot_counts(docs, "lang", "source", sources)
-    return wide.select("lang", F.explode(F.array(*[F.struct(F.lit(x).alias("source"), F.col(f"`{x}`").alias("n")) for x in sources])).alias("z")).select("lang", "z.source", "z.n")
+    """§2: G18, in long form."""
+    return ds.counts_with_total(table(spark, sf, "documents").select("lang", F.coalesce("source", F.lit("")).alias("source")), "lang", "source")
 
 
 @query("SELECT l_partkey::VARCHAR AS answer, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS levels FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) > 1")
@@ -423,7 +420,7 @@ def poincare_dist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_ANCHORS.replace('embedding::DOUBLE[] AS e', 'list_transform(embedding::DOUBLE[], lambda x: x / 16) AS e')}, b AS {_BALL}, s AS (SELECT b.vec_id, list_inner_product(b.e, b.e) AS aa, list_inner_product(a.e, a.e) AS bb, list_inner_product(a.e, b.e) AS ab, list_cosine_similarity(a.e, b.e) AS sim FROM b, a) SELECT vec_id, round(2 * atanh(sqrt(max(aa))), 6) AS origin, round(max(sim), 6) AS best, round(sum(acosh(greatest(1.0::DOUBLE, 1 + 2 * (aa + bb - 2 * ab) / ((1 - aa) * (1 - bb))))), 3) AS distances, (1 + 2 * count(*))::INTEGER AS width FROM s GROUP BY 1")
 def hyperbolic_features(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: V8, V9, P1-P4 features."""
+    """§2: V8, V9."""
     b = ball(spark, sf)
     out = vc.features(b, vc.random_anchors(b, 33), "hyperbolic")
     f = F.col("features")
@@ -444,15 +441,34 @@ def index_build(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", "label", F.size("unit_vector").alias("width"))
 
 
-@query(None)
-def random_neighbour_search(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: V4. Rows only: its hash is Spark's."""
+_DRAW = "('0x' || substr(md5({q} || '|' || j || '|42'), 1, 15))::BIGINT % (SELECT count(*) FROM embeddings)"
+_PLACED = "n AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS position FROM embeddings)"
+
+
+def placed_index(spark: SparkSession, sf: str) -> DataFrame:
+    """position, vec_id and embedding of every vector."""
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     positions = ordered.numbered(v.select("vec_id"), [F.md5(F.col("vec_id").cast("string")), F.col("vec_id")]).select("vec_id", (F.col("number") - 1).cast("long").alias("position"))
-    out = vc.random_neighbours(v, v.join(positions, "vec_id"), 5)
+    return v.join(positions, "vec_id")
+
+
+@query(f"WITH {_PLACED}, q AS (SELECT *, {_DRAW.format(q='vec_id')} AS spot FROM embeddings, range(5) AS r(j)) SELECT q.vec_id AS query_id, j::INTEGER AS j, n.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], n.e), 6) AS similarity FROM q JOIN n ON n.position = spot")
+def random_neighbour_search(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: V4."""
+    out = vc.random_neighbours(table(spark, sf, "embeddings").select("vec_id", "embedding"), placed_index(spark, sf), 5)
     return out.select("query_id", "j", "vec_id", r6(F.col("similarity"), "similarity"))
 
 
+@query(f"WITH {_PLACED}, a AS (SELECT j, vec_id, e FROM range(20) AS r(j) JOIN n ON n.position = {_DRAW.format(q='-1')}) SELECT j::INTEGER AS j, a.vec_id, round(max(list_cosine_similarity(e, v.embedding::DOUBLE[])), 6) AS nearest FROM a, embeddings v WHERE v.vec_id <> a.vec_id GROUP BY ALL")
+def drawn_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: V15: anchors by draws of one dummy query, with replacement, and how near the nearest other vector lies."""
+    index = placed_index(spark, sf)
+    anchors = checkpointed(vc.drawn_anchors(index, 20))
+    found = vc.top_k(anchors.select("vec_id", "embedding").dropDuplicates(["vec_id"]), index.select("vec_id", "embedding"), 2)
+    best = found.filter("query_id <> vec_id").groupBy("query_id").agg(F.max("similarity").alias("nearest"))
+    return anchors.join(best.withColumnRenamed("query_id", "vec_id"), "vec_id").select("j", "vec_id", r6(F.col("nearest"), "nearest"))
+
+
 _LETTER = "coalesce(nullif(regexp_extract(text, '(A|B|C)', 1), ''), 'C')"
 
 
@@ -535,7 +551,7 @@ def diff_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: J7, C2, C3, Q10."""
+    """§2: J7, Q10."""
     return qa.unanswered(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
@@ -550,9 +566,7 @@ def tagged_union(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT a.r_name AS first, b.r_name AS second FROM region a JOIN region b ON a.r_name < b.r_name")
 def dataset_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """§2: J15."""
-    r = table(spark, sf, "region")
-    a, b = r.select(F.col("r_name").alias("first")), r.select(F.col("r_name").alias("second"))
-    return a.join(b, F.col("first") < F.col("second"))
+    return qa.column_pairs(table(spark, sf, "region"), "r_name").select(F.col("a").alias("first"), F.col("b").alias("second"))
 
 
 _MWU = """WITH r AS (SELECT quality, n_chars, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), v AS (SELECT n_chars, sum(n) AS n, sum(n) FILTER (quality = 1) AS n1 FROM r GROUP BY 1),
@@ -599,7 +613,7 @@ def paired_tests(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH m AS (SELECT source AS key, avg(n_chars) AS mean_chars, count(*)::DOUBLE AS n FROM documents GROUP BY 1), l AS (SELECT key, 'mean_chars' AS metric, mean_chars AS value FROM m UNION ALL SELECT key, 'n', n FROM m)
 SELECT metric, key, round(value, 6) AS value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, key)::INTEGER AS place FROM l QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, key) <= 2""")
 def best_second(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: W11-W13, W5."""
+    """§2: W11, W12."""
     m = table(spark, sf, "documents").groupBy(F.col("source").alias("key")).agg(F.avg("n_chars").alias("mean_chars"), F.count("*").alias("n"))
     return qa.best_second(m, "key", ["mean_chars", "n"]).select("metric", "key", r6(F.col("value"), "value"), "place")
 
@@ -620,7 +634,7 @@ def events_level_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title>(.*?)</title>') THEN trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) END AS title, md5(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS plain FROM pages""")
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: T13, S8: a part of a page by pattern, null where there is none."""
+    """§2: T13: a part of a page by pattern, null where there is none."""
     title = r"(?is)<title>(.*?)</title>"
     return table(spark, sf, "pages").select("page_id", F.when(F.col("html").rlike(title), F.trim(F.regexp_extract("html", title, 1))).alias("title"), F.md5(F.regexp_replace("html", "<[^>]*>", " ")).alias("plain"))
 
@@ -654,7 +668,7 @@ def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: L1, L2, L4, P1, P2, P9. Rows only: boosted trees on anchor features, level = label."""
+    """§2: L1, L4, P1, P2. Rows only: boosted trees on anchor features, level = label."""
     rows = table(spark, sf, "embeddings")
     anchors = vc.random_anchors(rows.select("vec_id", "embedding"), 33)
     data = vc.features(rows.select("vec_id", "embedding", F.col("label").alias("y")), anchors, "similarity")

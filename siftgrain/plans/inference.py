@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftgrain.operators import boosting, qa, resampling, stats, trees
+from siftgrain.operators import boosting, gam, qa, resampling, stats, trees
 from siftgrain.operators import dataset as ds
 from siftgrain.plans.catalogue import normal_sf_sql, query, r6, table
 from siftgrain.plans.single import folder
@@ -233,3 +233,14 @@ def tree_search(spark: SparkSession, sf: str) -> DataFrame:
     best = Window.orderBy(F.desc("measure"), "trial")
     return spark.createDataFrame(found, "trial int, rounds int, trees int, measure double").withColumn("place", F.row_number().over(best))
 
+
+@query(None)
+def gam_inference(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: H12, H14. Rows only: price by quantity alone, and by quantity and discount: deviance, degrees of freedom, p of each term and of the larger model."""
+    data = table(spark, sf, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("price"))
+    sums = gam.sums(data, ["l_quantity", "l_discount"], "price", 12)
+    small, large = gam.fit(sums.of(["l_quantity"])), gam.fit(sums)
+    _, p = gam.compared(small, large)
+    rows = [(n, f, m.explained_deviance, m.term_edf[i], m.p[i], m.curve(f)["peak"], None if m is small else p) for n, m in (("small", small), ("large", large)) for i, f in enumerate(m.sums.features)]
+    out = spark.createDataFrame(rows, "model string, feature string, explained_deviance double, edf double, p double, peak double, p_model double")
+    return out.select("model", "feature", *[r6(F.col(c), c) for c in ("explained_deviance", "edf", "p", "peak", "p_model")])

@@ -16,7 +16,7 @@ from siftgrain.operators import vectors as vc
 from siftgrain.operators.cache import ScoreCache, fingerprint
 from siftgrain.plans.catalogue import _BALL, _CLEAN, _LQM, _MARKED, _PAIRS, _RANKED, _UNITS, ORACLE_SQL, QUERIES, ball, normal_sf_sql, noun_reference, query, r6, table, texts, unit_table
 from siftgrain.session import ensure_checkpoint_dir
-from siftgrain.sources import files
+from siftgrain.sources import arrays, files
 
 
 def folder(spark: SparkSession) -> str:
@@ -47,22 +47,27 @@ def clean_flags(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).select("doc_id", *[F.md5(tx.clean(noisy, **{n: True})).alias(n) for n in _FLAGS])
 
 
-_NAMES = [f"scope_{s}_spooling_{o}_pooling_{p}_stailq_{oq}_tailq_{q}" for s, p, q, o, oq in pl.sweep_names()] + ["scope_document_doc_mean_pooling_sum", "scope_sentence_spooling_weighted_mean_pooling_sum"]
+_OPERATIONS = ("sum", "mean", "lower_quantile_mean", "min")
 
 
 def _names_sql() -> str:
     c = "n"
     for long, short in (("scope_", ""), ("document", "doc"), ("sentence", "sent"), ("spooling_", ""), ("pooling", "pool"), ("doc_mean_", "doc_"), ("lower_quantile_mean", "lqm"), ("stailq", "stq"), ("tailq_", ""), ("_", "-")):
         c = f"replace({c}, '{long}', '{short}')"
-    values = ", ".join(f"('{n}')" for n in _NAMES)
-    return f"""WITH a AS (SELECT n AS name, {c} AS s FROM (VALUES {values}) AS t(n)), b AS (SELECT name, s, split_part(split_part(s, 'stq-', 2), '-', 1) AS q FROM a)
-SELECT name, CASE WHEN contains(s, 'stq-') THEN replace(replace(s, 'sent-lqm-', 'sent-lqm-' || q || '-'), '-stq-' || q, '') ELSE s END AS short FROM b"""
+    op = lambda at: f"{list(_OPERATIONS)}[{at} % 4 + 1]"
+    name = f"'scope_' || CASE WHEN c_custkey % 3 = 0 THEN 'document' ELSE 'sentence' END || '_spooling_' || {op('c_custkey')} || '_pooling_' || {op('c_nationkey')} || '_stailq_0.' || (c_custkey % 9 + 1) || '_tailq_0.' || (c_nationkey % 9 + 1)"
+    return f"""WITH t AS (SELECT c_custkey, {name} AS n FROM customer), a AS (SELECT c_custkey, n AS name, {c} AS s FROM t), b AS (SELECT *, split_part(split_part(s, 'stq-', 2), '-', 1) AS q FROM a)
+SELECT c_custkey, name, CASE WHEN contains(s, 'stq-') THEN replace(replace(s, 'sent-lqm-', 'sent-lqm-' || q || '-'), '-stq-' || q, '') ELSE s END AS short FROM b"""
 
 
 @query(_names_sql())
 def short_names(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: T12, over the names of all configurations of the sweep."""
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", tx.short_name(F.col("name")).alias("short"))
+    """§2: T12, over a configuration for each customer."""
+    op = lambda at: F.element_at(F.array(*map(F.lit, _OPERATIONS)), (F.col(at) % 4 + 1).cast("int"))
+    ninth = lambda at: (F.col(at) % 9 + 1).cast("string")
+    scope = F.when(F.col("c_custkey") % 3 == 0, "document").otherwise("sentence")
+    name = F.concat(F.lit("scope_"), scope, F.lit("_spooling_"), op("c_custkey"), F.lit("_pooling_"), op("c_nationkey"), F.lit("_stailq_0."), ninth("c_custkey"), F.lit("_tailq_0."), ninth("c_nationkey"))
+    return table(spark, sf, "customer").select("c_custkey", name.alias("name")).withColumn("short", tx.short_name(F.col("name")))
 
 
 @query(r"""WITH t AS (SELECT doc_id, 'Intro' || chr(10) || chr(10) || text || chr(10) || chr(10) || chr(10) || 'METHODS' || chr(10) || chr(10) || source AS t FROM documents)
@@ -106,8 +111,9 @@ def first_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 def cached_scores(spark: SparkSession, sf: str) -> DataFrame:
     """§2: C1-C5, K5: units of half of the texts are scored and stored, then all of them; what the cache gives in the end."""
     units = unit_table(spark, sf).filter("unit is not null")
-    cache = ScoreCache(spark, folder(spark), fingerprint(model="length", version=1))
+    cache = ScoreCache(spark, folder(spark), fingerprint(model="length", version=1), 8)
     cache.upsert(pr.length(cache.misses(units.filter("doc_id % 2 = 0")).select("unit")))
+    cache.compact()
     done = cache.score(units.select("unit").distinct(), pr.length)
     return done.select("unit", "score", F.lit(cache.misses(units).count()).alias("misses"))
 
@@ -194,11 +200,11 @@ def weighted_means(spark: SparkSession, sf: str) -> DataFrame:
     return qa.weighted_mean(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice", "l_quantity").select("l_suppkey", r6(F.col("mean"), "mean"))
 
 
-@query("SELECT doc_id, array_to_string([lang, source, 'x'], '|') AS items FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, array_to_string(list_filter([lang, source, 'x'], lambda x: x IS NOT NULL), '|') AS items FROM documents")
 def first_seen_items(spark: SparkSession, sf: str) -> DataFrame:
     """§2: J14."""
     items = F.array(F.concat(F.lit(" "), "lang"), F.upper("lang"), F.col("source"), F.lit(""), F.lit("x"), F.lit(" X "), F.concat("source", F.lit("  ")))
-    return table(spark, sf, "documents").filter("lang is not null and source is not null").select("doc_id", F.concat_ws("|", ds.first_seen(items)).alias("items"))
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws("|", ds.first_seen(items)).alias("items"))
 
 
 @query("SELECT a.l_orderkey AS id, a.l_linenumber AS level, b.l_quantity AS feature FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
@@ -210,7 +216,7 @@ def joined_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id::VARCHAR AS doc_id, length(text)::DOUBLE AS text, length(source)::DOUBLE AS source FROM documents")
 def scored_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: N4, N5."""
+    """§2: N4."""
     return qa.sections_scored(table(spark, sf, "documents"), "doc_id", ["text", "source"], lambda d: pl.score_unsplit(d, pr.length))
 
 
@@ -227,7 +233,7 @@ def gold_set(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT id, round(a, 6) AS answer_granularity, q::DOUBLE AS question_granularity FROM ({_GOLD})")
 def gold_granularities(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: N1, W8, W10: mean of the answers, blank ones left out."""
+    """§2: N1: mean of the answers, blank ones left out."""
     return gold_set(spark, sf).select("id", r6(F.col("answer_granularity"), "answer_granularity"), "question_granularity")
 
 
@@ -251,7 +257,7 @@ def unsplit_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 q AS (SELECT v, 50.0::DOUBLE / (SELECT sum(n) FROM ref) * (coalesce((SELECT sum(n) FROM ref WHERE r < v), 0) + coalesce((SELECT sum(n) FROM ref WHERE r <= v), 0) + CASE WHEN EXISTS (SELECT 1 FROM ref WHERE r = v) THEN 1 ELSE 0 END) AS pct FROM dx)
 SELECT doc_id, v AS score, round(pct, 6) AS percentile FROM d JOIN q USING (v)""")
 def doc_score_after(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: A7: percentiles of the texts' pooled scores."""
+    """§2: B1: percentiles of the texts' pooled scores."""
     units = pl.split_rows(texts(spark, sf))
     out = pl.score_rows(units, pr.length, noun_reference(units), pool="max", scope_pool="min", before_pooling=False)
     return out.select("doc_id", "score", r6(F.col("percentile"), "percentile"))
@@ -278,7 +284,7 @@ def files_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS line, s_name AS text, s_acctbal AS value FROM supplier")
 def lines_side_by_side(spark: SparkSession, sf: str) -> DataFrame:
     """§2: S6, S9."""
-    rows, root = table(spark, sf, "supplier").orderBy("s_suppkey").coalesce(1), folder(spark)
+    rows, root = table(spark, sf, "supplier").orderBy("s_suppkey"), folder(spark)
     files.write(rows.select("s_name"), f"{root}/texts", "lines")
     files.write(rows.select(F.col("s_acctbal").cast("string")), f"{root}/values", "lines")
     return files.paired_lines(spark, f"{root}/texts", f"{root}/values")
@@ -315,7 +321,7 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH b AS {_BALL}, a AS (SELECT e FROM b ORDER BY md5(vec_id::VARCHAR || '|7'), vec_id LIMIT 40), s AS (SELECT b.vec_id, list_cosine_similarity(a.e, b.e) AS sim FROM b, a), k AS (SELECT vec_id, sim FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC) <= 10) SELECT vec_id, count(*)::INTEGER AS width, round(sum(sim), 5) AS total FROM k GROUP BY 1")
 def nearest_anchor_features(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: G13, V10, V15: features of the ten nearest of forty anchors."""
+    """§2: G13, V10: features of the ten nearest of forty anchors."""
     b = ball(spark, sf)
     f = F.col("features")
     return vc.features(b, vc.random_anchors(b, 40, seed=7), "similarity", k=10).select("vec_id", F.size(f).alias("width"), F.round(F.aggregate(f, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
@@ -342,4 +348,63 @@ def pairwise_ranker(spark: SparkSession, sf: str) -> DataFrame:
     return pr.fit_pairwise(rows)(rows).select("id", "level", r6(F.col("score"), "score"))
 
 
-__all__ = ["QUERIES"]
+
+@query("SELECT doc_id, array_to_string([coalesce(lang, ''), coalesce(source, ''), coalesce(n_chars::VARCHAR, '')], '|') AS listed, len(list_filter([lang, source, n_chars::VARCHAR], lambda x: x IS NOT NULL AND x <> ''))::INTEGER AS given FROM documents")
+def wide_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: G1: columns of text and numbers as one array, null as ''."""
+    a = ds.answers("lang", "source", "n_chars")
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws("|", a).alias("listed"), F.size(ds.given(a)).alias("given"))
+
+
+@query("""WITH d AS (SELECT lang AS dataset, CASE WHEN n_chars > 500 THEN n_chars::DOUBLE END AS a, CASE WHEN lang <> 'de' THEN length(source)::DOUBLE END AS q FROM documents)
+SELECT dataset, dataset || ': Answer ' || coalesce(printf('%.4f', avg(a)), 'N/A') || ' - Question ' || coalesce(printf('%.4f', avg(q)), 'N/A') AS line FROM d GROUP BY dataset""")
+def overview_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: N2, N3: a line for each language, N/A where nothing was scored."""
+    d = table(spark, sf, "documents").select(F.col("lang").alias("dataset"), F.when(F.col("n_chars") > 500, F.col("n_chars").cast("double")).alias("answer_granularity"), F.when(F.col("lang") != "de", F.length("source").cast("double")).alias("question_granularity"))
+    return qa.overview_lines(d, "dataset")
+
+
+@query("SELECT c_custkey, length(c_name)::DOUBLE AS score, -c_acctbal::DOUBLE AS rating FROM customer")
+def inverted_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: N5: scores beside ratings whose scale runs the other way."""
+    return qa.rated(table(spark, sf, "customer"), lambda d: pl.score_unsplit(d, pr.length), "c_custkey", "c_name", "c_acctbal", invert=True)
+
+
+@query("SELECT *, row_number() OVER (ORDER BY l_returnflag, l_linestatus)::INTEGER AS place FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)")
+def distinct_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: W5; the place says the order."""
+    found = qa.distinct_ordered(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+    return found.withColumn("place", F.row_number().over(Window.orderBy("l_returnflag", "l_linestatus")))
+
+
+_ORDER = ("MIDDLE EAST", "AFRICA", "EUROPE")
+
+
+@query(f"SELECT r.place::INTEGER AS place, r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES {', '.join(f'({i}, {chr(39)}{r}{chr(39)})' for i, r in enumerate(_ORDER, 1))}) AS r(place, name) ON name = r_name GROUP BY ALL")
+def custom_order(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: W13: a report's rows in an order that is given."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    counts = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+    return qa.in_order(counts, "r_name", list(_ORDER)).select("place", "r_name", "n")
+
+
+@query("SELECT doc_id, source, length(text)::INTEGER AS n, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def gzip_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: S8: gzipped JSON lines, each with bytes that aren't UTF-8, and lines that don't parse."""
+    path = f"{folder(spark)}/gz"
+    docs = texts(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").filter("text is not null")
+    whole = F.encode(F.to_json(F.struct("doc_id", "source", "text")), "UTF-8")
+    good, bad = F.concat(F.unhex(F.lit("ff")), whole, F.unhex(F.lit("ff20c3"))), F.concat(F.encode(F.lit('{"broken": "'), "UTF-8"), whole)
+    rows = docs.select(F.explode(F.array(good, bad)).alias("value")).select(F.col("value").cast("string").alias("value"))
+    rows.write.option("compression", "gzip").text(path)
+    return arrays.read_gzip_lines(spark, path, "doc_id long, source string, text string").select("doc_id", "source", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@query("SELECT vec_id, round(list_sum(embedding)::DOUBLE, 3) AS total, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::INTEGER AS width FROM embeddings")
+def npy_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """§2: S12: vectors written as .npy files of 100 rows and read back by ranges of 30."""
+    path = f"{folder(spark)}/npy"
+    written = arrays.write_npy(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", path.removeprefix("file:"), 100)
+    read = arrays.read_npy(spark, path.removeprefix("file:"), 30)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return read.join(written, ["file", "row"]).select("vec_id", F.round(total, 3).alias("total"), r6(F.get("vector", 0), "first"), F.size("vector").alias("width"))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -325,3 +326,120 @@ def test_p_columns(spark):
     flags = [(1, 1.0), (1, 2.0), (0, 3.0), (0, 4.0), (0, 5.0)]
     assert stats.mann_whitney(spark.createDataFrame(flags, "f int, v double"), "f", "v").first().p == pytest.approx(0.2)
     assert stats.mann_whitney(spark.createDataFrame(flags[:2], "f int, v double"), "f", "v").first().p is None
+
+
+# ---- additive models
+
+
+def test_gam_against_a_dense_hat_matrix(spark):
+    from siftgrain.operators import gam
+
+    x = RNG.uniform(-2, 3, (300, 2))
+    y = np.sin(2 * x[:, 0]) + RNG.normal(0, 0.2, 300)
+    rows = [(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)] + [(None, 1.0, 1.0), (1.0, math.nan, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    s = gam.sums(df, ["a", "b"], "y", 8)
+    z = gam.basis(x, s.spans, 8)
+    bend = np.diff(np.eye(8), 2, axis=0)
+    p = np.eye(17) * gam.RIDGE * 300
+    p[1:9, 1:9] += 0.6 * bend.T @ bend
+    p[9:, 9:] += 0.6 * bend.T @ bend
+    hat = z @ np.linalg.solve(z.T @ z + p, z.T)
+    fit = gam.fit(s, 0.6)
+    rss = ((y - hat @ y) ** 2).sum()
+    assert fit.edf == pytest.approx(np.trace(hat), rel=1e-4) and fit.rss == pytest.approx(rss, rel=1e-6)
+    assert fit.gcv == pytest.approx(300 * rss / (300 - np.trace(hat)) ** 2, rel=1e-4)
+    assert fit.explained_deviance == pytest.approx(1 - rss / ((y - y.mean()) ** 2).sum(), rel=1e-6)
+    best, alone = gam.fit(s), gam.fit(s.of(["b"]))
+    assert best.gcv <= fit.gcv and best.p[0] < 1e-6 < 0.01 < best.p[1] and sum(best.term_edf) == pytest.approx(best.edf - 1, abs=0.2)
+    assert gam.compared(alone, best)[1] < 1e-6 and gam.compared(gam.fit(s.of(["a"])), best)[1] > 0.01
+    assert abs(math.sin(2 * best.curve("a")["peak"]) - 1) < 0.1
+    assert gam.f_sf(4.0, 3, 20) == pytest.approx(0.02220, abs=2e-4) and gam.f_sf(0, 3, 20) == 1
+    with pytest.raises(ValueError):
+        gam.sums(df.limit(0), ["a"], "y")
+
+
+# ---- cache and files
+
+
+def test_cache_stays_where_it_is(spark, tmp_path):
+    from siftgrain.operators.cache import ScoreCache, fingerprint
+
+    cache = ScoreCache(spark, str(tmp_path), fingerprint(model="a"), 4)
+    units = spark.createDataFrame([(f"u{i % 50}",) for i in range(80)], "unit string")
+    for length in (30, 50):
+        some = units.filter(F.col("unit").substr(2, 3).cast("int") < length)
+        assert {r.unit: r.score for r in cache.score(some, predictors.length).collect()} == {f"u{i}": float(len(f"u{i}")) for i in range(length)}
+    cache.upsert(spark.createDataFrame([("u1", 7.0), ("new", 8.0)], "unit string, score double"))
+    again = ScoreCache(spark, str(tmp_path), fingerprint(model="a"), 4)
+    assert {r.unit: r.score for r in again.read().collect()}["u1"] == 7.0 and again.rows().count() == 52
+    again.compact()
+    assert again.versions() == [1, 2] and again.rows().count() == 51 and {r.unit: r.score for r in again.read().collect()}["u1"] == 7.0
+    assert again.misses(units.union(spark.createDataFrame([("other",)], "unit string"))).first().unit == "other"
+    assert ScoreCache(spark, str(tmp_path), fingerprint(model="b"), 4).misses(units).count() == 50
+    # Neither joins nor the latest rows move the cache.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for plan in (again.misses(spark.createDataFrame([(f"u{i}",) for i in range(5)], "unit string")), again.read()):
+            lines = plan._jdf.queryExecution().executedPlan().toString().split("\n")
+            scan = next(i for i, x in enumerate(lines) if "Bucketed: true" in x)
+            above, depth = [], re.search(r"\w", lines[scan]).start()
+            for x in reversed(lines[:scan]):
+                if (at := re.search(r"\w", x).start()) < depth:
+                    above, depth = [*above, x], at
+            assert not any("Exchange" in x for x in above), lines
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_npy_files(spark, tmp_path, rows):
+    from siftgrain.sources import arrays
+
+    x = RNG.normal(size=(53, 3))
+    np.save(tmp_path / "a.npy", x.astype(np.float32))
+    np.save(tmp_path / "b.npy", (x * 100).astype(np.int16))
+    (tmp_path / "c.txt").write_text("no")
+    got = arrays.read_npy(spark, str(tmp_path), rows).collect()
+    assert {(r.file, r.row): r.vector for r in got} == {**{("a.npy", i): v for i, v in enumerate(x.astype(np.float32).astype(float).tolist())}, **{("b.npy", i): v for i, v in enumerate((x * 100).astype(np.int16).astype(float).tolist())}}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "i int, v array<double>").repartition(2)
+    names = arrays.write_npy(df, "v", f"{tmp_path}/out", rows)
+    back = arrays.read_npy(spark, f"{tmp_path}/out", 5).join(names, ["file", "row"]).collect()
+    assert sorted((r.i, r.vector) for r in back) == list(enumerate(x.tolist()))
+    assert names.select("file").distinct().count() == (2 if rows == 1000 else sum(-(-n // 7) for n in [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]))
+    for raw in (b"nothing", (tmp_path / "a.npy").read_bytes()[:300]):
+        (tmp_path / "d.npy").write_bytes(raw)
+        with pytest.raises(Exception):
+            arrays.read_npy(spark, f"{tmp_path}/d.npy").count()
+
+
+def test_gzip_lines(spark, tmp_path):
+    import gzip
+
+    from siftgrain.sources import arrays
+
+    with gzip.open(tmp_path / "a.jsonl.gz", "wb") as f:
+        f.write(b'{"a": 1, "t": "x\xffy"}\n{"a": 2, "t": "\xc3\xa9\xc3"}\n{"a": 3\n\n\xfe\n{"a": "no", "t": "z"}\n{"t": null}\n')
+    got = arrays.read_gzip_lines(spark, f"{tmp_path}/a.jsonl.gz", "a int, t string").collect()
+    assert sorted(((r.a, r.t) for r in got), key=str) == [(1, "xy"), (2, "é"), (None, None)]
+
+
+def test_draws_and_reports(spark):
+    from siftgrain.operators import qa
+    from siftgrain.operators import vectors as vc
+
+    index = spark.createDataFrame([(i, 10 + i, [float(i), 1.0]) for i in range(3)], "position long, vec_id long, embedding array<double>")
+    got = vc.drawn_anchors(index, 30).collect()
+    assert sorted(r.j for r in got) == list(range(30)) and {r.vec_id for r in got} == {10, 11, 12}
+    rows = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "k string, v int")
+    assert [r.v for r in qa.in_order(rows, "k", ["c", "b"]).collect()] == [3, 1]
+    with pytest.raises(KeyError):
+        qa.in_order(rows, "k", ["z"])
+    lines = spark.createDataFrame([("d", None, 1.0), ("d", None, 2.0)], "d string, answer_granularity double, question_granularity double")
+    assert qa.overview_line(lines, "d").first().line == "d: Answer N/A - Question 1.5000" == qa.overview_lines(lines, "d").first().line
+    x, a = RNG.normal(size=(5, 4)), RNG.normal(size=(6, 4))
+    sims, order = vc.nearest_anchors(x, a, 3)
+    assert (np.diff(sims) <= 0).all() and np.allclose(sims[0], (a[order[0]] @ x[0]) / np.linalg.norm(a[order[0]], axis=1) / np.linalg.norm(x[0]))
+    vectors = spark.createDataFrame([(1, x[0].tolist()), (2, None)], "vec_id int, embedding array<double>")
+    out = {r.vec_id: r.features for r in vc.features(vectors, spark.createDataFrame([(v,) for v in a.tolist()], "embedding array<double>"), "similarity", k=3).collect()}
+    assert out[2] is None and np.allclose(out[1], sims[0])
