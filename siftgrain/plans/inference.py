@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from siftgrain.operators import boosting, gam, qa, resampling, stats, trees
 from siftgrain.operators import dataset as ds
 from siftgrain.plans.catalogue import normal_sf_sql, query, r6, table
 from siftgrain.plans.single import folder
+from siftgrain.sources import files
 
 #: A model made by hand: two trees with both kinds of missing values, one that splits by categories, and one leaf.
 MODEL = """tree
@@ -86,9 +89,12 @@ SELECT vec_id, round(CASE WHEN e[1] <= 0.05 THEN (CASE WHEN e[2] <= -0.1 THEN 0.
   + CASE WHEN c IN (1, 3, 5, 32) THEN (CASE WHEN e[64] <= 0.015625 THEN 0.125 ELSE 0.0625 END) ELSE -0.75 END + 10
   + CASE WHEN z = 0 OR z <= 1 THEN 0.001 WHEN e[3] <> 0 AND e[3] <= 0 THEN 0.002 ELSE 0.004 END, 6) AS score FROM f""")
 def tree_file_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """§2: P9, S12: a model file is written, read through Spark and scores every vector."""
-    path = f"{folder(spark)}/model"
-    spark.createDataFrame([(MODEL,)], "value string").coalesce(1).write.text(path)
+    """§2: P9, S12, S14: a model file is written, found behind one that differs, read through Spark, and scores every vector."""
+    root = folder(spark)
+    for place, text in (("cache", MODEL.replace("0.25", "0.26")), ("bundled", MODEL)):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/{place}/model")
+    # Spark's writer ends the text with one more line end.
+    path = files.resolved(spark, "model", [f"{root}/none", f"{root}/cache", f"{root}/bundled"], hashlib.sha256(f"{MODEL}\n".encode()).hexdigest())
     more = F.array(F.when(F.col("vec_id") % 7 != 0, F.col("label").cast("double")), (F.col("vec_id") % 3).cast("double"))
     rows = table(spark, sf, "embeddings").select("vec_id", F.concat(F.col("embedding").cast("array<double>"), more).alias("features"))
     return trees.predictor(trees.load(spark, path))(rows).select("vec_id", r6(F.col("score"), "score"))

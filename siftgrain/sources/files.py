@@ -86,8 +86,34 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 
 
+def digest(spark: SparkSession, path: str) -> str:
+    """sha256 of one file in any store that Spark reads; the file is read on an executor."""
+    found = [r[0] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{path}: {len(found) or 'no'} files")
+    return found[0]
+
+
+def resolved(spark: SparkSession, name: str, folders: list[str], sha256: str | None = None) -> str:
+    """§2: S14. The path of a file in the first of the folders (a cache, what is bundled, ...) that has it whole.
+
+    With a digest, files that differ from it are passed over, and so never
+    used; nothing is fetched or deleted. If no folder has it, all that was
+    found is named in the error.
+    """
+    wrong = []
+    for folder in folders:
+        path = f"{folder.rstrip('/')}/{name}"
+        if not exists(spark, path):
+            continue
+        if sha256 is None or (got := digest(spark, path)) == sha256:
+            return path
+        wrong.append(f"{path} has {got}")
+    raise FileNotFoundError(f"{name} is in none of {folders}" + (f", or differs: {'; '.join(wrong)}" if wrong else ""))
+
+
 def verified(path: str, sha256: str | None) -> str:
-    """§2: S14. A local model file whose digest is checked; a wrong file raises and stays."""
+    """A local model file whose digest is checked; a wrong file raises and stays."""
     if sha256:
         with open(path, "rb") as f:
             digest = hashlib.file_digest(f, "sha256").hexdigest()

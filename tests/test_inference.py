@@ -443,3 +443,56 @@ def test_draws_and_reports(spark):
     vectors = spark.createDataFrame([(1, x[0].tolist()), (2, None)], "vec_id int, embedding array<double>")
     out = {r.vec_id: r.features for r in vc.features(vectors, spark.createDataFrame([(v,) for v in a.tolist()], "embedding array<double>"), "similarity", k=3).collect()}
     assert out[2] is None and np.allclose(out[1], sims[0])
+
+
+# ---- regressions on rows that were held out
+
+
+def newton(x, y):
+    z, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]), z.T @ (y - p))
+    return w
+
+
+def test_logistic_regression(spark):
+    x = RNG.normal(size=(400, 2))
+    y = (RNG.random(400) < 1 / (1 + np.exp(-(0.5 + 1.2 * x[:, 0] - 0.7 * x[:, 1])))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y, strict=True))] + [(900, None, 1.0, 1)], "k int, a double, b double, y int")
+    coefficients, odds, _ = stats.logistic(df, ["a", "b"], "y")
+    assert np.allclose(coefficients, newton(x, y)[1:], atol=1e-3) and np.allclose(odds, np.exp(coefficients))
+    folds = {r.k: r.fold for r in stats.stratified_folds(df.filter("k < 900"), "y", "k", 4).collect()}
+    fold, aucs = np.array([folds[i] for i in range(400)]), []
+    for f in range(4):
+        w = newton(x[fold != f], y[fold != f])
+        score, t = x[fold == f] @ w[1:], y[fold == f]
+        aucs.append(np.mean([(p > q) + (p == q) / 2 for p in score[t == 1] for q in score[t == 0]]))
+        assert abs((fold == f).sum() - 100) <= 2 and abs(t.sum() - y.sum() / 4) <= 1
+    got = stats.cross_validated_auc(df, ["a", "b"], "y", "k", 4)
+    assert got == (pytest.approx(np.mean(aucs), abs=2e-3), pytest.approx(np.std(aucs), abs=2e-3))
+
+
+def test_boosted_numbers_on_held_out_rows(spark):
+    x = RNG.uniform(-1, 1, (600, 3))
+    rows = [(i, v.tolist(), float(np.sign(v[0]) + (v[1] > 0.3))) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, features array<double>, y double")
+    scored = predictors.gbt(predictors.fit_gbt(df.filter("i < 400"), iterations=10, depth=3))(df.filter("i >= 400"))
+    error, spread = scored.agg(F.sqrt(F.avg((F.col("score") - F.col("y")) ** 2)), F.stddev_pop("y")).first()
+    assert error < 0.5 * spread
+
+
+def test_files_are_resolved(spark, tmp_path):
+    import hashlib
+
+    from siftgrain.sources import files
+
+    for place, text in (("a", "wrong"), ("b", "right")):
+        (tmp_path / place).mkdir()
+        (tmp_path / place / "m.txt").write_text(text)
+    places, wanted = [f"{tmp_path}/{x}" for x in ("none", "a", "b")], hashlib.sha256(b"right").hexdigest()
+    assert files.resolved(spark, "m.txt", places) == f"{tmp_path}/a/m.txt"
+    assert files.resolved(spark, "m.txt", places, wanted) == f"{tmp_path}/b/m.txt"
+    for name, sha in (("m.txt", "0" * 64), ("n.txt", None)):
+        with pytest.raises(FileNotFoundError):
+            files.resolved(spark, name, places, sha)
