@@ -31,7 +31,7 @@ SAMPLE = 4096
 RANK = 64
 NEIGHBOURS = 25
 CLASSES = 16
-EXTRA = 8
+EXTRA = 4
 WIDTH = CLASSES**3 + EXTRA
 BLOCK = 512
 
@@ -78,7 +78,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     upper = np.bincount(row[kind == 1], minlength=n) / np.maximum(np.bincount(row[kind <= 1], minlength=n), 1)
     marks = np.bincount(row[np.isin(kind, (6, 8, 9, 10))], minlength=n) / np.maximum(total, 1)
     length = np.linalg.norm(out, axis=1)
-    for i, x in enumerate((share, share > 0.3, nexts, nexts > 0.2, upper, upper > 0.5, marks, marks > 0.1)):
+    for i, x in enumerate((share, nexts, upper, marks)):
         out[:, WIDTH - EXTRA + i] = np.minimum(x, 1) * length * 0.7
     return out
 
