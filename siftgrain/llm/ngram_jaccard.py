@@ -53,7 +53,7 @@ SHARE = 4096
 HEAVY = 1 << 18
 PAIRED = 320
 FLUSH = 1_000_000
-BLOCK_SETS = 4_096
+BLOCK_SETS = 512
 PAIR = U(0x9FB21C651E98DF25)
 
 
