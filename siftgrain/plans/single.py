@@ -14,7 +14,7 @@ from siftgrain.operators import predictors as pr
 from siftgrain.operators import qa, ranking, split, stats
 from siftgrain.operators import vectors as vc
 from siftgrain.operators.cache import ScoreCache, fingerprint
-from siftgrain.plans.catalogue import _BALL, _CLEAN, _LQM, _MARKED, _PAIRS, _RANKED, _UNITS, ORACLE_SQL, QUERIES, ball, normal_sf_sql, noun_reference, query, r6, table, texts, unit_table
+from siftgrain.plans.catalogue import _BALL, _CLEAN, _LQM, _MARKED, _PAIRS, _RANKED, _UNITS, ORACLE_SQL, ball, normal_sf_sql, noun_reference, query, r6, table, texts, unit_table
 from siftgrain.session import ensure_checkpoint_dir
 from siftgrain.sources import arrays, files
 
