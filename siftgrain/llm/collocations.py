@@ -26,6 +26,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -56,6 +57,8 @@ FLUSH = 1_000_000
 #: Shards of a bucket's bytes of input (256 MB), and shards at least.
 BUCKET_SHARDS = 16
 LEAST_SHARDS = 24
+#: Rows that one task ranks, or so.
+ROUND = 50_000
 #: A second, independent place in the sketch.
 OTHER = U(0xD1B54A32D192ED03)
 
@@ -381,9 +384,19 @@ def collocations(counts: DataFrame, words: DataFrame, longest: int = 5, share: i
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
-    """Each language's first ``k``."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    """Each language's first ``k``, with their rank. While many rows are left, they play in rounds of ``ROUND`` dealt by a hash, of which each language's first ``k`` stay."""
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    rows = cut(scored)
+    n = rows.count()
+    while n > max(ROUND, 2 * k):
+        salt = F.pmod(F.xxhash64("lang", "phrase"), F.lit(math.ceil(n / max(ROUND, 2 * k))))
+        place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
+        rows = cut(rows.withColumn("salt", salt).withColumn("rank", place).filter(F.col("rank") <= k).drop("salt", "rank"))
+        before, n = n, rows.count()
+        if n > before / 2:
+            break
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,18 @@ def test_loose_bounds_change_no_count(spark, monkeypatch):
     assert got == {k: v[1] for k, v in mined(PHRASED, 4, 100).items()}
 
 
+@pytest.mark.parametrize("most", [50_000, 40])
+def test_rounds_keep_the_best(spark, monkeypatch, most):
+    monkeypatch.setattr(collocations, "ROUND", most)
+    rows = [(["en", "en", "de", "fr"][i % 4], f"p {i}", int(RNG.integers(1, 4)), int(RNG.integers(0, 9))) for i in range(900)]
+    got = {(r.lang, r.phrase): r["rank"] for r in collocations.best(spark.createDataFrame(rows, "lang string, phrase string, a long, score long"), 15).collect()}
+    wanted = {}
+    for lang in ("en", "de", "fr"):
+        mine = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[3], -r[2], r[1].encode()))
+        wanted |= {(r[0], r[1]): i for i, r in enumerate(mine[:15], 1)}
+    assert got == wanted
+
+
 def test_scores_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", "a b", 3 * 10**12), ("en", "a", 4 * 10**12), ("en", "b", 10**13)], "lang string, phrase string, f long")
     words = spark.createDataFrame([("en", 9 * 10**13)], "lang string, n long")
