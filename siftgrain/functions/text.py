@@ -13,19 +13,25 @@ BRACKETS = r"\([^)]*\)|\[[^\]]*\]"
 PDF_NOISE = r"(?U)(?:\b[A-Za-z0-9]\b\s+){2,}\b[A-Za-z0-9]\b"
 SENTENCE_GAP = r"([.!?])([A-Za-z])"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+# The same patterns where only ASCII makes words and blanks, as RE2 has it. Java's own \b knows more letters than that.
+ASCII_PDF_NOISE = r"(?:(?<![A-Za-z0-9_])[A-Za-z0-9][ \t\n\f\r]+){2,}[A-Za-z0-9](?![A-Za-z0-9_])"
+ASCII_SPACE = r"[ \t\n\f\r]+"
 
 
-def collapse(c: Column) -> Column:
+def collapse(c: Column, ascii: bool = False) -> Column:
     """§2: T7."""
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return F.trim(F.regexp_replace(c, ASCII_SPACE if ascii else SPACE, " "))
 
 
-def clean(c: Column, *, latex: bool = False, arxiv: bool = False, figures: bool = False, brackets: bool = False, pdf_noise: bool = False) -> Column:
-    """§2: T1-T8. The flags drop what they name; gaps after sentences and blanks are always mended."""
-    for on, pattern in ((latex, LATEX), (arxiv, ARXIV), (figures, FIGURE), (brackets, BRACKETS), (pdf_noise, PDF_NOISE)):
+def clean(c: Column, *, latex: bool = False, arxiv: bool = False, figures: bool = False, brackets: bool = False, pdf_noise: bool = False, ascii: bool = False) -> Column:
+    """§2: T1-T8. The flags drop what they name; gaps after sentences and blanks are always mended.
+
+    ``ascii``: letters beyond ASCII end a word, and blanks beyond it stay, as in engines whose patterns know ASCII only.
+    """
+    for on, pattern in ((latex, LATEX), (arxiv, ARXIV), (figures, FIGURE), (brackets, BRACKETS), (pdf_noise, ASCII_PDF_NOISE if ascii else PDF_NOISE)):
         if on:
             c = F.regexp_replace(c, pattern, " ")
-    return collapse(F.regexp_replace(c, SENTENCE_GAP, "$1 $2"))
+    return collapse(F.regexp_replace(c, SENTENCE_GAP, "$1 $2"), ascii)
 
 
 def normalised(c: Column) -> Column:

@@ -37,6 +37,19 @@ def test_clean(spark, text, flags, wanted):
     assert one(spark, tx.clean(F.lit(text), **flags)) == wanted
 
 
+@pytest.mark.parametrize("text", ["Ción y y de", "go é a ü b c d on", "a b\u00a0c d e_f g", "x a b c", "a b cé", "1 2 3\n4 \x0b 5 6 7", "_a b c d", "a b c_ d e f g"])
+def test_clean_flags_of_letters_beyond_ascii_equal_their_sql(spark, tmp_path, text):
+    import duckdb
+
+    from siftgrain.plans import catalogue, single  # noqa: F401
+
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.execute(catalogue.ORACLE_SQL["clean_flags"]).fetchall()
+    assert [tuple(r) for r in catalogue.QUERIES["clean_flags"](spark, str(tmp_path)).collect()] == wanted
+
+
 def test_sections_lists_and_names(spark):
     assert one(spark, tx.section(F.lit("Introduction\n\nabc\n\n\nRelated"), "Introduction")) == "abc"
     assert one(spark, tx.section(F.lit("none"), "Introduction")) is None
