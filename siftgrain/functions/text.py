@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +82,16 @@ def lemma(c: Column) -> Column:
     return F.replace(c, F.lit("_"), F.lit(" "))
 
 
+def fixed(c: Column, digits: int = 4) -> Column:
+    """A double with so many decimals as C's printf has it: rounded by its exact binary value, where Java rounds its shortest decimal form; null stays null."""
+
+    @F.arrow_udf("string")
+    def shown(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"{x:.{digits}f}" for x in numbers.to_pylist()], pa.string())
+
+    return shown(c.cast("double"))
+
+
 # Abbreviations in names of configurations, applied in this order.
 SHORT_NAMES = (
     ("scope_", ""),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.functions.text import fixed
 from siftgrain.operators import resampling
 
 Responder = Callable[[DataFrame], DataFrame]
@@ -182,18 +183,22 @@ def gold_granularity(df: DataFrame, score: Callable[[DataFrame], DataFrame], key
 
 def overview_line(df: DataFrame, dataset: str) -> DataFrame:
     """§2: N2. The line of a report: dataset and mean granularities to four decimals, N/A where there is none."""
-    return df.agg(means_line(F.lit(dataset), "answer_granularity", "question_granularity").alias("line"))
+    return df.agg(*_means()).select(means_line(F.lit(dataset)).alias("line"))
 
 
-def means_line(dataset: Column, answer: str, question: str) -> Column:
-    """An aggregate: the line of one dataset."""
-    shown = lambda c: F.coalesce(F.format_string("%.4f", F.avg(c)), F.lit("N/A"))
-    return F.concat(F.first(dataset), F.lit(": Answer "), F.when(F.count(answer) > 0, shown(answer)).otherwise("N/A"), F.lit(" - Question "), F.when(F.count(question) > 0, shown(question)).otherwise("N/A"))
+def _means() -> list[Column]:
+    return [F.avg(f"{c}_granularity").alias(c) for c in ("answer", "question")]
+
+
+def means_line(dataset: Column) -> Column:
+    """The line of one dataset, from its means."""
+    shown = lambda c: F.coalesce(fixed(F.col(c)), F.lit("N/A"))
+    return F.concat(dataset, F.lit(": Answer "), shown("answer"), F.lit(" - Question "), shown("question"))
 
 
 def overview_lines(df: DataFrame, dataset: str) -> DataFrame:
     """§2: N2, N3. A line for each dataset (and model) in one pass, in place of a loop; dataset, line."""
-    return df.groupBy(dataset).agg(means_line(F.col(dataset), "answer_granularity", "question_granularity").alias("line"))
+    return df.groupBy(dataset).agg(*_means()).select(dataset, means_line(F.col(dataset)).alias("line"))
 
 
 def rated(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, text: str, rating: str, invert: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.functions.text import fixed
 from siftgrain.operators import stats
 from siftgrain.operators.ordered import running
 from siftgrain.session import checkpointed
@@ -126,4 +127,4 @@ def ranking_table(results: DataFrame, name: str, value: str) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.desc(value), name))
     out = results.select(rank.alias("rank"), name, value)
     mark = F.when(F.col("rank") == 1, "best").when(F.col("rank") == 2, "second")
-    return out.withColumn("mark", mark).withColumn("line", F.format_string("%d. %s: %.4f", "rank", name, value))
+    return out.withColumn("mark", mark).withColumn("line", F.concat(F.format_string("%d. %s: ", "rank", name), fixed(F.col(value))))

@@ -120,6 +120,16 @@ def test_split_takes_every_line(spark, tmp_path):
     assert {r.id: r.component for r in catalogue.split_no_leakage(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_lines_round_by_the_exact_value(spark):
+    # 24.91875 and 0.00005 are not doubles: the nearest ones lie below and above; 0.03125 is one, and ties go to the even digit.
+    values = [("a", 24.91875), ("b", 0.00005), ("c", 0.03125), ("d", 0.09375), ("e", -24.91875), ("f", None)]
+    df = spark.createDataFrame(values, "k string, v double")
+    got = {r.k: r.line.split(": ")[1] if r.line else None for r in ranking.ranking_table(df, "k", "v").collect()}
+    assert got == {"a": "24.9187", "b": "0.0001", "c": "0.0312", "d": "0.0938", "e": "-24.9187", "f": None}
+    rows = df.filter("k = 'a'").select(F.col("v").alias("answer_granularity"), F.lit(None).cast("double").alias("question_granularity"))
+    assert qa.overview_line(rows, "x").first().line == "x: Answer 24.9187 - Question N/A"
+
+
 def test_ranking(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i // 4), int(i), float(rng.integers(1, 5)), float(rng.integers(0, 9))) for i in range(80)]
