@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftgrain.functions.text import clean
 from siftgrain.session import stored
 
 from .percentile import bucket, percentile_rank
-from .split import split_scopes, unit_rows
+from .split import scopes, split_scopes, unit_rows, units
 
 # Fixed value: the score of a scope without units.
 NO_FACT = 5.0
@@ -50,16 +51,28 @@ def array_pool(scores: Column, pool: str, tail: float = 0.5) -> Column:
     return F.when(F.size(scores) > 0, lower_mean(scores, tail) if value is None else value).otherwise(F.lit(NO_FACT))
 
 
-def score_units(units: DataFrame, predictor) -> DataFrame:
-    """Scores each distinct unit once and joins back (§2: A8)."""
-    distinct = units.filter("unit is not null").select("unit").distinct()
-    return units.join(predictor(distinct), "unit", "left")
+def by_row(predictor):
+    """The expression that a predictor is, if it is no more."""
+    return getattr(predictor, "by_row", None)
 
 
-def split_rows(docs: DataFrame, key: str = "doc_id", scope: str = "sentence") -> DataFrame:
-    """A row for each unit, with a number of its text (``text_row``), written once: the distinct units and the scores read it."""
+def score_units(rows: DataFrame, predictor) -> DataFrame:
+    """Scores each distinct unit once and joins back (§2: A8); by expression, if that is all a predictor is."""
+    if by_row(predictor):
+        return predictor(rows)
+    distinct = rows.filter("unit is not null").select("unit").distinct()
+    return rows.join(predictor(distinct), "unit", "left")
+
+
+def split_rows(docs: DataFrame, key: str = "doc_id", scope: str = "sentence", scope_text: bool = False) -> DataFrame:
+    """A row for each unit, with a number of its text (``text_row``), written once: the distinct units and the scores read it.
+
+    ``scope_text`` stands in a scope's first row alone, if it is asked for.
+    """
     rows = docs.select(key, "text", F.monotonically_increasing_id().alias("text_row"))
-    return stored(unit_rows(split_scopes(rows, scope)).drop("text"))
+    rows = unit_rows(split_scopes(rows, scope).drop("text"))
+    first = [F.when(F.coalesce("unit_pos", F.lit(0)) == 0, F.col("scope_text")).alias("scope_text")] if scope_text else []
+    return stored(rows.select(key, "text_row", "scope_index", *first, "unit"))
 
 
 def score_texts(
@@ -83,7 +96,31 @@ def score_texts(
     texts' scores after it; without one, percentile and bucket are null.
     """
     validate(pool, scope_pool, tail, scope_tail)
-    return score_rows(split_rows(docs, key, scope), predictor, reference, key=key, pool=pool, scope_pool=scope_pool, tail=tail, scope_tail=scope_tail, before_pooling=before_pooling, details=details)
+    if by_row(predictor) and reference is None:
+        return unranked(score_arrays(docs, by_row(predictor), key, scope, pool, scope_pool, tail, scope_tail, details))
+    return score_rows(split_rows(docs, key, scope, details), predictor, reference, key=key, pool=pool, scope_pool=scope_pool, tail=tail, scope_tail=scope_tail, before_pooling=before_pooling, details=details)
+
+
+def unranked(out: DataFrame) -> DataFrame:
+    return out.withColumn("percentile", F.lit(None).cast("double")).withColumn("bucket", F.lit(None).cast("string"))
+
+
+def score_arrays(docs: DataFrame, score, key: str, scope: str, pool: str, scope_pool: str, tail: float, scope_tail: float, details: bool) -> DataFrame:
+    """``score_rows`` for a predictor by expression and without a reference: a text stays one row, and nothing is shuffled or written."""
+    known = lambda u: F.struct(u.alias("unit"), F.coalesce(score(u), F.lit(NO_FACT)).alias("score"))
+    parts = F.transform(scopes(clean(F.coalesce(F.col("text"), F.lit(""))), scope), lambda s: F.struct(s.alias("t"), F.transform(units(s), known).alias("u")))
+    rows = _barrier(docs.select(key, "text"), "z", parts)
+    scores = lambda s: F.when(F.size(s["u"]) > 0, s["u"]["score"]).otherwise(F.array(F.lit(NO_FACT)))
+    rows = _barrier(rows, "v", F.transform("z", lambda s: F.struct(scores(s).alias("s"))))
+    rows = _barrier(rows, "p", F.transform("v", lambda x: F.struct(array_pool(x["s"], pool, tail).alias("v"), F.size(x["s"]).cast("double").alias("w"))))
+    if scope_pool == "weighted_mean":
+        total = lambda f: F.aggregate("p", F.lit(0.0), lambda a, x: a + f(x))
+        value = total(lambda x: x["v"] * x["w"]) / total(lambda x: x["w"])
+    else:
+        value = array_pool(F.col("p")["v"], scope_pool, scope_tail)
+    pairs = lambda s: F.map_from_entries(F.array_sort(F.array_distinct(s["u"])))
+    listed = lambda s, i: F.struct(i.alias("scope_index"), s["t"].alias("scope_text"), F.get("p", i)["v"].alias("scope_score"), pairs(s).alias("unit_scores"))
+    return rows.select(key, value.alias("score"), *([F.transform("z", listed).alias("scopes")] if details else []))
 
 
 def score_rows(
@@ -109,13 +146,13 @@ def score_rows(
     extra = []
     if details:
         pairs = F.filter(F.collect_list(F.struct("unit", "score")), lambda x: x["unit"].isNotNull())
-        extra = [F.first("scope_text").alias("scope_text"), F.map_from_entries(F.array_sort(F.array_distinct(pairs))).alias("unit_scores")]
+        extra = [F.max("scope_text").alias("scope_text"), F.map_from_entries(F.array_sort(F.array_distinct(pairs))).alias("unit_scores")]
     by_scope = rows.groupBy("text_row", key, "scope_index").agg(pooled(pool, "score", tail).alias("scope_score"), F.count("*").alias("weight"), *extra)
     if details:
         extra = [F.collect_list(F.struct("scope_index", "scope_text", "scope_score", "unit_scores")).alias("scopes")]
     out = by_scope.groupBy("text_row", key).agg(pooled(scope_pool, "scope_score", scope_tail, "weight").alias("score"), *extra).drop("text_row")
     if reference is None:
-        return out.withColumn("percentile", F.lit(None).cast("double")).withColumn("bucket", F.lit(None).cast("string"))
+        return unranked(out)
     out = out.withColumn("percentile", F.col("score")) if early else percentile_rank(out, reference)
     return out.withColumn("bucket", bucket(F.col("percentile")))
 

@@ -120,6 +120,21 @@ def test_split_takes_every_line(spark, tmp_path):
     assert {r.id: r.component for r in catalogue.split_no_leakage(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("pool", ["mean", "sum", "min", "max", "lower_quantile_mean"])
+@pytest.mark.parametrize("scope_pool", ["weighted_mean", "lower_quantile_mean", "sum"])
+def test_scores_by_expression_equal_scores_by_rows_and_shuffle_nothing(spark, pool, scope_pool):
+    texts = [(1, "Red cats sleep. The dogs of big towns bark! And"), (1, "the of."), (2, ""), (3, None), (4, "cats and cats and grey dogs. " * 3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    how = {"pool": pool, "scope_pool": scope_pool, "details": True}
+    got = pl.score_texts(docs, pr.length, **how)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+    def rows(df):
+        return sorted((r.doc_id, round(r.score, 9), sorted((s.scope_index, s.scope_text, round(s.scope_score, 9), tuple(sorted(s.unit_scores.items()))) for s in r.scopes)) for r in df.collect())
+
+    assert rows(got) == rows(pl.score_texts(docs, lambda u: pr.length(u), **how))
+
+
 def test_lines_round_by_the_exact_value(spark):
     # 24.91875 and 0.00005 are not doubles: the nearest ones lie below and above; 0.03125 is one, and ties go to the even digit.
     values = [("a", 24.91875), ("b", 0.00005), ("c", 0.03125), ("d", 0.09375), ("e", -24.91875), ("f", None)]
