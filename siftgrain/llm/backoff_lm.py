@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_runs, buckets_for, delta, pack, row_key, slim, stored, table, unpack
+from .common import bucket_runs, buckets_for, delta, map_texts, pack, row_key, slim, stored, table, unpack
 from .vec import STEP, Words, mix, slices, utf8
 
 U = np.uint64
@@ -49,6 +49,8 @@ LEAST = 2
 FLUSH = 1 << 20
 COPIES = 1 << 16
 DISCOUNT = 0.5
+#: Input that a bucket is meant for.
+BUCKET = 32 << 20
 #: Stands for the end of a text among the words' hashes.
 END = 7
 
@@ -101,7 +103,7 @@ def unigrams(training: DataFrame) -> DataFrame:
                     yield give()
         yield give()
 
-    return training.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_texts(training.select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -304,7 +306,7 @@ def bigrams(training: DataFrame, model: Automaton, buckets: int) -> DataFrame:
         slim()
         return out
 
-    found = training.select("text").mapInArrow(count, "bucket int, coded boolean, blob binary")
+    found = map_texts(training.select("text"), count, "bucket int, coded boolean, blob binary")
     return found.groupBy("bucket").applyInPandas(total, "bucket int, first long, second long, n long, n_first long, n_second long")
 
 
@@ -482,12 +484,12 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     one, divided by how many they are and given out as often.
     """
     spark = docs.sparkSession
-    buckets = buckets_for(docs, 32)
+    buckets = buckets_for(docs, 32, BUCKET)
     counts = stored(unigrams(training))
     model, table_ = build(training, counts, buckets)
     shared = spark.sparkContext.broadcast(model)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    blobs = keyed.mapInArrow(lambda x: walk(shared.value, x, buckets), "bucket int, texts int, blob binary")
+    blobs = map_texts(keyed, lambda x: walk(shared.value, x, buckets), "bucket int, texts int, blob binary")
     found = blobs.groupBy("bucket").cogroup(table_.groupBy("bucket")).applyInPandas(lambda a, b: settled(shared.value, a, b), _REPLY)
     met = found.groupBy("key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("copies", "n", "known", "base", "score")])
     # Equal rows are counted out in runs, so that no array holds a large group.

@@ -211,7 +211,8 @@ def dedup_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = map_texts(keyed.select("doc_id", "text", F.col("_key").alias("key")), lambda x: digest_rows(x, buckets), "bucket int, settled boolean, n int, blob binary")
     found = found.groupBy("bucket").applyInPandas(repeats, "key long, n int, blob binary")
     found = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list("n").alias("_n"), F.collect_list("blob").alias("_blob"))
-    joined = keyed.join(found, "_key", "left").drop("_key")
+    # What was found is hashed, so that the texts needn't be sorted.
+    joined = keyed.join(found.hint("shuffle_hash"), "_key", "left").drop("_key")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.drop("_key").schema.fields] + ["n_bytes long", "n_chunks long", "n_removed long", "n_spans long"])
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

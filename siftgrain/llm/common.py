@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.session import checkpointed, ensure_checkpoint_dir, stored
@@ -30,12 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
 BUCKET_BYTES = 256 << 20
 
 
-def buckets_for(docs: DataFrame, least: int) -> int:
+def buckets_for(docs: DataFrame, least: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """A number of buckets that grows with the size of ``docs`` (as its plan states it), so that a bucket's does not."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # a plan that doesn't know its size
         return max(least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    return max(least, -(-size // BUCKET_BYTES))
+    return max(least, -(-size // bucket_bytes))
 
 
 #: A side of a join is broadcast up to so many rows (of a few numbers each, 8 MB or so), else shuffled.
@@ -43,9 +43,43 @@ BROADCAST_ROWS = 500_000
 
 
 def sized_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins with a narrow side whose size is counted first: broadcast below the bound, shuffled above it."""
+    """Joins with a narrow side whose size is counted first: broadcast below the bound, shuffled above it.
+
+    Of the large side only rows that a sketch of the small one's keys lets pass are shuffled (inner and semi
+    joins drop the others, anti joins keep them where they are), and none are sorted: the small side is hashed.
+    """
     small = cut(small)
-    return large.join(F.broadcast(small) if small.count() <= most else small, on, how)
+    n = small.count()
+    if n <= most:
+        return large.join(F.broadcast(small), on, how)
+    hashed = small.hint("shuffle_hash")
+    if how not in ("inner", "left_semi", "left_anti"):
+        return large.join(hashed, on, how)
+    may = may_hold(small, [on] if isinstance(on, str) else on, n)
+    met = large.filter(may).join(hashed, on, how)
+    return met if how != "left_anti" else met.unionByName(large.filter(~may).select(*met.columns))
+
+
+#: Bits of a sketch for each key, and at most (64 MB); beyond that more rows pass, and joins stay exact.
+SKETCH_BITS, MOST_BITS = 16, 1 << 29
+
+
+def may_hold(keys: DataFrame, on: list[str], n: int) -> Column:
+    """Whether a row's key can be among ``keys``: one bit for each key's hash, of a table that is sent to all workers."""
+    words = 1 << max(10, (min(n * SKETCH_BITS, MOST_BITS) - 1).bit_length() - 6)
+    name = F.xxhash64(*on, F.lit(words))
+    word, bit = F.pmod(F.shiftright(name, 6), F.lit(words)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(name, F.lit(64)).cast("int"))
+    found = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table_ = np.zeros(words, np.int64)
+    table_[found["word"].to_numpy()] = found["bits"].to_numpy(np.int64)
+    shared = keys.sparkSession.sparkContext.broadcast(table_)
+
+    @F.arrow_udf("boolean")
+    def there(names: pa.Array) -> pa.Array:
+        x = names.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[(x >> 6) % words] >> (x % 64)) & 1 == 1)
+
+    return there(name)
 
 
 #: Texts of one Arrow batch, and the bytes beyond which it ends: what a worker and its JVM hold of the input at a time.

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_dedup import NULL_ID, by_key, later, without
-from .common import bucket_runs, buckets_for, delta, pack, row_key, shielded, table, unpack
+from .common import bucket_runs, buckets_for, delta, map_texts, pack, row_key, shielded, table, unpack
 from .vec import grams, mix, slices, utf8
 
 U = np.uint64
@@ -294,12 +294,13 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE
     added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     names = [c for c in docs.columns if c not in added]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    gather = lambda df: df.groupBy("key").agg(F.collect_list("n").alias("ns"), F.collect_list("blob").alias("blobs"))
+    # What is gathered is hashed, so that joins needn't sort (and spill) the texts.
+    gather = lambda df: df.groupBy("key").agg(F.collect_list("n").alias("ns"), F.collect_list("blob").alias("blobs")).hint("shuffle_hash")
     reply = "key long, n int, blob binary"
-    ranks = keyed.select("text", "key").mapInArrow(lambda x: rank_rows(x, buckets, length, sample), _BLOBS)
+    ranks = map_texts(keyed.select("text", "key"), lambda x: rank_rows(x, buckets, length, sample), _BLOBS)
     ranks = gather(ranks.groupBy("bucket").applyInPandas(repeated_ranks, reply))
     met = keyed.join(ranks, "key", "left").select("doc_id", "text", "key", "ns", "blobs")
-    spans = met.mapInArrow(lambda x: context_rows(x, buckets, length, sample), _BLOBS)
+    spans = map_texts(met, lambda x: context_rows(x, buckets, length, sample), _BLOBS)
     spans = gather(spans.groupBy("bucket").applyInPandas(lambda x: repeated_spans(x, length), reply))
     joined = keyed.join(spans, "key", "left").drop("key")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.drop("key").schema.fields]
@@ -323,7 +324,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE
                 sha = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
                 yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], pa.array(np.diff(ends)), pa.array(removed), pa.array(spans_), pa.array(kept, pa.binary()), sha], names=[*names, *added])
 
-    return restored(joined.mapInArrow(cleaned, schema))
+    return restored(map_texts(joined, cleaned, schema))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -682,3 +682,38 @@ def test_mixing_keeps_what_equal_texts_hold(spark):
     wanted = {r.source_key: r.n for r in mixing.taken_blocks(slots, members).groupBy("source_key").agg(F.sum("n_words").alias("n")).collect()}
     assert taken == {(None, "a", 1): wanted["sa"], ("a", "b", None): wanted["sb"], (None, "c", None): wanted["sc"], ("a", None, 2): wanted["t"]}
     assert len(set(wanted.values())) > 1
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_sized_join_beyond_its_bound_sorts_nothing_and_shuffles_what_can_match(spark, how):
+    large = spark.range(20_000).select(F.when(F.col("id") % 50 > 0, F.xxhash64("id")).alias("key"), F.lit("text").alias("text"))
+    small = spark.range(0, 40_000, 20).select(F.xxhash64("id").alias("key"))
+    got = common.sized_join(large, small, "key", how, most=10)
+    assert sorted(map(str, got.collect())) == sorted(map(str, large.join(small, "key", how).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    passed = large.filter(common.may_hold(small, ["key"], small.count())).count()
+    assert 980 <= passed <= 4000
+
+
+def test_one_of_each_beyond_the_bound_of_broadcasts(spark, monkeypatch):
+    base = [prose(60) for _ in range(6)]
+    rows = [(i, t + " end" * (i % 3 == 1)) for i, t in enumerate(base * 3)] + [(5, base[5]), (30, None), (31, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted(map(str, ngram_jaccard.one_of_each(docs).collect()))
+    whole = common.sized_join
+    monkeypatch.setattr(ngram_jaccard, "sized_join", lambda *a, **k: whole(*a, **k | {"most": 0}))
+    assert sorted(map(str, ngram_jaccard.one_of_each(docs).collect())) == wanted
+
+
+def test_substrings_and_chunks_sort_no_texts(docs):
+    for out in (suffix_dedup.dedup_substrings(docs), chunk_dedup.dedup_chunks(docs)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_backoff_lm_buckets_hold_little(docs, monkeypatch):
+    asked = []
+    monkeypatch.setattr(backoff_lm, "buckets_for", lambda *a: asked.append(a) or 32)
+    backoff_lm.score(docs.select("doc_id", "text"), docs.select("doc_id", "text"))
+    assert asked[0][2] <= 32 << 20
