@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 EPSILON = 1e-12
 MOST_ANCHORS = 10_000
+#: Similarities that a task holds at a time.
+CELLS = 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,6 +55,17 @@ def token_hash_encoder(units: DataFrame, dims: int = 64, text: str = "unit") ->
     return units.drop("embedding").withColumn("_hashes", hashes).mapInArrow(encoded, ", ".join([*fields, "embedding array<double>"]))
 
 
+def best_places(sims: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k greatest numbers, falling; of equal ones the first."""
+    least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+    if np.isnan(least).any():
+        return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    row, at = np.nonzero(sims >= least)
+    order = np.lexsort((at, -sims[row, at], row))
+    first = np.searchsorted(row, np.arange(len(sims)))
+    return at[order][first[:, None] + np.arange(k)]
+
+
 def top_k(queries: DataFrame, index: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """§2: V3, V11, V12. query_id, rank, vec_id, similarity: exact cosine, ties by vec_id; both: vec_id, embedding.
 
@@ -71,9 +84,14 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, block: int = 4096) -> Da
             return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype({"query_id": "int64", "vec_id": "int64", "similarity": "float64"})
         unit = lambda x: x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON)
         a = a.sort_values("vec_id")
-        sims = unit(np.stack(b["embedding"]).astype(np.float64)) @ unit(np.stack(a["embedding"]).astype(np.float64)).T
-        top = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, len(a))]
-        return pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), top.shape[1]), "vec_id": a["vec_id"].to_numpy()[top.ravel()], "similarity": np.take_along_axis(sims, top, axis=1).ravel()})
+        left, right = unit(np.stack(b["embedding"]).astype(np.float64)), unit(np.stack(a["embedding"]).astype(np.float64))
+        top, found, step = [], [], max(1, CELLS // len(a))
+        for i in range(0, len(left), step):
+            sims = left[i : i + step] @ right.T
+            top.append(best_places(sims, min(k, len(a))))
+            found.append(np.take_along_axis(sims, top[-1], axis=1))
+        top = np.concatenate(top)
+        return pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), top.shape[1]), "vec_id": a["vec_id"].to_numpy()[top.ravel()], "similarity": np.concatenate(found).ravel()})
 
     found = left.groupBy("f", "b").cogroup(right.groupBy("f", "b")).applyInPandas(best, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
