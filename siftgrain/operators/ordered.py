@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ def _offset(placed: DataFrame, groups: list[str], value: Column) -> DataFrame:
     return sums.select(*groups, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
 
 
+def part_of(value: Column, cuts: list[float], alone: bool = False) -> Column:
+    """How many of the sorted cuts lie below a number, by bisection. ``alone``: numbers that equal a cut have parts of their own, at odd places."""
+    held = np.array(cuts, np.float64)
+    if not len(held):
+        return F.lit(0)
+
+    @F.arrow_udf("int")
+    def place(x: pa.Array) -> pa.Array:
+        x = x.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(held, x)
+        return pa.array((at + np.searchsorted(held, x, "right") if alone else at).astype(np.int32))
+
+    return place(value.cast("double"))
+
+
 def running(df: DataFrame, order: str, value: str, out: str, groups: list[str] | None = None) -> DataFrame:
     """Adds the sum of ``value`` over the rows before (of the group), in the order of the numbers ``order``, which differ.
 
@@ -26,8 +43,7 @@ def running(df: DataFrame, order: str, value: str, out: str, groups: list[str] |
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / n for i in range(1, n)] or [1.0]
     cuts = sorted(set(df.agg(F.percentile_approx(order, shares).alias("q")).first()["q"] or []))
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    placed = df.withColumn("_part", part)
+    placed = df.withColumn("_part", part_of(F.col(order), cuts))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(*_BEFORE)), F.lit(0))
     met = _null_safe(placed.withColumn("_inside", inside), _offset(placed, groups, F.col(value)), [*groups, "_part"])
     return met.withColumn(out, F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgrain.functions.text import fixed
 from siftgrain.operators import stats
-from siftgrain.operators.ordered import running
-from siftgrain.session import checkpointed
+from siftgrain.operators.ordered import part_of
+from siftgrain.session import checkpointed, stored
 
 
 def finite(df: DataFrame, *columns: str) -> DataFrame:
@@ -34,41 +36,96 @@ def group_accuracy(df: DataFrame, group: str, order: str, gold: str, pred: str)
     return pairs(df, group, order, gold, pred).groupBy(group).agg(F.avg(right()).alias("accuracy")).withColumn("scaled", 2 * F.col("accuracy") - 1)
 
 
+def group_accuracies(df: DataFrame, group: str, order: str, gold: str, preds: dict[str, str]) -> DataFrame:
+    """§2: M1. ``group_accuracy`` of several predictions (names: columns) over pairs that are formed once; null where a prediction has no comparable pair."""
+    number = lambda p: F.when(~F.isnan(F.col(p).cast("double")), F.col(p))
+    rows = finite(df, gold).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(gold).alias("y"), *[number(p).alias(f"p_{n}") for n, p in preds.items()])
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.o") < F.col("b.o")) & (F.col("a.y") != F.col("b.y")))
+    won = lambda n: ((F.col(f"a.p_{n}") - F.col(f"b.p_{n}")) * (F.col("a.y") - F.col("b.y")) > 0).cast("int")
+    return met.groupBy(F.col("a.g").alias(group)).agg(*[F.avg(won(n)).alias(n) for n in preds])
+
+
 def intra_summary(df: DataFrame, group: str, order: str, gold: str, pred: str) -> DataFrame:
     """§2: M6, M7, M13. Mean accuracy over groups (-1 without any) and the share of groups that are all right."""
-    acc = group_accuracy(df, group, order, gold, pred)
-    return acc.agg(F.coalesce(F.avg("accuracy"), F.lit(-1.0)).alias("mean_accuracy"), (F.sum((F.col("accuracy") == 1).cast("int")) / F.nullif(F.count("accuracy"), F.lit(0))).alias("all_right"))
+    return group_accuracy(df, group, order, gold, pred).agg(*_summary())
+
+
+def _summary() -> list[Column]:
+    return [F.coalesce(F.avg("accuracy"), F.lit(-1.0)).alias("mean_accuracy"), (F.sum((F.col("accuracy") == 1).cast("int")) / F.nullif(F.count("accuracy"), F.lit(0))).alias("all_right")]
+
+
+def growing_pairs(y: np.ndarray, p: np.ndarray, n: np.ndarray) -> int:
+    """How many pairs of rows (each stands for n) have both y and p smaller in one of them. Levels are read bit by bit: a pair differs first at one."""
+    level, place = np.unique(y, return_inverse=True)[1], np.unique(p, return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    level, place, n = level[order], place[order], n[order].astype(np.int64)
+    won = 0
+    for bit in range(int(level.max()).bit_length() if len(level) else 0):
+        order = np.argsort(level >> (bit + 1), kind="stable")
+        group, q, one = level[order] >> (bit + 1), place[order], (level[order] >> bit & 1).astype(bool)
+        before = np.r_[0, np.cumsum(np.where(one, 0, n[order]))[:-1]]
+        new = np.r_[True, group[1:] != group[:-1]]
+        first, run = (np.maximum.accumulate(np.where(x, np.arange(len(q)), 0)) for x in (new, new | np.r_[True, q[1:] != q[:-1]]))
+        won += int((n[order] * (before[run] - before[first]))[one].sum())
+    return won
+
+
+def _won(rows: DataFrame, part: str, y: str, p: str) -> DataFrame:
+    """won: ``growing_pairs`` of each part, as y, p and n say."""
+
+    def counted(t: pa.Table) -> pa.Table:
+        columns = [t.column(c).to_numpy() for c in (y, p, "n")]
+        return pa.table({"won": pa.array([growing_pairs(*columns)], pa.int64())})
+
+    return rows.groupBy(part).applyInArrow(counted, "won long")
+
+
+def _cuts(rows: DataFrame, column: str, parts: int) -> list[float]:
+    return sorted(set(rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)] or [1.0]).alias("q")).first()["q"] or []))
 
 
 def global_accuracy(df: DataFrame, gold: str, pred: str, weight: str | None = None) -> DataFrame:
     """§2: M3, N7. Accuracy over all pairs of different gold, by counting.
 
-    Rows are reduced to (level, prediction) counts and numbered by a range of
-    predictions; for each pair of levels a running count gives how many of the
-    lower level lie below. Cost grows with levels x distinct predictions.
+    Rows are reduced to (level, prediction) counts and dealt by ranges of
+    predictions. Pairs inside a range are counted there; of the others only
+    the levels and the ranges matter, which are dealt by ranges of levels in
+    the same way; pairs that differ in both ranges are counted from a row for
+    each pair of ranges. Costs what sorting the counts does.
     ``weight``: a column that says how many rows a row stands for.
     """
-    counts = finite(df, gold, pred).groupBy(F.col(gold).alias("y"), F.col(pred).alias("p")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
-    levels = counts.groupBy("y").agg(F.sum("n").alias("n_level"))
-    a, b = levels.alias("a"), levels.alias("b")
-    both = a.join(b, F.col("a.y") < F.col("b.y")).select(F.col("a.y").alias("lo"), F.col("b.y").alias("hi"), (F.col("a.n_level") * F.col("b.n_level")).alias("all"))
-    low = both.join(counts, F.col("lo") == F.col("y")).select("lo", "hi", "p", F.col("n").alias("n_lo"), F.lit(0).cast("long").alias("n_hi"))
-    high = both.join(counts, F.col("hi") == F.col("y")).select("lo", "hi", "p", F.lit(0).cast("long").alias("n_lo"), F.col("n").alias("n_hi"))
-    merged = low.unionByName(high).groupBy("lo", "hi", "p").agg(F.sum("n_lo").alias("n_lo"), F.sum("n_hi").alias("n_hi"))
-    placed = running(checkpointed(merged.withColumn("p", F.col("p").cast("double"))), "p", "n_lo", "below", ["lo", "hi"])
-    won = placed.agg(F.sum(F.col("n_hi") * F.col("below")).alias("won"))
-    return won.crossJoin(both.agg(F.sum("all").alias("all"))).select((F.col("won") / F.nullif("all", F.lit(0))).alias("accuracy"), F.col("all").alias("n_pairs"))
-
-
-def kendall_tau_b(df: DataFrame, group: str, order: str, gold: str, pred: str) -> DataFrame:
-    """§2: M4. tau-b of each group; null where one side is constant."""
+    number = lambda c: (F.col(c).cast("double") + 0.0)
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = stored(finite(df, gold, pred).groupBy(number(gold).alias("y"), number(pred).alias("p")).agg(n.cast("long").alias("n")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Predictions that equal a cut are a range of their own, inside which nothing is right: no task meets a frequent one.
+    at = part_of(F.col("p"), cuts := _cuts(counts, "p", parts), True)
+    placed = counts.withColumn("at", at.cast("long"))
+    inside = _won(placed.filter(F.col("at") % 2 == 0) if cuts else placed, "at", "y", "p")
+    reduced = stored(placed.groupBy("y", "at").agg(F.sum("n").alias("n")))
+    dealt = reduced.withColumn("to", part_of(F.col("y"), cuts := _cuts(reduced, "y", parts), True).cast("long"))
+    across = _won(dealt.filter(F.col("to") % 2 == 0) if cuts else dealt, "to", "y", "at")
+    # A row for each pair of ranges.
+    both = _won(dealt.groupBy("to", "at").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), "all", "to", "at")
+    won = inside.unionByName(across).unionByName(both).agg(F.sum("won").alias("won"))
+    big = lambda c: c.cast("decimal(19,0)")
+    levels = reduced.groupBy("y").agg(F.sum("n").alias("n"))
+    every = levels.agg(F.sum("n").alias("s"), F.sum(big(F.col("n")) * big(F.col("n"))).alias("q"))
+    every = every.select(F.nullif(((big(F.col("s")) * big(F.col("s")) - F.col("q")) / 2).cast("long"), F.lit(0)).alias("all"))
+    return won.crossJoin(every).select((F.col("won") / F.col("all")).alias("accuracy"), F.col("all").alias("n_pairs"))
+
+
+def kendall_tau_b(df: DataFrame, group: str, order: str, gold: str, pred: str, accuracy: bool = False) -> DataFrame:
+    """§2: M4. tau-b of each group; null where one side is constant. With ``accuracy`` the group's accuracy too, null without a comparable pair."""
     rows = finite(df, gold, pred).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(gold).alias("y"), F.col(pred).alias("p"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.o") < F.col("b.o")))
     s = F.signum(F.col("a.y").cast("double") - F.col("b.y")) * F.signum(F.col("a.p").cast("double") - F.col("b.p"))
-    sums = met.groupBy(F.col("a.g").alias(group)).agg(F.sum(s).alias("s"), F.count("*").alias("n0"), F.sum((F.col("a.y") == F.col("b.y")).cast("int")).alias("n1"), F.sum((F.col("a.p") == F.col("b.p")).cast("int")).alias("n2"))
+    sums = met.groupBy(F.col("a.g").alias(group)).agg(F.sum(s).alias("s"), F.count("*").alias("n0"), F.sum((F.col("a.y") == F.col("b.y")).cast("int")).alias("n1"), F.sum((F.col("a.p") == F.col("b.p")).cast("int")).alias("n2"), F.sum((s > 0).cast("int")).alias("right"))
     below = F.sqrt((F.col("n0") - F.col("n1")).cast("double") * (F.col("n0") - F.col("n2")))
-    return sums.select(group, F.when(below > 0, F.col("s") / below).alias("tau"))
+    right_ = [(F.col("right") / F.nullif(F.col("n0") - F.col("n1"), F.lit(0))).alias("accuracy")] if accuracy else []
+    return sums.select(group, F.when(below > 0, F.col("s") / below).alias("tau"), *right_)
 
 
 def kendall_tau_global(df: DataFrame, gold: str, pred: str) -> DataFrame:
@@ -117,9 +174,11 @@ def rounded(c: Column, digits: int = 4) -> Column:
 def evaluation(df: DataFrame, group: str, order: str, gold: str, pred: str) -> DataFrame:
     """§2: M5, M11, L6. One row of metrics."""
     overall = global_accuracy(df, gold, pred).withColumnRenamed("accuracy", "global_accuracy")
-    tau = kendall_tau_b(df, group, order, gold, pred).agg(F.avg("tau").alias("mean_tau"))
+    # Pairs are formed once, for tau and for accuracies.
+    groups = kendall_tau_b(df, group, order, gold, pred, True)
+    tau = groups.agg(F.avg("tau").alias("mean_tau"), *_summary())
     pearson = finite(df, gold, pred).agg(F.corr(F.col(gold).cast("double"), F.col(pred).cast("double")).alias("pearson"))
-    return overall.crossJoin(intra_summary(df, group, order, gold, pred)).crossJoin(tau).crossJoin(pearson)
+    return overall.crossJoin(tau).crossJoin(pearson)
 
 
 def ranking_table(results: DataFrame, name: str, value: str) -> DataFrame:

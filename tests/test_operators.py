@@ -11,7 +11,7 @@ from siftgrain.operators import dataset as ds
 from siftgrain.operators import percentile as pc
 from siftgrain.operators import pooling as pl
 from siftgrain.operators import predictors as pr
-from siftgrain.operators import qa, ranking, split, stats
+from siftgrain.operators import qa, ranking, split, stats, vectors
 from siftgrain.operators.cache import ScoreCache, fingerprint
 
 
@@ -157,6 +157,33 @@ def test_ranking(spark):
     assert ranking.evaluation(df, "g", "o", "y", "p").count() == 1
 
 
+@pytest.mark.parametrize(("levels", "values"), [(4, 9), (1, 5), (60, 3), (500, 400), (3, 1)])
+def test_global_accuracy_forms_no_pairs_of_levels(spark, levels, values):
+    rng = np.random.default_rng(levels)
+    y, p, w = rng.integers(0, levels, 600).astype(float), rng.integers(-2, values, 600) / 4, rng.integers(1, 5, 600)
+    df = spark.createDataFrame(list(zip(y.tolist(), p.tolist(), w.tolist(), strict=True)), "y double, p double, w long")
+    df = df.unionByName(spark.createDataFrame([(None, 1.0, 1), (1.0, None, 1), (1.0, float("nan"), 1)], df.schema))
+    i, j = np.triu_indices(len(y), 1)
+    for weight, n in (("w", w), (None, np.ones(600, np.int64))):
+        both = (n[i] * n[j])[y[i] != y[j]]
+        got = ranking.global_accuracy(df, "y", "p", weight).first()
+        if not len(both):
+            assert got.accuracy is None and got.n_pairs is None
+            continue
+        assert got.n_pairs == both.sum()
+        assert got.accuracy == pytest.approx((both * ((p[i] - p[j]) * (y[i] - y[j]) > 0)[y[i] != y[j]]).sum() / both.sum(), abs=1e-12)
+
+
+def test_a_fragment_is_met_in_blocks_with_ties_by_id(monkeypatch):
+    monkeypatch.setattr(vectors, "CELLS", 64)
+    rng = np.random.default_rng(2)
+    sims = rng.integers(0, 4, (40, 30)) / 4
+    for k in (1, 7, 30):
+        assert (vectors.best_places(sims, k) == np.argsort(-sims, axis=1, kind="stable")[:, :k]).all()
+    holed = np.where(sims == 0.25, np.nan, sims)
+    assert (vectors.best_places(holed, 28) == np.argsort(-holed, axis=1, kind="stable")[:, :28]).all()
+
+
 def test_tau_and_level_pairs(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i // 5), int(i), float(i % 5), float(rng.integers(0, 6) + i % 5)) for i in range(200)]
