@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.operators import ranking
 from siftgrain.operators.ordered import running
-from siftgrain.session import checkpointed
+from siftgrain.session import checkpointed, stored
 
 PRIME = 2**31 - 1
 #: Places from which on a row counts once, twice, ... (cumulative shares of the Poisson law of mean 1).
@@ -261,8 +261,9 @@ def accuracy_tests(df: DataFrame, key: str, group: str, order: str, gold: str, a
     Inside groups it is the mean over groups, which are resampled (H1); over all
     pairs rows are (H2). ``group`` and ``key`` are whole numbers.
     """
-    mine = [ranking.group_accuracy(df, group, order, gold, p).select(group, F.col("accuracy").alias(n)) for p, n in ((a, "a"), (b, "b"))]
-    intra = mean_difference(mine[0].join(mine[1], group), group, "a", "b", resamples, seed).drop("n")
+    # Pairs inside groups are formed once for both, and their groups read twice.
+    mine = stored(ranking.group_accuracies(df, group, order, gold, {"a": a, "b": b}).filter("a is not null and b is not null"))
+    intra = mean_difference(mine, group, "a", "b", resamples, seed).drop("n")
     sampled = checkpointed(resampled_accuracy(df, key, gold, [a, b], resamples, seed).withColumn("d", F.col(f"accuracy_{a}") - F.col(f"accuracy_{b}")))
     seen = [ranking.global_accuracy(numbers(df, gold, a, b), gold, p).select(F.col("accuracy").alias(n)) for p, n in ((a, "x"), (b, "y"))]
     overall = seen[0].crossJoin(seen[1]).select((F.col("x") - F.col("y")).alias("difference")).crossJoin(interval(sampled, "d"))
