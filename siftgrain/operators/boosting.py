@@ -53,6 +53,12 @@ class Settings:
     seed: int = 42
 
 
+def chunk_rows(b: pa.RecordBatch) -> Iterator[dict]:
+    """The chunks of a batch, one at a time: each is a megabyte or more, and a batch may hold all of a task's."""
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 def by_size(sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Places of the rows of groups of one size, a line for each group, so many that pairs stay few."""
     first = np.cumsum(sizes) - sizes
@@ -186,7 +192,7 @@ class Booster:
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, measure = np.zeros((nodes, width, BINS, 3), np.int64), np.zeros(2)
             for b in batches:
-                for row in b.to_pylist():
+                for row in chunk_rows(b):
                     bins, y, sizes, score = me.state(row)
                     if row["valid"]:
                         if level == 0:
@@ -287,7 +293,7 @@ class Booster:
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = b.schema.get_field_index("score")
-                yield b.set_column(at, b.schema.field(at), pa.array([me.state(r)[3].tobytes() for r in b.to_pylist()], b.schema.field(at).type))
+                yield b.set_column(at, b.schema.field(at), pa.array([me.state(r)[3].tobytes() for r in chunk_rows(b)], b.schema.field(at).type))
 
         self.table, self.written = stored(self.table.mapInArrow(scored, CHUNKS)), len(self.trees)
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -496,3 +497,9 @@ def test_files_are_resolved(spark, tmp_path):
     for name, sha in (("m.txt", "0" * 64), ("n.txt", None)):
         with pytest.raises(FileNotFoundError):
             files.resolved(spark, name, places, sha)
+
+
+def test_a_batch_gives_its_chunks_one_at_a_time():
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([b"a", b"b", b"c"])], names=["chunk", "y"])
+    held = boosting.chunk_rows(b)
+    assert next(held) == {"chunk": 1, "y": b"a"} and list(held) == b.to_pylist()[1:]
