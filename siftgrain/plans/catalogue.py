@@ -160,7 +160,7 @@ def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT target, unit, round(pct, 6) AS percentile FROM z QUALIFY row_number() OVER (PARTITION BY target ORDER BY md5(unit || '|0'), unit) <= 10""")
 def near_percentile(spark: SparkSession, sf: str) -> DataFrame:
     """§2: B6, B7."""
-    units = pr.length(unit_table(spark, sf).filter("unit is not null").select("unit").distinct())
+    units = stored(pr.length(unit_table(spark, sf).filter("unit is not null").select("unit").distinct()))
     ranked = pc.percentile_rank(units, units.select("score"))
     return pc.near_percentile(ranked, [10, 50, 90]).select("target", "unit", r6(F.col("percentile"), "percentile"))
 
