@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siftgrain.operators.ordered import running
 from siftgrain.session import checkpointed
 
+#: Distinct scores (of two numbers each) up to which they are sent to the rows.
+BROADCAST_SCORES = 100_000
+
 
 def distribution(reference: DataFrame, score: str = "score") -> DataFrame:
     """A row for each distinct score with the count at it."""
@@ -21,7 +24,7 @@ def rank_formula(below: Column, upto: Column, n: Column) -> Column:
 def percentile_rank(df: DataFrame, reference: DataFrame, score: str = "score", out: str = "percentile") -> DataFrame:
     """§2: B1. Adds the percentile of a score by rank; scores that the reference lacks fall between its scores.
 
-    Distinct scores of both sides are merged, summed up by ranges of scores and joined back.
+    Distinct scores of both sides are merged, summed up by ranges of scores and joined back; rows stay where they are if these are few.
     """
     ref = distribution(reference)
     asked = df.select(F.col(score).cast("double").alias("x")).distinct().filter("x is not null and not isnan(x)")
@@ -29,7 +32,8 @@ def percentile_rank(df: DataFrame, reference: DataFrame, score: str = "score", o
     both = checkpointed(both)
     placed = running(both, "x", "n_at", "b").crossJoin(F.broadcast(both.agg(F.sum("n_at").alias("n"))))
     placed = placed.select(F.col("x").alias("_x"), rank_formula(F.col("b"), F.col("b") + F.col("n_at"), F.col("n")).alias(out))
-    return df.join(placed, F.col(score).cast("double") == F.col("_x"), "left").drop("_x")
+    few = both.count() <= BROADCAST_SCORES
+    return df.join(F.broadcast(checkpointed(placed)) if few else placed, F.col(score).cast("double") == F.col("_x"), "left").drop("_x")
 
 
 def score_of_percentile(reference: DataFrame, percentiles: list[float], score: str = "score") -> DataFrame:
