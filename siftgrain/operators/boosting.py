@@ -1,7 +1,9 @@
 """Boosted trees for numbers and for orders (§2: L1-L4, N7): histograms of gradients are summed on the executors.
 
 Features become bins (quantiles, and one for what is missing), rows become
-chunks of whole groups, each one row of a written table. A level of a tree is
+chunks of whole groups, each one row of a written table. Without groups, rows
+whose bins and targets are equal get equal gradients, so they are one row with
+a weight. A level of a tree is
 one pass over the chunks: a task sums whole-number gradients by node, feature
 and bin, tasks' sums meet by node and feature, where the best cut is found, and
 a row for each of these reaches the driver. Whole numbers make sums, and so
@@ -131,33 +133,75 @@ def cut_points(rows: DataFrame, features: str, width: int) -> list[np.ndarray]:
     return [np.unique(np.array(got[str(i)] or [], np.float64)) for i in range(width)]
 
 
-CHUNKS = "chunk long, valid boolean, n int, bins binary, y binary, sizes binary, score binary"
+CHUNKS = "chunk long, valid boolean, n int, bins binary, y binary, sizes binary, score binary, weight binary"
+
+
+def binned(x: pa.Array, edges: list[np.ndarray]) -> np.ndarray:
+    """A column of bins for each feature."""
+    m = matrix(x, len(edges))
+    return np.column_stack([np.where(np.isnan(m[:, f]), BINS - 1, np.searchsorted(e, m[:, f])) for f, e in enumerate(edges)] or [np.zeros((len(m), 0))]).astype(np.uint8)
+
+
+def chunk(key: tuple, bins: np.ndarray, y: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> pa.Table:
+    parts = {"bins": bins, "y": y, "sizes": sizes.astype(np.int64), "score": np.zeros(len(y)), "weight": weight.astype(np.int64)}
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "valid": [key[1].as_py()], "n": pa.array([len(y)], pa.int32()), **{k: [a.tobytes()] for k, a in parts.items()}})
+
+
+def weighted_chunks(data: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Rows of (valid, x, y) without groups: equal ones are counted, what differs is dealt by hashes and packed."""
+    width, edges = len(cuts), cuts
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = pa.py_buffer(np.arange(b.num_rows + 1, dtype=np.int32) * np.int32(width))
+            bins = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(binned(b.column("x"), edges).tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("valid"), bins, b.column("y")], ["valid", "bins", "y"])
+
+    rows = stored(data.mapInArrow(places, "valid boolean, bins binary, y double").groupBy("valid", "bins", "y").agg(F.count("*").alias("n")))
+    deal = max(1, math.ceil(rows.count() / CHUNK_ROWS))
+
+    def packed(key: tuple, t: pa.Table) -> pa.Table:
+        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(t.num_rows, width)
+        y, n = t.column("y").to_numpy(), t.column("n").to_numpy()
+        order = np.lexsort((*bins.T[::-1], y))
+        return chunk(key, bins[order], y[order], np.ones(0), n[order])
+
+    return stored(rows.withColumn("chunk", F.pmod(F.xxhash64("bins", "y"), F.lit(deal))).groupBy("chunk", "valid").applyInArrow(packed, CHUNKS))
 
 
 def chunks(rows: DataFrame, features: str, target: str, group: str | None, valid: str | None, cuts: list[np.ndarray]) -> DataFrame:
     """Rows packed by hashes of their groups; the order inside is fixed by group, target and features."""
     width, edges = len(cuts), cuts
     flag = F.coalesce(F.col(valid), F.lit(False)) if valid else F.lit(False)
-    # Without groups equal rows needn't stay together; sums are the same however they are dealt.
-    own = F.xxhash64(group) if group else F.xxhash64(features, target, F.monotonically_increasing_id())
+    own = F.xxhash64(group) if group else F.lit(0)
     data = rows.select(own.alias("g"), flag.alias("valid"), F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y")).filter("y is not null and not isnan(y) and x is not null")
-    if group:
-        large = data.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP_ROWS)
-        parts = F.pmod(F.xxhash64("x", "y"), F.ceil(F.coalesce("m", F.lit(1)) / GROUP_ROWS).cast("long"))
-        data = data.join(large, "g", "left").withColumn("g", F.xxhash64("g", parts)).drop("m")
+    if not group:
+        return weighted_chunks(data.drop("g"), cuts)
+    large = data.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP_ROWS)
+    parts = F.pmod(F.xxhash64("x", "y"), F.ceil(F.coalesce("m", F.lit(1)) / GROUP_ROWS).cast("long"))
+    data = data.join(large, "g", "left").withColumn("g", F.xxhash64("g", parts)).drop("m")
     deal = max(1, math.ceil(data.count() / CHUNK_ROWS))
 
     def packed(key: tuple, t: pa.Table) -> pa.Table:
         x, y, g = matrix(t.column("x").combine_chunks(), width), t.column("y").to_numpy(), t.column("g").to_numpy()
         order = np.lexsort((*x.T[::-1], y, g))
-        x, y, g = x[order], y[order], g[order]
-        bins = np.column_stack([np.where(np.isnan(x[:, f]), BINS - 1, np.searchsorted(edges[f], x[:, f])) for f in range(width)]).astype(np.uint8)
-        sizes = np.diff(np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])) if group else np.ones(0, np.int64)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "valid": [key[1].as_py()], "n": pa.array([len(y)], pa.int32()), **{k: [a.tobytes()] for k, a in (("bins", bins), ("y", y), ("sizes", sizes.astype(np.int64)), ("score", np.zeros(len(y))))}})
+        y, g = y[order], g[order]
+        bins = binned(t.column("x").combine_chunks(), edges)[order]
+        sizes = np.diff(np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]))
+        return chunk(key, bins, y, sizes, np.ones(0))
 
     return stored(data.withColumn("chunk", F.pmod("g", F.lit(deal))).groupBy("chunk", "valid").applyInArrow(packed, CHUNKS))
 
 
+def totals(where: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by place, exact also beyond what a double holds."""
+    if not len(a) or int(np.abs(a).max()) * len(a) < 1 << 53:
+        return np.rint(np.bincount(where, a, n)).astype(np.int64)
+    low = a & ((1 << 26) - 1)
+    high, low = (np.rint(np.bincount(where, b, n)).astype(np.int64) for b in (a >> 26, low))
+    return (high << 26) + low
+
+
 class Booster:
     """Trees that grow over written chunks; ``history`` has the measure on rows marked as valid after each number of trees."""
 
@@ -173,15 +217,16 @@ class Booster:
         self.data = data
         self.cuts, (self.base, self.spread), self.table = data
 
-    def state(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bins, targets, group sizes and scores of a chunk."""
+    def state(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bins, targets, group sizes, scores and weights (ones in groups) of a chunk."""
         n = row["n"]
         bins = np.frombuffer(row["bins"], np.uint8).reshape(n, -1)
         score = np.frombuffer(row["score"], np.float64).copy()
         for t in self.trees[self.written :]:
             score += t.value[t.walk(bins, self.settings.depth)]
         y = (np.frombuffer(row["y"], np.float64) - self.base) / self.spread
-        return bins, y, np.frombuffer(row["sizes"], np.int64), score
+        weight = np.frombuffer(row["weight"], np.int64) if row["weight"] else np.ones(n, np.int64)
+        return bins, y, np.frombuffer(row["sizes"], np.int64), score, weight
 
     def sums(self, tree: Tree | None, level: int, used: list[int]) -> dict[tuple[int, int], list[float]]:
         """By (node, feature) the best cut: gain, bin, then sums of gradients, bends and rows on its left and in all; by (-1, -1) the measure."""
@@ -193,10 +238,10 @@ class Booster:
             total, measure = np.zeros((nodes, width, BINS, 3), np.int64), np.zeros(2)
             for b in batches:
                 for row in chunk_rows(b):
-                    bins, y, sizes, score = me.state(row)
+                    bins, y, sizes, score, weight = me.state(row)
                     if row["valid"]:
                         if level == 0:
-                            measure += right_pairs(score, y, sizes) if s.objective == "order" else (float(((score - y) ** 2).sum()), len(y))
+                            measure += right_pairs(score, y, sizes) if s.objective == "order" else (float((weight * (score - y) ** 2).sum()), int(weight.sum()))
                         continue
                     if tree is None:
                         continue
@@ -204,13 +249,15 @@ class Booster:
                     at = tree.walk(bins, level) - base
                     use = at >= 0
                     if s.rows < 1:
-                        use &= np.random.default_rng([s.seed, len(me.trees), row["chunk"]]).random(len(y)) < s.rows
-                    at, bins = at[use], bins[use]
-                    parts = [np.rint(a[use] * SCALE) for a in (g, h)] + [np.ones(len(at))]
+                        rng = np.random.default_rng([s.seed, len(me.trees), row["chunk"]])
+                        weight = rng.binomial(weight, s.rows) if row["weight"] else (rng.random(len(y)) < s.rows).astype(np.int64)
+                        use &= weight > 0
+                    at, bins, weight = at[use], bins[use], weight[use]
+                    parts = [np.rint(a[use] * SCALE).astype(np.int64) * weight for a in (g, h)] + [weight]
                     for f in used:
                         where = at * BINS + bins[:, f]
                         for i, a in enumerate(parts):
-                            total[:, f, :, i] += np.rint(np.bincount(where, a, nodes * BINS)).astype(np.int64).reshape(nodes, BINS)
+                            total[:, f, :, i] += totals(where, a, nodes * BINS).reshape(nodes, BINS)
             rows = [(i, f, total[i, f].tobytes()) for i in range(nodes) for f in used if total[i, f].any()]
             if measure[1]:
                 rows.append((-1, -1, measure.tobytes()))

@@ -163,6 +163,26 @@ def test_halving(spark):
     assert winner.settings == trials[max(found, key=lambda f: f["measure"])["trial"]]
 
 
+def test_equal_rows_are_one_with_a_weight(spark):
+    rows = ranked_rows(spark, 60).filter("y is not null and features is not null").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(30)))).cache()
+    setting = boosting.Settings(rate=0.5, depth=3, least_rows=40)
+    mine = boosting.Booster(rows, valid="valid", settings=setting).train(3)
+    kept = mine.table.collect()
+    assert sum(r.n for r in kept) <= rows.count() / 30
+    assert sum(int(np.frombuffer(r.weight, np.int64).sum()) for r in kept) == rows.count()
+    # In groups rows stay as they are; trees and measures are the same.
+    plain = boosting.Booster(rows, group="id", valid="valid", settings=setting).train(3)
+    assert trees.written(mine.ensemble(3)) == trees.written(plain.ensemble(3)) and mine.history == pytest.approx(plain.history, rel=1e-12)
+    # A draw of rows is a draw from weights.
+    some = boosting.Booster(rows, valid="valid", settings=boosting.Settings(rate=0.5, depth=3, rows=0.5), data=mine.data).train(6)
+    assert some.history[6] > some.history[0]
+
+
+def test_sums_beyond_a_double():
+    a = np.array([(1 << 54) + 1, 3, -(1 << 55) - 5, 7], np.int64)
+    assert boosting.totals(np.array([0, 0, 2, 2]), a, 3).tolist() == [(1 << 54) + 4, 0, -(1 << 55) + 2]
+
+
 def test_large_groups_and_no_rows(spark, monkeypatch):
     monkeypatch.setattr(boosting, "GROUP_ROWS", 20)
     rows = ranked_rows(spark, 60).filter("y is not null and features is not null").withColumn("id", F.when(F.col("id") < 30, 0).otherwise(F.col("id")))
