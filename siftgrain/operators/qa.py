@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from siftgrain.functions.text import fixed
 from siftgrain.operators import resampling
+from siftgrain.session import stored
+
+#: Words at most that are sent to all workers with their frequencies.
+BROADCAST_WORDS = 200_000
 
 Responder = Callable[[DataFrame], DataFrame]
 """§2: Q9, N6, N9. A plug that adds ``reply`` to a table of prompts; none ships, since it needs a service."""
@@ -159,14 +163,39 @@ def described(df: DataFrame, value: str, group: str, key: str | None = None, res
 
 
 def lexical(df: DataFrame, key: str, text: str, rare: float = 3.0) -> DataFrame:
-    """§2: Q11. n_words, type-token ratio, mean Zipf frequency (log10 of occurrences a billion words, from the table itself) and rare share."""
-    words = df.select(key, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("word"))
-    per = words.groupBy(key, "word").agg(F.count("*").alias("times"))
-    total = per.agg(F.sum("times").alias("total"))
-    freq = per.groupBy("word").agg(F.sum("times").alias("n")).crossJoin(F.broadcast(total)).select("word", (F.log10(F.col("n") / F.col("total")) + 9).alias("zipf"))
-    return per.join(freq, "word").groupBy(key).agg(
-        F.sum("times").alias("n_words"), (F.count("*") / F.sum("times")).alias("ttr"), (F.sum(F.col("zipf") * F.col("times")) / F.sum("times")).alias("mean_zipf"), (F.sum(F.when(F.col("zipf") < rare, F.col("times")).otherwise(0)) / F.sum("times")).alias("rare_share")
-    )
+    """§2: Q11. n_words, type-token ratio, mean Zipf frequency (log10 of occurrences a billion words, from the table itself) and rare share.
+
+    The most frequent words, up to ``BROADCAST_WORDS``, are sent to the texts, which stay where they are; occurrences of
+    the others are counted by text and meet their frequencies in a join. Rows of one key count as one text.
+    """
+    each = df.select(F.col(key).alias("key"), F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
+    counts = stored(each.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    # Words by classes of their number, eight for each doubling: as many whole classes are sent as fit.
+    size = F.floor(F.log2("n") * 8)
+    sent, least, total = 0, None, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect(), reverse=True):
+        total, sent = total + r.n, sent + r.words
+        if sent <= BROADCAST_WORDS:
+            least = r.size
+    zipf = counts.select("word", size.alias("size"), (F.log10(F.col("n") / F.lit(total)) + 9).alias("zipf"))
+    often, seldom = (zipf.filter(c).drop("size") for c in (size >= least, size < least)) if least is not None else (zipf.limit(0).drop("size"), zipf.drop("size"))
+    first = lambda c: F.sum(F.when(F.col("pos") == 0, c).otherwise(0))
+    low = F.when(F.col("zipf") < rare, F.col("times")).otherwise(0)
+    found = each.select("key", "words", F.size(F.array_distinct("words")).alias("own")).select("key", "own", F.posexplode("words").alias("pos", "word")).withColumn("times", F.lit(1))
+    found = found.join(F.broadcast(often), "word", "left").withColumn("word", F.when(F.col("zipf").isNull(), F.col("word")))
+    found = found.groupBy("key", "word").agg(F.count("*").alias("times"), F.sum("zipf").alias("z"), F.sum(low).alias("low"), first(F.lit(1)).alias("rows"), first(F.col("own")).alias("own"))
+    if sent > BROADCAST_WORDS:
+        found = stored(found)
+        others = found.filter("word is not null").join(seldom, "word").select("key", "times", (F.col("zipf") * F.col("times")).alias("z"), low.alias("low"), "rows", "own")
+        found = found.filter("word is null").drop("word").unionByName(others)
+    done = stored(found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("times", "z", "low", "rows", "own")]))
+    again = done.filter("rows > 1").select(F.col("key").alias("again"))
+    if not again.isEmpty():
+        texts = each.join(again, F.col("key").eqNullSafe(F.col("again")), "left_semi")
+        types = texts.select(F.col("key").alias("again"), F.explode(F.array_distinct("words")).alias("word")).distinct().groupBy("again").agg(F.count("*").alias("types"))
+        done = done.join(types, F.col("key").eqNullSafe(F.col("again")), "left").withColumn("own", F.coalesce("types", "own"))
+    share = lambda c: F.col(c) / F.col("times")
+    return done.select(F.col("key").alias(key), F.col("times").alias("n_words"), share("own").alias("ttr"), share("z").alias("mean_zipf"), share("low").alias("rare_share"))
 
 
 def gold_granularity(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str = "id", answers: str = "answers", question: str = "question") -> DataFrame:
