@@ -181,7 +181,10 @@ _A_DDL = "doc_id long, key long, n_shingles long, node long, bucket int, n int,
 
 
 def signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, width: int, percent: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each text (its set's size and node) and, for each bucket, blobs of signatures with their nodes, sizes and bitmaps; equal sets of a flush sign once."""
+    """A row for each text (its set's size and node), under a bucket below zero, and, for each bucket, blobs of signatures with their nodes, sizes and bitmaps; equal sets of a flush sign once.
+
+    Inside a bucket 32 bits name a signature: equal ones stay equal, and what others share by chance the bitmaps part.
+    """
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]] = []
     seen = np.zeros(0, np.int64)
 
@@ -198,7 +201,7 @@ def signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, width: int,
         runs, out = bucket_runs(bucket), []
         for _, i, j in runs:
             some, local = np.unique(who[i:j], return_inverse=True)
-            out.append((len(some), pack(sigs[i:j], delta(local)), pack(nodes[some], sizes[some]), b"".join([bits[k].tobytes() for k in some])))
+            out.append((len(some), pack(sigs[i:j].astype(np.uint32), delta(local)), pack(nodes[some], sizes[some]), b"".join([bits[k].tobytes() for k in some])))
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays(
             [*[pa.nulls(len(runs), pa.int64())] * 4, pa.array([x[0] for x in runs], pa.int32()), pa.array([j - i for _, i, j in runs], pa.int32()), *[pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]],
@@ -212,9 +215,9 @@ def signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, width: int,
             n = len(ends) - 1
             tokens, sizes = shingle_sets(part, ends, width)
             nodes = nodes_of(tokens, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(at, n), b.column("key").slice(at, n), pa.array(sizes.astype(np.int64)), pa.array(nodes, mask=sizes == 0), *[pa.nulls(n, t) for t in _A.types[4:]]], schema=_A
-            )
+            key = b.column("key").slice(at, n)
+            deal = pa.array((-1 - key.to_numpy() % buckets).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), key, pa.array(sizes.astype(np.int64)), pa.array(nodes, mask=sizes == 0), deal, *[pa.nulls(n, t) for t in _A.types[5:]]], schema=_A)
             fresh = ~pd.Series(nodes).duplicated().to_numpy() & ~np.isin(nodes, seen) & (sizes > 0)
             seen = np.union1d(seen, nodes)
             tokens, sizes = tokens[np.repeat(fresh, sizes)], sizes[fresh]
@@ -267,7 +270,7 @@ def linked(blobs: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Of one bucket: stars over nodes that share a signature and whose bitmaps are near."""
     sigs, who, nodes, sizes, raw, base = [], [], [], [], [], 0
     for x in blobs.itertuples():
-        s, local = unpack(x.blob, x.n, "uint64", "int64")
+        s, local = unpack(x.blob, x.n, "uint32", "int64")
         a, b = unpack(x.nodes, x.m, "int64", "int64")
         sigs.append(s)
         who.append(np.cumsum(local) + base)
@@ -309,6 +312,20 @@ def linked(blobs: pd.DataFrame, percent: int) -> pd.DataFrame:
     return out[out["a"] != out["b"]].drop_duplicates()
 
 
+_LINKED = pa.schema([*[_A.field(i) for i in range(4)], ("a", pa.int64()), ("b", pa.int64())])
+_LINKED_DDL = "doc_id long, key long, n_shingles long, node long, a long, b long"
+
+
+def rows_and_links(bucket: int, t: pa.Table, percent: int) -> pa.Table:
+    """A bucket's links (a, b); the rows of texts, which stand in buckets below zero, as they are."""
+    if bucket < 0:
+        columns = [*[t.column(i) for i in range(4)], *[pa.nulls(t.num_rows, pa.int64())] * 2]
+    else:
+        edges = linked(t.select(["n", "m", "blob", "nodes", "bitmaps"]).to_pandas(), percent)
+        columns = [*[pa.nulls(len(edges), pa.int64())] * 4, pa.array(edges["a"].to_numpy(np.int64)), pa.array(edges["b"].to_numpy(np.int64))]
+    return pa.table(columns, schema=_LINKED)
+
+
 def join_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """The component of each of a block's distinct sets, by the least index that it reaches."""
     m = len(sets)
@@ -362,11 +379,11 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     buckets = buckets_for(docs, 24)
     heavy = spark.sparkContext.broadcast(frequent_tokens(docs, width))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    signed = cut(map_texts(keyed, lambda x: signature_rows(x, buckets, width, percent, heavy.value), _A_DDL))
-    rows = signed.filter("bucket is null").select("doc_id", "key", "n_shingles", "node")
-    edges = signed.filter("bucket is not null").select("bucket", "n", "m", "blob", "nodes", "bitmaps")
-    edges = edges.groupBy("bucket").applyInPandas(lambda x: linked(x, percent), "a long, b long")
-    blocks = cut(components(edges))
+    signed = map_texts(keyed, lambda x: signature_rows(x, buckets, width, percent, heavy.value), _A_DDL)
+    # Signatures are shuffled and nothing else: texts' rows go with them, so that they needn't be written to be read twice.
+    signed = cut(signed.groupBy("bucket").applyInArrow(lambda key, t: rows_and_links(key[0].as_py(), t, percent), _LINKED_DDL))
+    rows = signed.filter("a is null").select("doc_id", "key", "n_shingles", "node")
+    blocks = cut(components(signed.filter("a is not null").select("a", "b")))
     chosen = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"))
     chosen = cut(chosen.join(blocks, "node").select("key", "node", F.col("component").alias("block")))
     large = chosen.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("chunks")).filter("chunks > 1")

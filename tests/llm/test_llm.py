@@ -717,3 +717,13 @@ def test_backoff_lm_buckets_hold_little(docs, monkeypatch):
     monkeypatch.setattr(backoff_lm, "buckets_for", lambda *a: asked.append(a) or 32)
     backoff_lm.score(docs.select("doc_id", "text"), docs.select("doc_id", "text"))
     assert asked[0][2] <= 32 << 20
+
+
+def test_signatures_are_shuffled_but_not_written(spark, monkeypatch):
+    written, real = [], ngram_jaccard.cut
+    monkeypatch.setattr(ngram_jaccard, "cut", lambda df: written.append(df.columns) or real(df))
+    text, big = prose(60), (1 << 60) + 1
+    rows = [(big, text), (None, f"{text} more"), (7, prose(50)), (8, None), (big, text)]
+    got = ngram_jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.text) == sorted([(big, text), rows[2][:2]]) and (8, None) in [(r.doc_id, r.text) for r in got]
+    assert written and not [c for c in written if {"blob", "bitmaps"} & set(c)]
