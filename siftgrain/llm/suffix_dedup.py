@@ -33,7 +33,7 @@ columns pass through ``dedup_substrings``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,10 @@ U = np.uint64
 LENGTH, SAMPLE = 100, 32
 FLUSH = 1_000_000
 FLUSH_BYTES = 24 << 20
+#: Input that a bucket is for, as the plan states it (2 columns of 5 count as two fifths of a file).
+BUCKET = 8 << 20
+#: Strings of a bucket that meet at a time.
+STRINGS = 1 << 20
 
 
 def sliding_least(a: np.ndarray, width: int) -> np.ndarray:
@@ -209,22 +213,47 @@ def first_equals(name: np.ndarray) -> np.ndarray:
 
 def equal_strings(data: np.ndarray, spot: np.ndarray, origin: np.ndarray, length: int, most: int = 1 << 22) -> bool:
     """Whether all strings at ``spot`` equal their origins byte by byte; neighbours are compared in one go."""
-    hit = np.flatnonzero(origin != np.arange(len(origin)))
-    a, b = spot[hit], spot[origin[hit]]
-    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)]) if len(hit) else hit
-    a, b, many = a[new], b[new], np.diff(np.r_[new, len(hit)]) + (length - 1)
-    at = 0
-    upto = np.cumsum(many)
-    while at < len(new):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
-        n = many[at:end]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if (data[np.repeat(a[at:end], n) + inside] != data[np.repeat(b[at:end], n) + inside]).any():
-            return False
-        at = end
+    for i in range(0, len(origin), STRINGS):
+        hit = i + np.flatnonzero(origin[i : i + STRINGS] != np.arange(i, min(i + STRINGS, len(origin))))
+        a, b = spot[hit].astype(np.int64), spot[origin[hit]].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)]) if len(hit) else hit
+        a, b, many = a[new], b[new], np.diff(np.r_[new, len(hit)]) + (length - 1)
+        at = 0
+        upto = np.cumsum(many)
+        while at < len(new):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            n = many[at:end]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if (data[np.repeat(a[at:end], n) + inside] != data[np.repeat(b[at:end], n) + inside]).any():
+                return False
+            at = end
     return True
 
 
+def string_names(data: np.ndarray, at: np.ndarray, runs: np.ndarray, length: int, most: int = 1 << 22) -> np.ndarray:
+    """A hash of each string, of contexts as they lie in ``data`` (string i of a context starts i bytes after it)."""
+    out, upto = np.empty(runs.sum(), U), np.r_[0, np.cumsum(runs)]
+    c = 0
+    while c < len(at):
+        end = max(c + 1, int(np.searchsorted(at, at[c] + most)))
+        n = runs[c:end]
+        hashes = mix(grams(data[at[c] : at[end - 1] + n[-1] + length - 1], length))
+        out[upto[c] : upto[end]] = hashes[np.repeat(at[c:end] - at[c] - (upto[c:end] - upto[c]), n) + np.arange(n.sum())]
+        c = end
+    return out
+
+
+def origins(name: np.ndarray, ordered: Callable[[np.ndarray], np.ndarray] | None) -> np.ndarray:
+    """Of each string the first with its name, ``ordered`` giving places their order; names are dealt into classes, one of which is looked at a time."""
+    classes = max(1, -(-len(name) // STRINGS))
+    out = np.empty(len(name), np.int64)
+    for c in range(classes):
+        own = np.flatnonzero(name % U(classes) == U(c))
+        own = ordered(own) if ordered else own
+        out[own] = own[first_equals(name[own])]
+    return out
+
+
 def repeated_spans(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
     """Step 2, one block: by row, the spans covered by strings that also start earlier."""
     keys, begins, ends, parts, raw = [], [], [], [], []
@@ -241,39 +270,58 @@ def repeated_spans(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
     if parts:
         ids, key, start, runs = (np.concatenate(x) for x in zip(*parts, strict=True))
         data = np.concatenate(raw)
+        raw.clear()
         many = runs + (length - 1)
         at = np.cumsum(many) - many
+        name = string_names(data, at, runs, length)
+        base = np.cumsum(runs) - runs
         order = np.lexsort((key, start, ids))
         ids, key, start, runs, at = ids[order], key[order], start[order], runs[order], at[order]
-        who = np.repeat(np.arange(len(runs)), runs)
-        inside = np.arange(len(who)) - np.repeat(np.cumsum(runs) - runs, runs)
+        upto = np.cumsum(runs)
+        # Strings in the order of their contexts: where each name stands, then where each string's bytes do.
+        move = np.repeat(base[order] - (upto - runs), runs)
+        move += np.arange(len(move))
+        name = name[move]
+        spot = np.repeat(at - (upto - runs), runs)
+        spot += np.arange(len(spot))
+        del move
+
+        def of(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            who = np.searchsorted(upto, strings, "right")
+            return key[who], start[who] + strings - (upto - runs)[who]
+
+        def by_place(own: np.ndarray) -> np.ndarray:
+            k, place = of(own)
+            return own[np.lexsort((k, place, ids[np.searchsorted(upto, own, "right")]))]
+
+        # Texts under one id: contexts overlap, so that their strings are put in order one by one.
         shared = ((ids[1:] == ids[:-1]) & (key[1:] != key[:-1])).any()
-        if shared:
-            # Texts under one id: contexts overlap, so that their strings are put in order one by one.
-            order = np.lexsort((key[who], start[who] + inside, ids[who]))
-            who, inside = who[order], inside[order]
-        name = np.concatenate([mix(grams(data[i : i + (4 << 20) + length - 1], length)) for i in range(0, len(data) - length + 1, 4 << 20)])
-        name = name[at[who] + inside]
-        spot = at[who] + inside
-        origin = first_equals(name)
+        origin = origins(name, by_place if shared else None)
         if not equal_strings(data, spot, origin, length):
             # A hash names two strings: their bytes do.
-            name = np.unique(np.array([data[i : i + length].tobytes().hex() for i in spot.tolist()]), return_inverse=True)[1]
-            origin = first_equals(name)
-        # Rows that are repeated whole are one document: a string's equals with the same key and start don't count.
-        hit = np.flatnonzero(origin != np.arange(len(origin)))
-        first = origin[hit]
-        hit = hit[(key[who[hit]] != key[who[first]]) | (start[who[hit]] + inside[hit] != start[who[first]] + inside[first])]
-        if len(hit):
-            k, s = key[who[hit]], start[who[hit]] + inside[hit]
-            if shared:
-                order = np.lexsort((s, k))
-                k, s = k[order], s[order]
-            new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1)])
-            stop = np.r_[new[1:], len(hit)] - 1
-            keys.append(k[new])
-            begins.append(s[new])
-            ends.append(s[stop] + length)
+            name = np.unique(np.array([data[i : i + length].tobytes().hex() for i in spot.tolist()]), return_inverse=True)[1].astype(U)
+            origin = origins(name, by_place if shared else None)
+        del name, spot, data
+        # Runs of strings in one context whose firsts also stand in one.
+        hit = origin != np.arange(len(origin))
+        head = np.zeros(len(origin), bool)
+        head[upto - runs] = True
+        new = hit.copy()
+        new[1:] &= ~hit[:-1] | (origin[1:] != origin[:-1] + 1) | head[1:] | head[origin[1:]]
+        new = np.flatnonzero(new)
+        if len(new):
+            n = np.add.reduceat(hit, new, dtype=np.int64)
+            (k, s), (k0, s0) = of(new), of(origin[new])
+            # Rows that are repeated whole are one document: a string's equals with the same key and start don't count.
+            use = (k != k0) | (s != s0)
+            k, s, z = k[use], s[use], (s + n)[use]
+            order = np.lexsort((s, k))
+            k, s, z = k[order], s[order], z[order]
+            apart = (k[1:] != k[:-1]) | (s[1:] != z[:-1])
+            some = min(1, len(k))
+            keys.append(k[np.r_[np.full(some, True), apart]])
+            begins.append(s[np.r_[np.full(some, True), apart]])
+            ends.append(z[np.r_[apart, np.full(some, True)]] + length - 1)
     if not keys:
         return by_key(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
     return by_key(np.concatenate(keys), np.concatenate(begins).astype(np.int32), np.concatenate(ends).astype(np.int32))
@@ -289,7 +337,7 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept (binary, what is left) and kept_sha256."""
-    buckets = buckets_for(docs, 48)
+    buckets = buckets_for(docs, 48, BUCKET)
     docs, restored = shielded(docs, ("key", "ns", "blobs"))
     added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     names = [c for c in docs.columns if c not in added]

@@ -727,3 +727,28 @@ def test_signatures_are_shuffled_but_not_written(spark, monkeypatch):
     got = ngram_jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     assert sorted((r.doc_id, r.text) for r in got if r.text) == sorted([(big, text), rows[2][:2]]) and (8, None) in [(r.doc_id, r.text) for r in got]
     assert written and not [c for c in written if {"blob", "bitmaps"} & set(c)]
+
+
+def test_suffix_dedup_buckets_grow_with_the_input(docs, monkeypatch):
+    asked, real = [], suffix_dedup.buckets_for
+    monkeypatch.setattr(suffix_dedup, "buckets_for", lambda df, least, each=common.BUCKET_BYTES: asked.append(each) or real(df, least, each))
+    suffix_dedup.dedup_substrings(docs)
+    assert len(asked) == 1 and asked[0] <= 16 << 20
+
+
+def test_suffix_dedup_looks_at_a_class_of_strings_at_a_time(monkeypatch):
+    import pandas as pd
+
+    from siftgrain.llm.common import delta, pack, unpack
+
+    text = np.frombuffer((prose(200) + TEXTS[0]).encode()[:900], np.uint8)
+    at, keys = np.array([0, 60, 0, 10]), np.array([1, 1, 2, 3], np.int64)
+    starts, runs = np.array([0, 60, 5, 0], np.int32), np.array([60, 60, 60, 50], np.int32)
+    raw = np.concatenate([text[a : a + r + 99] for a, r in zip(at, runs, strict=True)])
+    blobs = pd.DataFrame({"bucket": [0], "settled": [False], "n": [4], "blob": [pack(delta(keys), delta(keys), starts, runs)], "bytes": [pack(raw)]})
+    for strings in (1 << 20, 7):
+        monkeypatch.setattr(suffix_dedup, "STRINGS", strings)
+        got = {r.key: [x.tolist() for x in unpack(r.blob, r.n, "int32", "int32")] for r in suffix_dedup.repeated_spans(blobs, 100).itertuples()}
+        assert got == {2: [[5], [164]], 3: [[0], [149]]}
+    names = np.arange(4000, dtype=np.uint64) % np.uint64(1000)
+    assert (suffix_dedup.origins(names, None) == np.arange(4000) % 1000).all()
