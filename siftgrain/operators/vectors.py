@@ -66,11 +66,13 @@ def best_places(sims: np.ndarray, k: int) -> np.ndarray:
     return at[order][first[:, None] + np.arange(k)]
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, k: int, block: int = 65_536) -> DataFrame:
     """§2: V3, V11, V12. query_id, rank, vec_id, similarity: exact cosine, ties by vec_id; both: vec_id, embedding.
 
     Queries are dealt into blocks that meet every fragment of the index once
     (products of matrices in Arrow batches); each fragment gives its best k.
+    The index is sent once for each block and the queries once for each
+    fragment, so both are of one size where all rows ask.
     """
     n, q = index.count(), queries.count()
     fragments, blocks = max(8, math.ceil(n / 65_536)), max(1, math.ceil(q / block))

@@ -323,3 +323,15 @@ def test_lexical_leaves_words_where_they_are(spark):
     before = shuffled_rows(spark)
     assert len(qa.lexical(df, "id", "text").collect()) == 2000
     assert sum(n for i, n in shuffled_rows(spark).items() if i not in before) < pairs / 4
+
+
+def test_every_vector_asks_for_its_nearest(spark, tmp_path):
+    from siftgrain.plans import catalogue
+
+    x = np.random.default_rng(5).normal(size=(230, 8))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.cosine_topk(spark, str(tmp_path)).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = -np.sort(-(unit @ unit.T), axis=1)[:, :10]
+    assert len(got) == 2300 and {(r.query_id, r.rank) for r in got} == {(i, k) for i in range(230) for k in range(1, 11)}
+    assert max(abs(r.similarity - best[r.query_id, r.rank - 1]) for r in got) < 1e-5
