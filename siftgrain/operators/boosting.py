@@ -384,10 +384,10 @@ class Booster:
         return Ensemble(ints(f), np.array(t, np.float64), ints(d), ints(left), ints(right), np.array(value, np.float64), ints(root), len(self.cuts), objective="lambdarank" if self.settings.objective == "order" else "regression")
 
 
-def halving(rows: DataFrame, trials: list[Settings], features: str = "features", target: str = "y", group: str | None = None, valid: str = "valid", first: int = 5, rounds: int = 40, eta: int = 3, patience: int = 10) -> tuple[list[dict], Booster]:
+def halving(rows: DataFrame, trials: list[Settings], features: str = "features", target: str = "y", group: str | None = None, valid: str = "valid", first: int = 5, rounds: int | None = 40, eta: int = 3, patience: int = 10) -> tuple[list[dict], Booster]:
     """§2: L2, N7. Successive halving: all trials get ``first`` trees, the best of each step ``eta`` times as many. Rows of (trial, rounds, measure), and the winner.
 
-    Trials share chunks and bins; one that hasn't improved for ``patience`` trees stops growing.
+    Trials share chunks and bins; one that hasn't improved for ``patience`` trees stops growing. Without ``rounds`` nothing else ends the search.
     """
     if len({t.objective for t in trials}) != 1:
         raise ValueError("trials of one objective can be compared")
@@ -400,8 +400,8 @@ def halving(rows: DataFrame, trials: list[Settings], features: str = "features",
             b.train(now, patience)
             out[i] = {"trial": i, "rounds": b.best(), "trees": len(b.trees), "measure": b.history[b.best()]}
         order = sorted(alive, key=lambda i: (-out[i]["measure"], i))
-        if now >= rounds or len(alive) == 1 and all(len(b.trees) < now for b in alive.values()):
+        if rounds is not None and now >= rounds or len(alive) == 1 and all(len(b.trees) < now for b in alive.values()):
             return [out[i] for i in sorted(out)], alive[order[0]]
         alive = {i: alive[i] for i in order[: max(1, math.ceil(len(order) / eta))]}
-        now = min(rounds, now * eta)
+        now = now * eta if rounds is None else min(rounds, now * eta)
 

@@ -245,7 +245,7 @@ def lambda_ranker(spark: SparkSession, sf: str) -> DataFrame:
 def tree_search(spark: SparkSession, sf: str) -> DataFrame:
     """§2: L2, N7. Rows only: successive halving over four settings, trees until the measure on held-out orders stops growing."""
     trials = [boosting.Settings("number", rate=r, depth=d) for r, d in ((0.05, 2), (0.3, 2), (0.1, 3), (0.5, 3))]
-    found, _ = boosting.halving(orders_to_rank(spark, sf), trials, first=3, rounds=9, patience=3)
+    found, _ = boosting.halving(orders_to_rank(spark, sf), trials, first=3, rounds=None, patience=3)
     best = Window.orderBy(F.desc("measure"), "trial")
     return spark.createDataFrame(found, "trial int, rounds int, trees int, measure double").withColumn("place", F.row_number().over(best))
 

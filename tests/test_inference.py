@@ -523,3 +523,14 @@ def test_a_batch_gives_its_chunks_one_at_a_time():
     b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([b"a", b"b", b"c"])], names=["chunk", "y"])
     held = boosting.chunk_rows(b)
     assert next(held) == {"chunk": 1, "y": b"a"} and list(held) == b.to_pylist()[1:]
+
+
+def test_search_without_rounds_ends_by_patience(spark, monkeypatch):
+    asked, real = [], boosting.halving
+    monkeypatch.setattr(boosting, "halving", lambda *a, **b: asked.append(b) or real(*a, **b))
+    rows = ranked_rows(spark, 60).filter("y is not null and features is not null").select("features", "y", "valid")
+    monkeypatch.setattr(inference, "orders_to_rank", lambda *_: rows)
+    found = {r.trial: r for r in inference.tree_search(spark, "").collect()}
+    winner = min(found.values(), key=lambda r: r.place)
+    # The winner's measure had stopped growing: no number of trees ended the search.
+    assert asked[0]["rounds"] is None and winner.trees - winner.rounds >= asked[0]["patience"] and len(found) == 4
